@@ -52,13 +52,28 @@ def grouped_text(value: Column) -> Column:
     return F.format_number(value, 0)
 
 
+def one_decimal(value: Column, unit: int) -> Column:
+    """value / unit with one decimal, a tie going the way of the binary quotient.
+
+    The quotient of a tie is seldom exact; the sign of its error, got from an exact product, says on
+    which side of the tie it lies.
+    """
+    quotient = value / unit
+    high = quotient * 134217729.0 - (quotient * 134217729.0 - quotient)
+    error = (high * unit - quotient * unit) + (quotient - high) * unit
+    tenths, rest = F.floor(value * 10 / unit), (value * 10) % unit
+    up = (rest * 2 > unit) | ((rest * 2 == unit) & (error >= 0))
+    total = tenths + up.cast("bigint")
+    return F.concat(F.floor(total / 10).cast("string"), F.lit("."), (total % 10).cast("string"))
+
+
 def byte_text(value: Column) -> Column:
-    kib, mib = value / 1024, value / 1048576
+    kib = value / 1024
     return (F.when(value.isNull() | (value <= 0), "")
             .when(value < 1024, F.concat(value.cast("bigint").cast("string"), F.lit(" B")))
-            .when(value < 10240, F.concat(F.format_string("%.1f", kib), F.lit(" KB")))
+            .when(value < 10240, F.concat(one_decimal(value, 1024), F.lit(" KB")))
             .when(value < 1048576, F.concat(F.floor(kib + 0.5).cast("bigint").cast("string"), F.lit(" KB")))
-            .otherwise(F.concat(F.format_string("%.1f", mib), F.lit(" MB"))))
+            .otherwise(F.concat(one_decimal(value, 1048576), F.lit(" MB"))))
 
 
 def basis_point_text(value: Column) -> Column:
@@ -73,7 +88,7 @@ def basis_point_text(value: Column) -> Column:
 def elapsed_text(value: Column) -> Column:
     def scaled(unit: int, label: str) -> Column:
         return F.concat(F.when(value % unit == 0, F.floor(value / unit).cast("bigint").cast("string"))
-                        .otherwise(F.format_string("%.1f", value / unit)), F.lit(label))
+                        .otherwise(one_decimal(value, unit)), F.lit(label))
     return (F.when(value.isNull() | (value < 0), "")
             .when(value < 1000, F.concat(value.cast("string"), F.lit(" ms")))
             .when(value < 60_000, scaled(1000, " s"))

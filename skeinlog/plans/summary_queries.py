@@ -278,7 +278,7 @@ WITH s AS (SELECT session_id, count(*) AS raw_event_count, count(*) FILTER (WHER
 t AS (SELECT session_id, tool_name, count(*) AS uses, min(line) AS f FROM ev WHERE tool_name <> '' GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY uses DESC, f) AS rn FROM t),
 a AS (SELECT session_id, string_agg(tool_name || ':' || uses, ',' ORDER BY rn) AS top_tools FROM r WHERE rn <= 5 GROUP BY 1)
-SELECT s.session_id, raw_event_count, protocol_count, failed_command_count, coalesce(top_tools, '') AS top_tools,
+SELECT s.session_id, s.raw_event_count, s.protocol_count, s.failed_command_count, coalesce(top_tools, '') AS top_tools,
   coalesce(p.session_id, '') AS parent_session_id FROM s LEFT JOIN a ON a.session_id = s.session_id
   LEFT JOIN s p ON p.session_id = CAST(CAST(s.session_id AS BIGINT) // 10 AS VARCHAR) AND CAST(s.session_id AS BIGINT) >= 10"""))
 def _(spark, root):
