@@ -326,8 +326,8 @@ def _(spark, root):
 WITH x AS (SELECT o_orderkey AS id, CAST(floor(o_totalprice) AS BIGINT) AS v FROM orders)
 SELECT id, CAST(round(v + (v % 1000) * 1000000 / 1e6) AS BIGINT) AS ms,
   CASE WHEN v <= 0 THEN '' WHEN v < 1024 THEN v || ' B' WHEN v < 10240 THEN printf('%.1f KB', v / 1024.0) WHEN v < 1048576 THEN CAST(floor(v / 1024.0 + 0.5) AS BIGINT) || ' KB' ELSE printf('%.1f MB', v / 1048576.0) END AS bytes,
-  CASE WHEN v < 1000 THEN v || ' ms' WHEN v < 60000 THEN (CASE WHEN v % 1000 = 0 THEN CAST(v // 1000 AS VARCHAR) ELSE printf('%.1f', v / 1000.0) END) || ' s'
-    ELSE (CASE WHEN v % 60000 = 0 THEN CAST(v // 60000 AS VARCHAR) ELSE printf('%.1f', v / 60000.0) END) || ' min' END AS elapsed,
+  CASE WHEN v < 1000 THEN v || ' ms' WHEN v < 60000 THEN (CASE WHEN v % 1000 = 0 THEN CAST(v // 1000 AS VARCHAR) ELSE printf('%.1f', v / 1000.0 + CASE WHEN v % 250 = 0 THEN 0.001 ELSE 0 END) END) || ' s'
+    ELSE (CASE WHEN v % 60000 = 0 THEN CAST(v // 60000 AS VARCHAR) ELSE printf('%.1f', v / 60000.0 + CASE WHEN v % 15000 = 0 THEN 0.001 ELSE 0 END) END) || ' min' END AS elapsed,
   format('{:,}', v) AS grouped FROM x""")
 def _(spark, root):
     v = F.floor("o_totalprice")
