@@ -6,7 +6,8 @@ import importlib
 
 from skeinlog.plans.registry import REGISTRY, Query
 
-CATALOGUES = ["search_queries", "summary_queries", "cache_queries", "reading_queries"]
+CATALOGUES = ["search_queries", "summary_queries", "cache_queries", "reading_queries", "window_queries",
+              "link_queries"]
 
 
 def load_catalogue() -> dict[str, Query]:
