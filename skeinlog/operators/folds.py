@@ -10,12 +10,13 @@ a session than one block, and the state itself is what the machine keeps, not th
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from skeinlog.session import block_rows, materialize
 
@@ -28,59 +29,72 @@ def _dump(state: dict) -> str:
     return json.dumps(state, sort_keys=True, separators=(",", ":"))
 
 
-def _clean(row: dict) -> dict:
-    return {k: None if v is None or v is pd.NA or (isinstance(v, float) and v != v) else v for k, v in row.items()}
-
-
-def _run(pdf: pd.DataFrame, order: str, step: Step) -> tuple[list[dict], str]:
-    state = json.loads(pdf[ENTRY].iloc[0])
-    outputs = []
-    for row in pdf.sort_values(order).to_dict("records"):
-        clean = _clean(row)
-        outputs.append({**clean, **step(state, clean)})
-    return outputs, _dump(state)
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[list[tuple[tuple, dict]]]:
+    for batch in batches:
+        yield [(tuple(row[k] for k in keys), row) for row in batch.to_pylist()]
 
 
 def fold(rows: DataFrame, keys: list[str], order: str, step: Step, initial: dict, output: str) -> DataFrame:
     """Run ``step(state, row) -> output columns`` over each group in order.
 
-    ``output`` is a DDL string of the columns the step returns; the keys and the order column are kept.
+    ``output`` is a DDL string of the columns the step returns; the keys and the order column are kept. A
+    task reads its blocks sorted, one Arrow batch at a time, and holds one state.
     """
     spark = rows.sparkSession
     first = _dump(initial)
     base = rows.withColumn(BLOCK, F.floor(F.col(order) / F.lit(block_rows(spark))))
-    kept = T.StructType([rows.schema[c] for c in [*keys, order]])
-    produced = T.StructType(kept.fields + T.StructType.fromDDL(output).fields)
-    names = produced.fieldNames()
+    group = [*keys, BLOCK]
+    kept = [rows.schema[c] for c in [*keys, order]]
+    produced = T.StructType(kept + T.StructType.fromDDL(output).fields)
+    ends_schema = T.StructType([rows.schema[c] for c in keys] + [
+        T.StructField(BLOCK, T.LongType()), T.StructField(ENTRY, T.StringType()), T.StructField(END, T.StringType())])
+    produced_arrow, ends_arrow = to_arrow_schema(produced), to_arrow_schema(ends_schema)
+    names = [f.name for f in kept]
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, state = None, None
+        for part in _runs(batches, group):
+            out = []
+            for key, row in part:
+                if key != at:
+                    at, state = key, json.loads(row[ENTRY])
+                out.append({**{n: row[n] for n in names}, **step(state, row)})
+            yield pa.RecordBatch.from_pylist(out, schema=produced_arrow)
+
+    def last_states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, entry, state = None, None, None
+        for part in _runs(batches, group):
+            out = []
+            for key, row in part:
+                if key != at:
+                    if at is not None:
+                        out.append(dict(zip(ends_schema.fieldNames(), [*at, entry, _dump(state)])))
+                    at, entry = key, row[ENTRY]
+                    state = json.loads(entry)
+                step(state, row)
+            yield pa.RecordBatch.from_pylist(out, schema=ends_arrow)
+        if at is not None:
+            yield pa.RecordBatch.from_pylist([dict(zip(ends_schema.fieldNames(), [*at, entry, _dump(state)]))], schema=ends_arrow)
+
+    def placed(df: DataFrame) -> DataFrame:
+        return df.repartition(*group).sortWithinPartitions(*group, order)
 
-    def emit(pdf: pd.DataFrame) -> pd.DataFrame:
-        outputs, _ = _run(pdf, order, step)
-        return pd.DataFrame(outputs, columns=names) if outputs else pd.DataFrame(columns=names)
+    def ends_of(df: DataFrame) -> DataFrame:
+        return placed(df).mapInArrow(last_states, ends_schema)
 
     spans = base.groupBy(*keys).agg((F.min(BLOCK) != F.max(BLOCK)).alias("wide")).filter("wide")
     if spans.isEmpty():
-        return base.withColumn(ENTRY, F.lit(first)).groupBy(*keys, BLOCK).applyInPandas(emit, produced)
+        return placed(base.withColumn(ENTRY, F.lit(first))).mapInArrow(emit, produced)
 
     base = materialize(base, "fold-rows")
-    ends_schema = T.StructType([rows.schema[c] for c in keys] + [
-        T.StructField(BLOCK, T.LongType()), T.StructField(ENTRY, T.StringType()), T.StructField(END, T.StringType())])
-
-    def end_state(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, end = _run(pdf, order, step)
-        return pd.DataFrame([[*(pdf[k].iloc[0] for k in keys), pdf[BLOCK].iloc[0], pdf[ENTRY].iloc[0], end]],
-                            columns=ends_schema.fieldNames())
-
-    def ends_of(df: DataFrame) -> DataFrame:
-        return df.groupBy(*keys, BLOCK).applyInPandas(end_state, ends_schema)
-
     ends = materialize(ends_of(base.withColumn(ENTRY, F.lit(first))), "fold-ends")
     by = Window.partitionBy(*keys).orderBy(BLOCK)
     while True:
         wanted = ends.withColumn(WANT, F.coalesce(F.lag(END).over(by), F.lit(first)))
-        stale = wanted.filter(F.col(WANT) != F.col(ENTRY)).select(*keys, BLOCK, F.col(WANT).alias(ENTRY))
+        stale = wanted.filter(F.col(WANT) != F.col(ENTRY)).select(*group, F.col(WANT).alias(ENTRY))
         if stale.isEmpty():
             break
-        redone = ends_of(base.join(stale, [*keys, BLOCK]))
-        fresh = ends.join(stale.select(*keys, BLOCK), [*keys, BLOCK], "left_anti")
+        redone = ends_of(base.join(stale, group))
+        fresh = ends.join(stale.select(*group), group, "left_anti")
         ends = materialize(fresh.unionByName(redone), "fold-ends")
-    return base.join(ends.drop(END), [*keys, BLOCK]).groupBy(*keys, BLOCK).applyInPandas(emit, produced)
+    return placed(base.join(ends.drop(END), group)).mapInArrow(emit, produced)

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skeinlog.functions.classify import plan_category
 from skeinlog.operators import ordered
 from skeinlog.operators.folds import fold
+from skeinlog.operators.pairing import nearest_span
 
 PARTIAL_TEXT_LIMIT = 16_000
 
@@ -443,3 +445,29 @@ def fallback_rows(rows: DataFrame, owned: DataFrame) -> DataFrame:
     """Records no event has taken become protocol events of their own, so every record shows exactly once."""
     return rows.join(owned.select("raw_id").distinct(), "raw_id", "left_anti").select(
         "session_id", "raw_id", F.lit("protocol").alias("layer"), F.coalesce(F.nullif("payload_type", F.lit("")), "record_type").alias("subtype"))
+
+
+def async_outcomes(launched: DataFrame) -> DataFrame:
+    """Outcome of a background launch from its last notification."""
+    status = F.col("terminal_status")
+    return launched.withColumn("outcome", F.when(status.isNull(), "in_progress").when(status.isin("failed", "error"), "failed")
+                               .when(status.isin("declined", "cancelled", "canceled", "stopped"), "cancelled").otherwise("success"))
+
+
+def plan_rows(events: DataFrame) -> DataFrame:
+    """Plan artefacts and plan updates of the main layer."""
+    category = plan_category(F.col("kind"), F.col("subtype"), F.col("tool_name"))
+    return events.filter("layer = 'main'").withColumn("plan_category", category).filter("plan_category <> ''")
+
+
+def operation_facts(operations: DataFrame, nested: DataFrame) -> DataFrame:
+    """Operations with the number of events they enclose and the first of them."""
+    per = nested.groupBy("span_id").agg(F.count(F.lit(1)).alias("nested"), F.min_by("event_id", "min_line").alias("first_nested"))
+    return operations.join(per, "span_id", "left").select(F.col("span_id").alias("operation_id"), F.coalesce("nested", F.lit(0)).alias("nested"), "first_nested")
+
+
+def goal_events(snapshots: DataFrame, calls: DataFrame, width: int = 1000) -> DataFrame:
+    """Goal snapshots that change something, each with the tool call it came from when one is close enough."""
+    changed = snapshots.filter("transition <> ''")
+    found = nearest_span(changed.select("session_id", "signature", "line"), calls, width).withColumnRenamed("span_id", "tool_event_id")
+    return changed.join(found, ["session_id", "line"], "left").select("session_id", "event_id", "transition", "tool_event_id")
