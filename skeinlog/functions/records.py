@@ -361,7 +361,7 @@ def approval_asked(data: Column) -> Column:
 
 def command_run(data: Column) -> Column:
     f = F.from_json(data, "commandId string, name string, args string, source struct<kind:string>")
-    return F.when(has_only_keys(data, ["commandId", "name", "source"], ["args"]) & (f["source.kind"] == "user") & f["name"].rlike("^[a-z][a-z0-9_-]*$"), f)
+    return F.when(has_only_keys(data, ["commandId", "name", "source"], ["args"]) & (f["source"]["kind"] == "user") & f["name"].rlike("^[a-z][a-z0-9_-]*$"), f)
 
 
 def subagent_descriptor(data: Column, versions: tuple[int, ...] = (1, 2)) -> Column:

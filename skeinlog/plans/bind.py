@@ -102,8 +102,13 @@ def _glue(body: str) -> str:
 
 
 def events(spark: SparkSession, root: str) -> DataFrame:
+    return bound_events(table(spark, root, "events"))
+
+
+def bound_events(raw: DataFrame) -> DataFrame:
+    """Logical events of the events table, batch or stream. Row-local, so filters and pruning reach the scan."""
     iso = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
-    base = table(spark, root, "events").withColumns({
+    base = raw.withColumns({
         "k": F.get_json_object("props", "$.k").cast("bigint"),
         "ts_iso": F.date_format("ts", iso),
         "ts_iso_back": F.date_format(F.expr("ts - INTERVAL 2 DAYS"), iso),

@@ -10,8 +10,8 @@ from skeinlog.plans import bind
 from skeinlog.plans.registry import query
 
 
-def accounting_rows(spark, root):
-    ev = bind.events(spark, root)
+def accounting_rows(spark, root, ev=None):
+    ev = bind.events(spark, root) if ev is None else ev
     token = F.col("kind") == "token_count"
     return ev.select(
         "session_id", "line", "event_id", "ts_text", "turn_id", "model", (F.col("kind") == "compaction").alias("is_compaction"),

@@ -16,7 +16,7 @@ def to_raw(parsed: DataFrame) -> DataFrame:
     record_type, payload_type = R.text_at(v, "$.type"), R.text_at(v, f"{p}.type")
     typed = R.typed_item(v, F.col("session_id"))
     base = parsed.filter("record is not null").select(
-        "session_id", F.concat("session_id", F.lit(":raw:"), F.col("line").cast("string")).alias("raw_id"), "file", "line", "record",
+        "session_id", F.concat("session_id", F.lit(":raw:"), F.col("line").cast("string")).alias("raw_id"), "file", "line", "text", "record",
         numbers.iso_text(R.get(v, "$.timestamp")).alias("ts_text"), record_type.alias("record_type"),
         F.coalesce(typed["payload_type"], payload_type).alias("payload_type"), R.text_at(v, f"{p}.role").alias("role"),
         R.text_at(v, f"{p}.turn_id").alias("turn_id"),
@@ -35,8 +35,11 @@ def to_raw(parsed: DataFrame) -> DataFrame:
 
 
 def with_search_text(raw: DataFrame) -> DataFrame:
-    """Full search text. Messages have theirs in the JVM; only the other payloads are walked."""
-    walked = F.when(F.col("message_text") == "", R.json_at(F.col("record"), "$.payload"))
+    """Full search text. Messages have theirs in the JVM; only the other payloads are walked.
+
+    The walk reads the line itself, since a VARIANT does not keep the order of keys.
+    """
+    walked = F.when(F.col("message_text") == "", F.get_json_object("text", "$.payload"))
     return raw.withColumn("search_text", F.when(F.col("message_text") != "", F.col("message_text")).otherwise(full_search_text(walked)))
 
 
