@@ -34,67 +34,108 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[list[t
         yield [(tuple(row[k] for k in keys), row) for row in batch.to_pylist()]
 
 
+class _Machine:
+    """Task-side runners of one step function over sorted blocks."""
+
+    def __init__(self, schema: T.StructType, keys: list[str], order: str, step: Step, output: str):
+        self.keys, self.order, self.step = keys, order, step
+        self.group = [*keys, BLOCK]
+        kept = [schema[c] for c in [*keys, order]]
+        self.produced = T.StructType(kept + T.StructType.fromDDL(output).fields)
+        self.ends = T.StructType([schema[c] for c in keys] + [
+            T.StructField(BLOCK, T.LongType()), T.StructField(ENTRY, T.StringType()), T.StructField(END, T.StringType())])
+
+    def _placed(self, df: DataFrame) -> DataFrame:
+        return df.repartition(*self.group).sortWithinPartitions(*self.group, self.order)
+
+    def outputs(self, df: DataFrame) -> DataFrame:
+        group, step, names = self.group, self.step, [*self.keys, self.order]
+        schema = to_arrow_schema(self.produced)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, state = None, None
+            for part in _runs(batches, group):
+                out = []
+                for key, row in part:
+                    if key != at:
+                        at, state = key, json.loads(row[ENTRY])
+                    out.append({**{n: row[n] for n in names}, **step(state, row)})
+                yield pa.RecordBatch.from_pylist(out, schema=schema)
+        return self._placed(df).mapInArrow(run, self.produced)
+
+    def last_states(self, df: DataFrame) -> DataFrame:
+        group, step, names = self.group, self.step, self.ends.fieldNames()
+        schema = to_arrow_schema(self.ends)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, entry, state = None, None, None
+            for part in _runs(batches, group):
+                out = []
+                for key, row in part:
+                    if key != at:
+                        if at is not None:
+                            out.append(dict(zip(names, [*at, entry, _dump(state)])))
+                        at, entry = key, row[ENTRY]
+                        state = json.loads(entry)
+                    step(state, row)
+                yield pa.RecordBatch.from_pylist(out, schema=schema)
+            if at is not None:
+                yield pa.RecordBatch.from_pylist([dict(zip(names, [*at, entry, _dump(state)]))], schema=schema)
+        return self._placed(df).mapInArrow(run, self.ends)
+
+
+def _settle(machine: _Machine, base: DataFrame, start: DataFrame) -> DataFrame:
+    """Blocks with the entry state the sequential run would give them, and their end state.
+
+    ``start``: keys and the state each group begins with.
+    """
+    keys, group = machine.keys, machine.group
+    ends = materialize(machine.last_states(base.join(start.withColumnRenamed(WANT, ENTRY), keys)), "fold-ends")
+    by = Window.partitionBy(*keys).orderBy(BLOCK)
+    while True:
+        wanted = ends.join(start, keys).withColumn(WANT, F.coalesce(F.lag(END).over(by), F.col(WANT)))
+        stale = wanted.filter(F.col(WANT) != F.col(ENTRY)).select(*group, F.col(WANT).alias(ENTRY))
+        if stale.isEmpty():
+            return ends
+        redone = machine.last_states(base.join(stale, group))
+        fresh = ends.join(stale.select(*group), group, "left_anti")
+        ends = materialize(fresh.unionByName(redone), "fold-ends")
+
+
+def _blocked(rows: DataFrame, order: str) -> DataFrame:
+    return rows.withColumn(BLOCK, F.floor(F.col(order) / F.lit(block_rows(rows.sparkSession))))
+
+
 def fold(rows: DataFrame, keys: list[str], order: str, step: Step, initial: dict, output: str) -> DataFrame:
     """Run ``step(state, row) -> output columns`` over each group in order.
 
     ``output`` is a DDL string of the columns the step returns; the keys and the order column are kept. A
     task reads its blocks sorted, one Arrow batch at a time, and holds one state.
     """
-    spark = rows.sparkSession
-    first = _dump(initial)
-    base = rows.withColumn(BLOCK, F.floor(F.col(order) / F.lit(block_rows(spark))))
-    group = [*keys, BLOCK]
-    kept = [rows.schema[c] for c in [*keys, order]]
-    produced = T.StructType(kept + T.StructType.fromDDL(output).fields)
-    ends_schema = T.StructType([rows.schema[c] for c in keys] + [
-        T.StructField(BLOCK, T.LongType()), T.StructField(ENTRY, T.StringType()), T.StructField(END, T.StringType())])
-    produced_arrow, ends_arrow = to_arrow_schema(produced), to_arrow_schema(ends_schema)
-    names = [f.name for f in kept]
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, state = None, None
-        for part in _runs(batches, group):
-            out = []
-            for key, row in part:
-                if key != at:
-                    at, state = key, json.loads(row[ENTRY])
-                out.append({**{n: row[n] for n in names}, **step(state, row)})
-            yield pa.RecordBatch.from_pylist(out, schema=produced_arrow)
-
-    def last_states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, entry, state = None, None, None
-        for part in _runs(batches, group):
-            out = []
-            for key, row in part:
-                if key != at:
-                    if at is not None:
-                        out.append(dict(zip(ends_schema.fieldNames(), [*at, entry, _dump(state)])))
-                    at, entry = key, row[ENTRY]
-                    state = json.loads(entry)
-                step(state, row)
-            yield pa.RecordBatch.from_pylist(out, schema=ends_arrow)
-        if at is not None:
-            yield pa.RecordBatch.from_pylist([dict(zip(ends_schema.fieldNames(), [*at, entry, _dump(state)]))], schema=ends_arrow)
-
-    def placed(df: DataFrame) -> DataFrame:
-        return df.repartition(*group).sortWithinPartitions(*group, order)
-
-    def ends_of(df: DataFrame) -> DataFrame:
-        return placed(df).mapInArrow(last_states, ends_schema)
-
+    machine = _Machine(rows.schema, keys, order, step, output)
+    base = _blocked(rows, order)
     spans = base.groupBy(*keys).agg((F.min(BLOCK) != F.max(BLOCK)).alias("wide")).filter("wide")
     if spans.isEmpty():
-        return placed(base.withColumn(ENTRY, F.lit(first))).mapInArrow(emit, produced)
-
+        return machine.outputs(base.withColumn(ENTRY, F.lit(_dump(initial))))
     base = materialize(base, "fold-rows")
-    ends = materialize(ends_of(base.withColumn(ENTRY, F.lit(first))), "fold-ends")
-    by = Window.partitionBy(*keys).orderBy(BLOCK)
-    while True:
-        wanted = ends.withColumn(WANT, F.coalesce(F.lag(END).over(by), F.lit(first)))
-        stale = wanted.filter(F.col(WANT) != F.col(ENTRY)).select(*group, F.col(WANT).alias(ENTRY))
-        if stale.isEmpty():
-            break
-        redone = ends_of(base.join(stale, group))
-        fresh = ends.join(stale.select(*group), group, "left_anti")
-        ends = materialize(fresh.unionByName(redone), "fold-ends")
-    return placed(base.join(ends.drop(END), group)).mapInArrow(emit, produced)
+    start = base.select(*keys).distinct().withColumn(WANT, F.lit(_dump(initial)))
+    ends = _settle(machine, base, start)
+    return machine.outputs(base.join(ends.drop(END), machine.group))
+
+
+def fold_increment(rows: DataFrame, keys: list[str], order: str, step: Step, initial: dict, output: str,
+                   states: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """One more batch of rows on top of kept states: the outputs, and the states of the groups it touched.
+
+    ``states``: keys and ``state``. The rows have to come after those that led to the states.
+    """
+    machine = _Machine(rows.schema, keys, order, step, output)
+    base = materialize(_blocked(rows, order), "fold-rows")
+    start = base.select(*keys).distinct()
+    first = F.lit(_dump(initial))
+    start = (start.withColumn(WANT, first) if states is None
+             else start.join(states, keys, "left").select(*keys, F.coalesce("state", first).alias(WANT)))
+    start = materialize(start, "fold-start")
+    ends = _settle(machine, base, start)
+    outputs = machine.outputs(base.join(ends.drop(END), machine.group))
+    return outputs, ends.groupBy(*keys).agg(F.max_by(END, BLOCK).alias("state"))

@@ -28,18 +28,45 @@ def run_to_end(stream, spark, label):
     return spark.read.parquet(path)
 
 
+def cache_stream(spark, root):
+    rows = accounting_rows(spark, root, bind.bound_events(event_stream(spark, root)))
+    rows = rows.withColumn("ms", numbers.epoch_ms(F.col("ts_text"))).drop("turn_id", "ts_text")
+    path = scratch_path(spark, "stream-cache")
+    state.cache_observations(rows, path).option("checkpointLocation", scratch_path(spark, "stream-cache-log")).trigger(availableNow=True).start().awaitTermination()
+    return state.outputs(spark, path).filter("is_token")
+
+
 @query("str_03_streaming_cache_state", bind.with_events(f"WITH {OBSERVATIONS_SQL} SELECT session_id, event_id, state, reuse_bps, previous_event_id, elapsed_ms FROM obs"))
 def _(spark, root):
-    rows = accounting_rows(spark, root, bind.bound_events(event_stream(spark, root))).withColumn("ms", numbers.epoch_ms(F.col("ts_text"))).drop("turn_id", "ts_text")
-    return run_to_end(state.cache_observations(rows), spark, "stream-cache").select("session_id", "event_id", "state", "reuse_bps", "previous_event_id", "elapsed_ms")
+    return cache_stream(spark, root).select("session_id", "event_id", "state", "reuse_bps", "previous_event_id", "elapsed_ms")
+
+
+@query("str_04_pending_closed_by_boundary")
+def _(spark, root):
+    from skeinlog.plans.lifecycle_queries import cell_rows
+    batch = cell_rows(spark, root)
+    folder, path = scratch_path(spark, "cells"), scratch_path(spark, "stream-cells")
+    batch.write.parquet(folder)
+    stream = spark.readStream.schema(batch.schema).parquet(folder)
+    state.scripted_operations(stream, path).option("checkpointLocation", scratch_path(spark, "stream-cells-log")).trigger(availableNow=True).start().awaitTermination()
+    return state.outputs(spark, path)
 
 
 @query("str_05_late_rows_kept", bind.with_events(f"""
 WITH {OBSERVATIONS_SQL} SELECT state, count(*) AS rows FROM obs WHERE state = 'unknown_or_non_monotonic_timestamp' GROUP BY 1"""))
 def _(spark, root):
-    rows = accounting_rows(spark, root, bind.bound_events(event_stream(spark, root))).withColumn("ms", numbers.epoch_ms(F.col("ts_text"))).drop("turn_id", "ts_text")
-    out = run_to_end(state.cache_observations(rows), spark, "stream-late")
-    return out.filter("state = 'unknown_or_non_monotonic_timestamp'").groupBy("state").agg(F.count(F.lit(1)).alias("rows"))
+    late = cache_stream(spark, root).filter("state = 'unknown_or_non_monotonic_timestamp'")
+    return late.groupBy("state").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("str_02_changed_prefix", "SELECT doc_id FROM documents WHERE doc_id % 9 = 0")
+def _(spark, root):
+    """Files whose accepted lines are no longer what they were."""
+    from skeinlog.sources import files
+    d = table(spark, root, "documents").select(F.col("doc_id").alias("file"), F.posexplode(F.split("text", "\n")).alias("p", "text"))
+    now = files.line_digests(d.select("file", F.col("p").alias("line"), "text"))
+    seen = now.select("file", "line", F.when((F.col("line") == 0) & (F.col("file") % 9 == 0), "old").otherwise(F.col("line_digest")).alias("line_digest"))
+    return files.prefix_changes(now, seen).select(F.col("file").alias("doc_id"))
 
 
 @query("str_01_incremental_ingest", "SELECT count(*) AS lines, count(DISTINCT doc_id) AS documents FROM documents")

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+from skeinlog.streaming import versions
+
 SCHEMA = "file string, generation bigint, position bigint, text string"
 CHUNK_BYTES = 64 * 1024 * 1024
 TAIL_BYTES = 4096
@@ -130,26 +132,24 @@ def current_generation(rows: DataFrame) -> DataFrame:
 
 
 def replace_sessions(path: str, key: str = "session_id", buckets: int = 256):
-    """``foreachBatch`` sink: the session buckets a batch touches are rewritten, the others stay as they are.
+    """``foreachBatch`` sink: rows of the sessions a batch holds replace the stored ones.
 
-    Each batch writes a new version beside the old one and then points to it, so a lost executor or a
-    repeated batch leaves a whole version behind.
+    Each batch writes a whole new version and then logs it, so a lost executor or a repeated batch leaves a
+    readable version behind.
     """
     def write(batch: DataFrame, epoch: int) -> None:
+        if batch.isEmpty():
+            return
         spark = batch.sparkSession
-        pointer = f"{path}/_current"
-        fs_path = spark._jvm.org.apache.hadoop.fs.Path(pointer)
-        fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-        if not batch.isEmpty():
-            fresh = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)))
-            target = f"{path}/v{epoch:012d}"
-            if fs.exists(fs_path):
-                old = spark.read.parquet(spark.read.text(pointer).first()[0])
-                fresh = old.join(batch.select(key).distinct(), key, "left_anti").unionByName(fresh)
-            fresh.write.mode("overwrite").partitionBy("bucket").parquet(target)
-            spark.createDataFrame([(target,)], "value string").coalesce(1).write.mode("overwrite").text(pointer)
+        rows = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)))
+        old = versions.latest(spark, path, before=epoch)
+        if old is not None:
+            rows = old.join(batch.select(key).distinct(), key, "left_anti").unionByName(rows)
+        target = versions.target(path, epoch)
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(target)
+        versions.publish(spark, path, epoch)
     return write
 
 
 def read_current(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(spark.read.text(f"{path}/_current").first()[0]).drop("bucket")
+    return versions.latest(spark, path).drop("bucket")

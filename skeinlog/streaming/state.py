@@ -1,40 +1,38 @@
-"""Forward-only state per session: what a batch scan carries from row to row, a stream carries from batch to batch.
+"""Forward-only state per session: what a batch fold carries from row to row, a stream carries from batch to batch.
 
-The state is a few values per session (or per waiting cell) and never grows with the rows seen. Physical
-order rules: rows of a micro-batch are taken by line, late timestamps are kept and reported, nothing is
-dropped and no watermark is used.
+Every micro-batch is folded with the same code as a batch table, on top of the states of the batch before,
+so a session that fills a batch is still spread over blocks. The state is a few values per session (or per
+waiting cell) and never grows with the rows seen. Physical order rules: rows are taken by line, late
+timestamps are kept and reported, nothing is dropped and no watermark is used.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql import types as T
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import DataStreamWriter
 
 from skeinlog.functions import vocabulary as V
+from skeinlog.operators.folds import fold_increment
+from skeinlog.streaming import versions
 
 
-def run_stateful(rows: DataFrame, keys: list[str], order: str, step, initial: dict, output: str) -> DataFrame:
-    """Streaming form of a fold: the same ``step(state, row)`` with the state kept between micro-batches."""
-    kept = [rows.schema[c] for c in [*keys, order]]
-    produced = T.StructType(kept + T.StructType.fromDDL(output).fields)
-    names = produced.fieldNames()
-    first = json.dumps(initial)
+def stateful_sink(path: str, keys: list[str], order: str, step, initial: dict, output: str):
+    """``foreachBatch`` sink: outputs go to one folder per batch, states to a versioned table."""
+    def write(batch: DataFrame, epoch: int) -> None:
+        if batch.isEmpty():
+            return
+        spark = batch.sparkSession
+        old = versions.latest(spark, f"{path}/state", before=epoch)
+        outputs, ends = fold_increment(batch, keys, order, step, initial, output, old)
+        outputs.write.mode("overwrite").parquet(f"{path}/out/epoch={epoch}")
+        kept = ends if old is None else ends.unionByName(old.join(ends.select(*keys), keys, "left_anti"))
+        kept.write.mode("overwrite").parquet(versions.target(f"{path}/state", epoch))
+        versions.publish(spark, f"{path}/state", epoch)
+    return write
 
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = json.loads(state.get[0]) if state.exists else json.loads(first)
-        pdf = pd.concat(list(batches), ignore_index=True).sort_values(order)
-        out = []
-        for row in pdf.astype(object).where(pdf.notna(), None).to_dict("records"):
-            out.append({**row, **step(held, row)})
-        state.update((json.dumps(held, sort_keys=True),))
-        yield pd.DataFrame(out, columns=names)
 
-    return rows.groupBy(*keys).applyInPandasWithState(update, produced, "state string", "append", GroupStateTimeout.NoTimeout)
+def outputs(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/out").drop("epoch")
 
 
 def cache_step(state: dict, row: dict) -> dict:
@@ -43,7 +41,7 @@ def cache_step(state: dict, row: dict) -> dict:
         state["model"] = row["model"]
     if row["is_compaction"]:
         state["generation"] += 1
-    out = {"state": None, "reuse_bps": None, "previous_event_id": None, "elapsed_ms": None}
+    out = {"event_id": row["event_id"], "is_token": row["is_token"], "state": None, "reuse_bps": None, "previous_event_id": None, "elapsed_ms": None}
     if not row["is_token"]:
         return out
     now, cached = row["input_tokens"], row["cached_tokens"]
@@ -77,12 +75,12 @@ CACHE_INITIAL = {"model": "", "generation": 0, "previous": None}
 CACHE_OUTPUT = "event_id string, is_token boolean, state string, reuse_bps bigint, previous_event_id string, elapsed_ms bigint"
 
 
-def cache_observations(rows: DataFrame) -> DataFrame:
+def cache_observations(rows: DataFrame, path: str) -> DataStreamWriter:
     """Streaming cache observations; equal to the batch operator on the same rows."""
-    return run_stateful(rows, ["session_id"], "line", cache_step, CACHE_INITIAL, CACHE_OUTPUT).filter("is_token").drop("is_token")
+    return rows.writeStream.foreachBatch(stateful_sink(path, ["session_id"], "line", cache_step, CACHE_INITIAL, CACHE_OUTPUT))
 
 
-def scripted_operations(rows: DataFrame) -> DataFrame:
+def scripted_operations(rows: DataFrame, path: str) -> DataStreamWriter:
     """Waiting scripted operations over a stream: closed by a boundary row's epoch, not by time."""
     from skeinlog.operators.lifecycle import _cell_step
-    return run_stateful(rows, ["session_id", "cell_id"], "line", _cell_step, {"open": []}, "operation string, outcome string")
+    return rows.writeStream.foreachBatch(stateful_sink(path, ["session_id", "cell_id"], "line", _cell_step, {"open": []}, "operation string, outcome string"))

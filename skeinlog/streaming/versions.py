@@ -1,0 +1,28 @@
+"""Versioned tables for ``foreachBatch`` sinks: write a version, then append its number to a log.
+
+The log is only ever appended to, through Spark's own commit, so a reader sees whole versions only and a
+batch that is run again writes the same version anew.
+"""
+
+from __future__ import annotations
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+
+
+def target(path: str, epoch: int) -> str:
+    return f"{path}/v{epoch:012d}"
+
+
+def publish(spark: SparkSession, path: str, epoch: int) -> None:
+    spark.range(epoch, epoch + 1, 1, 1).write.mode("append").parquet(f"{path}/log")
+
+
+def latest(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """Newest published version, optionally older than an epoch; None when there is none yet."""
+    try:
+        log = spark.read.schema("id bigint").parquet(f"{path}/log")
+    except AnalysisException:
+        return None
+    newest = (log if before is None else log.filter(f"id < {before}")).agg({"id": "max"}).first()[0]
+    return None if newest is None else spark.read.parquet(target(path, newest))
