@@ -11,7 +11,8 @@ from skeinlog.plans.registry import query
 from skeinlog.session import scratch_path, table
 from skeinlog.sources import claude, codex, deepseek, files, sinks
 
-FILE = F.concat(F.lit("sessions/"), "session_id", F.lit(".jsonl"))
+def session_file():
+    return F.concat(F.lit("sessions/"), "session_id", F.lit(".jsonl"))
 
 
 def _json(column):
@@ -43,7 +44,7 @@ def codex_lines(spark, root):
     body = (F.when(F.col("tool_name") != "", request).when(F.col("role") == "assistant", spoken).when(F.col("kind") == "token_count", accounting)
             .when((F.col("kind") == "error") & (k % 4 == 0), typed).when(F.col("kind") == "error", ended)
             .when(k % 10 == 9, '{"type": "event_msg", ').when(k % 10 == 8, "   ").otherwise(asked))
-    return ev.select("session_id", FILE.alias("file"), "line", body.alias("text"), "k", "kind")
+    return ev.select("session_id", session_file().alias("file"), "line", body.alias("text"), "k", "kind")
 
 
 def codex_raw(spark, root):
@@ -142,7 +143,7 @@ def claude_lines(spark, root):
                        F.when(F.col("role") == "assistant", usage).alias("usage"))
     record = F.to_json(F.struct(F.when((F.col("kind") == "error") | (F.col("role") == "user"), "user").otherwise("assistant").alias("type"), F.col("ts_text").alias("timestamp"), F.col("event_id").alias("uuid"), (k % 7 == 3).alias("isMeta"), message.alias("message")))
     body = F.when(k == 9, "{broken").otherwise(record)
-    return ev.filter("kind <> 'token_count'").select("session_id", FILE.alias("file"), "line", body.alias("text"))
+    return ev.filter("kind <> 'token_count'").select("session_id", session_file().alias("file"), "line", body.alias("text"))
 
 
 @query("src_03_block_transcript_read", bind.with_events("""
@@ -188,13 +189,13 @@ def deepseek_lines(spark, root):
     """A header line, then one storage record per event; accounting rows become packed rows of three members."""
     ev, k = bind.events(spark, root), F.col("k")
     first = ev.groupBy("session_id").agg(F.min("line").alias("_first"))
-    head = first.select("session_id", FILE.alias("file"), F.lit(1).cast("bigint").alias("line"), F.to_json(F.struct(
+    head = first.select("session_id", session_file().alias("file"), F.lit(1).cast("bigint").alias("line"), F.to_json(F.struct(
         F.lit("session").alias("type"), F.when(F.col("session_id").cast("bigint") % 10 == 3, 7).otherwise(0).alias("version"), F.col("session_id").alias("id"), F.lit(1700000000000).alias("createdAt"), F.lit("/work").alias("cwd"))).alias("text"))
     packed = F.to_json(F.struct(F.when(k % 2 == 0, "text-chunks").otherwise("reasoning-chunks").alias("type"), (F.col("line") * 3).alias("seq0"), (F.lit(1700000000000) + k).alias("time0"), F.struct(
         (k % 5).alias("turn"), F.lit(1).alias("step"), F.lit(0).alias("index"), F.when(k == 12, F.array(k)).otherwise(F.array(k, k + 1)).alias("dt"), F.array(F.lit("a"), F.concat(F.lit("b"), k.cast("string")), F.lit("c")).alias("texts")).alias("data")))
     plain = F.to_json(F.struct(F.when(F.col("role") == "user", "user/message").when(F.col("tool_name") != "", "tool/call").otherwise("assistant/message").alias("type"), (F.col("line") * 3).alias("seq"), (F.lit(1700000000000) + k).alias("time"),
                                F.struct((k % 5).alias("turn"), F.nullif("tool_name", F.lit("")).alias("name")).alias("data")))
-    body = ev.select("session_id", FILE.alias("file"), (F.col("line") + 2).alias("line"), F.when(F.col("kind") == "token_count", packed).otherwise(plain).alias("text"))
+    body = ev.select("session_id", session_file().alias("file"), (F.col("line") + 2).alias("line"), F.when(F.col("kind") == "token_count", packed).otherwise(plain).alias("text"))
     return head.unionByName(body)
 
 
@@ -243,7 +244,7 @@ SELECT DISTINCT 'sessions/' || session_id || '.jsonl' AS file, '/w/' || (k % 3)
 def _(spark, root):
     ev = bind.events(spark, root)
     body = F.when(F.col("kind") == "error", F.to_json(F.struct(F.struct(F.concat(F.lit("/w/"), (F.col("k") % 3).cast("string")).alias("cwd")).alias("payload")))).otherwise('{"payload":{"other":1}}')
-    return files.with_cwd(ev.select(FILE.alias("file"), "line", body.alias("text")))
+    return files.with_cwd(ev.select(session_file().alias("file"), "line", body.alias("text")))
 
 
 @query("src_13_changed_files", """
