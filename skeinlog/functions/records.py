@@ -113,18 +113,30 @@ TYPED_ITEMS = {"CommandExecution": ("exec_command", "shell_command"), "FileChang
                "McpToolCall": ("mcp_tool_call", ""), "DynamicToolCall": ("dynamic_tool_call", "")}
 
 
-def typed_item(record: Column, owner: Column) -> Column:
-    """A completed typed item in the shape of the older lifecycle rows: payload type, call id, tool name."""
-    item = "$.payload.item"
-    kind, status = text_at(record, f"{item}.type"), text_at(record, f"{item}.status")
-    thread, ident = text_at(record, "$.payload.thread_id"), text_at(record, f"{item}.id")
-    phase = F.when(status.isin("completed", "failed", "declined", "interrupted"), "_end").otherwise("_update")
+# Paths a typed item is read from.
+TYPED_PATHS = {
+    "payload_type": "$.payload.type", "thread_id": "$.payload.thread_id", "item_type": "$.payload.item.type", "item_status": "$.payload.item.status",
+    "item_id": "$.payload.item.id", "item_server": "$.payload.item.server", "item_tool": "$.payload.item.tool", "item_namespace": "$.payload.item.namespace",
+}
+
+
+def typed_item(read: dict[str, Column], owner: Column) -> Column:
+    """A completed typed item in the shape of the older lifecycle rows: payload type, call id, tool name.
+
+    ``read`` holds the texts at ``TYPED_PATHS``.
+    """
+    kind = read["item_type"]
+    phase = F.when(read["item_status"].isin("completed", "failed", "declined", "interrupted"), "_end").otherwise("_update")
     stem = F.create_map(*[F.lit(x) for k, (s, _) in TYPED_ITEMS.items() for x in (k, s)])[kind]
-    name = (F.when(kind == "McpToolCall", F.concat(F.lit("mcp__"), text_at(record, f"{item}.server"), F.lit("__"), text_at(record, f"{item}.tool")))
-            .when(kind == "DynamicToolCall", F.concat_ws(".", F.nullif(text_at(record, f"{item}.namespace"), F.lit("")), text_at(record, f"{item}.tool")))
+    name = (F.when(kind == "McpToolCall", F.concat(F.lit("mcp__"), read["item_server"], F.lit("__"), read["item_tool"]))
+            .when(kind == "DynamicToolCall", F.concat_ws(".", F.nullif(read["item_namespace"], F.lit("")), read["item_tool"]))
             .when(kind == "CommandExecution", "shell_command").when(kind == "FileChange", "apply_patch"))
-    own = (text_at(record, "$.payload.type") == "item_completed") & ((thread == "") | (thread == owner)) & (ident != "")
-    return F.when(own & stem.isNotNull(), F.struct(F.concat(stem, phase).alias("payload_type"), ident.alias("call_id"), name.alias("tool_name")))
+    own = (read["payload_type"] == "item_completed") & ((read["thread_id"] == "") | (read["thread_id"] == owner)) & (read["item_id"] != "")
+    return F.when(own & stem.isNotNull(), F.struct(F.concat(stem, phase).alias("payload_type"), read["item_id"].alias("call_id"), name.alias("tool_name")))
+
+
+def typed_reads(record: Column) -> dict[str, Column]:
+    return {name: text_at(record, path) for name, path in TYPED_PATHS.items()}
 
 
 def attachment_summary(record: Column, path: str = "$.payload.content") -> Column:

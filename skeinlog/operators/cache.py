@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skeinlog.functions import numbers, vocabulary as V
 from skeinlog.operators import ordered
+from skeinlog.session import materialize
 
 
 def _listed(*pairs: tuple[Column, str]) -> Column:
@@ -54,6 +55,8 @@ def observe(rows: DataFrame) -> DataFrame:
         .withColumn("reuse_bps", F.when(F.col("observed"), numbers.reuse_bps(F.col("input_tokens"), F.col("cached_tokens"))))
         .withColumn("_ms", numbers.epoch_ms(F.col("ts_text")))
     )
+    # Only accounting rows go on; stored, they are not worked out again for each side of the next scan.
+    tokens = materialize(tokens, "accounting")
     seen = F.when(F.col("observed"), F.struct(
         "event_id", "input_tokens", "cached_tokens", "reuse_bps", "_ms", "active_model", "generation"))
     lagged = ordered.scan(tokens, ["session_id"], "line", _prev=ordered.Lag(seen))
@@ -86,7 +89,7 @@ def discontinuity_links(observations: DataFrame, main_events: DataFrame) -> Data
 
     Both sides are reduced per turn before they meet, so the join carries one row per turn with a drop.
     """
-    drops = observations.filter(F.col("state") == V.COMPARISON_STATES[5]).select("session_id", "turn_id", "line", "event_id")
+    drops = materialize(observations.filter(F.col("state") == V.COMPARISON_STATES[5]).select("session_id", "turn_id", "line", "event_id"), "drops")
     groups = (
         drops.filter("turn_id <> ''").groupBy("session_id", "turn_id")
         .agg(F.min("line").alias("first_line"), F.count(F.lit(1)).alias("_n"), F.count_distinct("line").alias("_lines"))

@@ -171,7 +171,7 @@ def confirmed_forks(prefixes: DataFrame, children: DataFrame, parents: DataFrame
     sides. ``children``/``parents`` also carry ts_text and shape.
     """
     head = children.filter("pos = 0").select("session_id", F.col("ts_text").alias("forked_at"))
-    cand = prefixes.filter("matched > 0").join(head, "session_id")
+    cand = materialize(prefixes.filter("matched > 0").join(head, "session_id"), "fork-candidates")
     tail = parents.select(F.col("session_id").alias("parent_id"), "pos", "ts_text", F.col("shape").alias("parent_shape")).join(
         cand, "parent_id").filter("pos >= matched")
     facts = tail.groupBy("session_id").agg(

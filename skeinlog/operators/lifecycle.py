@@ -9,6 +9,7 @@ from skeinlog.functions.classify import plan_category
 from skeinlog.operators import ordered
 from skeinlog.operators.folds import fold
 from skeinlog.operators.pairing import nearest_span
+from skeinlog.session import materialize
 
 PARTIAL_TEXT_LIMIT = 16_000
 
@@ -419,6 +420,7 @@ def terminal_continuations(calls: DataFrame) -> DataFrame:
         generation=ordered.RunningSum((F.col("tool") == "exec").cast("bigint")),
         _busy=ordered.RunningMax(F.when(F.col("tool") == "exec", F.col("end_line")), inclusive=False),
         _next_exec=ordered.NextValue(F.when(F.col("tool") == "exec", F.col("line"))))
+    gens = materialize(gens, "generations")
     creators = gens.filter("tool = 'exec' and process_id is not null and coalesce(_busy < line, true)").filter(
         "_next_exec is null or end_line < _next_exec").select(
         "session_id", "generation", "process_id", F.col("end_line").alias("ready"), F.col("event_id").alias("origin"))

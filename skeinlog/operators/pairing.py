@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skeinlog.operators import ordered
+from skeinlog.session import materialize
 
 
 def unique_rows(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -84,7 +85,7 @@ def adjacent_pairs(rows: DataFrame, columns: list[str], matches) -> DataFrame:
     In a run of consecutive matches only every other one is taken, counted from the start of the run.
     """
     near = ordered.scan(rows, ["session_id"], "line", _pos=ordered.RowNumber(), _next=ordered.Lead(F.struct("line", *columns)))
-    near = near.withColumn("_m", F.coalesce(matches(F.col("_next")), F.lit(False)))
+    near = materialize(near.withColumn("_m", F.coalesce(matches(F.col("_next")), F.lit(False))), "neighbours")
     gaps = ordered.scan(near, ["session_id"], "line", _gap=ordered.LastValue(F.when(~F.col("_m"), F.col("_pos"))))
     since = F.col("_pos") - F.coalesce("_gap", F.lit(0))
     return gaps.filter(F.col("_m") & (since % 2 == 1)).select(
@@ -234,7 +235,8 @@ def review_markers(rows: DataFrame) -> DataFrame:
     """Open/close marker pairs of a session: an exit closes the marker opened last, or stands alone."""
     before = ordered.scan(rows, ["session_id"], "line", _prev=ordered.Lag(F.col("phase")))
     opens = (F.col("phase") == "entered") | ~F.col("_prev").eqNullSafe(F.lit("entered"))
-    marked = ordered.scan(before.withColumn("_new", opens.cast("bigint")), ["session_id"], "line", marker=ordered.RunningSum(F.col("_new")))
+    stored = materialize(before.withColumn("_new", opens.cast("bigint")), "markers")
+    marked = ordered.scan(stored, ["session_id"], "line", marker=ordered.RunningSum(F.col("_new")))
     return marked.groupBy("session_id", "marker").agg(
         F.max(F.when(F.col("phase") == "entered", F.col("ms"))).alias("entered_ms"),
         F.max(F.when(F.col("phase") == "exited", F.col("ms"))).alias("exited_ms"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skeinlog.functions import classify, text
 from skeinlog.operators import ordered
+from skeinlog.session import materialize
 
 
 def project(events: DataFrame) -> DataFrame:
@@ -20,7 +21,7 @@ def project(events: DataFrame) -> DataFrame:
         rows, ["session_id"], "line", idx=ordered.RowNumber(),
         prev_lane=ordered.Lag(c("lane")), prev_turn=ordered.LastValue(c("reliable_turn"), inclusive=False))
     opens = c("reliable_turn").isNotNull() & ~c("reliable_turn").eqNullSafe(c("prev_turn"))
-    return numbered.withColumn("idx", c("idx") - 1).withColumn("opens_turn", opens)
+    return materialize(numbered.withColumn("idx", c("idx") - 1).withColumn("opens_turn", opens), "trajectory")
 
 
 def turn_boundaries(projected: DataFrame) -> DataFrame:

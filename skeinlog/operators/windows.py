@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skeinlog.operators import ordered
+from skeinlog.session import materialize
 
 SESSION = ["session_id"]
 
@@ -19,7 +20,7 @@ def turn_epochs(rows: DataFrame, boundary: Column) -> DataFrame:
     before = ordered.scan(rows.withColumn("_b", boundary), SESSION, "line",
                           _turn=ordered.LastValue(_present("turn_id"), inclusive=False))
     moved = _present("turn_id").isNotNull() & F.col("_turn").isNotNull() & (F.col("turn_id") != F.col("_turn"))
-    stepped = before.withColumn("_s", (F.col("_b") | moved).cast("bigint"))
+    stepped = materialize(before.withColumn("_s", (F.col("_b") | moved).cast("bigint")), "epochs")
     return ordered.scan(stepped, SESSION, "line", epoch=ordered.RunningSum(F.col("_s"))).drop("_b", "_turn", "_s")
 
 
@@ -64,7 +65,7 @@ def reminder_runs(rows: DataFrame) -> DataFrame:
     ``rows``: line, event_id, fingerprint (NULL on transition rows), is_transition.
     """
     steps = ordered.scan(rows, SESSION, "line", _t=ordered.RunningSum(F.col("is_transition").cast("bigint")))
-    shots = steps.filter("fingerprint is not null")
+    shots = materialize(steps.filter("fingerprint is not null"), "reminders")
     before = ordered.scan(shots, SESSION, "line", _p=ordered.Lag(F.struct("fingerprint", "_t")))
     starts = F.col("_p").isNull() | (F.col("_p.fingerprint") != F.col("fingerprint")) | (F.col("_p._t") != F.col("_t"))
     runs = ordered.scan(before.withColumn("_start", F.when(starts, F.col("event_id"))), SESSION, "line",

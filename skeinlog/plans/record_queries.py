@@ -8,7 +8,7 @@ from skeinlog.functions import classify, numbers, records as R, search_json, tex
 from skeinlog.operators import aggregates, pairing, quality, sessions
 from skeinlog.plans import bind
 from skeinlog.plans.registry import query
-from skeinlog.session import scratch_path, table
+from skeinlog.session import materialize, scratch_path, table
 from skeinlog.sources import claude, codex, deepseek, files, sinks
 
 def session_file():
@@ -19,6 +19,11 @@ def _json(column):
     return F.to_json(column)
 
 
+def landed(lines):
+    """Derived transcripts as a table of lines in the shared folder, where the sources find them."""
+    return materialize(lines, "records")
+
+
 def codex_lines(spark, root):
     """One rollout line per event: calls, messages, accounting rows, command ends, typed items, broken and blank lines."""
     ev, k = bind.events(spark, root), F.col("k")
@@ -44,7 +49,7 @@ def codex_lines(spark, root):
     body = (F.when(F.col("tool_name") != "", request).when(F.col("role") == "assistant", spoken).when(F.col("kind") == "token_count", accounting)
             .when((F.col("kind") == "error") & (k % 4 == 0), typed).when(F.col("kind") == "error", ended)
             .when(k % 10 == 9, '{"type": "event_msg", ').when(k % 10 == 8, "   ").otherwise(asked))
-    return ev.select("session_id", session_file().alias("file"), "line", body.alias("text"), "k", "kind")
+    return landed(ev.select("session_id", session_file().alias("file"), "line", body.alias("text"), "k", "kind"))
 
 
 def codex_raw(spark, root):
@@ -81,7 +86,7 @@ def _(spark, root):
 SELECT event_id, 'exec_command_end' AS payload_type, 'item_' || k AS call_id, 'shell_command' AS tool_name FROM ev WHERE kind = 'error' AND k % 4 = 0"""))
 def _(spark, root):
     lines = files.parsed(codex_lines(spark, root))
-    item = R.typed_item(F.col("record"), F.col("session_id"))
+    item = R.typed_item(R.typed_reads(F.col("record")), F.col("session_id"))
     return lines.withColumn("t", item).filter("t is not null").select(F.concat(F.lit("e"), F.col("line").cast("string")).alias("event_id"), "t.payload_type", "t.call_id", "t.tool_name")
 
 
@@ -143,7 +148,7 @@ def claude_lines(spark, root):
                        F.when(F.col("role") == "assistant", usage).alias("usage"))
     record = F.to_json(F.struct(F.when((F.col("kind") == "error") | (F.col("role") == "user"), "user").otherwise("assistant").alias("type"), F.col("ts_text").alias("timestamp"), F.col("event_id").alias("uuid"), (k % 7 == 3).alias("isMeta"), message.alias("message")))
     body = F.when(k == 9, "{broken").otherwise(record)
-    return ev.filter("kind <> 'token_count'").select("session_id", session_file().alias("file"), "line", body.alias("text"))
+    return landed(ev.filter("kind <> 'token_count'").select("session_id", session_file().alias("file"), "line", body.alias("text")))
 
 
 @query("src_03_block_transcript_read", bind.with_events("""
@@ -196,7 +201,7 @@ def deepseek_lines(spark, root):
     plain = F.to_json(F.struct(F.when(F.col("role") == "user", "user/message").when(F.col("tool_name") != "", "tool/call").otherwise("assistant/message").alias("type"), (F.col("line") * 3).alias("seq"), (F.lit(1700000000000) + k).alias("time"),
                                F.struct((k % 5).alias("turn"), F.nullif("tool_name", F.lit("")).alias("name")).alias("data")))
     body = ev.select("session_id", session_file().alias("file"), (F.col("line") + 2).alias("line"), F.when(F.col("kind") == "token_count", packed).otherwise(plain).alias("text"))
-    return head.unionByName(body)
+    return landed(head.unionByName(body))
 
 
 @query("src_07_header_records", """

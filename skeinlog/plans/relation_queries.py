@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from skeinlog.operators import graph, ordered, setops
 from skeinlog.plans import bind
 from skeinlog.plans.registry import query
-from skeinlog.session import table
+from skeinlog.session import materialize, table
 
 EDGES_SQL = """ed AS (SELECT c_custkey AS node, CASE WHEN c_custkey % 31 = 0 AND c_custkey > 0 THEN c_custkey + 1 WHEN c_custkey % 31 = 1 AND c_custkey > 7 THEN c_custkey - 1
     WHEN c_custkey < 7 THEN NULL ELSE c_custkey // 7 END AS parent FROM customer),
@@ -67,9 +67,9 @@ tr AS (SELECT session_id, line, CAST(line AS VARCHAR) AS uuid, CAST(CASE WHEN k
 def tree(spark, root):
     ev = bind.events(spark, root).select("session_id", "line", "role", "kind", "k")
     one = ordered.scan(ev, ["session_id"], "line", p1=ordered.Lag(F.col("line")))
-    two = ordered.scan(one, ["session_id"], "line", p2=ordered.Lag(F.col("p1")))
+    two = ordered.scan(materialize(one, "records"), ["session_id"], "line", p2=ordered.Lag(F.col("p1")))
     parent = F.when(F.col("k") % 3 == 0, F.coalesce("p2", "p1")).otherwise(F.col("p1"))
-    return two.select("session_id", "line", F.col("line").cast("string").alias("uuid"), parent.cast("string").alias("parent_uuid"), "role", "kind", "k")
+    return materialize(two.select("session_id", "line", F.col("line").cast("string").alias("uuid"), parent.cast("string").alias("parent_uuid"), "role", "kind", "k"), "records")
 
 
 @query("grf_03_turn_inheritance", f"""
@@ -122,7 +122,7 @@ FORKED_AT = "2024-01-10T00:00:00.000Z"
 def parent_rows(spark, root):
     ev = bind.events(spark, root).select("session_id", "line", "ts_text", "kind", "layer", "event_id", "k", "preview")
     r = ordered.scan(ev, ["session_id"], "line", pos=ordered.RowNumber())
-    return r.withColumns({"pos": F.col("pos") - 1, "digest": F.concat(F.lit("d"), F.col("line").cast("string")), "shape": F.col("kind")})
+    return materialize(r.withColumns({"pos": F.col("pos") - 1, "digest": F.concat(F.lit("d"), F.col("line").cast("string")), "shape": F.col("kind")}), "records")
 
 
 def child_rows(parents):

@@ -2,36 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skeinlog.functions import numbers, records as R, text
 from skeinlog.functions.search_json import full_search_text
 
 
+# Paths of the text fields of a record; each is read once, by name, before anything is derived.
+PATHS = {
+    "record_type": "$.type", "role": "$.payload.role", "turn_id": "$.payload.turn_id", "call_id": "$.payload.call_id", "callId": "$.payload.callId",
+    "name": "$.payload.name", "tool_name": "$.payload.tool_name", "tool": "$.payload.tool", "status": "$.payload.status",
+    "message": "$.payload.message", "body": "$.payload.text", "ts": "$.timestamp", **R.TYPED_PATHS,
+}
+
+
 def to_raw(parsed: DataFrame) -> DataFrame:
     """Raw rows of the readable lines. ``parsed``: session_id, file, line, text, record."""
-    v = F.col("record")
-    p = "$.payload"
-    record_type, payload_type = R.text_at(v, "$.type"), R.text_at(v, f"{p}.type")
-    typed = R.typed_item(v, F.col("session_id"))
-    base = parsed.filter("record is not null").select(
+    v, p = F.col("record"), "$.payload"
+    read = parsed.filter("record is not null").withColumns({f"_{name}": R.text_at(v, path) for name, path in PATHS.items()})
+    r = {name: F.col(f"_{name}") for name in PATHS}
+
+    def first(*names: str) -> Column:
+        return F.coalesce(*[F.nullif(r[n], F.lit("")) for n in names], F.lit(""))
+    typed = R.typed_item(r, F.col("session_id"))
+    base = read.select(
         "session_id", F.concat("session_id", F.lit(":raw:"), F.col("line").cast("string")).alias("raw_id"), "file", "line", "text", "record",
-        numbers.iso_text(R.get(v, "$.timestamp")).alias("ts_text"), record_type.alias("record_type"),
-        F.coalesce(typed["payload_type"], payload_type).alias("payload_type"), R.text_at(v, f"{p}.role").alias("role"),
-        R.text_at(v, f"{p}.turn_id").alias("turn_id"),
-        F.coalesce(typed["call_id"], R.text_at(v, f"{p}.call_id", f"{p}.callId")).alias("call_id"),
-        F.coalesce(typed["tool_name"], R.text_at(v, f"{p}.name", f"{p}.tool_name", f"{p}.tool")).alias("tool_name"),
-        R.text_at(v, f"{p}.status").alias("status"), R.get(v, f"{p}.exit_code", "bigint").alias("exit_code"),
+        numbers.iso_text(r["ts"]).alias("ts_text"), r["record_type"].alias("record_type"),
+        F.coalesce(typed["payload_type"], r["payload_type"]).alias("payload_type"), r["role"].alias("role"), r["turn_id"].alias("turn_id"),
+        F.coalesce(typed["call_id"], first("call_id", "callId")).alias("call_id"),
+        F.coalesce(typed["tool_name"], first("name", "tool_name", "tool")).alias("tool_name"),
+        r["status"].alias("status"), first("message", "body").alias("_said"), R.get(v, f"{p}.exit_code", "bigint").alias("exit_code"),
         numbers.duration_ms(R.get(v, f"{p}.duration.secs", "double"), R.get(v, f"{p}.duration.nanos", "double")).alias("duration_ms"),
         F.coalesce(F.array_join(R.get(v, f"{p}.command", "array<string>"), " "), R.get(v, f"{p}.command"), F.lit("")).alias("command_text"),
         F.coalesce(F.map_keys(R.get(v, f"{p}.changes", "map<string,variant>")), F.array().cast("array<string>")).alias("touched_files"))
     message = F.when(F.col("payload_type") == "message", R.content_text(F.col("record"), f"{p}.content")).when(
-        F.col("payload_type").isin("user_message", "agent_message"), R.text_at(F.col("record"), f"{p}.message", f"{p}.text")).otherwise("")
+        F.col("payload_type").isin("user_message", "agent_message"), F.col("_said")).otherwise("")
     named = F.concat_ws(" ", F.nullif("tool_name", F.lit("")), R.get(F.col("record"), f"{p}.arguments"))
     preview = (F.when(F.col("message_text") != "", F.col("message_text")).when(F.col("payload_type") == "function_call", named)
                .when(F.col("command_text") != "", F.col("command_text")).otherwise(F.coalesce(F.nullif("payload_type", F.lit("")), "record_type")))
-    return base.withColumn("message_text", message).withColumn("preview", text.truncate(preview))
+    return base.withColumn("message_text", message).withColumn("preview", text.truncate(preview)).drop("_said")
 
 
 def with_search_text(raw: DataFrame) -> DataFrame:
