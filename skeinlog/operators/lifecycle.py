@@ -141,7 +141,7 @@ def partial_messages(chunks: DataFrame, finished: DataFrame, limit: int = PARTIA
     open_steps = chunks.join(finished.select("session_id", "turn", "step").distinct(), ["session_id", "turn", "step"], "left_anti")
     offset = ordered.scan(open_steps, keys, "line", _end=ordered.RunningSum(F.length("text").cast("bigint")))
     counted = open_steps.groupBy(*keys).agg(F.count(F.lit(1)).alias("chunks"))
-    inside = offset.filter(F.col("_end") - F.length("text") < limit)
+    inside = offset.filter((F.length("text") > 0) & (F.col("_end") - F.length("text") < limit))
     joined = inside.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("_t"))
     text = F.substring(F.array_join(F.transform("_t", lambda t: t["text"]), ""), 1, limit)
     return counted.join(joined, keys, "left").select(*keys, "chunks", F.coalesce(text, F.lit("")).alias("text"))

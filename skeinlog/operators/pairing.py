@@ -176,14 +176,42 @@ def nearest_span(points: DataFrame, spans: DataFrame, width: int) -> DataFrame:
     return chosen.groupBy("session_id", "span_id").agg(F.min_by("line", F.struct("distance", "line")).alias("line"))
 
 
+def _open_spans(spans: DataFrame, points: DataFrame) -> DataFrame:
+    """Spans open at each (session, file, line): their number, and the sums of their bounds.
+
+    A sweep over span edges, so neither overlapping spans nor many points make pairs. Where one span is open,
+    the sums are its bounds.
+    """
+    keys = ["session_id", "file"]
+    zero = F.lit(0).cast("bigint")
+    opened = spans.groupBy(*keys, F.col("start").alias("line")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("start").alias("s"), F.sum("end").alias("e")).withColumn("part", F.lit(0))
+    asked = points.select(*keys, "line").distinct().withColumns({"n": zero, "s": zero, "e": zero, "part": F.lit(1)})
+    closed = spans.groupBy(*keys, F.col("end").alias("line")).agg(
+        (-F.count(F.lit(1))).alias("n"), (-F.sum("start")).alias("s"), (-F.sum("end")).alias("e")).withColumn("part", F.lit(2))
+    edges = opened.unionByName(asked).unionByName(closed).withColumn("at", F.col("line") * 3 + F.col("part"))
+    swept = ordered.scan(edges, keys, "at", open=ordered.RunningSum(F.col("n")), start=ordered.RunningSum(F.col("s")), end=ordered.RunningSum(F.col("e")))
+    return swept.filter("part = 1").select(*keys, "line", "open", "start", "end")
+
+
 def containing_span(events: DataFrame, spans: DataFrame, width: int) -> DataFrame:
-    """Events lying inside exactly one span of their file. ``events``: min_line, max_line."""
-    keys = ["session_id", "file", "_bucket"]
-    cut = spans.select("session_id", "file", "span_id", "start", "end", F.explode(F.sequence(
+    """Events lying inside exactly one span of their file. ``events``: min_line, max_line.
+
+    The sweep settles every event whose first line has one open span, and every one-line event. Only events of
+    several lines that begin under several spans are compared with the spans of their bucket.
+    """
+    keys = ["session_id", "file"]
+    at = events.withColumn("line", F.col("min_line"))
+    placed = materialize(at.join(_open_spans(spans, at), [*keys, "line"]).filter("open > 0"), "containment")
+    sure = placed.filter("open = 1 and max_line <= end").join(
+        spans.select(*keys, "start", "end", "span_id"), [*keys, "start", "end"]).select("event_id", "span_id")
+    cut = spans.select(*keys, "span_id", "start", "end", F.explode(F.sequence(
         F.floor(F.col("start") / width), F.floor(F.col("end") / width))).alias("_bucket"))
-    met = events.withColumn("_bucket", F.floor(F.col("min_line") / width)).join(cut, keys).filter(
+    unsure = placed.filter("open > 1 and max_line > min_line").select(*keys, "event_id", "min_line", "max_line")
+    met = unsure.withColumn("_bucket", F.floor(F.col("min_line") / width)).join(cut, [*keys, "_bucket"]).filter(
         (F.col("min_line") >= F.col("start")) & (F.col("max_line") <= F.col("end")))
-    return met.groupBy("event_id").agg(F.count(F.lit(1)).alias("n"), F.min("span_id").alias("span_id")).filter("n = 1").drop("n")
+    one = met.groupBy("event_id").agg(F.count(F.lit(1)).alias("n"), F.min("span_id").alias("span_id")).filter("n = 1").drop("n")
+    return sure.unionByName(one)
 
 
 def line_ranges(lines: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ changed is read again from its start under a new generation, and its session row
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from collections.abc import Iterator
 
@@ -48,14 +49,20 @@ def _committed_size(path: str) -> int:
 
 
 class TranscriptReader(DataSourceStreamReader):
-    def __init__(self, root: str, suffix: str):
-        self.root, self.suffix = root, suffix
+    def __init__(self, root: str, suffix: str, ledger: str = ""):
+        self.root, self.suffix, self.ledger = root, suffix, ledger
 
     def initialOffset(self) -> dict:
         return {}
 
     def _known(self) -> dict:
-        return getattr(self, "_last", {})
+        """Offsets of the last batch; after a restart they come from the ledger file, when one is named."""
+        if not hasattr(self, "_last"):
+            self._last = {}
+            if self.ledger and os.path.exists(self.ledger):
+                with open(self.ledger) as f:
+                    self._last = json.load(f)
+        return self._last
 
     def latestOffset(self) -> dict:
         """Per file: generation, committed bytes, digest of the bytes before that. Reads a few KB per file."""
@@ -100,10 +107,18 @@ class TranscriptReader(DataSourceStreamReader):
 
     def commit(self, end: dict) -> None:
         self._last = end
+        if self.ledger:
+            with open(self.ledger + ".new", "w") as f:
+                json.dump(end, f)
+            os.replace(self.ledger + ".new", self.ledger)
 
 
 class TranscriptSource(DataSource):
-    """``spark.readStream.format("transcript_lines").load(root)``; option ``suffix`` selects the files."""
+    """``spark.readStream.format("transcript_lines").load(root)``; option ``suffix`` selects the files.
+
+    Option ``ledger`` names a file in the shared folder that keeps the offsets over a restart, so that a file
+    rewritten while the stream was down is noticed too.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -113,16 +128,16 @@ class TranscriptSource(DataSource):
         return SCHEMA
 
     def streamReader(self, schema) -> TranscriptReader:
-        return TranscriptReader(self.options["path"], self.options.get("suffix", ".jsonl"))
+        return TranscriptReader(self.options["path"], self.options.get("suffix", ".jsonl"), self.options.get("ledger", ""))
 
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(TranscriptSource)
 
 
-def read_stream(spark: SparkSession, root: str, suffix: str = ".jsonl") -> DataFrame:
+def read_stream(spark: SparkSession, root: str, suffix: str = ".jsonl", ledger: str = "") -> DataFrame:
     register(spark)
-    return spark.readStream.format("transcript_lines").option("suffix", suffix).load(root)
+    return spark.readStream.format("transcript_lines").option("suffix", suffix).option("ledger", ledger).load(root)
 
 
 def current_generation(rows: DataFrame) -> DataFrame:
