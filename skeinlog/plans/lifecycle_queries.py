@@ -141,13 +141,13 @@ def _(spark, root):
 
 
 @query("lif_15_embedded_streams", """
-WITH s AS (SELECT doc_id, string_split(left(text, 400), ' ') AS w FROM documents),
+WITH s AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents),
 p AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM s),
 q AS (SELECT doc_id AS event_id, pos, word AS text, pos % 3 AS block, CASE WHEN pos >= 30 AND pos % 7 = 0 THEN 'block-end' ELSE 'delta' END AS kind FROM p)
-SELECT event_id, block, min(pos) AS first, count(*) FILTER (WHERE kind = 'delta') AS deltas, coalesce(arg_min(text, pos) FILTER (WHERE kind = 'block-end'), string_agg(text, '' ORDER BY pos) FILTER (WHERE kind = 'delta'), '') AS text,
+SELECT event_id, block, min(pos) AS first, count(*) FILTER (WHERE kind = 'delta') AS deltas, coalesce(arg_min(text, pos) FILTER (WHERE kind = 'block-end'), left(string_agg(text, '' ORDER BY pos) FILTER (WHERE kind = 'delta'), 16000), '') AS text,
   count(*) FILTER (WHERE kind = 'block-end') > 0 AS finished FROM q GROUP BY 1, 2""")
 def _(spark, root):
-    words = F.split(F.substring("text", 1, 400), " ")
+    words = F.split("text", " ")
     stream = F.transform(words, lambda w, i: F.struct(F.when((i >= 30) & (i % 7 == 0), "block-end").otherwise("delta").alias("kind"), (i % 3).alias("block"), w.alias("text")))
     out = lifecycle.embedded_stream(table(spark, root, "documents").select(F.col("doc_id").alias("event_id"), stream.alias("stream")))
     return out.select("event_id", F.col("block").cast("bigint").alias("block"), F.col("first").cast("bigint").alias("first"), "deltas", "text", "finished")

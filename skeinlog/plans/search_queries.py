@@ -120,11 +120,11 @@ def _(spark, root):
 
 
 @query("txt_01_match_count", f"""
-SELECT doc_id, CAST(greatest(len(regexp_extract_all(substr(text, 1, 240), '{rx('the')}')),
-   len(regexp_extract_all(text, '{rx('the')}'))) AS BIGINT) AS match_count FROM documents""")
+SELECT doc_id, CAST(greatest(len(regexp_extract_all(CASE WHEN length(t) <= 240 THEN t ELSE substr(t, 1, 237) || '...' END, '{rx('the that')}')),
+   len(regexp_extract_all(text, '{rx('the that')}'))) AS BIGINT) AS match_count FROM (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents)""")
 def _(spark, root):
     d = table(spark, root, "documents")
-    return d.select("doc_id", text.event_match_count(F.substring("text", 1, 240), F.col("text"), "the").alias("match_count"))
+    return d.select("doc_id", text.event_match_count(text.truncate(F.col("text")), F.col("text"), "the that").alias("match_count"))
 
 
 @query("txt_02_hit_flag", bind.with_events(f"""
@@ -159,9 +159,9 @@ def _(spark, root):
 
 @query("osl_02_search_order", f"""
 SELECT row_number() OVER (ORDER BY latest_ts DESC, latest_timeline_index DESC, session_id) AS place, session_id, latest_ts
-FROM ({_PROJECT_SEARCH}) QUALIFY place <= 50""")
+FROM ({_PROJECT_SEARCH}) QUALIFY place <= 150""")
 def _(spark, root):
-    top = search.order_search(search.project_search(bind.events(spark, root), Filters(q="alpha1 beta"))).limit(50)
+    top = search.order_search(search.project_search(bind.events(spark, root), Filters(q="alpha1 beta"))).limit(150)
     return ordered.place(top, [F.desc("latest_ts"), F.desc("latest_timeline_index"), F.asc("session_id")]).select(
         "place", "session_id", "latest_ts")
 
