@@ -161,28 +161,40 @@ def supplementary_rows(calls: DataFrame, by_uuid: DataFrame, by_tool_use: DataFr
 def nearest_span(points: DataFrame, spans: DataFrame, width: int) -> DataFrame:
     """Point -> span of the same signature that holds it or ends just before it: the closest, then the latest.
 
-    A span serves one point and a point one span. Spans are spread over line buckets of ``width`` so that a
-    frequent signature does not meet in one task.
+    A span serves one point and a point one span. Most points are settled without a pair: the span that started
+    last still holds the point, or no span does and the one that ended on the line before is looked up. Only
+    points under an older span that a later one no longer covers are compared with the spans of their bucket.
     """
-    keys = ["session_id", "signature", "_bucket"]
-    cut = spans.select("session_id", "signature", "span_id", "start", "end", F.explode(F.sequence(
-        F.floor(F.col("start") / width), F.floor((F.col("end") + 1) / width))).alias("_bucket"))
-    met = points.withColumn("_bucket", F.floor(F.col("line") / width)).join(cut, keys).filter(
-        (F.col("line") >= F.col("start")) & (F.col("line") <= F.col("end") + 1))
-    distance = F.when(F.col("line") <= F.col("end"), 0).otherwise(1)
-    best = met.groupBy("session_id", "line").agg(F.min_by(F.struct("signature", "span_id", "start", distance.alias("distance")),
-                                                          F.struct(distance, -F.col("start"))).alias("b"))
-    chosen = best.select("session_id", "line", "b.*")
+    keys = ["session_id", "signature"]
+    at = points.select(*keys, "line").distinct()
+    started = spans.groupBy(*keys, F.col("start").alias("line")).agg(F.max(F.struct("end", "span_id")).alias("top"))
+    swept = _open_spans(spans, at, keys)
+    stops = started.select(*keys, "line", F.struct(F.col("line").alias("start"), "top.end", "top.span_id").alias("_s"), F.lit(0).alias("part"))
+    asked = at.select(*keys, "line", F.lit(None).cast(stops.schema["_s"].dataType).alias("_s"), F.lit(1).alias("part"))
+    edges = stops.unionByName(asked).withColumn("at", F.col("line") * 2 + F.col("part"))
+    latest = ordered.scan(edges, keys, "at", last=ordered.LastValue(F.col("_s"))).filter("part = 1").select(*keys, "line", "last")
+    placed = materialize(latest.join(swept.select(*keys, "line", "open"), [*keys, "line"]), "nearest")
+    held = placed.filter("last.end >= line").select(*keys, "line", "last.span_id", "last.start", F.lit(0).alias("distance"))
+
+    ended = spans.groupBy(*keys, (F.col("end") + 1).alias("line")).agg(F.max(F.struct("start", "span_id")).alias("_e"))
+    after = placed.filter("open = 0").join(ended, [*keys, "line"]).select(*keys, "line", "_e.span_id", "_e.start", F.lit(1).alias("distance"))
+
+    cut = spans.select(*keys, "span_id", "start", "end", F.explode(F.sequence(
+        F.floor(F.col("start") / width), F.floor(F.col("end") / width))).alias("_bucket"))
+    met = placed.filter("open > 0 and last.end < line").withColumn("_bucket", F.floor(F.col("line") / width)).join(cut, [*keys, "_bucket"]).filter(
+        (F.col("line") >= F.col("start")) & (F.col("line") <= F.col("end")))
+    older = met.groupBy(*keys, "line").agg(F.max(F.struct("start", "end", "span_id")).alias("_o")).select(
+        *keys, "line", "_o.span_id", "_o.start", F.lit(0).alias("distance"))
+    chosen = held.unionByName(after).unionByName(older)
     return chosen.groupBy("session_id", "span_id").agg(F.min_by("line", F.struct("distance", "line")).alias("line"))
 
 
-def _open_spans(spans: DataFrame, points: DataFrame) -> DataFrame:
-    """Spans open at each (session, file, line): their number, and the sums of their bounds.
+def _open_spans(spans: DataFrame, points: DataFrame, keys: list[str]) -> DataFrame:
+    """Spans open at each line of a group: their number, and the sums of their bounds.
 
     A sweep over span edges, so neither overlapping spans nor many points make pairs. Where one span is open,
     the sums are its bounds.
     """
-    keys = ["session_id", "file"]
     zero = F.lit(0).cast("bigint")
     opened = spans.groupBy(*keys, F.col("start").alias("line")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("start").alias("s"), F.sum("end").alias("e")).withColumn("part", F.lit(0))
@@ -202,7 +214,7 @@ def containing_span(events: DataFrame, spans: DataFrame, width: int) -> DataFram
     """
     keys = ["session_id", "file"]
     at = events.withColumn("line", F.col("min_line"))
-    placed = materialize(at.join(_open_spans(spans, at), [*keys, "line"]).filter("open > 0"), "containment")
+    placed = materialize(at.join(_open_spans(spans, at, keys), [*keys, "line"]).filter("open > 0"), "containment")
     sure = placed.filter("open = 1 and max_line <= end").join(
         spans.select(*keys, "start", "end", "span_id"), [*keys, "start", "end"]).select("event_id", "span_id")
     cut = spans.select(*keys, "span_id", "start", "end", F.explode(F.sequence(

@@ -67,3 +67,34 @@ def test_duplicate_files(spark):
     rows = [("a", "f1", "x", False), ("a", "f1", "a", True), ("b", "f1", "b", True), ("b", "f2", "y", False), ("c", "f3", "c", True)]
     got = {r.identity: (r.kept, r.conflict) for r in setops.resolve_duplicates(spark.createDataFrame(rows, "identity string, fingerprint string, file string, canonical boolean")).collect()}
     assert got == {"a": ("a", False), "b": (None, True), "c": ("c", False)}
+
+
+def test_nearest_span_brute_force(spark, tiny_blocks):
+    import random
+    rng = random.Random(9)
+    spans = [("s", rng.choice("ab"), f"p{i}", lo, lo + rng.randint(0, 12)) for i, lo in enumerate(rng.sample(range(120), 30))]
+    points = [("s", rng.choice("ab"), line) for line in rng.sample(range(140), 50)]
+    best = {}
+    for _, sig, line in points:
+        fits = [((0 if line <= hi else 1), -lo, name) for _, g, name, lo, hi in spans if g == sig and lo <= line <= hi + 1]
+        if fits:
+            distance, _, name = min(fits)
+            best.setdefault(name, []).append((distance, line))
+    got = pairing.nearest_span(spark.createDataFrame(points, "session_id string, signature string, line bigint"),
+                               spark.createDataFrame(spans, "session_id string, signature string, span_id string, start bigint, end bigint"), 10)
+    assert {r.span_id: r.line for r in got.collect()} == {name: min(c)[1] for name, c in best.items()}
+
+
+def test_containment_brute_force(spark, tiny_blocks):
+    import random
+    rng = random.Random(10)
+    spans = [("s", "f", f"p{i}", lo, lo + rng.randint(0, 15)) for i, lo in enumerate(rng.sample(range(120), 25))]
+    events = [("s", "f", f"e{i}", lo, lo + rng.choice([0, 0, 3])) for i, lo in enumerate(rng.sample(range(140), 60))]
+    got = pairing.containing_span(spark.createDataFrame(events, "session_id string, file string, event_id string, min_line bigint, max_line bigint"),
+                                  spark.createDataFrame(spans, "session_id string, file string, span_id string, start bigint, end bigint"), 10)
+    expected = {}
+    for _, _, event, lo, hi in events:
+        over = [n for _, _, n, a, b in spans if a <= lo and hi <= b]
+        if len(over) == 1:
+            expected[event] = over[0]
+    assert {r.event_id: r.span_id for r in got.collect()} == expected
