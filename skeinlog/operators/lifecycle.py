@@ -53,6 +53,7 @@ def retry_chains(rows: DataFrame) -> DataFrame:
     attempts = rows.groupBy(*keys, "retry").agg(
         F.count(of("scheduled")).alias("n_sched"), F.count(of("started")).alias("n_start"), F.min(of("scheduled")).alias("sched"),
         F.min(of("started")).alias("start"), F.min("policy").alias("p_min"), F.max("policy").alias("p_max"))
+    attempts = materialize(attempts, "attempts")
     seen = ordered.scan(attempts, keys, "retry", _n=ordered.RowNumber(), _sched=ordered.LastValue(F.col("sched"), inclusive=False))
     c = F.col
     g = seen.groupBy(*keys).agg(

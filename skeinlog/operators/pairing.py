@@ -201,7 +201,7 @@ def _open_spans(spans: DataFrame, points: DataFrame, keys: list[str]) -> DataFra
     asked = points.select(*keys, "line").distinct().withColumns({"n": zero, "s": zero, "e": zero, "part": F.lit(1)})
     closed = spans.groupBy(*keys, F.col("end").alias("line")).agg(
         (-F.count(F.lit(1))).alias("n"), (-F.sum("start")).alias("s"), (-F.sum("end")).alias("e")).withColumn("part", F.lit(2))
-    edges = opened.unionByName(asked).unionByName(closed).withColumn("at", F.col("line") * 3 + F.col("part"))
+    edges = materialize(opened.unionByName(asked).unionByName(closed).withColumn("at", F.col("line") * 3 + F.col("part")), "edges")
     swept = ordered.scan(edges, keys, "at", open=ordered.RunningSum(F.col("n")), start=ordered.RunningSum(F.col("s")), end=ordered.RunningSum(F.col("e")))
     return swept.filter("part = 1").select(*keys, "line", "open", "start", "end")
 
@@ -242,7 +242,7 @@ def range_owner(points: DataFrame, ranges: DataFrame) -> DataFrame:
     opened = ranges.groupBy("file", F.col("start").alias("line")).agg(F.count(F.lit(1)).alias("n"), F.sum("owner").alias("o")).withColumn("part", F.lit(0))
     asked = points.select("file", "line").distinct().withColumns({"n": F.lit(0).cast("bigint"), "o": F.lit(0).cast("bigint"), "part": F.lit(1)})
     closed = ranges.groupBy("file", F.col("end").alias("line")).agg((-F.count(F.lit(1))).alias("n"), (-F.sum("owner")).alias("o")).withColumn("part", F.lit(2))
-    edges = opened.unionByName(asked).unionByName(closed).withColumn("at", F.col("line") * 3 + F.col("part"))
+    edges = materialize(opened.unionByName(asked).unionByName(closed).withColumn("at", F.col("line") * 3 + F.col("part")), "edges")
     swept = ordered.scan(edges, ["file"], "at", open=ordered.RunningSum(F.col("n")), owner=ordered.RunningSum(F.col("o")))
     found = swept.filter("part = 1").select("file", "line", "open", F.when(F.col("open") == 1, F.col("owner")).alias("owner"))
     return points.join(found, ["file", "line"])
