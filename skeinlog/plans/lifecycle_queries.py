@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from skeinlog.functions import classify
 from skeinlog.operators import aggregates, lifecycle, ordered, pairing, windows
 from skeinlog.plans import bind
-from skeinlog.plans.link_queries import launches
 from skeinlog.plans.registry import query
 from skeinlog.session import table
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skeinlog.functions import classify, numbers, records as R, search_json, text
+from skeinlog.functions import classify, records as R, search_json, text
 from skeinlog.operators import aggregates, pairing, quality, sessions
 from skeinlog.plans import bind
 from skeinlog.plans.registry import query
