@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -35,13 +36,23 @@ def block_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(BLOCK_ROWS_CONF, str(BLOCK_ROWS_DEFAULT)))
 
 
+_LOCAL_SCRATCH: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach. The cluster names it; a local one is made only if unset."""
+    """Folder every executor can reach, named by ``spark.checkpoint.dir``.
+
+    Where the setting is absent a temporary folder is used, but only in local mode, where one machine is all there is;
+    on a cluster the absence is an error, since files on one machine's disk are missing on the others.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="skeinlog-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    return configured
+    if configured:
+        return configured
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir names no shared folder; set it to one that all executors can reach")
+    if not _LOCAL_SCRATCH:
+        _LOCAL_SCRATCH.append(tempfile.mkdtemp(prefix="skeinlog-"))
+    return _LOCAL_SCRATCH[0]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
