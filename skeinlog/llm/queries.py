@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from skeinlog.llm import bpe
+from skeinlog.llm import bpe, secret_scan
 from skeinlog.llm.shared import documents
 
 
+def op4_secret_scan(spark, sf_dir):
+    return secret_scan.digests(documents(spark, sf_dir))
+
+
 def op6_bpe_round_trip(spark, sf_dir):
     return bpe.digests(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op6_bpe_round_trip,)}
+QUERIES = {f.__name__: f for f in (op4_secret_scan, op6_bpe_round_trip)}
 ORACLES: dict[str, str] = {}
