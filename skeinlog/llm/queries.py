@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from skeinlog.llm import bpe, fingerprint, secret_scan
+from skeinlog.llm import bpe, fingerprint, language, secret_scan
 from skeinlog.llm.shared import documents
 
 
@@ -16,9 +16,13 @@ def op6_bpe_round_trip(spark, sf_dir):
     return bpe.digests(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_language_id(spark, sf_dir):
+    return language.predictions(documents(spark, sf_dir))
+
+
 def op9_fingerprints(spark, sf_dir):
     return fingerprint.digests(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op4_secret_scan, op6_bpe_round_trip, op9_fingerprints)}
+QUERIES = {f.__name__: f for f in (op4_secret_scan, op6_bpe_round_trip, op7_language_id, op9_fingerprints)}
 ORACLES: dict[str, str] = {}
