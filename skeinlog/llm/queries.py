@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from skeinlog.llm import bpe, fingerprint, language, secret_scan
+from skeinlog.llm import bpe, fingerprint, language, quality, secret_scan
 from skeinlog.llm.shared import documents
 
 
@@ -24,5 +24,9 @@ def op9_fingerprints(spark, sf_dir):
     return fingerprint.digests(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op4_secret_scan, op6_bpe_round_trip, op7_language_id, op9_fingerprints)}
+def op10_quality(spark, sf_dir):
+    return quality.predictions(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op4_secret_scan, op6_bpe_round_trip, op7_language_id, op9_fingerprints, op10_quality)}
 ORACLES: dict[str, str] = {}
