@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from skeinlog.llm import bpe, fingerprint, language, quality, secret_scan
+from skeinlog.llm import bpe, fingerprint, language, mixing, quality, secret_scan
 from skeinlog.llm.shared import documents
 
 
+def op2_mixing(spark, sf_dir):
+    return mixing.digests(documents(spark, sf_dir))
+
+
 def op4_secret_scan(spark, sf_dir):
     return secret_scan.digests(documents(spark, sf_dir))
 
@@ -28,5 +32,5 @@ def op10_quality(spark, sf_dir):
     return quality.predictions(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op4_secret_scan, op6_bpe_round_trip, op7_language_id, op9_fingerprints, op10_quality)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op4_secret_scan, op6_bpe_round_trip, op7_language_id, op9_fingerprints, op10_quality)}
 ORACLES: dict[str, str] = {}
