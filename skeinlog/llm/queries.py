@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from skeinlog.llm import bpe, fingerprint, language, mixing, quality, secret_scan
+from skeinlog.llm import bpe, fingerprint, language, mixing, quality, secret_scan, token_counts
 from skeinlog.llm.shared import documents
+from skeinlog.session import scratch_path
 
 
 def op2_mixing(spark, sf_dir):
@@ -16,6 +17,10 @@ def op4_secret_scan(spark, sf_dir):
     return secret_scan.digests(documents(spark, sf_dir))
 
 
+def op5_token_counts(spark, sf_dir):
+    return token_counts.corpus_totals(documents(spark, sf_dir), scratch_path(spark, "token-rollup"))
+
+
 def op6_bpe_round_trip(spark, sf_dir):
     return bpe.digests(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -32,5 +37,5 @@ def op10_quality(spark, sf_dir):
     return quality.predictions(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op4_secret_scan, op6_bpe_round_trip, op7_language_id, op9_fingerprints, op10_quality)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_mixing, op4_secret_scan, op5_token_counts, op6_bpe_round_trip, op7_language_id, op9_fingerprints, op10_quality)}
+ORACLES = {"op5_token_counts": token_counts.CORPUS_SQL}
