@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from skeinlog.llm import bpe, fingerprint, language, mixing, quality, secret_scan, token_counts
+from skeinlog.llm import bpe, fingerprint, language, mixing, ngram_join, quality, secret_scan, token_counts
 from skeinlog.llm.shared import documents
 from skeinlog.session import scratch_path
 
 
+def op1_ngram_join(spark, sf_dir):
+    return ngram_join.joined(documents(spark, sf_dir))
+
+
 def op2_mixing(spark, sf_dir):
     return mixing.digests(documents(spark, sf_dir))
 
@@ -37,5 +41,5 @@ def op10_quality(spark, sf_dir):
     return quality.predictions(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op4_secret_scan, op5_token_counts, op6_bpe_round_trip, op7_language_id, op9_fingerprints, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_mixing, op4_secret_scan, op5_token_counts, op6_bpe_round_trip, op7_language_id, op9_fingerprints, op10_quality)}
 ORACLES = {"op5_token_counts": token_counts.CORPUS_SQL}
