@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from skeinlog.llm import bpe, fingerprint, language, mixing, ngram_join, quality, secret_scan, token_counts
+from skeinlog.llm import bpe, fingerprint, language, mixing, ngram_join, quality, secret_scan, token_counts, vector_dedup
 from skeinlog.llm.shared import documents
 from skeinlog.session import scratch_path
 
@@ -33,6 +33,10 @@ def op7_language_id(spark, sf_dir):
     return language.predictions(documents(spark, sf_dir))
 
 
+def op8_vector_dedup(spark, sf_dir):
+    return vector_dedup.joined(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op9_fingerprints(spark, sf_dir):
     return fingerprint.digests(documents(spark, sf_dir))
 
@@ -41,5 +45,5 @@ def op10_quality(spark, sf_dir):
     return quality.predictions(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_mixing, op4_secret_scan, op5_token_counts, op6_bpe_round_trip, op7_language_id, op9_fingerprints, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_mixing, op4_secret_scan, op5_token_counts, op6_bpe_round_trip, op7_language_id, op8_vector_dedup, op9_fingerprints, op10_quality)}
 ORACLES = {"op5_token_counts": token_counts.CORPUS_SQL}
