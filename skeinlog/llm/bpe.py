@@ -65,6 +65,7 @@ def load(path: str) -> dict:
     return {
         "byte": byte, "inner": inner, "final": final, "halves": halves, "pairs": pairs, "special": special,
         "rank": {i: rank.get(t, -1) for t, i in vocab.items()},
+        "spaced": {i: " " + t for t, i in [*vocab.items(), *special.items()]},
         "surface": {i: t for t, i in [*vocab.items(), *special.items()]},
         "longest": max(map(len, [*inner, *final])), "lookahead": sufficient_lookahead(vocab, merges), "state": {},
     }
@@ -180,10 +181,10 @@ class Decoder:
         self.machine = codecs.getincrementaldecoder("utf-8")("replace")
 
     def feed(self, token: int) -> str:
-        surface = self.model["surface"][token]
         if self.mode == "surface":
-            out, self.due = (" " if self.due else "") + surface, True
+            out, self.due = self.model["spaced" if self.due else "surface"][token], True
             return out
+        surface = self.model["surface"][token]
         if surface in self.model["special"]:
             return self.machine.decode(b"", True) + surface
         whole = surface.endswith(WORD_END) and surface != WORD_END
@@ -297,6 +298,21 @@ def digests(docs: DataFrame, model_path: str) -> DataFrame:
     return rows.drop("text")
 
 
+def _tokenized(model: dict, text: str | None) -> tuple[list[int], int, str]:
+    ids = encode(model, text)
+    plain = sha256()
+    decoder = Decoder(model, "surface")
+    for k in range(0, len(ids), 4096):
+        plain.update("".join(map(decoder.feed, ids[k:k + 4096])).encode())
+    return ids, len(ids), plain.hexdigest()
+
+
+def tokenized(docs: DataFrame, model_path: str) -> DataFrame:
+    """``docs`` with token_ids, n_tokens and decoded_sha256, the hash of what the ids decode to."""
+    columns = {"token_ids": pa.list_(pa.int32()), "n_tokens": pa.int64(), "decoded_sha256": pa.string()}
+    return _per_text(docs, model_path, columns, "token_ids array<int>, n_tokens bigint, decoded_sha256 string", _tokenized)
+
+
 def decoded(rows: DataFrame, model_path: str) -> DataFrame:
     """``rows`` with ``decoded``, the text of ``token_ids``; null ids give the empty text."""
     model = rows.sparkSession.sparkContext.broadcast(load(model_path))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from skeinlog.llm import bpe, fingerprint, language, mixing, ngram_join, quality, secret_scan, token_counts, vector_dedup
+import corpus_pipeline
+from skeinlog.llm import bpe, fingerprint, language, mixing, ngram_join, quality, secret_scan, suffix_dedup, token_counts, vector_dedup
 from skeinlog.llm.shared import documents
 from skeinlog.session import scratch_path
 
@@ -17,6 +18,10 @@ def op2_mixing(spark, sf_dir):
     return mixing.digests(documents(spark, sf_dir))
 
 
+def op3_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.deduplicated(documents(spark, sf_dir))
+
+
 def op4_secret_scan(spark, sf_dir):
     return secret_scan.digests(documents(spark, sf_dir))
 
@@ -45,5 +50,5 @@ def op10_quality(spark, sf_dir):
     return quality.predictions(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_mixing, op4_secret_scan, op5_token_counts, op6_bpe_round_trip, op7_language_id, op8_vector_dedup, op9_fingerprints, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_mixing, op3_suffix_dedup, op4_secret_scan, op5_token_counts, op6_bpe_round_trip, op7_language_id, op8_vector_dedup, op9_fingerprints, op10_quality)} | {"pipeline": corpus_pipeline.run}
 ORACLES = {"op5_token_counts": token_counts.CORPUS_SQL}
