@@ -139,54 +139,35 @@ def residual_keys(record: Column, known: list[str]) -> Column:
     return F.array_except(F.json_object_keys(record), F.array(*[F.lit(k) for k in known]))
 
 
-# Characters that betray text decoded with the wrong charset, and their weights.
-BROKEN = {"\ufffd": 10}
-LATIN_ODD = {c: 4 for c in "€™œ¢£¥ÃÂÎÐÑÊµæçèé"}
-HAN_ODD = {c: 2 for c in "鑽琛鎻愬彇璇枡绋鍦涓銆乣鐨鍔姝渶寮忚棰堕鏃浼氳瘽鍣诲彛熷害"}
+LOST = "�?"
 
 
-def _oddness(text: str) -> int:
-    weights = {**BROKEN, **LATIN_ODD, **HAN_ODD}
-    return sum(weights.get(ch, 0) for ch in text) + 2 * text.count("€?")
+def _reread(text: str) -> str | None:
+    """The text's bytes in the wrong charset read as UTF-8, if that is what they were.
 
-
-def _han(text: str) -> int:
-    return sum("\u3400" <= ch <= "\u9fff" for ch in text)
-
-
-def _better(source: str, fixed: str) -> bool:
-    odd = _oddness(source)
-    private = any("\ue000" <= ch <= "\uf8ff" for ch in source)
-    lost = source.count("\ufffd") + (source.count("?") if odd or private else 0)
-    left = fixed.count("\ufffd")
-    if fixed == source or not fixed or left > lost:
-        return False
-    return _oddness(fixed) + 4 < odd or (left == 0 and _han(fixed) > 0) or (lost > 0 and _han(fixed) >= _han(source) / 2)
-
-
-def _retry(text: str) -> str:
-    """Bytes of the wrong charset read again as UTF-8, first whole, then without what was lost on the way."""
-    for candidate in (text, text.replace("\ufffd", "").replace("?", "")):
+    Well-formed UTF-8 of three bytes a character is the evidence: text of another charset hardly ever has that form by
+    chance. Where characters were lost before, as many may stay unreadable now.
+    """
+    lost = sum(text.count(c) for c in LOST)
+    for some in (text, text.translate(dict.fromkeys(map(ord, LOST))) if lost else text):
         try:
-            fixed = candidate.encode("gb18030").decode("utf-8", "replace")
+            fixed = some.encode("gb18030").decode("utf-8", "replace")
         except UnicodeEncodeError:
             continue
-        if _better(text, fixed):
+        if fixed != text and fixed.count("�") <= lost and any(c >= "ࠀ" and c != "�" for c in fixed):
             return fixed
-    return text
+    return None
 
 
 def _repair(text: str | None) -> str | None:
+    """The whole text reread, or else each of its words that can be."""
     if not text or text.isascii():
         return text
-    whole = _retry(text)
-    if whole != text:
-        return whole
-    return re.sub(r"[^\s`|<>{}\[\]()]+", lambda m: m[0] if m[0].isascii() else _retry(m[0]), text)
+    return _reread(text) or re.sub(r"[^\x00-\x7f]+(?:[?][^\x00-\x7f]*)*", lambda m: _reread(m[0]) or m[0], text)
 
 
 def repair_mojibake(value: Column) -> Column:
-    """Text decoded with the wrong charset, turned back when that makes it look better; ASCII rows stay in the JVM."""
+    """Text decoded with the wrong charset, turned back where its bytes say so; ASCII rows stay in the JVM."""
     def run(values: pd.Series) -> pd.Series:
         return values.map(_repair)
     run.__annotations__ = {"values": pd.Series, "return": pd.Series}

@@ -205,53 +205,59 @@ def _goal_step(state: dict, row: dict) -> dict:
     return {"accepted": not reason, "reason": reason, "state": phase}
 
 
+INBOX_START = {"queues": {"next-turn": [], "next-step": []}, "claimed": {}}
+TURN_START = {"turn": "new", "is": "", "spoken": None}
+
+
 def inbox_replay(rows: DataFrame) -> DataFrame:
     """Replay of two message queues. ``rows``: session_id, seq, part (splice/message), target, start, removed,
     inserted (comma list of ids), canceled, message_id."""
-    initial = {"off": False, "next-turn": [], "next-step": [], "claimed": {}}
-    return fold(rows, ["session_id"], "seq", _inbox_step, initial,
+    return fold(rows, ["session_id"], "seq", _inbox_step, INBOX_START,
                 "operation string, ids string, enqueued_seq bigint, claimed_seq bigint")
 
 
+def _splice(queues: dict, row: dict) -> tuple[list, list, str] | None:
+    """The queue after a splice, what it took out, and the operation it was; None if the queues don't allow it."""
+    queue, at, gone = queues.get(row["target"]), row["start"], row["removed"] or 0
+    new = [name for name in (row["inserted"] or "").split(",") if name]
+    if queue is None or at is None or not 0 <= at <= at + gone <= len(queue):
+        return None
+    if row["canceled"]:
+        kind = "generic" if gone else None
+    elif not gone:
+        kind = "enqueue" if new else None
+    else:  # taking the head of one queue, or all of the other, claims it
+        claims = gone == (1 if row["target"] == "next-turn" else len(queue)) and at == 0 and not new
+        kind = "claim" if claims else "generic"
+    after = [*queue[:at], *([name, row["seq"] if kind == "enqueue" else None] for name in new), *queue[at + gone:]]
+    held = [name for target, waiting in queues.items() for name, _ in (after if target == row["target"] else waiting)]
+    return None if kind is None or len({*held}) < len(held) else (after, queue[at:at + gone], kind)
+
+
 def _inbox_step(state: dict, row: dict) -> dict:
-    out = {"operation": "", "ids": "", "enqueued_seq": None, "claimed_seq": None}
-    if state["off"]:
-        return out
+    """A splice changes its queue; a message delivers the one claim that waits for it; a bad splice ends the replay."""
+    found = {"operation": "", "ids": "", "enqueued_seq": None, "claimed_seq": None}
+    if state["queues"] is None:
+        return found
     if row["part"] == "message":
-        waiting = [c for c in state["claimed"].get(row["message_id"], []) if c[1] < row["seq"]]
-        if len(waiting) == 1:
-            state["claimed"].pop(row["message_id"])
-            out.update(operation="delivered", ids=row["message_id"], enqueued_seq=waiting[0][0], claimed_seq=waiting[0][1])
-        return out
-    queue = state.get(row["target"]) if row["target"] in ("next-turn", "next-step") else None
-    start, removed = row["start"], row["removed"] or 0
-    added = [i for i in (row["inserted"] or "").split(",") if i]
-    valid = (queue is not None and start is not None and 0 <= start <= len(queue) and removed >= 0 and start + removed <= len(queue)
-             and (removed or added) and not (row["canceled"] and not removed))
-    if valid:
-        taken = queue[start:start + removed]
-        claim = not added and not row["canceled"] and start == 0 and (
-            (row["target"] == "next-turn" and removed == 1) or (row["target"] == "next-step" and removed == len(queue)))
-        operation = "enqueue" if not removed and not row["canceled"] else "claim" if claim else "generic"
-        entries = [[i, row["seq"] if operation == "enqueue" else None] for i in added]
-        merged = queue[:start] + entries + queue[start + removed:]
-        other = state["next-step" if row["target"] == "next-turn" else "next-turn"]
-        names = [e[0] for e in merged + other]
-        valid = len(set(names)) == len(names)
-    if not valid:
-        state.update(off=True, claimed={})
-        state["next-turn"], state["next-step"] = [], []
-        return out
-    state[row["target"]] = merged
-    if operation == "claim":
-        own = [e for e in taken if e[1] is not None]
-        for name, seq in own:
+        ready = [claim for claim in state["claimed"].get(row["message_id"], ()) if claim[1] < row["seq"]]
+        if len(ready) == 1:
+            del state["claimed"][row["message_id"]]
+            found |= {"operation": "delivered", "ids": row["message_id"], "enqueued_seq": ready[0][0], "claimed_seq": ready[0][1]}
+        return found
+    change = _splice(state["queues"], row)
+    if change is None:
+        state |= {"queues": None, "claimed": {}}
+        return found
+    state["queues"][row["target"]], taken, found["operation"] = change
+    if found["operation"] == "claim":
+        known = [(name, seq) for name, seq in taken if seq is not None]
+        for name, seq in known:
             state["claimed"].setdefault(name, []).append([seq, row["seq"]])
-        out["ids"] = ",".join(e[0] for e in own)
-    elif operation == "enqueue":
-        out["ids"] = ",".join(added)
-    out["operation"] = operation
-    return out
+        found["ids"] = ",".join(name for name, _ in known)
+    elif found["operation"] == "enqueue":
+        found["ids"] = ",".join(name for name in row["inserted"].split(",") if name)
+    return found
 
 
 def turn_ownership(rows: DataFrame) -> DataFrame:
@@ -261,8 +267,7 @@ def turn_ownership(rows: DataFrame) -> DataFrame:
     envelope, text. A turn opened by a user message is implicit until a later row names it; the name then
     also covers the rows before, through an alias that is joined back.
     """
-    initial = {"active": "", "last": "", "why": "", "prev": None}
-    steps = fold(rows, ["session_id"], "line", _ownership_step, initial,
+    steps = fold(rows, ["session_id"], "line", _ownership_step, TURN_START,
                  "owner string, trailing boolean, conflict string, alias_of string, tier int")
     alias = steps.filter("alias_of is not null").select("session_id", F.col("alias_of").alias("owner"), F.col("owner").alias("named"))
     named = steps.join(alias, ["session_id", "owner"], "left").withColumn("owner", F.coalesce("named", "owner")).drop("named")
@@ -276,67 +281,59 @@ def turn_ownership(rows: DataFrame) -> DataFrame:
 EVIDENCE = ["implicit_user_turn", "canonical_raw_turn_id", "legacy_turn_context", "explicit_lifecycle"]
 
 
+# What a row does to the session's turn. The turn is new (none yet), open, ended or lost; an open or ended one is the
+# row's own, another one, or the row names none (untold); an open one may have no name yet (unnamed). The first rule whose
+# states hold the present one applies: (states, action, strength of the evidence or the reason of a loss).
+ANY = "new lost unnamed open-own open-other open-untold ended-own ended-other ended-untold"
+TURN_RULES = {
+    "rollback": [(ANY, "lose", "rollback_boundary")],
+    "started": [(ANY, "open", 4)],
+    "context": [("unnamed", "name", 3), ("open-own", "stay", 3), ("open-other", "lose", "conflicting_turn_context"), ("ended-own", "trail", 0), (ANY, "open", 3)],
+    "completed": [("open-other", "lose", "conflicting_turn_completion"), ("unnamed open-own open-untold", "end", 0), ("ended-own ended-untold", "trail", 0),
+                  (ANY, "lose", "completion_without_active_turn")],
+    "user": [("open-own open-other open-untold", "stay", 0), (ANY, "begin", 1)],
+    "mirrored": [("unnamed open-own open-other open-untold", "stay", 0), (ANY, "begin", 1)],
+    "named": [("lost", "refuse", 0), (ANY, "claim", 2)],
+    "bare": [("unnamed open-untold", "stay", 0), ("ended-untold", "trail", 0), (ANY, "refuse", 0)],
+}
+
+
+def _turn_state(state: dict, own: str) -> str:
+    kind, turn = state["turn"], state["is"]
+    if kind in ("new", "lost"):
+        return kind
+    if kind == "open" and turn.startswith("implicit:"):
+        return "unnamed"
+    return f"{kind}-{'untold' if not own else 'own' if turn == own else 'other'}"
+
+
 def _ownership_step(state: dict, row: dict) -> dict:
-    turn = (row["turn_id"] or "").strip()
-    named = f"explicit:{turn}" if turn else ""
-    active, last = state["active"], state["last"]
-    owner, trailing, conflict, alias, tier = "", False, "", None, 0
-    part = row["part"]
-
-    def lose(reason: str) -> str:
-        state.update(active="", last="", why=reason)
-        return reason
-
-    if part == "rollback":
-        conflict = lose("rollback_boundary")
-    elif part == "started" and turn:
-        owner, tier = named, 4
-        state.update(active=named, last="", why="")
-    elif part == "user":
-        prev = state["prev"]
-        mirrored = prev is not None and prev[0] != row["envelope"] and prev[1] == (row["text"] or "").strip()
-        if active and not state["why"] and (mirrored or active.startswith("explicit:")):
-            owner = active
-        else:
-            owner, tier = f"implicit:{row['event_id']}", 1
-            state.update(active=owner, last="", why="")
-    elif part == "context" and turn:
-        if active and not active.startswith("explicit:"):
-            owner, alias, tier = named, active, 3
-            state["active"] = named
-        elif active == named:
-            owner, tier = active, 3
-        elif active:
-            conflict = lose("conflicting_turn_context")
-        elif last == named:
-            owner, trailing = last, True
-        else:
-            owner, tier = named, 3
-            state.update(active=named, last="", why="")
-    elif part == "completed":
-        if active and turn and active.startswith("explicit:") and active != named:
-            conflict = lose("conflicting_turn_completion")
-        elif active:
-            owner = named if turn else active
-            alias = active if owner != active else None
-            state.update(active="", last=owner, why="")
-        elif last and (not turn or last == named):
-            owner, trailing = last, True
-        else:
-            conflict = lose("completion_without_active_turn")
-    elif turn:
-        if state["why"]:
-            conflict = state["why"]
-        else:
-            owner, tier = named, 2
-    elif active:
-        owner = active
-    elif last:
-        owner, trailing = last, True
+    name, text, part = (row["turn_id"] or "").strip(), (row["text"] or "").strip(), row["part"]
+    own = f"explicit:{name}" if name else ""
+    if part == "user":
+        before = state["spoken"]
+        part = "mirrored" if before and before[0] != row["envelope"] and before[1] == text else "user"
+    elif part not in ("rollback", "completed") and not (part in ("started", "context") and name):
+        part = "named" if name else "bare"
+    state["spoken"] = [row["envelope"], text] if row["part"] == "user" else None
+    now, turn = _turn_state(state, own), state["is"]
+    action, value = next((a, v) for states, a, v in TURN_RULES[part] if now in states.split(" "))
+    out = {"owner": "", "trailing": False, "conflict": "", "alias_of": None, "tier": 0 if action == "lose" else value}
+    if action == "lose":
+        out["conflict"] = value
+        state |= {"turn": "lost", "is": value}
+    elif action == "refuse":
+        out["conflict"] = turn if now == "lost" else ""
     else:
-        conflict = state["why"]
-    state["prev"] = [row["envelope"], (row["text"] or "").strip()] if part == "user" else None
-    return {"owner": owner, "trailing": trailing, "conflict": conflict, "alias_of": alias, "tier": tier}
+        out["owner"] = {"open": own, "name": own, "claim": own, "begin": f"implicit:{row['event_id']}", "end": own or turn}.get(action, turn)
+        out["trailing"] = action == "trail"
+        if action in ("name", "end") and out["owner"] != turn:
+            out["alias_of"] = turn
+        if action in ("open", "name", "begin"):
+            state |= {"turn": "open", "is": out["owner"]}
+        elif action == "end":
+            state |= {"turn": "ended", "is": out["owner"]}
+    return out
 
 
 def task_states(rows: DataFrame) -> DataFrame:

@@ -47,7 +47,7 @@ INBOX = "session_id string, seq bigint, part string, target string, start int, r
 @pytest.mark.parametrize("seed", [3, 4])
 def test_turn_machine_in_blocks_equals_loop(spark, block, seed):
     rows = ownership_rows(random.Random(seed))
-    initial = {"active": "", "last": "", "why": "", "prev": None}
+    initial = lifecycle.TURN_START
     spark.conf.set(BLOCK_ROWS_CONF, str(block))
     try:
         got = fold(spark.createDataFrame(rows, OWNERSHIP), ["session_id"], "line", lifecycle._ownership_step, initial,
@@ -61,7 +61,7 @@ def test_turn_machine_in_blocks_equals_loop(spark, block, seed):
 @pytest.mark.parametrize("block", [4, 1000])
 def test_inbox_machine_in_blocks_equals_loop(spark, block):
     rows = inbox_rows(random.Random(5))
-    initial = {"off": False, "next-turn": [], "next-step": [], "claimed": {}}
+    initial = lifecycle.INBOX_START
     spark.conf.set(BLOCK_ROWS_CONF, str(block))
     try:
         got = lifecycle.inbox_replay(spark.createDataFrame(rows, INBOX)).collect()
@@ -73,7 +73,7 @@ def test_inbox_machine_in_blocks_equals_loop(spark, block):
 
 def test_increments_equal_one_run(spark, tiny_blocks):
     rows = ownership_rows(random.Random(6), 90)
-    initial = {"active": "", "last": "", "why": "", "prev": None}
+    initial = lifecycle.TURN_START
     out = "owner string, conflict string"
 
     def step(state, row):
