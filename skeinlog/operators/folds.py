@@ -121,21 +121,3 @@ def fold(rows: DataFrame, keys: list[str], order: str, step: Step, initial: dict
     start = base.select(*keys).distinct().withColumn(WANT, F.lit(_dump(initial)))
     ends = _settle(machine, base, start)
     return machine.outputs(base.join(ends.drop(END), machine.group))
-
-
-def fold_increment(rows: DataFrame, keys: list[str], order: str, step: Step, initial: dict, output: str,
-                   states: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """One more batch of rows on top of kept states: the outputs, and the states of the groups it touched.
-
-    ``states``: keys and ``state``. The rows have to come after those that led to the states.
-    """
-    machine = _Machine(rows.schema, keys, order, step, output)
-    base = materialize(_blocked(rows, order), "fold-rows")
-    start = base.select(*keys).distinct()
-    first = F.lit(_dump(initial))
-    start = (start.withColumn(WANT, first) if states is None
-             else start.join(states, keys, "left").select(*keys, F.coalesce("state", first).alias(WANT)))
-    start = materialize(start, "fold-start")
-    ends = _settle(machine, base, start)
-    outputs = machine.outputs(base.join(ends.drop(END), machine.group))
-    return outputs, ends.groupBy(*keys).agg(F.max_by(END, BLOCK).alias("state"))

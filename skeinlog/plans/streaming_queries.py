@@ -31,9 +31,7 @@ def run_to_end(stream, spark, label):
 def cache_stream(spark, root):
     rows = accounting_rows(spark, root, bind.bound_events(event_stream(spark, root)))
     rows = rows.withColumn("ms", numbers.epoch_ms(F.col("ts_text"))).drop("turn_id", "ts_text")
-    path = scratch_path(spark, "stream-cache")
-    state.cache_observations(rows, path).option("checkpointLocation", scratch_path(spark, "stream-cache-log")).trigger(availableNow=True).start().awaitTermination()
-    return state.outputs(spark, path).filter("is_token")
+    return run_to_end(state.cache_observations(rows), spark, "stream-cache").filter("is_token")
 
 
 @query("str_03_streaming_cache_state", bind.with_events(f"WITH {OBSERVATIONS_SQL} SELECT session_id, event_id, state, reuse_bps, previous_event_id, elapsed_ms FROM obs"))
@@ -45,11 +43,10 @@ def _(spark, root):
 def _(spark, root):
     from skeinlog.plans.lifecycle_queries import cell_rows
     batch = cell_rows(spark, root)
-    folder, path = scratch_path(spark, "cells"), scratch_path(spark, "stream-cells")
+    folder = scratch_path(spark, "cells")
     batch.write.parquet(folder)
     stream = spark.readStream.schema(batch.schema).parquet(folder)
-    state.scripted_operations(stream, path).option("checkpointLocation", scratch_path(spark, "stream-cells-log")).trigger(availableNow=True).start().awaitTermination()
-    return state.outputs(spark, path)
+    return run_to_end(state.scripted_operations(stream), spark, "stream-cells").drop("late")
 
 
 @query("str_05_late_rows_kept", bind.with_events(f"""
@@ -69,21 +66,38 @@ def _(spark, root):
     return files.prefix_changes(now, seen).select(F.col("file").alias("doc_id"))
 
 
-@query("str_01_incremental_ingest", "SELECT count(*) AS lines, count(DISTINCT doc_id) AS documents FROM documents")
+@query("str_01_incremental_ingest", """
+SELECT count(*) AS lines, count(DISTINCT doc_id) AS documents, CAST(sum(length(text)) AS BIGINT) AS characters, CAST(sum(CASE WHEN doc_id % 3 = 1 THEN 1 ELSE 0 END) AS BIGINT) AS revised FROM documents""")
 def _(spark, root):
-    """Documents as line files, taken in by the growing-file source."""
-    folder = scratch_path(spark, "incoming")
-    table(spark, root, "documents").select(F.to_json(F.struct("doc_id", "source", "n_chars")).alias("value")).write.text(folder)
-    lines = run_to_end(ingest.read_stream(spark, folder.removeprefix("file:"), ".txt"), spark, "stream-lines")
-    doc = F.get_json_object("text", "$.doc_id")
-    return ingest.current_generation(lines).agg(F.count(F.lit(1)).alias("lines"), F.count_distinct(doc).alias("documents"))
+    """Documents as line files in three steps: a first load, files that grew, and files rewritten from the start."""
+    folder, d = scratch_path(spark, "incoming"), table(spark, root, "documents").withColumn("part", F.col("doc_id") % 3)
+    line = F.to_json(F.struct("doc_id", "text", F.col("revision").alias("revision")))
+
+    def put(rows, revision, mode):
+        rows.withColumn("revision", F.lit(revision)).select(line.alias("value"), "part").write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("part").text(folder)
+    taken = ingest.GrowingFiles(spark, folder, scratch_path(spark, "taken-in"), "*.txt")
+    put(d.filter("part <> 2"), 0, "overwrite")
+    taken.take_in(1)
+    put(d.filter("part = 2"), 0, "append")
+    taken.take_in(2)
+    put(d.filter("part = 1"), 1, "overwrite")
+    taken.take_in(3)
+    taken.take_in(3)
+    v = F.from_json("text", "doc_id bigint, text string, revision int")
+    kept = taken.lines().join(ingest.listing(spark, folder, "*.txt").select("file"), "file", "left_semi").select(v.alias("v"))
+    return kept.agg(F.count(F.lit(1)).alias("lines"), F.count_distinct("v.doc_id").alias("documents"), F.sum(F.length("v.text")).alias("characters"),
+                    F.sum("v.revision").cast("bigint").alias("revised"))
 
 
 @query("str_06_session_replacement", bind.with_events("SELECT session_id, count(*) AS rows FROM ev GROUP BY 1"))
 def _(spark, root):
-    path = scratch_path(spark, "stream-sessions")
-    rows = bind.bound_events(event_stream(spark, root)).select("session_id", "line", "event_id", "kind")
-    q = (rows.writeStream.foreachBatch(ingest.replace_sessions(path)).option("checkpointLocation", scratch_path(spark, "stream-sessions-log"))
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return ingest.read_current(spark, path).groupBy("session_id").agg(F.count(F.lit(1)).alias("rows"))
+    """Sessions that arrive in three batches: an outdated generation of some, then the present one in two parts."""
+    path, folder = scratch_path(spark, "stream-sessions"), scratch_path(spark, "session-batches")
+    rows = bind.bound_events(table(spark, root, "events")).select("session_id", "line", "event_id", "kind")
+    early = F.col("line") % 2 == 0
+    for batch in (rows.filter(early).withColumn("generation", F.lit(0)), rows.filter(early).withColumn("generation", F.lit(1)), rows.filter(~early).withColumn("generation", F.lit(1))):
+        batch.coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema("session_id string, line bigint, event_id string, kind string, generation int").option("maxFilesPerTrigger", 1).parquet(folder)
+    stream = stream.select(*[F.col(c) for c in ("session_id", "line", "event_id", "kind", "generation")])
+    stream.writeStream.foreachBatch(ingest.session_sink(path)).option("checkpointLocation", scratch_path(spark, "stream-sessions-log")).trigger(availableNow=True).start().awaitTermination()
+    return ingest.current_sessions(spark, path).groupBy("session_id").agg(F.count(F.lit(1)).alias("rows"))

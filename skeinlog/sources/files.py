@@ -34,9 +34,17 @@ def read_lines(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> Data
     the splits before it are added. Only one row per split is shuffled for that. ``torn`` marks the last line
     of a file that does not end in a newline: the bytes of the file then fall one short of its lines.
     """
+    return _numbered(spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("lineSep", "\n").text(root))
+
+
+def read_files(spark: SparkSession, names: list[str]) -> DataFrame:
+    """The same for the named files."""
+    return _numbered(spark.read.option("lineSep", "\n").text(names))
+
+
+def _numbered(text: DataFrame) -> DataFrame:
     scan = (
-        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("lineSep", "\n").text(root)
-        .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"),
+        text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"),
                 F.col("_metadata.file_size").alias("_size"), F.monotonically_increasing_id().alias("_id"), F.col("value").alias("text"))
     )
     splits = scan.groupBy("file", "_start").agg(

@@ -1,170 +1,94 @@
-"""Growing transcript files as a stream, and sinks that replace sessions.
+"""Growing transcript files taken in step by step, and a sink that keeps each session's newest generation.
 
-Offsets are byte positions. Only newline-terminated bytes are taken; a file whose accepted prefix has
-changed is read again from its start under a new generation, and its session rows are replaced.
+A manifest names the files taken in so far, with size, time and digest. A step lists the folder, without content, and
+anti-joins the manifest; files that are new or differ are read again whole, and exactly their rows are replaced. Both
+tables have one partition a step, which a repeated step overwrites, and a step looks at earlier steps only: run again
+after a failure, it leaves the same rows.
 """
 
 from __future__ import annotations
 
-import hashlib
-import json
-import os
-from collections.abc import Iterator
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
-
-from skeinlog.streaming import versions
-
-SCHEMA = "file string, generation bigint, position bigint, text string"
-CHUNK_BYTES = 64 * 1024 * 1024
-TAIL_BYTES = 4096
-
-
-class Chunk(InputPartition):
-    def __init__(self, file: str, generation: int, start: int, end: int, limit: int):
-        self.file, self.generation, self.start, self.end, self.limit = file, generation, start, end, limit
-
-
-def _tail_digest(path: str, upto: int) -> str:
-    with open(path, "rb") as f:
-        f.seek(max(0, upto - TAIL_BYTES))
-        return hashlib.sha256(f.read(min(upto, TAIL_BYTES))).hexdigest()
-
-
-def _committed_size(path: str) -> int:
-    """Size up to and including the last newline, found from the end."""
-    size = os.path.getsize(path)
-    with open(path, "rb") as f:
-        at = size
-        while at > 0:
-            step = min(TAIL_BYTES, at)
-            f.seek(at - step)
-            found = f.read(step).rfind(b"\n")
-            if found >= 0:
-                return at - step + found + 1
-            at -= step
-    return 0
-
-
-class TranscriptReader(DataSourceStreamReader):
-    def __init__(self, root: str, suffix: str, ledger: str = ""):
-        self.root, self.suffix, self.ledger = root, suffix, ledger
-
-    def initialOffset(self) -> dict:
-        return {}
-
-    def _known(self) -> dict:
-        """Offsets of the last batch; after a restart they come from the ledger file, when one is named."""
-        if not hasattr(self, "_last"):
-            self._last = {}
-            if self.ledger and os.path.exists(self.ledger):
-                with open(self.ledger) as f:
-                    self._last = json.load(f)
-        return self._last
-
-    def latestOffset(self) -> dict:
-        """Per file: generation, committed bytes, digest of the bytes before that. Reads a few KB per file."""
-        known, latest = self._known(), {}
-        for folder, _, names in os.walk(self.root):
-            for name in sorted(names):
-                if not name.endswith(self.suffix):
-                    continue
-                path = os.path.join(folder, name)
-                size = _committed_size(path)
-                generation, seen, digest = known.get(path, [0, 0, ""])
-                if seen and (size < seen or _tail_digest(path, seen) != digest):
-                    generation += 1
-                latest[path] = [generation, size, _tail_digest(path, size)]
-        self._last = latest
-        return latest
-
-    def partitions(self, start: dict, end: dict) -> list[Chunk]:
-        chunks = []
-        for path, (generation, size, _) in end.items():
-            before = start.get(path, [generation, 0, ""])
-            begin = before[1] if before[0] == generation else 0
-            for at in range(begin, size, CHUNK_BYTES):
-                chunks.append(Chunk(path, generation, at, min(at + CHUNK_BYTES, size), begin))
-        return chunks
-
-    def read(self, partition: Chunk) -> Iterator[tuple]:
-        """Lines that begin inside the chunk; a line crossing the end is finished, one crossing the start skipped."""
-        with open(partition.file, "rb") as f:
-            if partition.start > partition.limit:
-                f.seek(partition.start - 1)
-                f.readline()
-            else:
-                f.seek(partition.start)
-            at = f.tell()
-            while at < partition.end:
-                line = f.readline()
-                if not line:
-                    break
-                yield partition.file, partition.generation, at, line.rstrip(b"\r\n").decode("utf-8", "replace")
-                at += len(line)
-
-    def commit(self, end: dict) -> None:
-        self._last = end
-        if self.ledger:
-            with open(self.ledger + ".new", "w") as f:
-                json.dump(end, f)
-            os.replace(self.ledger + ".new", self.ledger)
-
-
-class TranscriptSource(DataSource):
-    """``spark.readStream.format("transcript_lines").load(root)``; option ``suffix`` selects the files.
-
-    Option ``ledger`` names a file in the shared folder that keeps the offsets over a restart, so that a file
-    rewritten while the stream was down is noticed too.
-    """
-
-    @classmethod
-    def name(cls) -> str:
-        return "transcript_lines"
-
-    def schema(self) -> str:
-        return SCHEMA
-
-    def streamReader(self, schema) -> TranscriptReader:
-        return TranscriptReader(self.options["path"], self.options.get("suffix", ".jsonl"), self.options.get("ledger", ""))
-
-
-def register(spark: SparkSession) -> None:
-    spark.dataSource.register(TranscriptSource)
-
-
-def read_stream(spark: SparkSession, root: str, suffix: str = ".jsonl", ledger: str = "") -> DataFrame:
-    register(spark)
-    return spark.readStream.format("transcript_lines").option("suffix", suffix).option("ledger", ledger).load(root)
-
-
-def current_generation(rows: DataFrame) -> DataFrame:
-    """Rows of the latest generation of each file; rows of a replaced prefix drop out."""
-    last = rows.groupBy("file").agg(F.max("generation").alias("generation"))
-    return rows.join(last, ["file", "generation"], "left_semi")
-
-
-def replace_sessions(path: str, key: str = "session_id", buckets: int = 256):
-    """``foreachBatch`` sink: rows of the sessions a batch holds replace the stored ones.
-
-    Each batch writes a whole new version and then logs it, so a lost executor or a repeated batch leaves a
-    readable version behind.
-    """
+
+from skeinlog.sources import files
+
+LINES = "file string, line bigint, text string, step bigint"
+MANIFEST = "file string, bytes bigint, mtime timestamp, lines bigint, file_digest string, step bigint"
+
+
+def _overwrite(rows: DataFrame, path: str, part: str) -> None:
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
+
+
+def listing(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame:
+    """Files below ``root`` with size and time; their content is not read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root).select(
+        F.col("path").alias("file"), F.col("length").alias("bytes"), F.col("modificationTime").alias("mtime"))
+
+
+class GrowingFiles:
+    """Lines of the files below ``root``, kept in two tables below ``store``, a folder that all executors share."""
+
+    def __init__(self, spark: SparkSession, root: str, store: str, pattern: str = "*.jsonl"):
+        self.spark, self.root, self.pattern = spark, root, pattern
+        self.lines_path, self.manifest_path = f"{store}/lines", f"{store}/manifest"
+        for path, ddl in ((self.lines_path, LINES), (self.manifest_path, MANIFEST)):
+            spark.createDataFrame([], ddl).write.mode("append").partitionBy("step").parquet(path)
+
+    def manifest(self, before: int | None = None) -> DataFrame:
+        """The newest row of each file."""
+        rows = self.spark.read.schema(MANIFEST).parquet(self.manifest_path)
+        rows = rows if before is None else rows.filter(F.col("step") < before)
+        newest = Window.partitionBy("file").orderBy(F.desc("step"))
+        return rows.withColumn("_n", F.row_number().over(newest)).filter("_n = 1").drop("_n")
+
+    def changed(self, step: int, by_content: bool = False) -> DataFrame:
+        """Files that the steps before this one don't know as they are. ``by_content`` compares digests of whole files
+        too, which reads them all, and so notices a rewrite that kept size and time."""
+        now = listing(self.spark, self.root, self.pattern)
+        keys = ["file", "bytes", "mtime"]
+        if by_content:
+            digests = files.file_digests(files.committed(files.read_lines(self.spark, self.root, self.pattern)))
+            now, keys = now.join(digests.select("file", "file_digest"), "file", "left").fillna("", ["file_digest"]), [*keys, "file_digest"]
+        return files.changed_files(now, self.manifest(step), keys).select("file", "bytes", "mtime")
+
+    def take_in(self, step: int, by_content: bool = False) -> list[str]:
+        """Read the changed files and commit their finished lines as step ``step``; steps are taken in rising order.
+
+        The names of the changed files pass the driver, as the names of all files do in any listing.
+        """
+        found = self.changed(step, by_content).collect()
+        names = [r.file for r in found]
+        if names:
+            lines = files.committed(files.read_files(self.spark, names)).select("file", "line", "text", F.lit(step).cast("bigint").alias("step"))
+        else:
+            lines = self.spark.createDataFrame([], LINES)
+        _overwrite(lines, self.lines_path, "step")
+        own = self.spark.read.schema(LINES).parquet(self.lines_path).filter(F.col("step") == step)
+        known = self.spark.createDataFrame(found, "file string, bytes bigint, mtime timestamp")
+        rows = known.join(files.file_digests(own), "file", "left").select(
+            "file", "bytes", "mtime", F.coalesce("lines", F.lit(0)).cast("bigint").alias("lines"), F.coalesce("file_digest", F.lit("")).alias("file_digest"),
+            F.lit(step).cast("bigint").alias("step"))
+        _overwrite(rows, self.manifest_path, "step")
+        return names
+
+    def lines(self) -> DataFrame:
+        """Lines of every file as it was when it was last taken in."""
+        rows = self.spark.read.schema(LINES).parquet(self.lines_path)
+        return rows.join(self.manifest().select("file", "step"), ["file", "step"], "left_semi").drop("step")
+
+
+def session_sink(path: str):
+    """``foreachBatch`` sink of rows that name their session's ``generation``: rows of one generation add up over the
+    batches, and a higher one replaces those before. A repeated batch overwrites its own rows only."""
     def write(batch: DataFrame, epoch: int) -> None:
-        if batch.isEmpty():
-            return
-        spark = batch.sparkSession
-        rows = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)))
-        old = versions.latest(spark, path, before=epoch)
-        if old is not None:
-            rows = old.join(batch.select(key).distinct(), key, "left_anti").unionByName(rows)
-        target = versions.target(path, epoch)
-        rows.write.mode("overwrite").partitionBy("bucket").parquet(target)
-        versions.publish(spark, path, epoch)
+        _overwrite(batch.withColumn("epoch", F.lit(epoch).cast("bigint")), path, "epoch")
     return write
 
 
-def read_current(spark: SparkSession, path: str) -> DataFrame:
-    return versions.latest(spark, path).drop("bucket")
+def current_sessions(spark: SparkSession, path: str, key: str = "session_id") -> DataFrame:
+    """The rows of each session's highest generation."""
+    rows = spark.read.parquet(path).drop("epoch")
+    newest = rows.groupBy(key).agg(F.max("generation").alias("generation"))
+    return rows.join(newest, [key, "generation"], "left_semi")

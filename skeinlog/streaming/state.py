@@ -1,38 +1,45 @@
 """Forward-only state per session: what a batch fold carries from row to row, a stream carries from batch to batch.
 
-Every micro-batch is folded with the same code as a batch table, on top of the states of the batch before,
-so a session that fills a batch is still spread over blocks. The state is a few values per session (or per
-waiting cell) and never grows with the rows seen. Physical order rules: rows are taken by line, late
-timestamps are kept and reported, nothing is dropped and no watermark is used.
+The state is a few values per session (or per waiting cell), kept in Spark's state store; it never grows with the rows
+seen. Rows of a micro-batch are taken by line. A row that comes with a line before those already taken can't be folded in
+any more: it is given out as ``late``, with nothing else said about it. Late timestamps are kept and reported, nothing is
+dropped and no watermark is used.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import DataStreamWriter
+import json
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from skeinlog.functions import vocabulary as V
-from skeinlog.operators.folds import fold_increment
-from skeinlog.streaming import versions
 
 
-def stateful_sink(path: str, keys: list[str], order: str, step, initial: dict, output: str):
-    """``foreachBatch`` sink: outputs go to one folder per batch, states to a versioned table."""
-    def write(batch: DataFrame, epoch: int) -> None:
-        if batch.isEmpty():
-            return
-        spark = batch.sparkSession
-        old = versions.latest(spark, f"{path}/state", before=epoch)
-        outputs, ends = fold_increment(batch, keys, order, step, initial, output, old)
-        outputs.write.mode("overwrite").parquet(f"{path}/out/epoch={epoch}")
-        kept = ends if old is None else ends.unionByName(old.join(ends.select(*keys), keys, "left_anti"))
-        kept.write.mode("overwrite").parquet(versions.target(f"{path}/state", epoch))
-        versions.publish(spark, f"{path}/state", epoch)
-    return write
+def stateful(rows: DataFrame, keys: list[str], order: str, step: Callable[[dict, dict], dict], initial: dict, output: str) -> DataFrame:
+    """A stream of the keys, the order column, ``late`` and what ``step(state, row)`` returns for each row of ``rows``."""
+    taken, given = to_arrow_schema(rows.schema), T.StructType.fromDDL(output)
+    schema = T.StructType([*(rows.schema[c] for c in [*keys, order]), T.StructField("late", T.BooleanType()), *given.fields])
+    names, nothing = schema.fieldNames(), dict.fromkeys(given.fieldNames())
 
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = json.loads(state.get[0]) if state.exists else {"state": json.loads(json.dumps(initial)), "last": None}
+        batch = pa.concat_tables([pa.Table.from_pandas(p, taken, preserve_index=False) for p in parts]).sort_by(order)
+        last, out = held["last"], []
+        for row in batch.to_pylist():
+            late = last is not None and row[order] <= last
+            out.append({**{c: row[c] for c in [*keys, order]}, "late": late, **(nothing if late else step(held["state"], row))})
+        if batch.num_rows:
+            held["last"] = max(row[order] for row in out if not row["late"]) if not all(row["late"] for row in out) else last
+        state.update((json.dumps(held),))
+        yield pd.DataFrame(out, columns=names, dtype=object)
 
-def outputs(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/out").drop("epoch")
+    return rows.groupBy(*keys).applyInPandasWithState(run, schema, "state string", "append", GroupStateTimeout.NoTimeout)
 
 
 def cache_step(state: dict, row: dict) -> dict:
@@ -75,12 +82,12 @@ CACHE_INITIAL = {"model": "", "generation": 0, "previous": None}
 CACHE_OUTPUT = "event_id string, is_token boolean, state string, reuse_bps bigint, previous_event_id string, elapsed_ms bigint"
 
 
-def cache_observations(rows: DataFrame, path: str) -> DataStreamWriter:
+def cache_observations(rows: DataFrame) -> DataFrame:
     """Streaming cache observations; equal to the batch operator on the same rows."""
-    return rows.writeStream.foreachBatch(stateful_sink(path, ["session_id"], "line", cache_step, CACHE_INITIAL, CACHE_OUTPUT))
+    return stateful(rows, ["session_id"], "line", cache_step, CACHE_INITIAL, CACHE_OUTPUT)
 
 
-def scripted_operations(rows: DataFrame, path: str) -> DataStreamWriter:
+def scripted_operations(rows: DataFrame) -> DataFrame:
     """Waiting scripted operations over a stream: closed by a boundary row's epoch, not by time."""
     from skeinlog.operators.lifecycle import _cell_step
-    return rows.writeStream.foreachBatch(stateful_sink(path, ["session_id", "cell_id"], "line", _cell_step, {"open": []}, "operation string, outcome string"))
+    return stateful(rows, ["session_id", "cell_id"], "line", _cell_step, {"open": []}, "operation string, outcome string")

@@ -1,80 +1,94 @@
 import json
+import os
+import random
 
 from pyspark.sql import functions as F
 
 from conftest import ROOT
-from skeinlog.operators import cache
 from skeinlog.functions import numbers
+from skeinlog.operators import cache, lifecycle
 from skeinlog.plans.cache_queries import accounting_rows
 from skeinlog.streaming import ingest, state
+from test_folds import OWNERSHIP, looped, ownership_rows
 
 
-def test_stream_in_many_batches_equals_batch(spark, tmp_path, tiny_blocks):
-    rows = accounting_rows(spark, ROOT).withColumn("ms", numbers.epoch_ms(F.col("ts_text")))
-    spark.conf.set("spark.skeinlog.block.rows", "200")
-    source = tmp_path / "in"
-    for part, cut in enumerate([(0, 300), (300, 301), (301, 1000)]):
-        rows.filter((F.col("line") >= cut[0]) & (F.col("line") < cut[1])).coalesce(1).write.mode("append").parquet(str(source))
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(source)).drop("turn_id", "ts_text")
+def drained(stream, spark, tmp_path):
     path = str(tmp_path / "out")
-    state.cache_observations(stream, path).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start().awaitTermination()
-    got = {r.event_id: (r.state, r.reuse_bps, r.previous_event_id, r.elapsed_ms) for r in state.outputs(spark, path).filter("is_token").collect()}
+    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(path)
+
+
+def in_parts(rows, cuts, source):
+    for lo, hi in cuts:
+        rows.filter((F.col("line") >= lo) & (F.col("line") < hi)).coalesce(1).write.mode("append").parquet(str(source))
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(source))
+
+
+def test_stream_in_many_batches_equals_batch(spark, tmp_path):
+    rows = accounting_rows(spark, ROOT).withColumn("ms", numbers.epoch_ms(F.col("ts_text"))).drop("turn_id", "ts_text")
+    stream = in_parts(rows, [(0, 300), (300, 301), (301, 1000)], tmp_path / "in")
+    found = drained(state.cache_observations(stream), spark, tmp_path).filter("is_token").collect()
+    got = {r.event_id: (r.state, r.reuse_bps, r.previous_event_id, r.elapsed_ms) for r in found}
     batch = cache.observe(accounting_rows(spark, ROOT)).collect()
-    assert got == {r.event_id: (r.state, r.reuse_bps, r.previous_event_id, r.elapsed_ms) for r in batch}
+    assert got == {r.event_id: (r.state, r.reuse_bps, r.previous_event_id, r.elapsed_ms) for r in batch} and not any(r.late for r in found)
+
+
+def test_any_step_in_parts_equals_one_run_and_late_rows_are_named(spark, tmp_path):
+    rows = ownership_rows(random.Random(6), 90)
+
+    def step(held, row):
+        made = lifecycle._ownership_step(held, row)
+        return {n: made[n] for n in ("owner", "conflict")}
+    table = spark.createDataFrame(rows, OWNERSHIP)
+    stream = in_parts(table, [(0, 30), (30, 31), (31, 90), (10, 12)], tmp_path / "in")
+    found = drained(state.stateful(stream, ["session_id"], "line", step, lifecycle.TURN_START, "owner string, conflict string"), spark, tmp_path).collect()
+    assert {(r.session_id, r.line): (r.owner, r.conflict) for r in found if not r.late} == looped(rows, ["session_id"], "line", lifecycle._ownership_step, lifecycle.TURN_START, ["owner", "conflict"])
+    assert sum(r.late for r in found) == sum(10 <= r["line"] < 12 for r in rows)
 
 
-def run(spark, root, out, log):
-    q = ingest.read_stream(spark, root).writeStream.format("parquet").option("path", out).option("checkpointLocation", log).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return ingest.current_generation(spark.read.parquet(out))
+def numbers_of(taken):
+    return sorted(json.loads(r.text)["n"] for r in taken.lines().collect())
 
 
-def test_growing_files_torn_tails_and_changed_prefix(spark, tmp_path):
-    root, out, log = tmp_path / "t", str(tmp_path / "o"), str(tmp_path / "l")
+def test_growing_and_rewritten_files(spark, tmp_path):
+    root = tmp_path / "t"
     root.mkdir()
-    one = root / "one.jsonl"
+    one, two = root / "one.jsonl", root / "two.jsonl"
+    taken = ingest.GrowingFiles(spark, str(root), str(tmp_path / "store"))
     one.write_text('{"n":1}\n{"n":2}\n{"n":')
-    rows = run(spark, str(root), out, log)
-    assert sorted(json.loads(r.text)["n"] for r in rows.collect()) == [1, 2]
-    one.write_text('{"n":1}\n{"n":2}\n{"n":3}\n')
-    (root / "two.jsonl").write_text('{"n":9}\n')
-    rows = run(spark, str(root), out, log)
-    assert sorted(json.loads(r.text)["n"] for r in rows.collect()) == [1, 2, 3, 9]
-    assert {r.generation for r in rows.collect()} == {0}
-
-
-def test_reader_splits_lines_once(tmp_path):
-    path = tmp_path / "x.jsonl"
-    path.write_text("".join(f'{{"n":{i}}}\n' for i in range(100)))
-    reader = ingest.TranscriptReader(str(tmp_path), ".jsonl")
-    end = reader.latestOffset()
-    size = end[str(path)][1]
-    for width in (7, 50, size):
-        seen = []
-        for at in range(0, size, width):
-            seen += [json.loads(t)["n"] for _, _, _, t in reader.read(ingest.Chunk(str(path), 0, at, min(at + width, size), 0))]
-        assert seen == list(range(100))
-
-
-def test_reader_restarts_a_rewritten_file(tmp_path):
-    path = tmp_path / "x.jsonl"
-    path.write_text('{"n":1}\n')
-    reader = ingest.TranscriptReader(str(tmp_path), ".jsonl")
-    first = reader.latestOffset()
-    reader.commit(first)
-    path.write_text('{"n":7}\n{"n":8}\n')
-    second = reader.latestOffset()
-    chunks = reader.partitions(first, second)
-    assert [(c.generation, c.start) for c in chunks] == [(1, 0)]
-    assert len(list(reader.read(chunks[0]))) == 2
-
-
-def test_ledger_notices_a_rewrite_after_a_restart(tmp_path):
-    path, ledger = tmp_path / "x.jsonl", str(tmp_path / "ledger")
+    assert len(taken.take_in(1)) == 1 and numbers_of(taken) == [1, 2]
+    one.write_text('{"n":1}\n{"n":2}\n{"n":3}\n')  # appended to
+    two.write_text('{"n":9}\n')
+    assert len(taken.take_in(2)) == 2 and numbers_of(taken) == [1, 2, 3, 9]
+    assert taken.take_in(3) == [] and numbers_of(taken) == [1, 2, 3, 9]
+    one.write_text('{"n":7}\n{"n":2}\n{"n":3}\n' + " " * 9000 + '\n{"n":4}\n'.replace("\n", "", 1))  # changed far above the end
+    again = ingest.GrowingFiles(spark, str(root), str(tmp_path / "store"))  # after a restart
+    assert len(again.take_in(4)) == 1
+    assert sorted(r.text.strip() for r in again.lines().collect()) == ['{"n":2}', '{"n":3}', '{"n":4}', '{"n":7}', '{"n":9}']
+    again.take_in(4)  # a step that is run again
+    assert again.lines().count() == 5 and again.manifest().count() == 2
+
+
+def test_a_rewrite_of_equal_size_and_time_shows_by_content(spark, tmp_path):
+    root = tmp_path / "t"
+    root.mkdir()
+    path = root / "x.jsonl"
     path.write_text('{"n":1}\n')
-    reader = ingest.TranscriptReader(str(tmp_path), ".jsonl", ledger)
-    first = reader.latestOffset()
-    reader.commit(first)
-    path.write_text('{"n":7}\n{"n":8}\n')
-    again = ingest.TranscriptReader(str(tmp_path), ".jsonl", ledger)
-    assert [(c.generation, c.start) for c in again.partitions(first, again.latestOffset())] == [(1, 0)]
+    taken = ingest.GrowingFiles(spark, str(root), str(tmp_path / "store"))
+    taken.take_in(1)
+    stat = os.stat(path)
+    path.write_text('{"n":5}\n')
+    os.utime(path, ns=(stat.st_atime_ns, stat.st_mtime_ns))
+    assert taken.take_in(2) == [] and len(taken.take_in(3, by_content=True)) == 1 and numbers_of(taken) == [5]
+
+
+def test_session_sink_adds_within_a_generation_and_replaces_below_it(spark, tmp_path):
+    path, put = str(tmp_path / "s"), ingest.session_sink(str(tmp_path / "s"))
+    rows = lambda *some: spark.createDataFrame(some, "session_id string, generation int, line int")
+    put(rows(("a", 0, 1), ("a", 0, 2), ("b", 0, 1)), 0)
+    put(rows(("a", 0, 3)), 1)
+    put(rows(("a", 0, 3)), 1)  # the batch comes twice
+    see = lambda: sorted((r.session_id, r.line) for r in ingest.current_sessions(spark, path).collect())
+    assert see() == [("a", 1), ("a", 2), ("a", 3), ("b", 1)]
+    put(rows(("a", 1, 1)), 2)
+    assert see() == [("a", 1), ("b", 1)]
