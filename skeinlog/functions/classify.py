@@ -186,11 +186,16 @@ def kind_group_dimension(spark: SparkSession) -> DataFrame:
 
 
 def with_tool_kind(calls: DataFrame, spark: SparkSession) -> DataFrame:
-    """Kind of a call by its registered tool name, else by its name pattern."""
-    dim = tool_dimension(spark).select("tool_name", F.col("ordinary_kind").alias("_kind"))
-    name = F.col("tool_name")
-    pattern = F.when(name.rlike("^(mcp__|mcp:)"), "mcp_call").otherwise("other_tool_call")
-    return calls.join(F.broadcast(dim), "tool_name", "left").withColumn("tool_kind", F.coalesce("_kind", pattern)).drop("_kind")
+    """Kind of a call by its family's registered tool names, else by its name pattern. ``calls`` has tool_name, and
+    family where it isn't codex; the other families' names are taken in any case."""
+    own = tool_dimension(spark).filter("tool_name <> 'web_search'").select(F.lit("codex").alias("_family"), F.col("tool_name").alias("_tool"), F.col("ordinary_kind").alias("_kind"))
+    others = spark.createDataFrame([("codex", "web_search", "web_search"), *V.FAMILY_TOOLS], "_family string, _tool string, _kind string")
+    dim = own.unionByName(others).dropDuplicates(["_family", "_tool"])
+    family = F.col("family") if "family" in calls.columns else F.lit("codex")
+    name = F.when(family == "codex", F.col("tool_name")).otherwise(F.lower("tool_name"))
+    pattern = F.when(name.rlike("^(mcp__|mcp:)") & (family != "deepseek"), "mcp_call").otherwise("other_tool_call")
+    met = calls.join(F.broadcast(dim), (family == F.col("_family")) & (name == F.col("_tool")), "left")  # some fifty rows
+    return met.withColumn("tool_kind", F.coalesce("_kind", pattern)).drop("_family", "_tool", "_kind")
 
 
 def with_overrides(events: DataFrame, overrides: DataFrame, profile: tuple[dict, str, dict]) -> DataFrame:

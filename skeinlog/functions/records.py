@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from skeinlog.functions import numbers, text
-from skeinlog.functions.search_json import has_only_keys
+from skeinlog.functions.search_json import has_only_keys, token_leaves
 
 
 def get(record: Column, path: str, kind: str = "string") -> Column:
@@ -60,22 +60,13 @@ def token_accounting(record: Column) -> Column:
 
 
 def token_entries(record: Column) -> Column:
-    """Numeric leaves of the usage node down to two levels, limits and rates left out."""
-    top = get(record, "$.payload.info", "map<string,variant>")
-
-    def number(v: Column) -> Column:
-        return F.try_variant_get(v, "$", "double")
-
-    def entry(path: Column, field: Column, value: Column) -> Column:
-        return F.struct(path.alias("path"), field.alias("field"), value.alias("value"))
-
-    def plain(name: Column) -> Column:
-        return ~name.rlike("(?i)limit|quota|rate")
-    first = F.transform(F.map_entries(top), lambda e: entry(F.concat(F.lit("info."), e["key"]), e["key"], number(e["value"])))
-    nested = F.flatten(F.transform(F.map_entries(top), lambda e: F.transform(
-        F.coalesce(F.map_entries(F.try_variant_get(e["value"], "$", "map<string,variant>")), F.array().cast("array<struct<key:string,value:variant>>")),
-        lambda i: entry(F.concat(F.lit("info."), e["key"], F.lit("."), i["key"]), i["key"], number(i["value"])))))
-    return F.filter(F.concat(first, nested), lambda x: x["value"].isNotNull() & plain(x["path"]))
+    """Numeric leaves of the usage node, at any depth; limits and rates are left out, known fields come first.
+
+    The node is ``info``, or the payload where it has none. Only records that have it are walked in Python.
+    """
+    info = F.try_variant_get(record, "$.payload.info", "string")
+    held = F.substring(kind_at(record, "$.payload.info"), 1, 6) == "OBJECT"
+    return token_leaves(F.when(held, "info").otherwise(""), F.when(held, info).otherwise(F.try_variant_get(record, "$.payload", "string")))
 
 
 def usage_limits(record: Column) -> Column:

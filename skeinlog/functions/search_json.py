@@ -139,6 +139,37 @@ def residual_keys(record: Column, known: list[str]) -> Column:
     return F.array_except(F.json_object_keys(record), F.array(*[F.lit(k) for k in known]))
 
 
+# Usage fields in the order in which they are shown, before all others, and the names left out.
+USAGE_ORDER = [
+    "input_tokens", "cached_input_tokens", "cache_creation_input_tokens", "cache_read_input_tokens", "output_tokens",
+    "reasoning_output_tokens", "total_tokens",
+]
+NO_USAGE = re.compile("limit|quota|rate", re.I)
+
+
+def _leaves(root: str, node: object) -> list[dict]:
+    found, waiting = [], [((root,) if root else (), node)]
+    while waiting:
+        path, here = waiting.pop()
+        for name, value in here.items() if isinstance(here, dict) else ():
+            if NO_USAGE.search(name):
+                continue
+            if isinstance(value, dict):
+                waiting.append(((*path, name), value))
+            elif isinstance(value, (int, float)) and not isinstance(value, bool):
+                found.append({"path": ".".join((*path, name)), "field": name, "value": float(value)})
+    place = {name: i for i, name in enumerate(USAGE_ORDER)}
+    return sorted(found, key=lambda leaf: (place.get(leaf["field"], len(place)), leaf["path"]))
+
+
+def token_leaves(root: Column, node: Column) -> Column:
+    """Array of (path, field, value) of the numbers in a JSON object, each path starting with ``root`` unless that is empty."""
+    def run(roots: pd.Series, nodes: pd.Series) -> pd.Series:
+        return pd.Series([_leaves(r, json.loads(n)) if n else [] for r, n in zip(roots, nodes, strict=True)], dtype=object)
+    run.__annotations__ = {"roots": pd.Series, "nodes": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "array<struct<path:string,field:string,value:double>>")(root, node)
+
+
 LOST = "�?"
 
 

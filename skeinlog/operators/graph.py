@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from skeinlog.operators import ordered
 from skeinlog.session import materialize
 
-MAX_ROUNDS = 40
-
 
 def chains(edges: DataFrame) -> DataFrame:
     """Root, depth and cycle flag of every node of a parent forest, by pointer doubling.
@@ -70,19 +68,22 @@ def nearest_ancestor_value(records: DataFrame) -> DataFrame:
     """Value of the nearest ancestor that has one, the row itself included.
 
     ``records``: session_id, uuid, parent_uuid, value. Pointer doubling: rows with a value are settled, the
-    others take over the value or the pointer of the row they point to.
+    others take over the value or the pointer of the row they point to. A pointer that has gone further than its session
+    has rows is on a cycle, or leads to one, and finds no value.
     """
     keys = ["session_id", "uuid"]
     first = records.groupBy(*keys).agg(F.max(F.struct("line", "parent_uuid", "value")).alias("r")).select(*keys, "r.parent_uuid", "r.value")
     state = first.select(*keys, F.when(F.col("value").isNull(), F.col("parent_uuid")).alias("up"), "value")
     state = materialize(state, "ancestors")
-    for _ in range(MAX_ROUNDS):
+    longest, span = state.groupBy("session_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0, 1
+    while span <= 2 * longest:
         live = state.filter("up is not null")
         if live.isEmpty():
             break
         far = state.select("session_id", F.col("uuid").alias("up"), F.col("up").alias("_up"), F.col("value").alias("_v"))
         moved = live.join(far, ["session_id", "up"], "left").select(*keys, F.when(F.col("_v").isNull(), F.col("_up")).alias("up"), F.col("_v").alias("value"))
         state = materialize(state.filter("up is null").unionByName(moved), "ancestors")
+        span *= 2
     return state.select(*keys, "value")
 
 

@@ -41,12 +41,16 @@ def last_index_entries(lines: DataFrame) -> DataFrame:
         F.max_by("title", "line").alias("index_title"), F.max_by("updated_at", "line").alias("index_updated_at"))
 
 
+#: A session's list of failed commands, where one is shown, ends here; their number doesn't.
+LISTED_FAILURES = 100
+
+
 def summary_rows(events: DataFrame, parent: Column) -> DataFrame:
     """One row per session with totals, its five most used tools and its parent when that is known."""
     failed = F.count_if((F.col("layer") != "protocol") & (F.col("kind") == "command") & (F.col("status") == "failed"))
     totals = events.groupBy("session_id").agg(
         F.count(F.lit(1)).alias("raw_event_count"), F.count_if(F.col("layer") == "protocol").alias("protocol_count"),
-        F.least(F.lit(100).cast("bigint"), failed).alias("failed_command_count"))
+        failed.alias("failed_command_count"), F.least(F.lit(LISTED_FAILURES).cast("bigint"), failed).alias("failed_commands_listed"))
     top = aggregates.top_per_session(aggregates.tool_usage(events), "tool_name").groupBy("session_id").agg(
         F.sort_array(F.collect_list(F.struct("position", "tool_name", "uses"))).alias("tools"))
     text_of = F.array_join(F.transform("tools", lambda t: F.concat(t["tool_name"], F.lit(":"), t["uses"].cast("string"))), ",")
@@ -54,7 +58,7 @@ def summary_rows(events: DataFrame, parent: Column) -> DataFrame:
     return (
         totals.join(top, "session_id", "left").withColumn("_parent", parent)
         .join(known, F.col("_parent") == F.col("parent_session_id"), "left")
-        .select("session_id", "raw_event_count", "protocol_count", "failed_command_count",
+        .select("session_id", "raw_event_count", "protocol_count", "failed_command_count", "failed_commands_listed",
                 F.coalesce(text_of, F.lit("")).alias("top_tools"), F.coalesce("parent_session_id", F.lit("")).alias("parent_session_id"))
     )
 

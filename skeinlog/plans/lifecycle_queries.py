@@ -131,12 +131,12 @@ def _(spark, root):
 @query("lif_14_partial_messages", bind.with_events("""
 WITH c AS (SELECT session_id, line // 2500 AS turn, k % 2 AS step, 'text' AS channel, line, search_text AS text FROM ev WHERE role = 'assistant'),
 o AS (SELECT * FROM c WHERE (session_id, turn, step) NOT IN (SELECT (session_id, line // 2500, k % 2) FROM ev WHERE role = 'user' AND k % 3 = 0))
-SELECT session_id, turn, step, channel, count(*) AS chunks, left(string_agg(text, '' ORDER BY line), 3000) AS text FROM o GROUP BY 1, 2, 3, 4"""))
+SELECT session_id, turn, step, channel, count(*) AS chunks, left(string_agg(text, '' ORDER BY line), 16000) AS text FROM o GROUP BY 1, 2, 3, 4"""))
 def _(spark, root):
     ev = bind.events(spark, root)
     step = [F.floor(F.col("line") / 2500).alias("turn"), (F.col("k") % 2).alias("step")]
     chunks = ev.filter("role = 'assistant'").select("session_id", *step, F.lit("text").alias("channel"), "line", F.col("search_text").alias("text"))
-    return lifecycle.partial_messages(chunks, ev.filter("role = 'user' and k % 3 = 0").select("session_id", *step), 3000)
+    return lifecycle.partial_messages(chunks, ev.filter("role = 'user' and k % 3 = 0").select("session_id", *step))
 
 
 @query("lif_15_embedded_streams", """

@@ -327,12 +327,12 @@ def _(spark, root):
 
 
 @query("src_01_plain_wins", """
-WITH f AS (SELECT 'd/' || (doc_id // 2) || '.jsonl' AS logical_path, CASE WHEN doc_id % 2 = 0 THEN '.zst' ELSE '' END AS ext, doc_id, n_chars FROM documents WHERE doc_id % 10 <> 3)
+WITH f AS (SELECT 'd/' || (doc_id // 2) || '.jsonl' AS logical_path, CASE WHEN n_chars % 2 = 0 THEN '.zst' ELSE '' END AS ext, doc_id, n_chars FROM documents)
 SELECT logical_path, CASE WHEN bool_or(ext = '') THEN logical_path ELSE logical_path || '.zst' END AS file, NOT bool_or(ext = '') AS compressed FROM f GROUP BY 1""")
 def _(spark, root):
     n = F.col("doc_id")
-    name = F.concat(F.lit("d/"), F.floor(n / 2).cast("string"), F.lit(".jsonl"), F.when(n % 2 == 0, ".zst").otherwise(""))
-    listed = table(spark, root, "documents").filter("doc_id % 10 <> 3").select(name.alias("file"), F.col("n_chars").alias("bytes"), F.lit(0).alias("mtime"))
+    name = F.concat(F.lit("d/"), F.floor(n / 2).cast("string"), F.lit(".jsonl"), F.when(F.col("n_chars") % 2 == 0, ".zst").otherwise(""))
+    listed = table(spark, root, "documents").select(name.alias("file"), F.col("n_chars").alias("bytes"), F.lit(0).alias("mtime"))
     return files.prefer_plain(listed).select("logical_path", "file", "compressed")
 
 
@@ -373,7 +373,7 @@ def with_payload(spark, root):
     """Page texts with an embedded image payload."""
     p = table(spark, root, "pages")
     payload = F.concat(F.when(F.col("page_id") % 3 == 0, "iVBORw0K").when(F.col("page_id") % 3 == 1, "/9j/").otherwise("AAAA"), F.expr("repeat('QUJD', cast(page_id % 5 + 1 as int))"), F.when(F.col("page_id") % 2 == 0, "QQ==").otherwise(""))
-    return p.select("page_id", F.concat(F.lit("see data:image/png;base64,"), payload, F.lit(" and "), "url").alias("text"), "url")
+    return p.select("page_id", F.concat(F.lit("see data:image/png;base64,"), payload, F.lit(" and "), "html").alias("text"), "url")
 
 
 _PAYLOAD_SQL = """pl AS (SELECT page_id, url, (CASE page_id % 3 WHEN 0 THEN 'iVBORw0K' WHEN 1 THEN '/9j/' ELSE 'AAAA' END) || repeat('QUJD', CAST(page_id % 5 + 1 AS INT)) || CASE WHEN page_id % 2 = 0 THEN 'QQ==' ELSE '' END AS payload FROM pages)"""
@@ -385,7 +385,7 @@ def _(spark, root):
     return with_payload(spark, root).select("page_id", F.explode(R.image_refs(F.col("text"))).alias("i")).select("page_id", "i.mime", F.col("i.bytes").cast("bigint").alias("bytes"), "i.identity")
 
 
-@query("prj_26_redact_data_urls", "SELECT page_id, 'see [data URL omitted] and ' || url AS text FROM pages")
+@query("prj_26_redact_data_urls", "SELECT page_id, 'see [data URL omitted] and ' || html AS text FROM pages")
 def _(spark, root):
     return with_payload(spark, root).select("page_id", search_json.redact_data_urls(F.col("text")).alias("text"))
 
@@ -573,17 +573,17 @@ def _(spark, root):
 
 
 @query("prj_44_retry_facts", bind.with_events("""
-SELECT event_id, CASE WHEN k % 4 = 0 OR (k % 4 IN (1, 3) AND k <= 50) THEN k END AS retry FROM ev WHERE k > 0"""))
+SELECT event_id, CASE WHEN k > 0 AND (k % 4 = 0 OR (k % 4 IN (1, 3) AND k <= 50)) THEN k END AS retry FROM ev"""))
 def _(spark, root):
     k = F.col("k")
     data = F.to_json(F.struct(F.lit("r").alias("retryId"), F.lit(1).alias("turn"), F.lit(1).alias("step"), F.when(k % 4 == 2, "").otherwise("p").alias("provider"), F.when(k % 4 == 0, "always").otherwise("normal").alias("mode"), k.alias("retry"), F.lit(50).alias("maxRetries"), F.lit(5).alias("delayMs")))
-    return bind.events(spark, root).filter("k > 0").select("event_id", R.retry_facts(data)["retry"].alias("retry"))
+    return bind.events(spark, root).select("event_id", R.retry_facts(data)["retry"].alias("retry"))
 
 
 @query("prj_46_analyzer_ids", """
-SELECT page_id, 'subagent:' || replace(replace(replace(replace(replace(replace(url, '%', '%25'), ':', '%3A'), '/', '%2F'), '?', '%3F'), '=', '%3D'), '&', '%26') || ':a%20b' AS id FROM pages WHERE NOT regexp_matches(url, '[^A-Za-z0-9:/?=&._-]')""")
+SELECT page_id, 'subagent:' || replace(replace(replace(replace(replace(url_encode(url), '%21', '!'), '%27', ''''), '%28', '('), '%29', ')'), '%2A', '*') || ':a%20b' AS id FROM pages""")
 def _(spark, root):
-    p = table(spark, root, "pages").filter(~F.col("url").rlike("[^A-Za-z0-9:/?=&._-]"))
+    p = table(spark, root, "pages")
     return p.select("page_id", R.analyzer_id("subagent", F.col("url"), F.lit("a b")).alias("id"))
 
 

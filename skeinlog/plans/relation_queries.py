@@ -106,10 +106,10 @@ def _(spark, root):
 
 FORKS_SQL = """pp AS (SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY line) - 1 AS pos, 'd' || line AS digest, ts_text, kind AS shape, layer, event_id, k, preview FROM ev),
 cu AS (SELECT session_id, 10 + CAST(session_id AS BIGINT) % 20 AS cut FROM ev GROUP BY 1),
-cc AS (SELECT 'f' || session_id AS session_id, 0 AS pos, 'meta' AS digest, '2024-01-10T00:00:00.000Z' AS ts_text, 'session_meta' AS shape FROM cu WHERE CAST(session_id AS BIGINT) % 4 = 0
+cc AS (SELECT 'f' || session_id AS session_id, 0 AS pos, 'meta' AS digest, '2024-01-10T00:00:00.000Z' AS ts_text, 'session_meta' AS shape FROM cu
   UNION ALL SELECT 'f' || session_id, pos + 1, CASE WHEN pos < cut THEN digest ELSE 'x' || digest END, ts_text, CASE WHEN pos < cut OR k % 2 = 0 THEN shape ELSE shape || '2' END
-  FROM pp JOIN cu USING (session_id) WHERE pos < cut + 5 AND CAST(session_id AS BIGINT) % 4 = 0),
-mt AS (SELECT 'f' || session_id AS session_id, session_id AS parent_id, least(cut, count(*)) AS matched, count(*) AS n FROM pp JOIN cu USING (session_id) WHERE CAST(session_id AS BIGINT) % 4 = 0 GROUP BY session_id, cut),
+  FROM pp JOIN cu USING (session_id) ),
+mt AS (SELECT 'f' || session_id AS session_id, session_id AS parent_id, least(cut, count(*)) AS matched, count(*) AS n FROM pp JOIN cu USING (session_id) GROUP BY session_id, cut),
 fk AS (SELECT m.session_id, m.parent_id, m.matched, '2024-01-10T00:00:00.000Z' AS forked_at FROM mt m WHERE m.matched = m.n OR (
   NOT EXISTS (SELECT 1 FROM pp WHERE pp.session_id = m.parent_id AND pos >= matched AND ts_text = '') AND (
     NOT EXISTS (SELECT 1 FROM pp WHERE pp.session_id = m.parent_id AND pos >= matched AND ts_text <= '2024-01-10T00:00:00.000Z')
@@ -125,17 +125,17 @@ def parent_rows(spark, root):
 
 
 def child_rows(parents):
-    """Fork children derived from every fourth session: a metadata row, a copied prefix, and rows of their own."""
+    """A fork child of every session: a metadata row, a copied prefix, and rows of its own for the rest."""
     user = F.col("session_id").cast("bigint")
     cut = 10 + user % 20
     own = F.col("pos") >= cut
     child = F.concat(F.lit("f"), "session_id").alias("session_id")
-    body = parents.filter((user % 4 == 0) & (F.col("pos") < cut + 5)).select(
+    body = parents.select(
         child, (F.col("pos") + 1).alias("pos"), F.when(own, F.concat(F.lit("x"), "digest")).otherwise(F.col("digest")).alias("digest"), "ts_text",
         F.when(~own | (F.col("k") % 2 == 0), F.col("shape")).otherwise(F.concat("shape", F.lit("2"))).alias("shape"))
-    head = parents.filter((user % 4 == 0) & (F.col("pos") == 0)).select(
+    head = parents.filter("pos = 0").select(
         child, F.lit(0).cast("bigint").alias("pos"), F.lit("meta").alias("digest"), F.lit(FORKED_AT).alias("ts_text"), F.lit("session_meta").alias("shape"))
-    relation = parents.filter((user % 4 == 0) & (F.col("pos") == 0)).select(child, F.col("session_id").alias("parent_id"))
+    relation = parents.filter("pos = 0").select(child, F.col("session_id").alias("parent_id"))
     return head.unionByName(body), relation
 
 

@@ -225,11 +225,16 @@ def _(spark, root):
 
 
 @query("prj_07_tool_kind", bind.with_events("""
-SELECT event_id, tool_name, CASE tool_name WHEN 'exec_command' THEN 'command' WHEN 'shell_command' THEN 'command' WHEN 'apply_patch' THEN 'patch'
-  ELSE (CASE WHEN starts_with(tool_name, 'mcp__') THEN 'mcp_call' ELSE 'other_tool_call' END) END AS tool_kind FROM ev WHERE tool_name <> '' AND tool_name <> 'web_search'"""))
+WITH t AS (SELECT event_id, f.family, tool_name AS name FROM ev, (VALUES ('codex'), ('claude'), ('deepseek')) f(family) WHERE tool_name <> ''),
+n AS (SELECT event_id, family, CASE WHEN family = 'codex' THEN name WHEN name IN ('exec_command', 'shell_command') THEN 'Bash' WHEN name = 'apply_patch' THEN 'MultiEdit' WHEN name = 'web_search' THEN 'WebFetch' ELSE name END AS tool_name FROM t)
+SELECT event_id, family, tool_name, CASE WHEN family = 'deepseek' THEN CASE WHEN tool_name = 'Bash' THEN 'command' ELSE 'other_tool_call' END
+  WHEN tool_name IN ('exec_command', 'shell_command', 'Bash') THEN 'command' WHEN tool_name IN ('apply_patch', 'MultiEdit') THEN 'patch' WHEN tool_name IN ('web_search', 'WebFetch') THEN 'web_search'
+  WHEN starts_with(tool_name, 'mcp__') THEN 'mcp_call' ELSE 'other_tool_call' END AS tool_kind FROM n"""))
 def _(spark, root):
-    ev = bind.events(spark, root).filter("tool_name <> '' and tool_name <> 'web_search'").select("event_id", "tool_name")
-    return classify.with_tool_kind(ev, spark).select("event_id", "tool_name", "tool_kind")
+    ev, name = bind.events(spark, root).filter("tool_name <> ''").select("event_id", "tool_name"), F.col("tool_name")
+    block = F.when(name.isin("exec_command", "shell_command"), "Bash").when(name == "apply_patch", "MultiEdit").when(name == "web_search", "WebFetch").otherwise(name)
+    calls = ev.withColumn("family", F.explode(F.array(*map(F.lit, ("codex", "claude", "deepseek"))))).withColumn("tool_name", F.when(F.col("family") == "codex", name).otherwise(block))
+    return classify.with_tool_kind(calls, spark).select("event_id", "family", "tool_name", "tool_kind")
 
 
 @query("prj_08_lifecycle_descriptor", bind.with_events("""
@@ -274,11 +279,11 @@ def _(spark, root):
 
 @query("prj_13_session_summary", bind.with_events("""
 WITH s AS (SELECT session_id, count(*) AS raw_event_count, count(*) FILTER (WHERE layer = 'protocol') AS protocol_count,
-    least(100, count(*) FILTER (WHERE kind = 'command' AND status = 'failed')) AS failed_command_count FROM ev GROUP BY 1),
+    count(*) FILTER (WHERE kind = 'command' AND status = 'failed') AS failed_command_count, least(100, count(*) FILTER (WHERE kind = 'command' AND status = 'failed')) AS failed_commands_listed FROM ev GROUP BY 1),
 t AS (SELECT session_id, tool_name, count(*) AS uses, min(line) AS f FROM ev WHERE tool_name <> '' GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY uses DESC, f) AS rn FROM t),
 a AS (SELECT session_id, string_agg(tool_name || ':' || uses, ',' ORDER BY rn) AS top_tools FROM r WHERE rn <= 5 GROUP BY 1)
-SELECT s.session_id, s.raw_event_count, s.protocol_count, s.failed_command_count, coalesce(top_tools, '') AS top_tools,
+SELECT s.session_id, s.raw_event_count, s.protocol_count, s.failed_command_count, s.failed_commands_listed, coalesce(top_tools, '') AS top_tools,
   coalesce(p.session_id, '') AS parent_session_id FROM s LEFT JOIN a ON a.session_id = s.session_id
   LEFT JOIN s p ON p.session_id = CAST(CAST(s.session_id AS BIGINT) // 10 AS VARCHAR) AND CAST(s.session_id AS BIGINT) >= 10"""))
 def _(spark, root):
@@ -338,10 +343,9 @@ def _(spark, root):
 
 @query("scl_04_first_and_unique", bind.with_events("""
 SELECT event_id, coalesce(nullif(tool_name, ''), nullif(role, ''), kind) AS first_value,
-  CASE WHEN tool_name = '' AND role = '' THEN kind WHEN tool_name = '' THEN role || '|' || kind ELSE tool_name || '|' || kind END AS unique_values FROM ev
-WHERE NOT (tool_name <> '' AND role <> '') AND tool_name <> kind"""))
+  array_to_string(list_filter([tool_name, role, kind], lambda x, i: x <> '' AND list_position([tool_name, role, kind], x) = i), '|') AS unique_values FROM ev"""))
 def _(spark, root):
-    ev = bind.events(spark, root).filter("not (tool_name <> '' and role <> '') and tool_name <> kind")
+    ev = bind.events(spark, root)
     return ev.select("event_id", text.first_non_empty(F.col("tool_name"), F.col("role"), F.col("kind")).alias("first_value"),
                      F.array_join(text.unique_non_empty(F.array("tool_name", "role", "kind", "kind", F.lit("  "))), "|").alias("unique_values"))
 

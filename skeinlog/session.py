@@ -11,24 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 BLOCK_ROWS_CONF = "spark.skeinlog.block.rows"
 BLOCK_ROWS_DEFAULT = 262_144
 
-BROADCAST_ROWS_CONF = "spark.skeinlog.broadcast.rows"
-BROADCAST_ROWS_DEFAULT = 200_000
+#: Deals the rows of every table out over so many partitions; unset, as on a cluster, the splits of the files stay.
+SCAN_PARTS_CONF = "spark.skeinlog.scan.partitions"
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spread(spark.read.parquet(f"{root}/{name}.parquet"))
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """A scan of fewer splits than half the cores, dealt out over all of them; a larger scan is left alone.
-
-    A small file has one row group and so one task, which would run every row-local expression on one core.
-    Filters and column pruning pass through the exchange and still reach the scan.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if 2 * df.rdd.getNumPartitions() > cores else df.repartition(cores)
+    rows = spark.read.parquet(f"{root}/{name}.parquet")
+    parts = spark.conf.get(SCAN_PARTS_CONF, None)
+    return rows.repartition(int(parts)) if parts else rows
 
 
 def block_rows(spark: SparkSession) -> int:

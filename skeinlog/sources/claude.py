@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from skeinlog.functions import numbers, records as R, text
 
-RAW_TEXT_LIMIT = 16_000
-
 
 def blocks(record: Column) -> Column:
     """Content blocks; a plain text content counts as one text block."""
@@ -21,7 +19,7 @@ def blocks(record: Column) -> Column:
 
 
 def to_raw(parsed: DataFrame) -> DataFrame:
-    """Raw rows of all lines; an unreadable line stays as a malformed row with bounded text."""
+    """Raw rows of all lines; an unreadable line stays as a malformed row, with its text in ``raw_text``."""
     v, broken = F.col("record"), F.col("record").isNull()
     rows = parsed.withColumn("blocks", blocks(v))
     first_type = F.get("blocks", F.lit(0))["type"]
@@ -36,7 +34,8 @@ def to_raw(parsed: DataFrame) -> DataFrame:
         F.coalesce(F.nullif(R.text_at(v, "$.message.role"), F.lit("")), F.when(R.text_at(v, "$.type").isin("user", "assistant"), R.text_at(v, "$.type")).otherwise("system")).alias("role"),
         F.coalesce(R.get(v, "$.isMeta", "boolean"), F.lit(False)).alias("is_meta"), F.coalesce(R.get(v, "$.isCompactSummary", "boolean"), F.lit(False)).alias("is_summary"),
         R.text_at(v, "$.origin.kind").alias("origin"), F.array_join(texts, "\n").alias("message_text"),
-        F.when(broken, text.truncate(F.substring("text", 1, RAW_TEXT_LIMIT))).otherwise(text.truncate(F.array_join(texts, " "))).alias("preview"),
+        F.when(broken, text.truncate(F.col("text"))).otherwise(text.truncate(F.array_join(texts, " "))).alias("preview"),
+        F.when(broken, F.col("text")).alias("raw_text"),
         R.get(v, f"{usage}.input_tokens", "bigint").alias("input_tokens"), R.get(v, f"{usage}.output_tokens", "bigint").alias("output_tokens"),
         R.get(v, f"{usage}.cache_creation_input_tokens", "bigint").alias("cache_creation_tokens"), R.get(v, f"{usage}.cache_read_input_tokens", "bigint").alias("cache_read_tokens"),
         F.filter(F.transform("blocks", lambda b, i: F.struct(i.alias("block"), b["type"].alias("type"), b["id"].alias("id"), b["name"].alias("name"))), lambda b: b["type"] == "tool_use").alias("tool_calls"),
@@ -45,10 +44,10 @@ def to_raw(parsed: DataFrame) -> DataFrame:
 
 
 def call_rows(raw: DataFrame) -> DataFrame:
-    """Calls and results as rows of one ordered stream: line and block position together are the order."""
+    """Calls and results as rows of one ordered stream. Their order, ``line``, is the line and the block in it."""
     def rows(column: str, is_call: bool) -> DataFrame:
         return raw.select("session_id", "line", "raw_id", F.explode(column).alias("b")).select(
-            "session_id", (F.col("line") * 1024 + F.col("b.block")).alias("line"), F.nullif("b.id", F.lit("")).alias("call_id"),
+            "session_id", F.struct("line", F.col("b.block").alias("block")).alias("line"), F.nullif("b.id", F.lit("")).alias("call_id"),
             F.concat_ws(":", "raw_id", F.col("b.block").cast("string")).alias("event_id"), F.lit(is_call).alias("is_call"), F.lit(not is_call).alias("is_result"))
     return rows("tool_calls", True).unionByName(rows("tool_results", False))
 

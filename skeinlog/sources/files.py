@@ -97,7 +97,7 @@ def read_errors(records: DataFrame) -> DataFrame:
     """Lines that are no record, with a reason, for a side table; they never stop the others."""
     bad = F.col("record").isNull() | ~F.startswith(F.schema_of_variant("record"), F.lit("OBJECT"))
     code = F.when(F.col("record").isNull(), "malformed_json").otherwise("not_an_object")
-    return records.filter(bad).select("file", "line", code.alias("code"), F.substring("text", 1, 200).alias("message"))
+    return records.filter(bad).select("file", "line", code.alias("code"), F.col("text").alias("message"))
 
 
 def line_digests(lines: DataFrame) -> DataFrame:
@@ -149,7 +149,7 @@ def packed_members(records: DataFrame) -> DataFrame:
 def packed_errors(records: DataFrame) -> DataFrame:
     kind = F.try_variant_get("record", "$.type", "string")
     return records.filter(kind.isin(*PACKED) & ~F.coalesce(packed_valid(F.col("record")), F.lit(False))).select(
-        "file", "line", F.lit("malformed_packed_row").alias("code"), F.substring("text", 1, 200).alias("message"))
+        "file", "line", F.lit("malformed_packed_row").alias("code"), F.col("text").alias("message"))
 
 
 # Packed row types and the channel of their members.
