@@ -66,31 +66,36 @@ def in_date_range(f: Filters) -> Column:
     return cond
 
 
-def _numbered(events: DataFrame, f: Filters) -> DataFrame:
-    """Structural matches with their timeline index; text is reduced to hit, count and snippet before any shuffle."""
+def annotated(events: DataFrame, f: Filters) -> DataFrame:
+    """Structural matches; text is reduced to hit, count and snippet before any shuffle, and only hits have the latter two."""
     preview, body = F.col("preview"), F.col("search_text")
-    hit = text.event_hit(preview, body, f.q) if f.q else F.lit(True)
+    rows = events.filter(structural(f)).withColumn("hit", text.event_hit(preview, body, f.q) if f.q else F.lit(True))
     shown = text.event_snippet(preview, body, f.q) if f.q else preview
-    matched = events.filter(structural(f)).select(
-        "session_id", "line", "event_id", "ts_text", hit.alias("hit"),
-        F.when(hit, shown).otherwise("").alias("snippet"),
-        (text.event_match_count(preview, body, f.q) if f.q else F.lit(0).cast("bigint")).alias("match_count"))
-    numbered = ordered.scan(matched, ["session_id"], "line", timeline_index=ordered.RowNumber())
-    return numbered.withColumn("timeline_index", F.col("timeline_index") - 1)
+    count = text.event_match_count(preview, body, f.q) if f.q else F.lit(0).cast("bigint")
+    return rows.select("session_id", "line", "event_id", "ts_text", "hit", F.when(F.col("hit"), shown).otherwise("").alias("snippet"),
+                       F.when(F.col("hit"), count).otherwise(F.lit(0).cast("bigint")).alias("match_count"))
 
 
 def project_search(events: DataFrame, f: Filters, sessions: DataFrame | None = None) -> DataFrame:
-    """One row per session with a match: number of matching events and the latest of them."""
+    """One row per session with a match: number of matching events and the latest of them.
+
+    Hits are told first, without their text. The latest one of each session then gets its place, which is the number of
+    structural rows before it, and its snippet, by joins with these few rows.
+    """
     if sessions is not None and (f.date_from or f.date_to):
         events = events.join(sessions.filter(in_date_range(f)).select("session_id"), "session_id", "left_semi")
-    hits = _numbered(events, f).filter("hit")
-    latest = F.max_by(F.struct("event_id", "ts_text", "snippet", "timeline_index"), F.struct("ts_text", "timeline_index"))
-    return (
-        hits.groupBy("session_id").agg(F.count(F.lit(1)).alias("event_count"), latest.alias("latest"))
-        .select("session_id", "event_count", F.col("latest.event_id").alias("latest_event_id"),
-                F.col("latest.ts_text").alias("latest_ts"), F.col("latest.snippet").alias("latest_snippet"),
-                F.col("latest.timeline_index").alias("latest_timeline_index"))
-    )
+    preview, body = F.col("preview"), F.col("search_text")
+    rows = events.filter(structural(f))
+    hits = rows.filter(text.event_hit(preview, body, f.q)) if f.q else rows
+    latest = hits.groupBy("session_id").agg(F.count(F.lit(1)).alias("event_count"), F.max(F.struct("ts_text", "line")).alias("_last")).select(
+        "session_id", "event_count", F.col("_last.ts_text").alias("latest_ts"), F.col("_last.line").alias("_line"))
+    before = rows.select("session_id", "line").join(latest.select("session_id", "_line"), "session_id").filter("line < _line").groupBy("session_id").agg(
+        F.count(F.lit(1)).alias("_before"))
+    shown = (text.event_snippet(preview, body, f.q) if f.q else preview).alias("latest_snippet")
+    found = rows.join(latest.select("session_id", F.col("_line").alias("line")), ["session_id", "line"]).select(
+        "session_id", F.col("event_id").alias("latest_event_id"), shown)
+    return latest.join(found, "session_id").join(before, "session_id", "left").select(
+        "session_id", "event_count", "latest_event_id", "latest_ts", "latest_snippet", F.coalesce("_before", F.lit(0)).alias("latest_timeline_index"))
 
 
 def order_search(results: DataFrame) -> DataFrame:
@@ -104,10 +109,12 @@ def search_totals(results: DataFrame) -> DataFrame:
 
 def timeline(events: DataFrame, f: Filters) -> DataFrame:
     """Structural rows of every session, annotated with hits; the phrase removes nothing."""
-    return _numbered(events, f)
+    numbered = ordered.scan(annotated(events, f), ["session_id"], "line", timeline_index=ordered.RowNumber())
+    return numbered.withColumn("timeline_index", F.col("timeline_index") - 1)
 
 
 def timeline_totals(rows: DataFrame) -> DataFrame:
+    """Totals of annotated rows; they need no place in the timeline."""
     return rows.groupBy("session_id").agg(
         F.count(F.lit(1)).alias("total"), F.sum("match_count").alias("search_match_count"),
         F.count_if("hit").alias("search_event_count"))

@@ -209,7 +209,7 @@ SELECT session_id, count(*) AS total,
   count(*) FILTER (WHERE regexp_matches(preview, '{rx('alpha1')}') OR regexp_matches(search_text, '{rx('alpha1')}')) AS search_event_count
 FROM ev WHERE layer = 'main' GROUP BY 1"""))
 def _(spark, root):
-    return search.timeline_totals(search.timeline(bind.events(spark, root), Filters(q="alpha1")))
+    return search.timeline_totals(search.annotated(bind.events(spark, root), Filters(q="alpha1")))
 
 
 @query("osl_05_timeline_page", bind.with_events("""
