@@ -79,23 +79,20 @@ def annotated(events: DataFrame, f: Filters) -> DataFrame:
 def project_search(events: DataFrame, f: Filters, sessions: DataFrame | None = None) -> DataFrame:
     """One row per session with a match: number of matching events and the latest of them.
 
-    Hits are told first, without their text. The latest one of each session then gets its place, which is the number of
-    structural rows before it, and its snippet, by joins with these few rows.
+    Only hits take their text along; the latest one of each session gives the one snippet that is cut.
     """
     if sessions is not None and (f.date_from or f.date_to):
         events = events.join(sessions.filter(in_date_range(f)).select("session_id"), "session_id", "left_semi")
     preview, body = F.col("preview"), F.col("search_text")
-    rows = events.filter(structural(f))
-    hits = rows.filter(text.event_hit(preview, body, f.q)) if f.q else rows
-    latest = hits.groupBy("session_id").agg(F.count(F.lit(1)).alias("event_count"), F.max(F.struct("ts_text", "line")).alias("_last")).select(
-        "session_id", "event_count", F.col("_last.ts_text").alias("latest_ts"), F.col("_last.line").alias("_line"))
-    before = rows.select("session_id", "line").join(latest.select("session_id", "_line"), "session_id").filter("line < _line").groupBy("session_id").agg(
-        F.count(F.lit(1)).alias("_before"))
-    shown = (text.event_snippet(preview, body, f.q) if f.q else preview).alias("latest_snippet")
-    found = rows.join(latest.select("session_id", F.col("_line").alias("line")), ["session_id", "line"]).select(
-        "session_id", F.col("event_id").alias("latest_event_id"), shown)
-    return latest.join(found, "session_id").join(before, "session_id", "left").select(
-        "session_id", "event_count", "latest_event_id", "latest_ts", "latest_snippet", F.coalesce("_before", F.lit(0)).alias("latest_timeline_index"))
+    rows = events.filter(structural(f)).withColumn("hit", text.event_hit(preview, body, f.q) if f.q else F.lit(True))
+    said = F.when(F.col("hit"), F.struct("event_id", "ts_text", "preview", *(["search_text"] if f.q else [])))
+    placed = ordered.scan(rows.select("session_id", "line", said.alias("_said")), ["session_id"], "line", _at=ordered.RowNumber())
+    hits = placed.filter("_said is not null")
+    latest = hits.groupBy("session_id").agg(
+        F.count(F.lit(1)).alias("event_count"), F.max_by(F.struct("_said", "_at"), F.struct("_said.ts_text", "_at")).alias("_last"))
+    shown = text.event_snippet(F.col("_last._said.preview"), F.col("_last._said.search_text"), f.q) if f.q else F.col("_last._said.preview")
+    return latest.select("session_id", "event_count", F.col("_last._said.event_id").alias("latest_event_id"), F.col("_last._said.ts_text").alias("latest_ts"),
+                         shown.alias("latest_snippet"), (F.col("_last._at") - 1).alias("latest_timeline_index"))
 
 
 def order_search(results: DataFrame) -> DataFrame:
