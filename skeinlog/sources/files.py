@@ -60,27 +60,66 @@ def _numbered(text: DataFrame) -> DataFrame:
         "file", line.alias("line"), F.regexp_replace("text", "\r$", "").alias("text"), F.coalesce(line == F.col("_torn_line"), F.lit(False)).alias("torn"))
 
 
-def read_compressed_lines(spark: SparkSession, root: str, pattern: str = "*.jsonl.zst*") -> DataFrame:
-    """Lines of Zstandard files. A frame format cannot be split, so one task inflates one file as a stream."""
+def read_transcripts(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame:
+    """Lines of all transcripts below ``root``, each read once: a plain file, or its compressed one where there is none."""
+    packed = list_artifacts(spark, root, pattern + "*").filter("compressed").select("file")
+    unpacked = read_compressed(spark, root, pattern + ".zst*", packed).filter("error is null").drop("error")
+    return read_lines(spark, root, pattern).unionByName(unpacked)
+
+
+def read_compressed(spark: SparkSession, root: str, pattern: str = "*.jsonl.zst*", chosen: DataFrame | None = None) -> DataFrame:
+    """Lines of Zstandard files, of the ``chosen`` ones if given, and their faults. Rows: file, line, text, torn, error.
+
+    Only whole frames count: a frame that is cut short or broken, and all after it, gives no line but one row with an
+    ``error``; the other files go on. A frame format cannot be split, so one task inflates one file, frame by frame.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root).select("path", "content")
-    schema = pa.schema([("file", pa.string()), ("line", pa.int64()), ("text", pa.string()), ("torn", pa.bool_())])
+    files = files if chosen is None else files.join(chosen.select(F.col("file").alias("path")), "path", "left_semi")
+    schema = pa.schema([("file", pa.string()), ("line", pa.int64()), ("text", pa.string()), ("torn", pa.bool_()), ("error", pa.string())])
 
     def inflate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import io
-
         import zstandard
+
+        def frames(data: bytes) -> Iterator[tuple[bytes, str]]:
+            while data:
+                one = zstandard.ZstdDecompressor().decompressobj()
+                try:
+                    text = one.decompress(data)
+                except zstandard.ZstdError as broken:
+                    yield b"", str(broken)
+                    return
+                if not one.eof:
+                    yield b"", "incomplete frame"
+                    return
+                yield text, ""
+                data = one.unused_data
+
+        def rows(path: str, lines: list[bytes], first: int, torn: bool = False) -> pa.RecordBatch:
+            texts = [x.rstrip(b"\r").decode("utf-8", "replace") for x in lines]
+            return pa.RecordBatch.from_pylist([{"file": path, "line": first + i, "text": t, "torn": torn, "error": None} for i, t in enumerate(texts)], schema=schema)
+
         for batch in batches:
-            for row in batch.to_pylist():
-                raw = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(row["content"]), read_across_frames=True)
-                out, number = [], 0
-                for number, text in enumerate(io.TextIOWrapper(raw, "utf-8", "replace", newline="\n"), 1):
-                    torn = not text.endswith("\n")
-                    out.append({"file": row["path"], "line": number, "text": text.rstrip("\r\n"), "torn": torn})
-                    if len(out) == 4096:
-                        yield pa.RecordBatch.from_pylist(out, schema=schema)
-                        out = []
-                yield pa.RecordBatch.from_pylist(out, schema=schema)
-    return files.mapInArrow(inflate, "file string, line bigint, text string, torn boolean")
+            for i in range(batch.num_rows):
+                path, rest, number = batch.column("path")[i].as_py(), b"", 1
+                for data, fault in frames(batch.column("content")[i].as_py()):
+                    if fault:
+                        yield pa.RecordBatch.from_pylist([{"file": path, "line": number, "text": None, "torn": None, "error": fault}], schema=schema)
+                    *whole, rest = (rest + data).split(b"\n")
+                    yield rows(path, whole, number)
+                    number += len(whole)
+                if rest:
+                    yield rows(path, [rest], number, torn=True)
+    return files.mapInArrow(inflate, "file string, line bigint, text string, torn boolean, error string")
+
+
+def read_compressed_lines(spark: SparkSession, root: str, pattern: str = "*.jsonl.zst*") -> DataFrame:
+    """Lines of the whole frames of Zstandard files."""
+    return read_compressed(spark, root, pattern).filter("error is null").drop("error")
+
+
+def compressed_errors(spark: SparkSession, root: str, pattern: str = "*.jsonl.zst*") -> DataFrame:
+    """Files whose frames end early or don't decode, with the line that would have come next."""
+    return read_compressed(spark, root, pattern).filter("error is not null").select("file", "line", F.lit("zstd_frame").alias("code"), F.col("error").alias("message"))
 
 
 def committed(lines: DataFrame) -> DataFrame:

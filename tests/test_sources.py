@@ -113,3 +113,27 @@ def test_registry_refuses_unknown_and_repeated_kinds(spark):
         registry.get("nope")
     with pytest.raises(ValueError):
         registry.register(registry.get("codex"))
+
+
+def test_only_whole_frames_of_compressed_files_count(spark, tmp_path):
+    import zstandard
+
+    pack = zstandard.ZstdCompressor().compress
+    (tmp_path / "good.jsonl.zst").write_bytes(pack(b'{"n":1}\n{"n"') + pack(b':2}\r\n{"n":3}\n{"n":'))
+    whole = pack(b"".join(b'{"n":%d}\n' % i for i in range(5000)))
+    (tmp_path / "cut.jsonl.zst").write_bytes(pack(b'{"n":7}\n') + whole[:len(whole) // 2])
+    (tmp_path / "broken.jsonl.zst").write_bytes(pack(b'{"n":8}\n') + b"not a frame")
+    got = {(r.file.rpartition("/")[2], r.line): (r.text, r.torn) for r in files.read_compressed_lines(spark, str(tmp_path)).collect()}
+    assert got == {("good.jsonl.zst", 1): ('{"n":1}', False), ("good.jsonl.zst", 2): ('{"n":2}', False), ("good.jsonl.zst", 3): ('{"n":3}', False),
+                   ("good.jsonl.zst", 4): ('{"n":', True), ("cut.jsonl.zst", 1): ('{"n":7}', False), ("broken.jsonl.zst", 1): ('{"n":8}', False)}
+    assert sorted((r.file.rpartition("/")[2], r.line) for r in files.compressed_errors(spark, str(tmp_path)).collect()) == [("broken.jsonl.zst", 2), ("cut.jsonl.zst", 2)]
+
+
+def test_a_transcript_with_both_copies_is_read_once(spark, tmp_path):
+    import zstandard
+
+    (tmp_path / "a.jsonl").write_text('{"n":1}\n')
+    (tmp_path / "a.jsonl.zst").write_bytes(zstandard.compress(b'{"n":100}\n'))
+    (tmp_path / "b.jsonl.zst").write_bytes(zstandard.compress(b'{"n":2}\n'))
+    got = sorted((r.file.rpartition("/")[2], r.line, r.text) for r in files.read_transcripts(spark, str(tmp_path)).collect())
+    assert got == [("a.jsonl", 1, '{"n":1}'), ("b.jsonl.zst", 1, '{"n":2}')]
