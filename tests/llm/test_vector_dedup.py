@@ -66,3 +66,19 @@ def test_few_rows(spark):
     assert sorted(map(repr, (tuple(r) for r in vd.joined(none).collect()))) == ["(1, 0, 1, True)", "(None, 0, None, False)"]
     twice = spark.createDataFrame([(3, [1.0, 0.0]), (3, [1.0, 0.0]), (1, [2.0, 0.0]), (9, [0.0, 1.0])], empty.schema)
     assert sorted(tuple(r) for r in vd.joined(twice).collect()) == [(1, 2, 1, True), (3, 2, 1, False), (3, 2, 1, False), (9, 0, 9, True)]
+
+
+def test_recall_on_vectors_of_many_dimensions(spark):
+    """The given vectors, each with a copy that noise has moved to a cosine of about 0.95 to 0.99."""
+    given = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    pick, rows = np.random.default_rng(6), [(r.vec_id, np.array(r.embedding, float)) for r in given.collect()]
+    for i, x in rows[:]:
+        noise = pick.normal(size=len(x))
+        rows.append((10_000 + i, x + noise * np.linalg.norm(x) / np.linalg.norm(noise) * pick.uniform(0.1, 0.33)))
+    rows = [(i, [float(v) for v in np.float32(x)]) for i, x in rows]
+    x = np.array([x for _, x in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = (x @ x.T >= 0.95).sum(axis=1) - 1
+    got = {r.vec_id: r.n_links for r in vd.joined(spark.createDataFrame(rows, given.select("vec_id", "embedding").schema)).collect()}
+    assert all(got[i] <= n for (i, _), n in zip(rows, near))
+    assert near.sum() > 3000 and sum(got.values()) >= 0.999 * near.sum()
