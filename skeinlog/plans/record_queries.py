@@ -9,7 +9,7 @@ from skeinlog.operators import aggregates, pairing, quality, sessions
 from skeinlog.plans import bind
 from skeinlog.plans.registry import query
 from skeinlog.session import materialize, scratch_path, table
-from skeinlog.sources import claude, codex, deepseek, files, sinks
+from skeinlog.sources import claude, codex, deepseek, files, sinks, layout
 
 def session_file():
     return F.concat(F.lit("sessions/"), "session_id", F.lit(".jsonl"))
@@ -336,29 +336,51 @@ def _(spark, root):
     return files.prefer_plain(listed).select("logical_path", "file", "compressed")
 
 
-@query("src_04_container_layout", """
-SELECT page_id, regexp_extract(url, '^https?://([^/]+)/', 1) AS container, regexp_extract(url, '^https?://[^/]+/([^?#]*)', 1) AS name FROM pages""")
+_LAYOUT_SQL = """n AS (SELECT doc_id, doc_id % 9 AS m, 'c' || (doc_id // 9 % 11) AS container, 's' || (doc_id // 9) AS session, 'a' || (doc_id // 9 % 5) AS agent, 'r' || (doc_id // 9 % 3) AS run FROM documents),
+lf AS (SELECT doc_id, m, container, session,
+  CASE m WHEN 0 THEN 'transcript' WHEN 1 THEN 'subagent' WHEN 2 THEN 'metadata' WHEN 3 THEN 'marker' WHEN 4 THEN 'journal' WHEN 5 THEN 'child' WHEN 6 THEN 'manifest' END AS role,
+  CASE WHEN m IN (1, 2, 3, 5) THEN agent END AS agent_id, CASE WHEN m IN (4, 5, 6) THEN run END AS run_id FROM n)"""
+
+
+def layout_files(spark, root):
+    """A file of one of nine places, two of them outside the layout, for every document."""
+    n = F.col("doc_id")
+    m, part = n % 9, F.floor(n / 9)
+    base = F.concat(F.lit("/home/projects/"), F.lit("c"), (part % 11).cast("string"), F.lit("/s"), part.cast("string"))
+    agent, run = F.concat(F.lit("/agent-a"), (part % 5).cast("string")), F.concat(F.lit("r"), (part % 3).cast("string"))
+    tails = [".jsonl", F.concat(F.lit("/subagents"), agent, F.lit(".jsonl")), F.concat(F.lit("/subagents"), agent, F.lit(".meta.json")), F.concat(F.lit("/subagents"), agent, F.lit(".forked-skill.marker.json")),
+             F.concat(F.lit("/subagents/workflows/"), run, F.lit("/journal.jsonl")), F.concat(F.lit("/subagents/workflows/"), run, agent, F.lit(".jsonl")), F.concat(F.lit("/workflows/"), run, F.lit(".json")),
+             "/../up.jsonl", "/deep/er/x.jsonl"]
+    tail = F.get(F.array(*[F.lit(t) if isinstance(t, str) else t for t in tails]), m.cast("int"))
+    return layout.placed(table(spark, root, "documents").select("doc_id", F.concat(base, tail).alias("file")), "/home/projects")
+
+
+@query("src_04_container_layout", f"""
+WITH {_LAYOUT_SQL} SELECT doc_id, role, CASE WHEN role IS NOT NULL THEN container END AS container, CASE WHEN role IS NOT NULL THEN session END AS session, agent_id, run_id FROM lf""")
 def _(spark, root):
-    p = table(spark, root, "pages")
-    return p.select("page_id", F.regexp_extract("url", "^https?://([^/]+)/", 1).alias("container"), F.regexp_extract("url", "^https?://[^/]+/([^?#]*)", 1).alias("name"))
+    return layout_files(spark, root).select("doc_id", "role", "container", "session", "agent_id", "run_id")
 
 
-@query("src_05_derived_transcripts", bind.with_events("""
-WITH m AS (SELECT session_id, k % 50 AS agent_id, min(event_id) AS sidecar FROM ev WHERE role = 'user' GROUP BY 1, 2 HAVING count(*) = 1)
-SELECT t.session_id, t.event_id, m.sidecar FROM ev t LEFT JOIN m ON m.session_id = t.session_id AND m.agent_id = t.k % 50 WHERE t.kind = 'reasoning'"""))
+@query("src_05_derived_transcripts", f"""
+WITH {_LAYOUT_SQL}, sib AS (SELECT container, session, agent_id, bool_or(role = 'metadata') AS has_meta, bool_or(role = 'marker') AS has_mark FROM lf WHERE role IN ('metadata', 'marker') GROUP BY 1, 2, 3)
+SELECT s.container, s.session, s.agent_id, coalesce(has_meta, false) AS has_metadata, CASE WHEN coalesce(has_mark, false) THEN 'forked_skill' ELSE 'subagent' END AS derived_kind
+FROM lf s JOIN lf p ON p.container = s.container AND p.session = s.session AND p.role = 'transcript' LEFT JOIN sib ON sib.container = s.container AND sib.session = s.session AND sib.agent_id = s.agent_id WHERE s.role = 'subagent'""")
 def _(spark, root):
-    ev, agent = bind.events(spark, root), (F.col("k") % 50).alias("agent_id")
-    side = pairing.unique_rows(ev.filter("role = 'user'").select("session_id", agent, F.col("event_id").alias("sidecar")), ["session_id", "agent_id"])
-    return ev.filter("kind = 'reasoning'").select("session_id", agent, "event_id").join(side, ["session_id", "agent_id"], "left").select("session_id", "event_id", "sidecar")
+    return layout.derived_transcripts(layout_files(spark, root)).select("container", "session", "agent_id", F.col("metadata_file").isNotNull().alias("has_metadata"), "derived_kind")
 
 
 @query("src_06_workflow_journal", """
-SELECT doc_id AS run_id, i AS sequence, CASE WHEN i % 2 = 1 THEN 'started' ELSE 'result' END AS kind, length(string_split(text, chr(10))[i]) AS size FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)
-WHERE trim(string_split(text, chr(10))[i]) <> ''""")
-def _(spark, root):
-    j = table(spark, root, "documents").select(F.col("doc_id").alias("run_id"), F.posexplode(F.split("text", "\n")).alias("p", "text")).filter("trim(text) <> ''")
-    seq = (F.col("p") + 1).cast("bigint")
-    return j.select("run_id", seq.alias("sequence"), F.when(seq % 2 == 1, "started").otherwise("result").alias("kind"), F.length("text").cast("bigint").alias("size"))
+WITH e AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE NOT (doc_id % 7 = 0 AND trim(string_split(text, chr(10))[1]) <> ''))
+SELECT doc_id AS run_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS sequence, CASE WHEN i % 2 = 1 THEN 'started' ELSE 'result' END AS kind, 'k' || length(t) AS key FROM e WHERE trim(t) <> ''""")
+def _(spark, root):
+    """A journal line for each line of a document; one document in seven has a broken line, so its journal gives nothing."""
+    j = table(spark, root, "documents").select(F.col("doc_id").alias("file"), F.posexplode(F.split("text", "\n")).alias("p", "t"))
+    i = (F.col("p") + 1).cast("bigint")
+    key = F.concat(F.lit("k"), F.length("t").cast("string"))
+    good = F.when(i % 2 == 1, F.to_json(F.struct(F.lit("started").alias("type"), key.alias("key"), F.lit("a").alias("agentId")))).otherwise(
+        F.to_json(F.struct(F.lit("result").alias("type"), key.alias("key"), F.lit("a").alias("agentId"), F.struct(F.array(F.col("t")).alias("types")).alias("result"))))
+    line = F.when(F.trim("t") == "", F.col("t")).when((F.col("file") % 7 == 0) & (i == 1), '{"type":"started"').otherwise(good)
+    return layout.journal_records(j.select("file", i.alias("line"), line.alias("text"))).select(F.col("file").alias("run_id"), "sequence", "kind", "key")
 
 
 @query("src_08_torn_tail", """
