@@ -11,6 +11,10 @@ from skeinlog.functions import paths, text
 from skeinlog.operators import ordered
 
 
+# The kind of a scripted operation, and the name by which those without a declared request are asked for.
+SCRIPTED, SCRIPT_ONLY = "code_mode_operation", "code_mode_script_operation"
+
+
 @dataclass(frozen=True)
 class Filters:
     layer: str = "main"
@@ -35,7 +39,10 @@ def structural(f: Filters, known_requests: list[str] | None = None) -> Column:
     cond = F.lit(True)
     if f.layer:
         cond = cond & (F.col("layer") == f.layer)
-    if f.kind:
+    scripted = (F.col("layer") == "main") & (F.col("kind") == SCRIPTED)
+    if f.kind == SCRIPT_ONLY:
+        cond = cond & scripted & (F.coalesce(F.size("declared_requests"), F.lit(0)) <= 0)
+    elif f.kind:
         cond = cond & ((F.col("kind") == f.kind) | (F.col("subtype") == f.kind))
     if f.status:
         cond = cond & (F.col("status") == f.status)
@@ -46,7 +53,7 @@ def structural(f: Filters, known_requests: list[str] | None = None) -> Column:
         cond = cond & F.exists("filter_files", lambda p: F.contains(paths.search_key(p), F.lit(needle)))
     if f.request:
         # A request name outside the registry matches nothing.
-        cond = cond & (F.array_contains("declared_requests", f.request)
+        cond = cond & scripted & (F.array_contains("declared_requests", f.request)
                        if known_requests is None or f.request in known_requests else F.lit(False))
     return cond
 

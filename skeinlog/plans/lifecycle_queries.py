@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skeinlog.functions import classify
@@ -198,14 +201,15 @@ def _(spark, root):
 
 
 @query("flt_06_request_filter", bind.with_events("""
-SELECT event_id FROM ev WHERE layer = 'main' AND k % 7 <> 0 AND k % 11 <> 0 AND (k % 5 = 0 OR tool_name = 'update_plan')"""))
+SELECT event_id, 'request' AS asked FROM ev WHERE layer = 'main' AND k % 3 <> 0 AND k % 7 <> 0 AND k % 11 <> 0 AND (k % 5 = 0 OR tool_name = 'update_plan')
+UNION ALL SELECT event_id, 'script' FROM ev WHERE layer = 'main' AND k % 3 <> 0 AND (k % 7 = 0 OR k % 11 = 0)"""))
 def _(spark, root):
     from skeinlog.functions import vocabulary as V
     from skeinlog.operators import search
     known = [t for t, *_ in V.SCRIPTED_TOOLS]
-    rows = scripts(spark, root)
-    kept = rows.filter(search.structural(search.Filters(request="update_plan"), known))
-    return kept.unionByName(rows.filter(search.structural(search.Filters(request="no_such_tool"), known))).select("event_id")
+    rows = scripts(spark, root).withColumn("kind", F.when(F.col("k") % 3 != 0, search.SCRIPTED).otherwise(F.col("kind")))
+    asked = {"request": search.Filters(request="update_plan"), "unknown": search.Filters(request="no_such_tool"), "script": search.Filters(kind=search.SCRIPT_ONLY)}
+    return reduce(DataFrame.unionByName, [rows.filter(search.structural(f, known)).select("event_id", F.lit(name).alias("asked")) for name, f in asked.items()])
 
 
 @query("lif_20_every_record_shown_once", bind.with_events("""
