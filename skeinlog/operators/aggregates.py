@@ -151,5 +151,21 @@ def representative(rows: DataFrame, keys: list[str], lifecycle: DataFrame, colum
     return ranked.groupBy(*keys).agg(pick.alias("_r")).select(*keys, "_r.*")
 
 
+def max_observed(events: DataFrame, warning: Column) -> DataFrame:
+    """Most input tokens of a session at its usage warnings; null for a session without one."""
+    return events.groupBy("session_id").agg(F.max(F.when(warning, F.col("input_tokens"))).alias("max_observed"))
+
+
+def project_catalogue(sessions: DataFrame) -> DataFrame:
+    """Sessions, bytes and last update of every working folder; a session counts once for a folder, however spelt.
+
+    ``sessions``: session_id, cwds, bytes, updated_at.
+    """
+    folder = F.regexp_replace(F.regexp_replace(F.trim("cwd"), r"\\+", "/"), "(?<=.)/+$", "")
+    spelt = sessions.select("session_id", "bytes", "updated_at", F.explode("cwds").alias("cwd")).withColumn("cwd", folder).filter("cwd <> ''")
+    once = spelt.groupBy("session_id", "cwd").agg(F.max("bytes").alias("bytes"), F.max("updated_at").alias("updated_at"))
+    return once.groupBy("cwd").agg(F.count(F.lit(1)).alias("sessions"), F.sum("bytes").alias("bytes"), F.max("updated_at").alias("updated_at"))
+
+
 def item_status_counts(items: DataFrame, keys: list[str]) -> DataFrame:
     return items.groupBy(*keys, "status").agg(F.count(F.lit(1)).alias("items"))

@@ -76,7 +76,7 @@ def _(spark, root):
 SELECT session_id, max(CASE WHEN subtype = '' THEN input_tokens END) AS max_observed FROM ev GROUP BY 1"""))
 def _(spark, root):
     warning = (F.col("layer") == "protocol") & (F.col("subtype") == "")
-    return bind.events(spark, root).groupBy("session_id").agg(F.max(F.when(warning, F.col("input_tokens"))).alias("max_observed"))
+    return aggregates.max_observed(bind.events(spark, root), warning)
 
 
 @query("agg_06_response_usage", bind.with_events("""
@@ -156,12 +156,13 @@ def _(spark, root):
 
 @query("agg_11_project_catalogue", """
 WITH p AS (SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS cwd, length(html) AS bytes FROM pages)
-SELECT cwd, count(*) AS sessions, CAST(sum(bytes) AS BIGINT) AS bytes, max(page_id) AS last_session FROM p GROUP BY 1""")
+SELECT 'w/' || cwd AS cwd, count(*) AS sessions, CAST(sum(bytes) AS BIGINT) AS bytes, max(page_id) AS updated_at FROM p GROUP BY 1""")
 def _(spark, root):
-    p = table(spark, root, "pages").select("page_id", F.array(F.regexp_extract("url", "^https?://([^/?#]+)", 1)).alias("cwds"),
-                                           F.length("html").alias("bytes"))
-    return (p.select("page_id", "bytes", F.explode(F.array_distinct("cwds")).alias("cwd")).groupBy("cwd")
-            .agg(F.count(F.lit(1)).alias("sessions"), F.sum("bytes").alias("bytes"), F.max("page_id").alias("last_session")))
+    """Every session names its folder twice, with one kind of separator and with the other, and once with one at the end."""
+    host = F.regexp_extract("url", "^https?://([^/?#]+)", 1)
+    cwds = F.array(F.concat(F.lit("w/"), host), F.concat(F.lit("w\\"), host), F.concat(F.lit("w/"), host, F.lit("/")))
+    return aggregates.project_catalogue(table(spark, root, "pages").select(
+        F.col("page_id").alias("session_id"), cwds.alias("cwds"), F.length("html").alias("bytes"), F.col("page_id").alias("updated_at")))
 
 
 @query("agg_13_time_range", bind.with_events("""
