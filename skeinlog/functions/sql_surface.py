@@ -7,11 +7,20 @@ from collections.abc import Iterator
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
-# name -> (parameters, result type, body). Bodies are native expressions, so a call costs what the expression costs.
+from skeinlog.functions.text import SPACE_CLASS
+
+_TRIMMED = f"regexp_replace(q, r'^{SPACE_CLASS}+|{SPACE_CLASS}+$', '')"
+_LITERAL = rf"regexp_replace({_TRIMMED}, r'([.*+?^${{}}()|\[\]\\])', r'\\$1')"
+_ANY_SPACE = SPACE_CLASS.replace("\\", "\\\\")  # as a replacement text
+_PHRASE = rf"concat(CASE WHEN q RLIKE r'^[\x00-\x7F]*$' THEN '(?i)' ELSE '(?iu)' END, regexp_replace({_LITERAL}, r'{SPACE_CLASS}+', r'{_ANY_SPACE}+'))"
+_COLLAPSED = f"trim(regexp_replace(body, r'{SPACE_CLASS}+', ' '))"
+
+# name -> (parameters, result type, body). Bodies are native expressions, so a call costs what the expression costs; they
+# say the same as ``text.phrase_pattern``, ``text.phrase_count`` and ``text.truncate``.
 SQL_FUNCTIONS = {
-    "transcript_phrase": ("q STRING", "STRING", r"concat('(?iu)', regexp_replace(regexp_replace(trim(q), '([.*+?^$()|\\[\\]{}\\\\])', '\\\\$1'), '\\s+', '\\\\s+'))"),
-    "transcript_match_count": ("body STRING, q STRING", "INT", r"regexp_count(body, concat('(?iu)', regexp_replace(regexp_replace(trim(q), '([.*+?^$()|\\[\\]{}\\\\])', '\\\\$1'), '\\s+', '\\\\s+')))"),
-    "transcript_preview": ("body STRING, size INT", "STRING", r"CASE WHEN length(trim(regexp_replace(body, '\\s+', ' '))) <= size THEN trim(regexp_replace(body, '\\s+', ' ')) ELSE concat(left(trim(regexp_replace(body, '\\s+', ' ')), size - 3), '...') END"),
+    "transcript_phrase": ("q STRING", "STRING", _PHRASE),
+    "transcript_match_count": ("body STRING, q STRING", "INT", f"regexp_count(body, {_PHRASE})"),
+    "transcript_preview": ("body STRING, size INT", "STRING", f"CASE WHEN length({_COLLAPSED}) <= size THEN {_COLLAPSED} ELSE concat(left({_COLLAPSED}, greatest(size - 3, 0)), '...') END"),
     "transcript_reuse_bps": ("input BIGINT, cached BIGINT", "BIGINT", "CASE WHEN input > 0 THEN CAST((CAST(cached AS DECIMAL(20,0)) * 10000 - (CAST(cached AS DECIMAL(20,0)) * 10000) % input) / input AS BIGINT) END"),
 }
 

@@ -29,14 +29,18 @@ def _(spark, root):
     return registry.of_kind(raw, "claude").select("source_kind", "raw_id")
 
 
-@query("udf_02_query_hooks", bind.with_events("SELECT event_id, k % 2 = 0 AS scripted FROM ev WHERE layer = 'main' AND k % 2 = 0"))
+@query("udf_02_query_hooks", bind.with_events("""
+SELECT event_id, 'row' AS part, 1 AS events FROM ev WHERE layer = 'main' AND k % 2 = 0 UNION ALL SELECT CAST(k % 2 = 0 AS VARCHAR), 'facet', count(*) FROM ev GROUP BY 1"""))
 def _(spark, root):
-    """A family adds a row fact and a filter on it; the query layer applies both."""
+    """A family adds a row fact, a filter on it and a facet of it; the query layer applies all three."""
     spec = registry.SourceSpec("demo", "*.jsonl", lambda parsed: parsed, "codex",
                                row_facts=lambda rows: rows.withColumn("scripted", F.col("k") % 2 == 0),
-                               row_filter=lambda params: F.col("scripted") if params.get("scripted") else F.lit(True))
-    rows = spec.row_facts(bind.events(spark, root))
-    return rows.filter(search.structural(search.Filters()) & spec.row_filter({"scripted": True})).select("event_id", "scripted")
+                               row_filter=lambda params: F.col("scripted") if params.get("scripted") else F.lit(True),
+                               facets={"scripted": lambda rows: rows.groupBy("scripted").agg(F.count(F.lit(1)).alias("events"))})
+    events = bind.events(spark, root)
+    rows = registry.select_rows(spec, events.filter(search.structural(search.Filters())), {"scripted": True})
+    counted = registry.facet(spec, "scripted", events).select(F.col("scripted").cast("string").alias("event_id"), F.lit("facet").alias("part"), "events")
+    return rows.select("event_id", F.lit("row").alias("part"), F.lit(1).cast("bigint").alias("events")).unionByName(counted)
 
 
 @query("udf_03_sql_functions", bind.with_events(r"""

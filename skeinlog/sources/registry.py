@@ -6,10 +6,10 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinlog.sources import claude, codex, deepseek
+from skeinlog.sources import claude, codex, deepseek, files
 
 # Columns every family's raw rows share.
 RAW_COLUMNS = ["session_id", "raw_id", "file", "line", "payload_type", "role", "ts_text", "preview"]
@@ -59,6 +59,24 @@ def all_raw(parsed_by_kind: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def lines(spark: SparkSession, spec: SourceSpec, root: str) -> DataFrame:
+    """Lines of all files of a family below ``root``."""
+    return files.read_transcripts(spark, root, spec.pattern.removesuffix("*"))
+
+
+def select_rows(spec: SourceSpec, rows: DataFrame, params: dict) -> DataFrame:
+    """Rows with the family's own facts, filtered by what its hook makes of the query's parameters."""
+    rows = spec.row_facts(rows) if spec.row_facts else rows
+    return rows.filter(spec.row_filter(params)) if spec.row_filter else rows
+
+
+def facet(spec: SourceSpec, name: str, rows: DataFrame) -> DataFrame:
+    """One of the family's own facets; an unknown name is an error."""
+    if name not in spec.facets:
+        raise KeyError(f"source kind {spec.kind!r} has no facet {name!r}")
+    return spec.facets[name](select_rows(spec, rows, {}))
+
+
 def of_kind(rows: DataFrame, *kinds_: str) -> DataFrame:
     """Rows of known families only; naming an unknown family is an error, not an empty result."""
     for kind in kinds_:

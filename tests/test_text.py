@@ -72,3 +72,15 @@ def test_command_output_reads_only_the_head(spark):
     good = "Chunk ID: ab\nWall time: 0.1000 seconds\nProcess exited with code -1\nOutput:\nProcess running with session ID 5"
     row = spark.createDataFrame([(good,), ("body\n" + good,)], "t string").select(R.command_output(F.col("t")).alias("o")).collect()
     assert (row[0].o.exit_code, row[0].o.process_id) == (-1, None) and row[1].o is None
+
+
+def test_sql_functions_say_the_same_as_the_column_functions(spark):
+    from skeinlog.functions import sql_surface
+    sql_surface.register(spark)
+    for q in ["a.b  (c)", " x$1\\y ", "É z", "[a]{2}"]:
+        assert spark.createDataFrame([(q,)], "q string").selectExpr("transcript_phrase(q) p").first().p == text.phrase_pattern(q)
+    bodies = ["A.B (C) and a.b (c)", "x$1\\Y", "é z É Z", "", "[A]{2}"]
+    df = spark.createDataFrame([(b,) for b in bodies], "body string")
+    for q in ["a.b  (c)", "É z"]:
+        got = df.select(F.expr(f"transcript_match_count(body, '{q}')").alias("a"), text.phrase_count(F.col("body"), q).alias("b")).collect()
+        assert all(r.a == r.b for r in got)
