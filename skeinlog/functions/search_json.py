@@ -147,7 +147,7 @@ USAGE_ORDER = [
 NO_USAGE = re.compile("limit|quota|rate", re.I)
 
 
-def _leaves(root: str, node: object) -> list[dict]:
+def _usage_leaves(root: str, node: object) -> list[dict]:
     found, waiting = [], [((root,) if root else (), node)]
     while waiting:
         path, here = waiting.pop()
@@ -165,7 +165,7 @@ def _leaves(root: str, node: object) -> list[dict]:
 def token_leaves(root: Column, node: Column) -> Column:
     """Array of (path, field, value) of the numbers in a JSON object, each path starting with ``root`` unless that is empty."""
     def run(roots: pd.Series, nodes: pd.Series) -> pd.Series:
-        return pd.Series([_leaves(r, json.loads(n)) if n else [] for r, n in zip(roots, nodes, strict=True)], dtype=object)
+        return pd.Series([_usage_leaves(r, json.loads(n)) if n else [] for r, n in zip(roots, nodes, strict=True)], dtype=object)
     run.__annotations__ = {"roots": pd.Series, "nodes": pd.Series, "return": pd.Series}
     return F.pandas_udf(run, "array<struct<path:string,field:string,value:double>>")(root, node)
 
