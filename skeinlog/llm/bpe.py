@@ -22,18 +22,21 @@ import unicodedata
 from collections.abc import Iterator
 from hashlib import sha256
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skeinlog.llm.shared import sliced
+
 #: Fixed values of the vocabulary file's format: the end-of-word mark, the pieces of the splitting step, its white space.
 WORD_END = "</w>"
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECE = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+"
 
 #: Words whose encoding one worker remembers, in each of two generations; longer pieces are never remembered.
-REMEMBERED, LONG_PIECE = 150_000, 64
+REMEMBERED, LONG_PIECE = 100_000, 64
 #: Characters that are split into pieces at a time, up to the next white space.
 STRETCH = 1 << 16
 
@@ -125,7 +128,7 @@ def stream(model: dict, symbols: Iterator[bytes] | bytes, held: list[int] | None
                 return size, token
             fits = known.get((last, token))
             if fits is None:
-                if len(known) > 1 << 18:
+                if len(known) > 1 << 16:
                     known.clear()
                 fits = known[last, token] = follows(model, last, token)
             if fits:
@@ -276,7 +279,7 @@ def _per_text(df: DataFrame, model_path: str, columns: dict[str, pa.DataType], d
 
     def run(batches):
         tables = model.value  # lives as long as the worker, and with it what it remembers
-        for batch in batches:
+        for batch in sliced(batches):
             rows = [one(tables, t) for t in batch.column("text").to_pylist()]
             parts = zip(*rows, strict=True) if rows else [[] for _ in columns]
             new = [pa.array(part, kind) for part, kind in zip(parts, columns.values(), strict=True)]
@@ -298,12 +301,13 @@ def digests(docs: DataFrame, model_path: str) -> DataFrame:
     return rows.drop("text")
 
 
-def _tokenized(model: dict, text: str | None) -> tuple[list[int], int, str]:
-    ids = encode(model, text)
-    plain = sha256()
-    decoder = Decoder(model, "surface")
-    for k in range(0, len(ids), 4096):
-        plain.update("".join(map(decoder.feed, ids[k:k + 4096])).encode())
+def _tokenized(model: dict, text: str | None) -> tuple[np.ndarray, int, str]:
+    parts, plain, decoder = [np.zeros(0, np.int32)], sha256(), Decoder(model, "surface")
+    for some in coded(model, text or ""):
+        if some:
+            parts.append(np.array(" ".join([x[0] for x in some]).split(" "), np.int32))
+            plain.update("".join(map(decoder.feed, parts[-1].tolist())).encode())
+    ids = np.concatenate(parts)
     return ids, len(ids), plain.hexdigest()
 
 

@@ -159,13 +159,15 @@ def labelled(model: dict, texts: list[str | None]) -> tuple[list[str], list[floa
     text, label = words["text"], best_path(word_scores(model, words), np.bincount(words["text"], minlength=len(texts)))
     letters = np.bincount(text * len(names) + label, words["letters"], len(texts) * len(names)).reshape(len(texts), -1)
     total = letters.sum(axis=1)
+    total[[not any(map(str.isalpha, t or "")) for t in texts]] = 0  # marks alone are no letters
     for i in np.flatnonzero(total):
         first = letters[i].argmax()
         out[0][i], out[1][i] = names[first], float(letters[i][first] / total[i])
     if len(text):
         new = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (label[1:] != label[:-1])]))
         for a, b in zip(new, np.append(new[1:], len(text)) - 1, strict=True):
-            out[2][text[a]].append((names[label[a]], int(words["start"][a]), int(words["end"][b])))
+            if total[text[a]]:
+                out[2][text[a]].append((names[label[a]], int(words["start"][a]), int(words["end"][b])))
     return out
 
 

@@ -14,7 +14,7 @@ from skeinlog.session import scratch_path
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Bytes of text that vectorised code takes at a time, so that memory depends on no batch size.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

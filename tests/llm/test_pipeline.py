@@ -39,7 +39,7 @@ def test_stages_one_by_one(spark):
             assert new.columns == columns
         if name == "language_id":
             score = {r.doc_id: (r.lang_pred, r.score) for r in language.identified(docs.select("doc_id", "text"), language.learned(docs)).collect()}
-            assert {r.doc_id for r in rows[name]} == {i for i, (p, s) in score.items() if p != "und" and s >= 0.5}
+            assert {r.doc_id for r in rows[name]} == {i for i, (p, s) in score.items() if p != "und" and s >= cp.LANGUAGE_SHARE}
             assert len(rows[name]) > 0.98 * len(before)
         elif name == "ngram_join":
             assert {r.doc_id for r in rows[name]} == kept_by_brute_force([(i, r.text) for i, r in before.items()]) and len(rows[name]) < len(before)
