@@ -126,8 +126,7 @@ def _(spark, root):
 SELECT session_id || ':raw:' || line AS raw_id, CASE WHEN role = 'assistant' THEN preview || chr(10) || 'tail' WHEN role = 'user' THEN preview
   ELSE 'function_call' || chr(10) || 'call_' || (k % 20) || chr(10) || tool_name || chr(10) || '{"cmd":"ls ' || k || '"}' END AS search_text FROM ev WHERE tool_name <> '' OR role = 'assistant' OR (role = 'user' AND k % 10 NOT IN (8, 9))"""))
 def _(spark, root):
-    lines = codex_lines(spark, root).filter("kind not in ('token_count', 'error')")
-    return codex.with_search_text(codex.to_raw(files.parsed(lines))).select("raw_id", "search_text")
+    return codex.with_search_text(codex_raw(spark, root)).select("raw_id", "search_text")
 
 
 @query("prj_45_event_construction", bind.with_events("""
