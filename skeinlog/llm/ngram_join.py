@@ -36,6 +36,10 @@ CELLS = 1 << 20
 GROUP = 32
 #: N-grams of all sets of a block together, about.
 BLOCK = 400_000
+#: Sets of a block, about: two blocks make a matrix of so many rows and columns.
+ROWS = 2048
+#: Rows of that matrix that are tested at a time.
+STRIP = 256
 #: Buckets of the suffix histogram.
 BUCKETS = 64
 
@@ -196,13 +200,13 @@ def shared_counts(sets: list[np.ndarray], others: list[np.ndarray]) -> np.ndarra
     row, at = row[keep], column[at[keep]]
     order = np.argsort(at, kind="stable")
     row, at = row[order], at[order]
-    out = np.zeros((len(sets), len(others)), np.float32)
+    out = np.zeros((len(sets), len(others)), np.float32)  # exact: a count is far below 2^24
     for low in range(0, int(twice.sum()), 2048):
         a, b = np.searchsorted(at, [low, low + 2048])
         dense = np.zeros((len(sets) + len(others), 2048), np.float32)
         dense[row[a:b], at[a:b] - low] = 1
         out += dense[:len(sets)] @ dense[len(sets):].T
-    return out.astype(np.int64)
+    return out
 
 
 def _verify_pairs(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -232,13 +236,22 @@ def _verify_pairs(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -
 
 def _verify_blocks(crowded: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Spanning forests of the links among the classes of every crowded n-gram; ``crowded`` has (gram, rid, n)."""
-    blocks = crowded.groupBy("gram").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / BLOCK)).cast("int").alias("blocks"))
+    rows = _dealt(crowded).join(texts, "rid").select("gram", "low", "high", "first", "doc_id", "text")
+    return rows.groupBy("gram", "low", "high").applyInArrow(_block_links(size, percent), "u bigint, v bigint")
+
+
+def _dealt(crowded: DataFrame) -> DataFrame:
+    """Each class in every pair of blocks that has its own; blocks are bounded in n-grams and in rows."""
+    several = F.greatest(F.lit(1), F.ceil(F.sum("n") / BLOCK), F.ceil(F.count("*") / ROWS))
+    blocks = crowded.groupBy("gram").agg(several.cast("int").alias("blocks"))
     dealt = crowded.join(blocks, "gram").withColumn("own", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = dealt.select("gram", "rid", "own", other.alias("other")).select(
+    return dealt.select("gram", "rid", "own", other.alias("other")).select(
         "gram", "rid", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") <= F.col("other")).alias("first"))
-    rows = dealt.join(texts, "rid").select("gram", "low", "high", "first", "doc_id", "text")
 
+
+def _block_links(size: int, percent: int):
+    """Spanning forest of the links of two blocks, or of one with itself."""
     def links(table: pa.Table) -> pa.Table:
         first = np.array(table["first"].to_pylist(), bool)
         ids, grams = np.array(table["doc_id"].to_pylist(), np.int64), list(sets_of(table["text"].to_pylist(), size))
@@ -247,13 +260,15 @@ def _verify_blocks(crowded: DataFrame, texts: DataFrame, size: int, percent: int
         right = left if same else np.flatnonzero(~first)
         if not len(left) or not len(right):
             return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
-        both = shared_counts([grams[i] for i in left], [grams[i] for i in right])
-        sizes = np.array([len(g) for g in grams], np.int64)
-        i, j = np.nonzero(100 * both >= percent * (sizes[left][:, None] + sizes[right][None, :] - both))
-        u, v = forest(ids[left[i]], ids[right[j]])
+        counts = shared_counts([grams[i] for i in left], [grams[i] for i in right])
+        sizes, edges = np.array([len(g) for g in grams], np.int64), []
+        for k in range(0, len(left), STRIP):
+            rows, both = left[k:k + STRIP], counts[k:k + STRIP].astype(np.int64)
+            i, j = np.nonzero(100 * both >= percent * (sizes[rows][:, None] + sizes[right][None, :] - both))
+            edges.append(forest(ids[rows[i]], ids[right[j]]))
+        u, v = forest(*(np.concatenate(e) for e in zip(*edges, strict=True)))
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
-
-    return rows.groupBy("gram", "low", "high").applyInArrow(links, "u bigint, v bigint")
+    return links
 
 
 def joined(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from skeinlog.llm import components, ngram_join
@@ -85,3 +86,28 @@ def test_components_of_paths_and_stars(spark):
     edges += [(a, b) for a, b in zip(ids[:150], ids[1:150])] + [(ids[200], x) for x in ids[201:390]] + [(5, 5), (None, 4)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "u long, v long").repartition(7)).collect()}
     assert got == {x: min(ids[:150]) for x in ids[:150]} | {x: min(ids[200:390]) for x in ids[200:390]}
+
+
+def test_blocks_are_bounded_in_rows(spark):
+    """Short sets fill a block in rows long before they fill it in n-grams; every two of them still meet in one task."""
+    crowded = spark.range(9000).selectExpr("1L as gram", "id as rid", "7L as n")
+    tasks = ngram_join._dealt(crowded).groupBy("low", "high").count().collect()
+    blocks = 1 + max(r.high for r in tasks)
+    assert max(r["count"] for r in tasks) <= 2 * 2048 and len(tasks) == blocks * (blocks + 1) // 2
+
+
+def test_crowded_short_texts_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "ROWS", 25)
+    pick = random.Random(8)
+    rows = [(i + 1, t) for i, t in enumerate(near_copies(330, pick, words=30, share=0.02))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert rows_of(ngram_join.joined(docs)) == plain_components(rows)
+
+
+def test_block_larger_than_a_strip():
+    pick = random.Random(9)
+    texts = near_copies(700, pick, words=30, share=0.02)
+    table = pa.table({"low": [0] * 700, "high": [0] * 700, "first": [True] * 700, "doc_id": list(range(1, 701)), "text": texts})
+    found = ngram_join._block_links(4, 85)(table)
+    low = {u: v for u, v in zip(found["u"].to_pylist(), found["v"].to_pylist(), strict=True)}
+    assert [low.get(i, i) for i in range(1, 701)] == [c for _, _, c in plain_components(list(enumerate(texts, 1)))]
