@@ -10,18 +10,21 @@ at hand. In a list, distances come from tables of the query's residual against a
 that distance, less what coding has moved the other vector, is beyond the limit, which drops no link. Pairs that are left
 are decided by their exact cosine in double precision.
 
-Centroids and code words are fitted on at most ``SAMPLE`` vectors, chosen by a hash of the id; every vector is indexed.
+Only vectors of one length can be compared, so each length has an index and lists of its own. Centroids and code words are
+fitted on at most ``SAMPLE`` vectors of all lengths together, chosen by a hash of the id; every vector is indexed. A length
+too rare to be in the sample is one list, whose pairs are all decided by their exact cosine.
 Equal vectors are compared once, as one class with a count. Lists are cut into blocks of about ``BLOCK``, and every pair
 of blocks is one task, which returns a count for each vector and a spanning forest of the links: rows grow with the
 vectors, not with their links.
 
-Defined cases: vectors that are null, zero, hold null or non-finite components, or are not as long as most, link with
-nothing, and so do those of null ids, whose component is null. Rows that share an id are one node of the components.
+Defined cases: vectors that are null, zero, or hold null or non-finite components link with nothing, and so do those of null
+ids, whose component is null. Rows that share an id are one node of the components.
 Repeated rows are links of each other, like any equal vectors. Columns other than vec_id and embedding are not read.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from hashlib import md5
 
 import numpy as np
@@ -48,7 +51,7 @@ def _valid(docs: DataFrame) -> DataFrame:
             same, data = [], []
             for x in batch.column("embedding").to_pylist():
                 x = None if x is None or None in x else np.array(x, np.float64)
-                good = x is not None and len(x) and np.isfinite(x).all() and x.any() and np.isfinite(x @ x)
+                good = x is not None and len(x) and np.isfinite(x).all() and x.any()
                 same.append(md5(x.tobytes()).digest() if good else None)
                 data.append(x.tobytes() if good else None)
             yield pa.RecordBatch.from_arrays([batch.column("vec_id").cast(pa.int64()), pa.array(same, pa.binary()), pa.array(data, pa.binary())], ["vec_id", "same", "data"])
@@ -128,36 +131,41 @@ def exact(x: np.ndarray, y: np.ndarray, maybe: np.ndarray, limit: float) -> np.n
     return out
 
 
-def _placed(classes: DataFrame, index: dict, size: int, limit: float) -> DataFrame:
+def _placed(classes: DataFrame, indexes: dict[int, dict], limit: float) -> DataFrame:
     """Each class in its own list, with codes, and as a query in every earlier list that it has to look into."""
-    shared = classes.sparkSession.sparkContext.broadcast(index)
+    shared = classes.sparkSession.sparkContext.broadcast(indexes)
+
+    def lists(index, x):
+        if index is None:
+            return np.zeros(len(x), np.int64), np.zeros((len(x), 1), bool), np.zeros((len(x), 0), np.uint8), np.zeros(len(x))
+        own, may = probes(index, x, limit)
+        return own, may & (np.arange(may.shape[1])[None, :] < own[:, None]), *coded(index, x - index["coarse"][own])
 
     def run(batches):
         for whole in batches:
             for k in range(0, whole.num_rows, 2048):
-                batch = whole.slice(k, 2048)
-                if not batch.num_rows:
-                    continue
-                x = unit(batch.column("data").to_pylist(), size)
-                own, may = probes(shared.value, x, limit)
-                codes, error = coded(shared.value, x - shared.value["coarse"][own])
-                may &= np.arange(may.shape[1])[None, :] < own[:, None]
-                i, other = np.nonzero(may)
-                row = np.concatenate([np.arange(len(x)), i])
-                took = batch.take(pa.array(row))
-                asks = np.arange(len(row)) >= len(x)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate([own, other]).astype(np.int32)), pa.array(asks), took.column("vec_id"), took.column("copies"), took.column("data"),
-                    pa.array([codes[r].tobytes() for r in row], pa.binary()), pa.array(error[row])], ["list", "asks", "vec_id", "copies", "data", "codes", "error"])
-
-    return classes.select("vec_id", "copies", "data").mapInArrow(run, "list int, asks boolean, vec_id bigint, copies bigint, data binary, codes binary, error double")
-
-
-def _compared(placed: DataFrame, index: dict, size: int, limit: float) -> DataFrame:
+                part = whole.slice(k, 2048)
+                sizes = part.column("size").to_numpy()
+                for size in np.unique(sizes):
+                    batch = part.take(pa.array(np.flatnonzero(sizes == size)))
+                    x = unit(batch.column("data").to_pylist(), int(size))
+                    own, may, codes, error = lists(shared.value.get(int(size)), x)
+                    i, other = np.nonzero(may)
+                    row = np.concatenate([np.arange(len(x)), i])
+                    took = batch.take(pa.array(row))
+                    asks = np.arange(len(row)) >= len(x)
+                    yield pa.RecordBatch.from_arrays([
+                        took.column("size"), pa.array(np.concatenate([own, other]).astype(np.int32)), pa.array(asks), took.column("vec_id"), took.column("copies"), took.column("data"),
+                        pa.array([codes[r].tobytes() for r in row], pa.binary()), pa.array(error[row])], ["size", "list", "asks", "vec_id", "copies", "data", "codes", "error"])
+
+    return classes.select("size", "vec_id", "copies", "data").mapInArrow(run, "size int, list int, asks boolean, vec_id bigint, copies bigint, data binary, codes binary, error double")
+
+
+def _compared(placed: DataFrame, indexes: dict[int, dict], limit: float) -> DataFrame:
     """Rows (u, v, n): with null v, n links more of vector u; else an edge of the forest."""
-    shared = placed.sparkSession.sparkContext.broadcast(index)
-    counts = placed.groupBy("list").agg(F.ceil(F.sum((~F.col("asks")).cast("int")) / BLOCK).cast("int").alias("own"), F.ceil(F.sum(F.col("asks").cast("int")) / BLOCK).cast("int").alias("others"))
-    rows = placed.join(F.broadcast(counts), "list")  # a row a list, LISTS at most
+    shared = placed.sparkSession.sparkContext.broadcast(indexes)
+    counts = placed.groupBy("size", "list").agg(F.ceil(F.sum((~F.col("asks")).cast("int")) / BLOCK).cast("int").alias("own"), F.ceil(F.sum(F.col("asks").cast("int")) / BLOCK).cast("int").alias("others"))
+    rows = placed.join(F.broadcast(counts), ["size", "list"])  # a row a list, LISTS at most for each length
     mine = F.pmod(F.xxhash64("vec_id"), F.greatest(F.lit(1), F.when(F.col("asks"), F.col("others")).otherwise(F.col("own")))).cast("int")
     rows = rows.withColumn("mine", mine)
     task = lambda kind, x, y, left: F.struct(F.lit(kind).alias("kind"), x.cast("int").alias("x"), y.cast("int").alias("y"), left.alias("left"))
@@ -166,17 +174,19 @@ def _compared(placed: DataFrame, index: dict, size: int, limit: float) -> DataFr
     asked = F.when(F.col("others") > 0, F.transform(upto(F.col("others")), lambda b: task(1, b, F.col("mine"), F.lit(False)))).otherwise(F.array().cast("array<struct<kind:int,x:int,y:int,left:boolean>>"))
     asking = F.when(F.col("own") > 0, F.transform(upto(F.col("own")), lambda b: task(1, F.col("mine"), b, F.lit(True)))).otherwise(F.array().cast("array<struct<kind:int,x:int,y:int,left:boolean>>"))
     tasks = F.explode(F.when(F.col("asks"), asking).otherwise(F.concat(among, asked)))
-    rows = rows.select("list", tasks.alias("t"), "vec_id", "copies", "data", "codes", "error").select("list", "t.*", "vec_id", "copies", "data", "codes", "error")
+    rows = rows.select("size", "list", tasks.alias("t"), "vec_id", "copies", "data", "codes", "error").select("size", "list", "t.*", "vec_id", "copies", "data", "codes", "error")
 
     def links(table: pa.Table) -> pa.Table:
         first = np.array(table["left"].to_pylist(), bool)
         ids, copies, error = (table[c].to_numpy() for c in ("vec_id", "copies", "error"))
-        x = unit(table["data"].to_pylist(), size)
+        size = table["size"][0].as_py()
+        x, index = unit(table["data"].to_pylist(), size), shared.value.get(size)
         codes = np.frombuffer(b"".join(table["codes"].to_pylist()), np.uint8).reshape(len(ids), -1)
         same = table["kind"][0].as_py() == 0 and table["x"][0].as_py() == table["y"][0].as_py()
         a = np.flatnonzero(first)
         b = a if same else np.flatnonzero(~first)
-        found = exact(x[a], x[b], likely(shared.value, shared.value["coarse"][table["list"][0].as_py()], x[a], codes[b], error[b], limit), limit)
+        maybe = np.ones((len(a), len(b)), bool) if index is None else likely(index, index["coarse"][table["list"][0].as_py()], x[a], codes[b], error[b], limit)
+        found = exact(x[a], x[b], maybe, limit)
         if same:
             found |= found.T  # rounding must not make a link one-sided
             np.fill_diagonal(found, False)
@@ -190,26 +200,27 @@ def _compared(placed: DataFrame, index: dict, size: int, limit: float) -> DataFr
         return pa.table({"u": pa.array(np.concatenate([whose, u]), pa.int64()), "v": pa.array(np.concatenate([whose, v]), pa.int64(), mask=np.arange(len(whose) + len(u)) < len(whose)),
                          "n": pa.array(np.concatenate([count, np.zeros(len(u), np.int64)]), pa.int64())})
 
-    return rows.groupBy("list", "kind", "x", "y").applyInArrow(links, "u bigint, v bigint, n bigint")
+    return rows.groupBy("size", "list", "kind", "x", "y").applyInArrow(links, "u bigint, v bigint, n bigint")
 
 
 def joined(vectors: DataFrame, limit: float = LIMIT) -> DataFrame:
     """Per row: vec_id, n_links, component_id (the smallest id reachable) and kept."""
     every = written(_valid(vectors), "vectors")
-    usual = every.filter("data is not null and vec_id is not null").groupBy(F.length("data").alias("bytes")).count().orderBy(F.desc("count"), "bytes").first()
-    size = usual.bytes // 8 if usual else 1
-    members = every.filter((F.length("data") == 8 * size) & F.col("vec_id").isNotNull())
+    members = every.filter("data is not null and vec_id is not null")
     rep = members.groupBy("same").agg(F.min(F.struct("vec_id", "rid")).alias("rep"), F.count("*").alias("copies")).select("same", "rep.*", "copies")
     rep = written(rep, "vector-classes")
-    classes = written(members.select("rid", "data").join(rep, "rid"), "vector-index")
-    n = classes.count()
+    size = F.expr("cast(length(data) div 8 as int)").alias("size")
+    classes = written(members.select("rid", "data", size).join(rep, "rid"), "vector-index")
+    many = {r["size"]: r["count"] for r in classes.groupBy("size").count().collect()}
+    n = sum(many.values())
     some = classes.filter(F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(1 << 30)) < int(min(1.0, 0.9 * SAMPLE / max(n, 1)) * (1 << 30)) + 1).select("vec_id", "data").limit(SAMPLE).collect()
-    if not some:
-        some = classes.select("vec_id", "data").limit(1).collect()
-    if not some:
+    if not n:
         return every.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    index = fit(unit([bytes(r.data) for r in sorted(some)], size), max(1, min(LISTS, n // PER_LIST)))
-    found = written(_compared(_placed(classes, index, size, limit), index, size, limit), "vector-links")
+    drawn = defaultdict(list)
+    for r in sorted(some):
+        drawn[len(r.data) // 8].append(bytes(r.data))
+    indexes = {size: fit(unit(data, size), max(1, min(LISTS, many[size] // PER_LIST))) for size, data in drawn.items()}
+    found = written(_compared(_placed(classes, indexes, limit), indexes, limit), "vector-links")
     more = found.filter("v is null").groupBy("u").agg(F.sum("n").alias("more")).select(F.col("u").alias("rep"), "more")
     own = written(members.select("rid", "vec_id", "same").join(rep.select("same", F.col("vec_id").alias("rep"), F.col("rid").alias("class"), "copies"), "same"), "vector-members")
     several = own.groupBy("vec_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low <> high").select("vec_id")

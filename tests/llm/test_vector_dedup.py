@@ -82,3 +82,26 @@ def test_recall_on_vectors_of_many_dimensions(spark):
     got = {r.vec_id: r.n_links for r in vd.joined(spark.createDataFrame(rows, given.select("vec_id", "embedding").schema)).collect()}
     assert all(got[i] <= n for (i, _), n in zip(rows, near))
     assert near.sum() > 3000 and sum(got.values()) >= 0.999 * near.sum()
+
+
+def test_every_length_has_its_links(spark, monkeypatch):
+    """Two lengths of many vectors, one of two that the sample misses, and vectors whose squares overflow or vanish."""
+    monkeypatch.setattr(vd, "PER_LIST", 12)
+    pick = np.random.default_rng(11)
+    few = [(9000, [1.0, 2.0, 3.0]), (9001, [1.0, 2.0, 3.1]), (9002, [1e300, 0.0, 0.0]), (9003, [1.0, 0.0, 0.01]), (9004, [1e-300, 0.0, 0.0])]
+    wide = pick.normal(size=(10, 9))[pick.integers(0, 10, 150)] + 0.1 * pick.normal(size=(150, 9))
+    wide = [(4000 + k, [float(v) for v in x]) for k, x in enumerate(wide)]
+    rows = [*cloud(9, 250), *wide, *few]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = {}
+    for size in (3, 6, 9):
+        x = np.array([np.array(x) / np.abs(x).max() for _, x in rows if len(x) == size])
+        ids = [i for i, x in rows if len(x) == size]
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        want |= dict(zip(ids, ((x @ x.T >= 0.95).sum(axis=1) - 1).tolist(), strict=True))
+    assert sum(want[i] for i, _ in few) == 8 and sum(want[i] for i, _ in wide) > 1000
+    for sample in (vd.SAMPLE, 60):
+        monkeypatch.setattr(vd, "SAMPLE", sample)
+        got = vd.joined(table).collect()
+        assert {r.vec_id: r.n_links for r in got} == want
+        assert {r.vec_id: r.component_id for r in got if r.vec_id >= 9000} == {9000: 9000, 9001: 9000, 9002: 9002, 9003: 9002, 9004: 9002}
