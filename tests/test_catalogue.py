@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from conftest import ROOT
+from given import ROOT
 from skeinlog.plans import load_catalogue
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -3,7 +3,7 @@ from collections import Counter
 
 import duckdb
 
-from conftest import ROOT
+from given import ROOT
 from skeinlog.plans import load_catalogue
 from skeinlog.plans.record_queries import codex_lines
 

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from conftest import ROOT
+from given import ROOT
 from skeinlog.functions import numbers
 from skeinlog.operators import cache, lifecycle
 from skeinlog.plans.cache_queries import accounting_rows
