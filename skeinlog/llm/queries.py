@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 
 import corpus_pipeline
-from skeinlog.llm import bpe, conversations, divergence, fingerprint, language, mixing, ngram_join, quality, secret_scan, suffix_dedup, token_counts, vector_dedup
+from skeinlog.llm import bpe, conversations, divergence, fingerprint, language, mixing, ngram_join, quality, secret_scan, sharding, suffix_dedup, token_counts, vector_dedup
 from skeinlog.llm.shared import documents
 from skeinlog.session import scratch_path
 
@@ -50,6 +50,10 @@ def op10_quality(spark, sf_dir):
     return quality.predictions(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op11_sharding(spark, sf_dir):
+    return sharding.sharded(documents(spark, sf_dir))
+
+
 def op12_source_divergence(spark, sf_dir):
     return divergence.audit(documents(spark, sf_dir))
 
@@ -58,5 +62,5 @@ def op13_conversation_repair(spark, sf_dir):
     return conversations.digests(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_mixing, op3_suffix_dedup, op4_secret_scan, op5_token_counts, op6_bpe_round_trip, op7_language_id, op8_vector_dedup, op9_fingerprints, op10_quality, op12_source_divergence, op13_conversation_repair)} | {"pipeline": corpus_pipeline.run}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_mixing, op3_suffix_dedup, op4_secret_scan, op5_token_counts, op6_bpe_round_trip, op7_language_id, op8_vector_dedup, op9_fingerprints, op10_quality, op11_sharding, op12_source_divergence, op13_conversation_repair)} | {"pipeline": corpus_pipeline.run}
 ORACLES = {"op5_token_counts": token_counts.CORPUS_SQL, "op12_source_divergence": divergence.SQL}
