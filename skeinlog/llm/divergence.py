@@ -85,7 +85,8 @@ def counted(texts: DataFrame) -> DataFrame:
         yield from out()
 
     rows = texts.mapInArrow(run, "lang string, source string, term string, count bigint, docs bigint")
-    return rows.groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
+    # one exchange by term serves this sum and the next one; the tasks have added up what they could
+    return rows.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
 
 
 def share(count: str, whole: str) -> str:
