@@ -65,8 +65,9 @@ def load(path: str) -> dict:
         ends = token.endswith(WORD_END) and token != WORD_END
         raw = bytes(byte[c] for c in (token.removesuffix(WORD_END) if ends else token))
         (final if ends else inner)[raw] = i
+    edges, back, inside, ending = automaton(inner, final)
     return {
-        "byte": byte, "inner": inner, "final": final, "halves": halves, "pairs": pairs, "special": special,
+        "byte": byte, "final": final, "edges": edges, "back": back, "inside": inside, "ending": ending, "halves": halves, "pairs": pairs, "special": special,
         "rank": {i: rank.get(t, -1) for t, i in vocab.items()},
         "spaced": {i: " " + t for t, i in [*vocab.items(), *special.items()]},
         "surface": {i: t for t, i in [*vocab.items(), *special.items()]},
@@ -74,6 +75,46 @@ def load(path: str) -> dict:
     }
 
 
+Entries = tuple[tuple[int, int], ...]
+
+
+def automaton(inner: dict[bytes, int], final: dict[bytes, int]) -> tuple[dict[int, int], list[int], list[Entries], list[Entries]]:
+    """What is read so far, as far as some entry begins with it: state << 8 | byte -> state; the state to fall back to; and at
+    each state the entries (length, id) that end there, the longest first, inside and at the end of a word."""
+    edges: dict[int, int] = {}
+    back, byte_of, parent = [0], [0], [0]
+    own: list[dict[int, tuple[int, int]]] = [{}, {}]
+    for k, table in enumerate((inner, final)):
+        for raw, token in table.items():
+            state = 0
+            for byte in raw:
+                step = state << 8 | byte
+                if step not in edges:
+                    edges[step] = len(back)
+                    back.append(0)
+                    byte_of.append(byte)
+                    parent.append(state)
+                state = edges[step]
+            own[k][state] = len(raw), token
+    depth = [0] * len(back)
+    for state in range(1, len(back)):  # a state is made after its parent
+        depth[state] = depth[parent[state]] + 1
+    ends: tuple[list[Entries], list[Entries]] = ([()] * len(back), [()] * len(back))
+    for state in sorted(range(1, len(back)), key=depth.__getitem__):
+        if parent[state]:
+            back[state] = _step(edges, back, back[parent[state]], byte_of[state])
+        for some, mine in zip(ends, own, strict=True):
+            shorter = some[back[state]]
+            some[state] = (mine[state], *shorter) if state in mine else shorter
+    return edges, back, *ends
+
+
+def _step(edges: dict[int, int], back: list[int], state: int, byte: int) -> int:
+    while (to := edges.get(state << 8 | byte)) is None and state:
+        state = back[state]
+    return to or 0
+
+
 def sufficient_lookahead(vocab: dict[str, int], merges: list[tuple[str, str]]) -> int:
     """Symbols behind a token that can still undo it.
 
@@ -111,64 +152,92 @@ def follows(model: dict, left: int, right: int) -> bool:
             before, right = b + 1, halves[right][0]
 
 
-def stream(model: dict, symbols: Iterator[bytes] | bytes, held: list[int] | None = None) -> Iterator[int]:
-    """Token ids of one piece, given as its bytes, each id as soon as it is stable. ``held`` notes the links kept."""
-    inner, longest = model["inner"], model["longest"]
-    known = model["state"].setdefault("follows", {})
-    window, links, at = bytearray(), [(0, -1)], 0  # links[k]: (length, id) of the token that ends k bytes after ``at``
-
-    def link(table: dict[bytes, int]) -> tuple[int, int]:
-        end = len(window)
-        for size in range(min(longest, end), 0, -1):
-            token = table.get(bytes(window[end - size:]))
-            if token is None or links[end - size] is None:
-                continue
-            last = links[end - size][1]
-            if last < 0:
-                return size, token
-            fits = known.get((last, token))
+#: Pairs of tokens of which a worker remembers whether they may stand side by side, and steps of the automaton it remembers.
+PAIRS = STEPS = 1 << 18
+
+
+def linked(model: dict, some: bytes, state: int, cut: list[int], tokens: list[int], last: bool) -> int:
+    """Reads bytes and adds the links of the positions behind them: where the token that ends there begins, and its id.
+
+    ``state`` is that of the automaton before and after. With ``last`` the position behind the last byte ends the word.
+    """
+    steps, known = model["state"].setdefault("steps", {}), model["state"].setdefault("follows", {})
+    inside, end, stop = model["inside"], len(cut), len(cut) + len(some) - 1
+    for byte in some:
+        to = steps.get(state << 8 | byte)
+        if to is None:
+            if len(steps) > STEPS:
+                steps.clear()
+            to = steps[state << 8 | byte] = _step(model["edges"], model["back"], state, byte)
+        state = to
+        for size, token in model["ending"][state] if last and end == stop else inside[state]:
+            if size > end:
+                continue  # begins before what is held
+            before = tokens[end - size]
+            if before < 0:
+                break
+            fits = known.get(before << 20 | token)
             if fits is None:
-                if len(known) > 1 << 16:
+                if len(known) > PAIRS:
                     known.clear()
-                fits = known[last, token] = follows(model, last, token)
+                fits = known[before << 20 | token] = follows(model, before, token)
             if fits:
-                return size, token
-        raise ValueError("the vocabulary lacks single bytes")
+                break
+        else:
+            raise ValueError("the vocabulary lacks single bytes")
+        cut.append(end - size)
+        tokens.append(token)
+        end += 1
+    return state
+
+
+def way_back(cut: list[int], tokens: list[int], end: int) -> list[int]:
+    out = []
+    while end > 0:
+        out.append(tokens[end])
+        end = cut[end]
+    return out[::-1]
+
+
+def whole_piece(model: dict, piece: bytes) -> list[int]:
+    """Token ids of a short piece: what ``stream`` gives, without a window to move."""
+    token = model["final"].get(piece)
+    if token is not None:  # nothing longer can end where the word ends
+        return [token]
+    cut, tokens = [0], [-1]
+    linked(model, piece, 0, cut, tokens, True)
+    return way_back(cut, tokens, len(piece))
+
+
+def stream(model: dict, symbols: Iterator[bytes] | bytes, held: list[int] | None = None) -> Iterator[int]:
+    """Token ids of one piece, given as its bytes, each id as soon as it is stable. ``held`` notes the links kept."""
+    longest = model["longest"]
+    cut, tokens, state = [0], [-1], 0  # of the token that ends k bytes after what is settled: its start, its id
 
     def settled() -> int:
-        """Where the ways back from all places that a later token may start from have met."""
-        live = {*range(max(0, len(window) - longest + 1), len(window) + 1)}
+        """Where the ways back from all places that a later token may still start from have met."""
+        live = {*range(max(0, len(cut) - longest), len(cut))}
         while len(live) > 1:
             latest = max(live)
             live.remove(latest)
-            live.add(latest - links[latest][0] if latest else 0)
+            live.add(cut[latest])
         return live.pop()
 
-    def back(end: int) -> list[int]:
-        out = []
-        while end > 0:
-            size, token = links[end]
-            out.append(token)
-            end -= size
-        return out[::-1]
-
     ahead = None
     for byte in symbols:
         if ahead is not None:
-            window.append(ahead)
-            links.append(link(inner))
-            if len(window) >= 2 * (model["lookahead"] + longest):
+            state = linked(model, bytes([ahead]), state, cut, tokens, False)
+            if len(cut) > 2 * (model["lookahead"] + longest):
                 meet = settled()
-                yield from back(meet)
-                del window[:meet]
-                links[:meet + 1] = [(0, links[meet][1])]
+                yield from way_back(cut, tokens, meet)
+                cut[:] = [max(0, c - meet) for c in cut[meet:]]
+                tokens[:meet + 1] = [tokens[meet]]
         ahead = byte
         if held is not None:
-            held.append(len(links))
+            held.append(len(cut))
     if ahead is not None:
-        window.append(ahead)
-        links.append(link(model["final"]))
-        yield from back(len(window))
+        linked(model, bytes([ahead]), state, cut, tokens, True)
+        yield from way_back(cut, tokens, len(cut) - 1)
 
 
 class Decoder:
@@ -227,7 +296,8 @@ def coded(model: dict, text: str) -> Iterator[tuple[list[tuple[str, int, str]],
     def fresh(piece: str) -> tuple[str, int, str]:
         out = old.get(piece)
         if out is None:
-            ids = list(stream(model, piece.encode()))
+            raw = piece.encode()
+            ids = whole_piece(model, raw) if len(raw) <= model["longest"] + model["lookahead"] else list(stream(model, raw))
             decoder = Decoder(model, "surface")
             out = " ".join(map(str, ids)), len(ids), "".join(map(decoder.feed, ids))
         if len(piece) <= LONG_PIECE:
