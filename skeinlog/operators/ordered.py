@@ -68,7 +68,8 @@ def Lead(value: Column) -> NextValue:
 
 
 def scan(df: DataFrame, keys: list[str], order: str, block: Column | None = None, **specs) -> DataFrame:
-    """Add one column per spec. ``order`` must be an integer, unique within the keys.
+    """Add one column per spec. ``order`` must be an integer, unique within the keys, but for sums, least and greatest
+    values that are read behind all rows of one order value.
 
     ``block`` may name another block expression; it has to be non-decreasing in ``order``.
     ``Lag``/``Lead`` results are unwrapped, so a null predecessor and no predecessor both read NULL.

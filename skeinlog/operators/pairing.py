@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skeinlog.operators import ordered
+from skeinlog.operators import ordered, sweeps
 from skeinlog.session import materialize
 
 
@@ -206,24 +206,9 @@ def _open_spans(spans: DataFrame, points: DataFrame, keys: list[str]) -> DataFra
     return swept.filter("part = 1").select(*keys, "line", "open", "start", "end")
 
 
-def containing_span(events: DataFrame, spans: DataFrame, width: int) -> DataFrame:
-    """Events lying inside exactly one span of their file. ``events``: min_line, max_line.
-
-    The sweep settles every event whose first line has one open span, and every one-line event. Only events of
-    several lines that begin under several spans are compared with the spans of their bucket.
-    """
-    keys = ["session_id", "file"]
-    at = events.withColumn("line", F.col("min_line"))
-    placed = materialize(at.join(_open_spans(spans, at, keys), [*keys, "line"]).filter("open > 0"), "containment")
-    sure = placed.filter("open = 1 and max_line <= end").join(
-        spans.select(*keys, "start", "end", "span_id"), [*keys, "start", "end"]).select("event_id", "span_id")
-    cut = spans.select(*keys, "span_id", "start", "end", F.explode(F.sequence(
-        F.floor(F.col("start") / width), F.floor(F.col("end") / width))).alias("_bucket"))
-    unsure = placed.filter("open > 1 and max_line > min_line").select(*keys, "event_id", "min_line", "max_line")
-    met = unsure.withColumn("_bucket", F.floor(F.col("min_line") / width)).join(cut, [*keys, "_bucket"]).filter(
-        (F.col("min_line") >= F.col("start")) & (F.col("max_line") <= F.col("end")))
-    one = met.groupBy("event_id").agg(F.count(F.lit(1)).alias("n"), F.min("span_id").alias("span_id")).filter("n = 1").drop("n")
-    return sure.unionByName(one)
+def containing_span(events: DataFrame, spans: DataFrame) -> DataFrame:
+    """Events lying inside exactly one span of their file. ``events``: min_line, max_line."""
+    return sweeps.sole_container(events, spans, ["session_id", "file"])
 
 
 def line_ranges(lines: DataFrame) -> DataFrame:
@@ -234,41 +219,29 @@ def line_ranges(lines: DataFrame) -> DataFrame:
 
 
 def range_owner(points: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Owner of (file, line) points by a sweep over range edges: counts and owner sums, never pairs.
-
-    ``ranges`` carry a numeric ``owner``. Where exactly one range covers the point, the sum of open owners is
-    that owner; where more do, there is none.
-    """
-    opened = ranges.groupBy("file", F.col("start").alias("line")).agg(F.count(F.lit(1)).alias("n"), F.sum("owner").alias("o")).withColumn("part", F.lit(0))
-    asked = points.select("file", "line").distinct().withColumns({"n": F.lit(0).cast("bigint"), "o": F.lit(0).cast("bigint"), "part": F.lit(1)})
-    closed = ranges.groupBy("file", F.col("end").alias("line")).agg((-F.count(F.lit(1))).alias("n"), (-F.sum("owner")).alias("o")).withColumn("part", F.lit(2))
-    edges = materialize(opened.unionByName(asked).unionByName(closed).withColumn("at", F.col("line") * 3 + F.col("part")), "edges")
-    swept = ordered.scan(edges, ["file"], "at", open=ordered.RunningSum(F.col("n")), owner=ordered.RunningSum(F.col("o")))
-    found = swept.filter("part = 1").select("file", "line", "open", F.when(F.col("open") == 1, F.col("owner")).alias("owner"))
-    return points.join(found, ["file", "line"])
+    """Points of files with ``open``, how many ranges cover them, and ``owner`` where exactly one does."""
+    return sweeps.sole_owner(points, ranges, ["file"])
 
 
-def review_parents(reviews: DataFrame, markers: DataFrame) -> DataFrame:
-    """Review session -> the one primary session whose review marker fits it.
+def review_parents(reviews: DataFrame, markers: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Review session -> the one primary session whose review marker fits it, among those of equal ``keys``.
 
-    Fits when the marker opens within 5 s of the start, or encloses the start (5 s / 30 s slack) and closes
-    within 120 s of the last update. Both conditions need times close to each other, so both joins run on
-    time buckets; candidates are checked exactly afterwards.
+    Fits when the marker opens within 5 s of the start, or encloses the start (5 s / 30 s slack) and closes within 120 s
+    of the last update. Either is a range of times, the latter with a bound on when the marker opened; one parent fits
+    where the least and the greatest fitting parent are the same. No review meets a marker.
     """
-    def near(left: Column, right: str, slack: int) -> DataFrame:
-        width = slack
-        r = reviews.withColumn("_b", F.explode(F.array(*[F.floor(left / width) + d for d in (-1, 0, 1)])))
-        m = markers.filter(F.col(right).isNotNull()).withColumn("_b", F.floor(F.col(right) / width))
-        return r.join(m, "_b").drop("_b")
-
-    entered_gap = F.abs(F.col("entered_ms") - F.col("started_ms"))
-    by_start = near(F.col("started_ms"), "entered_ms", 5_000).filter(entered_gap <= 5_000)
-    encloses = (F.col("entered_ms") <= F.col("started_ms") + 5_000) & (F.col("exited_ms") >= F.col("started_ms") - 30_000)
-    by_end = near(F.coalesce("updated_ms", "started_ms"), "exited_ms", 120_000).filter(
-        encloses & (F.abs(F.col("exited_ms") - F.coalesce("updated_ms", "started_ms")) <= 120_000))
-    pairs = by_start.select("review_id", "parent_id").unionByName(by_end.select("review_id", "parent_id"))
-    return pairs.groupBy("review_id").agg(F.min("parent_id").alias("parent_id"), F.max("parent_id").alias("_other")).filter(
-        "parent_id = _other").drop("_other")
+    keys = keys or []
+    reviews = reviews.filter("started_ms is not null").withColumn("_u", F.coalesce("updated_ms", "started_ms"))
+    markers = markers.filter("entered_ms is not null")
+    s, near, late, close = F.col("started_ms"), 5_000, 30_000, 120_000
+    opens = sweeps.extremes(
+        markers.select(*keys, F.col("entered_ms").alias("at"), F.lit(0).cast("bigint").alias("by"), F.col("parent_id").alias("value")),
+        reviews.select(*keys, F.col("review_id").alias("ask_id"), (s - near).alias("low"), (s + near).alias("high"), F.lit(0).cast("bigint").alias("upto")), keys, 2 * near)
+    closes = sweeps.extremes(
+        markers.filter("exited_ms is not null").select(*keys, F.col("exited_ms").alias("at"), F.col("entered_ms").alias("by"), F.col("parent_id").alias("value")),
+        reviews.select(*keys, F.col("review_id").alias("ask_id"), F.greatest(s - late, F.col("_u") - close).alias("low"), (F.col("_u") + close).alias("high"), (s + near).alias("upto")), keys, 2 * close)
+    both = opens.unionByName(closes).groupBy("ask_id").agg(F.min("least").alias("parent_id"), F.max("greatest").alias("_other"))
+    return both.filter("parent_id = _other").select(F.col("ask_id").alias("review_id"), "parent_id")
 
 
 def review_markers(rows: DataFrame) -> DataFrame:

@@ -326,7 +326,7 @@ def _(spark, root):
     ev = bind.events(spark, root).withColumn("file", F.col("session_id"))
     spans = ev.filter("tool_name <> ''").select("session_id", "file", F.col("event_id").alias("span_id"), F.col("line").alias("start"), (F.col("line") + 700).alias("end"))
     inner = ev.filter("tool_name = ''").select("session_id", "file", "event_id", F.col("line").alias("min_line"), F.col("line").alias("max_line"))
-    return lifecycle.operation_facts(spans, pairing.containing_span(inner, spans, 1000).join(inner.select("event_id", "min_line"), "event_id"))
+    return lifecycle.operation_facts(spans, pairing.containing_span(inner, spans).join(inner.select("event_id", "min_line"), "event_id"))
 
 
 @query("lif_05_goal_events", bind.with_events("""

@@ -209,7 +209,7 @@ def _(spark, root):
     ev = bind.events(spark, root).withColumn("file", F.col("k") % 2)
     spans = ev.filter("tool_name <> ''").select("session_id", "file", F.col("event_id").alias("span_id"), F.col("line").alias("start"), (F.col("line") + 700).alias("end"))
     inner = ev.filter("tool_name = ''").select("session_id", "file", "event_id", F.col("line").alias("min_line"), (F.col("line") + (F.col("k") % 3) * 100).alias("max_line"))
-    return pairing.containing_span(inner, spans, 1000)
+    return pairing.containing_span(inner, spans)
 
 
 OWNER_LINES_SQL = """ol AS (SELECT o_orderkey % 3 AS file, o_orderkey // 3 AS line, (o_orderkey // 300) * 2 + o_custkey % 2 AS session_id FROM orders),
@@ -228,12 +228,12 @@ def _(spark, root):
 
 
 @query("jon_14_range_owner", f"""
-WITH {OWNER_LINES_SQL}, r2 AS (SELECT file, session_id AS owner, st, en + session_id % 3 AS en FROM rg), p AS (SELECT file, line FROM ol WHERE line % 2 = 0)
+WITH {OWNER_LINES_SQL}, r2 AS (SELECT file, 's' || session_id AS owner, st, en + session_id % 3 AS en FROM rg), p AS (SELECT file, line FROM ol WHERE line % 2 = 0)
 SELECT p.file, p.line, count(r2.owner) AS open, CASE WHEN count(r2.owner) = 1 THEN min(r2.owner) END AS owner
 FROM p LEFT JOIN r2 ON r2.file = p.file AND p.line BETWEEN st AND en GROUP BY 1, 2""")
 def _(spark, root):
     lines = owner_lines(spark, root)
-    ranges = pairing.line_ranges(lines).select("file", F.col("session_id").alias("owner"), "start", (F.col("end") + F.col("session_id") % 3).alias("end"))
+    ranges = pairing.line_ranges(lines).select("file", F.concat(F.lit("s"), F.col("session_id").cast("string")).alias("owner"), "start", (F.col("end") + F.col("session_id") % 3).alias("end"))
     return pairing.range_owner(lines.filter("line % 2 = 0").select("file", "line"), ranges).select("file", "line", "open", "owner")
 
 

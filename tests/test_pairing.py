@@ -91,7 +91,7 @@ def test_containment_brute_force(spark, tiny_blocks):
     spans = [("s", "f", f"p{i}", lo, lo + rng.randint(0, 15)) for i, lo in enumerate(rng.sample(range(120), 25))]
     events = [("s", "f", f"e{i}", lo, lo + rng.choice([0, 0, 3])) for i, lo in enumerate(rng.sample(range(140), 60))]
     got = pairing.containing_span(spark.createDataFrame(events, "session_id string, file string, event_id string, min_line bigint, max_line bigint"),
-                                  spark.createDataFrame(spans, "session_id string, file string, span_id string, start bigint, end bigint"), 10)
+                                  spark.createDataFrame(spans, "session_id string, file string, span_id string, start bigint, end bigint"))
     expected = {}
     for _, _, event, lo, hi in events:
         over = [n for _, _, n, a, b in spans if a <= lo and hi <= b]
