@@ -122,9 +122,20 @@ def _(spark, root):
     return rows.select(F.concat(F.lit("e"), F.col("line").cast("string")).alias("event_id"), F.explode(R.usage_limits(F.col("record"))).alias("t")).select("event_id", "t.*")
 
 
-@query("prj_24_full_search_text", bind.with_events("""
+_LEAVES = "concat_ws(chr(10), {})".format
+
+#: Leaves of every payload in the order of its keys; null fields are not written, empty texts are no leaves.
+SEARCH_TEXT_SQL = f"""
 SELECT session_id || ':raw:' || line AS raw_id, CASE WHEN role = 'assistant' THEN preview || chr(10) || 'tail' WHEN role = 'user' THEN preview
-  ELSE 'function_call' || chr(10) || 'call_' || (k % 20) || chr(10) || tool_name || chr(10) || '{"cmd":"ls ' || k || '"}' END AS search_text FROM ev WHERE tool_name <> '' OR role = 'assistant' OR (role = 'user' AND k % 10 NOT IN (8, 9))"""))
+  WHEN kind = 'token_count' THEN {_LEAVES("""'token_count', nullif(turn_id, ''), CASE WHEN k % 2 = 1 THEN input_tokens END, CASE WHEN k % 2 = 1 THEN cached_tokens END, 7,
+    CASE WHEN k % 2 = 0 THEN input_tokens END, CASE WHEN k % 2 = 0 THEN cached_tokens END, CASE WHEN k % 2 = 0 THEN input_tokens + 5 END,
+    (k // 2) || CASE WHEN k % 2 = 1 THEN '.5' ELSE '' END, 300, 1700000000 + k""")}
+  WHEN kind = 'error' AND k % 4 = 0 THEN {_LEAVES("'item_completed', session_id, 'CommandExecution', 'item_' || k, 'completed', 'ls'")}
+  WHEN kind = 'error' THEN {_LEAVES("'exec_command_end', 'call_' || (k % 20), 'bash', '-lc', 'run ' || k, k % 3, k % 5, k * 1000000")}
+  ELSE {_LEAVES("""'function_call', 'call_' || (k % 20), tool_name, '{"cmd":"ls ' || k || '"}'""")} END AS search_text FROM ev WHERE NOT (role = 'user' AND k % 10 IN (8, 9))"""
+
+
+@query("prj_24_full_search_text", bind.with_events(SEARCH_TEXT_SQL))
 def _(spark, root):
     return codex.with_search_text(codex_raw(spark, root)).select("raw_id", "search_text")
 

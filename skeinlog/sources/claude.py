@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skeinlog.functions import numbers, records as R, text
+from skeinlog.operators import ordered
+from skeinlog.operators.claims import resolved, stated
+from skeinlog.session import materialize
 
 
 def blocks(record: Column) -> Column:
@@ -58,3 +63,57 @@ def block_events(raw: DataFrame) -> DataFrame:
     kind = (F.when(F.col("b.type") == "thinking", "reasoning").when(F.col("b.type") == "tool_use", "tool_call")
             .when((F.col("b.type") == "text") & (F.col("role") == "user"), "user_message").when(F.col("b.type") == "text", "assistant_message"))
     return b.select("session_id", "line", "block", "ts_text", kind.alias("kind"), F.coalesce("b.text", "b.thinking", "b.name", F.lit("")).alias("text")).filter("kind is not null")
+
+
+def units(parsed: DataFrame) -> DataFrame:
+    """What events are made of: rows that stand as a whole (block -1), else their blocks, each with the kind it has alone.
+
+    Rows: unreadable lines, errors of the service, synthetic and system rows, rows of a user that no human wrote. Text
+    blocks of white space are nothing. A row with tool results is known by its blocks only.
+    """
+    v, broken = F.col("record"), F.col("record").isNull()
+    flag = lambda path: F.coalesce(R.get(v, path, "boolean"), F.lit(False))
+    said = lambda path: F.coalesce(R.text_at(v, path), F.lit(""))
+    rows = parsed.select(
+        "session_id", "line", broken.alias("_broken"), said("$.type").alias("_type"), said("$.subtype").alias("_sub"), flag("$.isApiErrorMessage").alias("_failed"),
+        (said("$.message.model") == "<synthetic>").alias("_made"), flag("$.isCompactSummary").alias("summary"),
+        (flag("$.isMeta") | flag("$.isCompactSummary") | (said("$.origin.kind") == "task-notification")).alias("_told"), blocks(v).alias("_blocks"))
+    answers = F.exists("_blocks", lambda b: b["type"] == "tool_result")
+    talk = F.col("_type").isin("user", "assistant")
+    alone = (F.when(F.col("_broken"), "protocol").when(F.col("_sub").isin("compact_boundary") & ~talk, "compaction").when(~talk, "protocol")
+             .when((F.col("_type") == "assistant") & F.col("_failed"), "error").when((F.col("_type") == "assistant") & F.col("_made"), "protocol")
+             .when((F.col("_type") == "user") & F.col("_told") & ~answers, "protocol").when(F.size("_blocks") == 0, "protocol"))
+    rows = rows.withColumns({"_alone": alone, "_answers": answers})
+    one = rows.filter("_alone is not null").select(
+        "session_id", "line", F.lit(-1).alias("block"), F.col("_alone").alias("kind"), F.lit("").alias("type"), F.lit("").alias("call_id"), "summary")
+    b = rows.filter("_alone is null").select("session_id", "line", "_type", "_answers", "summary", F.posexplode("_blocks").alias("block", "b"))
+    blank = (F.col("b.type") == "text") & (F.trim(F.regexp_replace(F.coalesce("b.text", F.lit("")), r"\s+", " ")) == "") & ~F.col("_answers")
+    kind = (F.when(F.col("_answers"), "protocol").when(F.col("b.type") == "text", F.concat("_type", F.lit("_message")))
+            .when((F.col("b.type") == "thinking") & (F.col("_type") == "assistant"), "reasoning").otherwise("protocol"))
+    call = F.when(F.col("b.type") == "tool_use", F.col("b.id")).when(F.col("b.type") == "tool_result", F.col("b.tool_use_id"))
+    several = b.filter(~F.coalesce(blank, F.lit(False))).select(
+        "session_id", "line", "block", kind.alias("kind"), F.coalesce("b.type", F.lit("")).alias("type"), F.coalesce(call, F.lit("")).alias("call_id"), "summary")
+    return one.unionByName(several)
+
+
+def claims(units: DataFrame) -> DataFrame:
+    """Compactions claim their boundary and the first summary behind it; a call whose id is its own claims its one later result."""
+    marks = units.filter("block = -1 and (kind = 'compaction' or summary)")
+    cut = ordered.scan(marks, ["session_id"], "line", _part=ordered.RunningSum((F.col("kind") == "compaction").cast("bigint"))).filter("_part > 0")
+    groups = cut.groupBy("session_id", "_part").agg(F.min(F.when(F.col("kind") == "compaction", F.col("line"))).alias("lead"), F.min(F.when(F.col("kind") != "compaction", F.col("line"))).alias("summary"))
+    whole = F.lit(-1)
+    calls, at = units.filter("call_id <> ''"), F.struct("line", "block")
+    is_call = F.col("type") == "tool_use"
+    pairs = calls.groupBy("session_id", "call_id").agg(
+        F.count_if(is_call).alias("calls"), F.count_if(~is_call).alias("results"), F.min(F.when(is_call, at)).alias("c"), F.min(F.when(~is_call, at)).alias("r")).filter("calls = 1")
+    lead = F.col("c.line"), F.col("c.block")
+    parts = [
+        stated(groups, F.col("lead"), whole, F.col("lead"), whole, "compaction", 1), stated(groups.filter("summary is not null"), F.col("summary"), whole, F.col("lead"), whole, "compaction", 1),
+        stated(pairs, *lead, *lead, "tool_call", 2), stated(pairs.filter("results = 1 and r > c"), F.col("r.line"), F.col("r.block"), *lead, "tool_call", 2)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def to_logical(parsed: DataFrame) -> DataFrame:
+    """Units with the event each one is in."""
+    some = materialize(units(parsed), "units")  # read by every kind of claim, parsed once
+    return resolved(some.select("session_id", "line", "block", "kind"), claims(some))

@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skeinlog.operators import claims
 from skeinlog.sources import claude, codex, deepseek, files
 
 # Columns every family's raw rows share.
@@ -23,6 +24,7 @@ class SourceSpec:
     pattern: str
     to_raw: Callable[[DataFrame], DataFrame]
     counter_family: str
+    to_logical: Callable[[DataFrame], DataFrame] | None = None
     row_facts: Callable[[DataFrame], DataFrame] | None = None
     row_filter: Callable[[dict], Column] | None = None
     facets: dict[str, Callable[[DataFrame], DataFrame]] = field(default_factory=dict)
@@ -59,6 +61,14 @@ def all_raw(parsed_by_kind: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def logical_events(kind: str, parsed: DataFrame) -> DataFrame:
+    """Events of a family whose rows claim them: session_id, event_id, line, kind, units, layer."""
+    spec = get(kind)
+    if spec.to_logical is None:
+        raise ValueError(f"source kind {kind!r} builds no events by claims")
+    return claims.events(spec.to_logical(parsed))
+
+
 def lines(spark: SparkSession, spec: SourceSpec, root: str) -> DataFrame:
     """Lines of all files of a family below ``root``."""
     return files.read_transcripts(spark, root, spec.pattern.removesuffix("*"))
@@ -85,5 +95,5 @@ def of_kind(rows: DataFrame, *kinds_: str) -> DataFrame:
 
 
 register(SourceSpec("codex", "*.jsonl", codex.to_raw, "codex"))
-register(SourceSpec("claude", "*.jsonl", claude.to_raw, "claude"))
-register(SourceSpec("deepseek", "session.jsonl*", deepseek.to_raw, "deepseek"))
+register(SourceSpec("claude", "*.jsonl", claude.to_raw, "claude", claude.to_logical))
+register(SourceSpec("deepseek", "session.jsonl*", deepseek.to_raw, "deepseek", deepseek.to_logical))
