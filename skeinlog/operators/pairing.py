@@ -234,9 +234,9 @@ def review_parents(reviews: DataFrame, markers: DataFrame, keys: list[str] | Non
     reviews = reviews.filter("started_ms is not null").withColumn("_u", F.coalesce("updated_ms", "started_ms"))
     markers = markers.filter("entered_ms is not null")
     s, near, late, close = F.col("started_ms"), 5_000, 30_000, 120_000
-    opens = sweeps.extremes(
-        markers.select(*keys, F.col("entered_ms").alias("at"), F.lit(0).cast("bigint").alias("by"), F.col("parent_id").alias("value")),
-        reviews.select(*keys, F.col("review_id").alias("ask_id"), (s - near).alias("low"), (s + near).alias("high"), F.lit(0).cast("bigint").alias("upto")), keys, 2 * near)
+    opens = sweeps.extremes_near(
+        markers.select(*keys, F.col("entered_ms").alias("at"), F.col("parent_id").alias("value")),
+        reviews.select(*keys, F.col("review_id").alias("ask_id"), (s - near).alias("low")), keys, 2 * near)
     closes = sweeps.extremes(
         markers.filter("exited_ms is not null").select(*keys, F.col("exited_ms").alias("at"), F.col("entered_ms").alias("by"), F.col("parent_id").alias("value")),
         reviews.select(*keys, F.col("review_id").alias("ask_id"), F.greatest(s - late, F.col("_u") - close).alias("low"), (F.col("_u") + close).alias("high"), (s + near).alias("upto")), keys, 2 * close)

@@ -74,5 +74,24 @@ def extremes(marks: DataFrame, asks: DataFrame, keys: list[str], widest: int) ->
     return read.filter("_part = 1 and _least is not null").groupBy("ask_id").agg(F.min("_least").alias("least"), F.max("_greatest").alias("greatest"))
 
 
+def extremes_near(marks: DataFrame, asks: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """For each ask the least and greatest value of the marks with ``low <= at <= low + width``: ask_id, least, greatest.
+
+    Numbers are cut into cells as wide as the range, so a range is the end of one cell and the beginning of the next: an ask
+    is two rows, a mark is one, and each reads what its cell holds up to it, from the front or from the back.
+    """
+    cell = lambda at: F.floor(at / F.lit(width + 1))
+    low, high = F.col("low"), F.col("low") + width
+    sides = F.explode(F.array(F.struct(cell(low).alias("cell"), low.alias("at"), F.lit(True).alias("back")), F.struct(cell(high).alias("cell"), high.alias("at"), F.lit(False).alias("back")))).alias("s")
+    asked = asks.select(*keys, "ask_id", sides).select(*keys, F.col("s.cell").alias("_cell"), F.col("s.at").alias("_at"), F.lit(1).alias("_part"), F.col("s.back").alias("_back"), F.lit(None).cast(_kind(marks, F.col("value"))).alias("value"), "ask_id")
+    marked = marks.select(*keys, cell(F.col("at")).alias("_cell"), F.col("at").alias("_at"), F.lit(0).alias("_part"), F.lit(False).alias("_back"), "value", F.lit(None).cast(_kind(asks, F.col("ask_id"))).alias("ask_id"))
+    own = Window.partitionBy(*keys, "_cell").rowsBetween(Window.unboundedPreceding, 0)
+    front, back = own.orderBy("_at", "_part"), own.orderBy(F.col("_at").desc(), "_part")
+    read = marked.unionByName(asked).withColumns({
+        "_least": F.when(F.col("_back"), F.min("value").over(back)).otherwise(F.min("value").over(front)),
+        "_greatest": F.when(F.col("_back"), F.max("value").over(back)).otherwise(F.max("value").over(front))})
+    return read.filter("_part = 1 and _least is not null").groupBy("ask_id").agg(F.min("_least").alias("least"), F.max("_greatest").alias("greatest"))
+
+
 def _kind(df: DataFrame, column: Column):
     return df.select(column.alias("c")).schema["c"].dataType

@@ -57,6 +57,16 @@ def test_extremes_equal_a_plain_loop(spark, widest):
     assert {tuple(r) for r in got.collect()} == want and want
 
 
+@pytest.mark.parametrize("width", [0, 1, 7, 40])
+def test_extremes_near_equal_a_plain_loop(spark, width):
+    rng, _ = seeded(0, width)
+    marks = [(rng.randrange(2), rng.randrange(-60, 60), f"v{rng.randrange(90):02}") for _ in range(60)]
+    asks = [(rng.randrange(2), i, rng.randrange(-70, 70)) for i in range(200)]
+    got = sweeps.extremes_near(spark.createDataFrame(marks, "k long, at long, value string"), spark.createDataFrame(asks, "k long, ask_id long, low long"), ["k"], width)
+    held = {i: [m[2] for m in marks if m[0] == k and low <= m[1] <= low + width] for k, i, low in asks}
+    assert {tuple(r) for r in got.collect()} == {(i, min(some), max(some)) for i, some in held.items() if some}
+
+
 def plain_parents(reviews, markers):
     out = {}
     for project, review, s, u in reviews:
