@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,10 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+#: Bytes of a word from which on its hash is a cryptographic one: long words can be built that share a polynomial hash.
+BUILT = 256
+
+
 def powers(n: int, of: np.uint64) -> np.ndarray:
     return np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(max(n - 1, 0), of, np.uint64), dtype=np.uint64)])[:n]
 
@@ -61,7 +66,10 @@ def words_of(data: np.ndarray, limit: int = SLICE_BYTES) -> tuple[np.ndarray, np
                 break
         part = data[at:end]
         start, stop = borders(part)
-        parts.append((start + at, stop + at, mixed(Prefixes(part).of(start, stop) + (stop - start).astype(np.uint64))))
+        hashes = mixed(Prefixes(part).of(start, stop) + (stop - start).astype(np.uint64))
+        for i in np.flatnonzero(stop - start >= BUILT):
+            hashes[i] = int.from_bytes(blake2b(part[start[i]:stop[i]].tobytes(), digest_size=8).digest(), "big")
+        parts.append((start + at, stop + at, hashes))
         at = end
     if not parts:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)

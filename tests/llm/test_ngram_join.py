@@ -111,3 +111,11 @@ def test_block_larger_than_a_strip():
     found = ngram_join._block_links(4, 85)(table)
     low = {u: v for u, v in zip(found["u"].to_pylist(), found["v"].to_pylist(), strict=True)}
     assert [low.get(i, i) for i in range(1, 701)] == [c for _, _, c in plain_components(list(enumerate(texts, 1)))]
+
+
+def test_words_built_to_share_a_hash_stay_apart(spark):
+    one, other = "ab", "ba"
+    for _ in range(10):  # Thue-Morse words: equal under any polynomial hash modulo 2^64
+        one, other = one + other, other + one
+    docs = spark.createDataFrame([(1, f"w1 w2 w3 {one}"), (2, f"w1 w2 w3 {other}"), (3, f"w1 w2 w3 {one}")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in ngram_join.joined(docs).collect()} == {1: 1, 2: 2, 3: 1}
