@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skeinlog.operators import ordered
+from skeinlog.operators.prefixes import before, last_before, since
 from skeinlog.session import materialize
 
 
@@ -169,18 +170,19 @@ def confirmed_forks(prefixes: DataFrame, children: DataFrame, parents: DataFrame
     """Copied prefixes that may end where they do.
 
     The parent tail is all later than the fork, or the record after the prefix has another shape on both
-    sides. ``children``/``parents`` also carry ts_text and shape.
+    sides. ``children``/``parents`` also carry ts_text and shape. A parent's rows are read once for all its forks.
     """
     head = children.filter("pos = 0").select("session_id", F.col("ts_text").alias("forked_at"))
     cand = materialize(prefixes.filter("matched > 0").join(head, "session_id"), "fork-candidates")
-    tail = parents.select(F.col("session_id").alias("parent_id"), "pos", "ts_text", F.col("shape").alias("parent_shape")).join(
-        cand, "parent_id").filter("pos >= matched")
-    facts = tail.groupBy("session_id").agg(
-        F.count(F.lit(1)).alias("tail"), F.bool_or(F.col("ts_text") == "").alias("untimed"),
-        F.min("ts_text").alias("tail_from"), F.max(F.when(F.col("pos") == F.col("matched"), F.col("parent_shape"))).alias("parent_shape"))
-    edge = children.select("session_id", "pos", F.col("shape").alias("child_shape")).join(cand.select("session_id", "matched"), "session_id").filter(
-        "pos = matched + 1").select("session_id", "child_shape")
-    joined = cand.join(facts, "session_id", "left").join(edge, "session_id", "left")
+    rows = parents.select(F.col("session_id").alias("parent_id"), "pos", "ts_text", "shape")
+    facts = since(
+        rows, cand.select("parent_id", F.col("matched").alias("cut")), ["parent_id"], tail=ordered.RowNumber(), untimed=ordered.RunningMax((F.col("ts_text") == "").cast("int")),
+        tail_from=ordered.RunningMin(F.col("ts_text")), next=ordered.LastValue(F.struct("pos", "shape")))
+    facts = facts.select("parent_id", F.col("cut").alias("matched"), "tail", (F.col("untimed") == 1).alias("untimed"), "tail_from",
+                         F.when(F.col("next.pos") == F.col("cut"), F.col("next.shape")).alias("parent_shape"))
+    edge = children.select("session_id", "pos", F.col("shape").alias("child_shape")).join(
+        cand.select("session_id", (F.col("matched") + 1).alias("pos")), ["session_id", "pos"]).select("session_id", "child_shape")
+    joined = cand.join(facts, ["parent_id", "matched"], "left").join(edge, "session_id", "left")
     whole = F.coalesce("tail", F.lit(0)) == 0
     timed = (F.col("forked_at") != "") & ~F.col("untimed")
     ends = timed & ((F.col("tail_from") > F.col("forked_at"))
@@ -208,18 +210,29 @@ def crossing_forks(refs: DataFrame, segmented: DataFrame) -> DataFrame:
 def inherited_summary(events: DataFrame, forks: DataFrame, previews: int = 12) -> DataFrame:
     """What a fork took over from its parent: counts by layer, time span, number of previews shown.
 
-    ``events`` are the parent's: session_id, pos, layer, ts_text, event_id, has_text.
+    ``events`` are the parent's: session_id, pos, layer, ts_text, event_id, has_text. They are read once for all forks of
+    a parent; a fork reads the facts of its cut.
     """
-    inner = events.withColumnRenamed("session_id", "parent_id").join(forks, "parent_id").filter("pos < matched")
     main = F.col("layer") != "protocol"
-    n_main = F.count_if(main)
-    target = F.max_by("event_id", F.when(main & F.col("has_text"), F.col("pos")))
-    return inner.groupBy(forks["session_id"], "parent_id").agg(
-        n_main.alias("main_events"), F.count_if(~main).alias("protocol_events"),
+    one = lambda when: ordered.RunningSum(F.when(when, 1).otherwise(0).cast("bigint"))
+    facts = before(
+        events.withColumnRenamed("session_id", "parent_id"), forks.select("parent_id", F.col("matched").alias("cut")), ["parent_id"],
+        main_events=one(main), protocol_events=one(~main), first=ordered.RunningMin(F.struct("pos", "ts_text")),
+        last=ordered.LastValue(F.struct("ts_text", "event_id")), target=ordered.LastValue(F.when(main & F.col("has_text"), F.col("event_id"))))
+    n_main = F.col("main_events")
+    return forks.join(facts.withColumnRenamed("cut", "matched"), ["parent_id", "matched"]).filter("last is not null").select(
+        "session_id", "parent_id", "main_events", "protocol_events",
         F.least(F.lit(previews).cast("bigint"), n_main).alias("preview_events"),
         F.greatest(F.lit(0).cast("bigint"), n_main - previews).alias("omitted_previews"),
-        F.min_by("ts_text", "pos").alias("started_at"), F.max_by("ts_text", "pos").alias("updated_at"),
-        F.coalesce(target, F.max_by("event_id", "pos")).alias("fork_point"))
+        F.col("first.ts_text").alias("started_at"), F.col("last.ts_text").alias("updated_at"),
+        F.coalesce("target", "last.event_id").alias("fork_point"))
+
+
+def inherited_previews(events: DataFrame, forks: DataFrame, previews: int = 12) -> DataFrame:
+    """The last main events that each fork took over, oldest first by ``place``; whole rows of ``events``."""
+    main = events.withColumnRenamed("session_id", "parent_id").filter("layer <> 'protocol'")
+    shown = last_before(main, forks.select("parent_id", F.col("matched").alias("cut")), ["parent_id"], previews)
+    return forks.select("session_id", "parent_id", "matched").join(shown.withColumnRenamed("cut", "matched"), ["parent_id", "matched"])
 
 
 def unique_foreign_parent(records: DataFrame, references: DataFrame) -> DataFrame:

@@ -198,6 +198,15 @@ def _(spark, root):
     return graph.inherited_summary(parents.withColumn("has_text", F.col("preview") != ""), forks).drop("fork_point")
 
 
+@query("agg_16_inherited_previews", bind.with_events(f"""
+WITH {FORKS_SQL}, r AS (SELECT fk.session_id, fk.parent_id, pos, event_id, ts_text, preview, row_number() OVER (PARTITION BY fk.session_id ORDER BY pos DESC) AS back, count(*) OVER (PARTITION BY fk.session_id) AS n
+  FROM fk JOIN pp ON pp.session_id = fk.parent_id AND pos < matched WHERE layer <> 'protocol')
+SELECT session_id, parent_id, pos, event_id, ts_text, preview, least(n, 12) - back + 1 AS place FROM r WHERE back <= 12"""))
+def _(spark, root):
+    parents, _, forks = forks_of(spark, root)
+    return graph.inherited_previews(parents, forks).select("session_id", "parent_id", "pos", "event_id", "ts_text", "preview", "place")
+
+
 @query("grf_11_fork_point_target", bind.with_events(f"""
 WITH {FORKS_SQL} SELECT fk.session_id, coalesce(arg_max(event_id, pos) FILTER (WHERE layer <> 'protocol' AND k % 2 = 0), arg_max(event_id, pos)) AS fork_point
 FROM fk JOIN pp ON pp.session_id = fk.parent_id AND pos < matched GROUP BY 1"""))
