@@ -336,33 +336,61 @@ def _ownership_step(state: dict, row: dict) -> dict:
     return out
 
 
+TASK_ITEMS = "array<struct<id:string,subject:string,status:string>>"
+
+
 def task_states(rows: DataFrame) -> DataFrame:
-    """Task list snapshots that differ from the list built so far by the task calls.
+    """Task list snapshots that differ from the list built so far by the task calls, and the tasks held after each row.
 
-    ``rows``: session_id, line, part (create/update/snapshot), task_id, subject, status, items (JSON of the
-    snapshot, sorted by id).
+    ``rows``: session_id, line, part (create/update/snapshot), task_id, subject, status, items (JSON of the snapshot).
+
+    A snapshot is the whole list from then on, so the list before the next one is this one and the calls between them: an
+    epoch. In an epoch a task is what its own calls made of it, and two lists differ if any of their tasks does; no list is
+    ever held. Of several items of one id the last counts; items that can't be read are an empty list.
     """
-    return fold(rows, ["session_id"], "line", _task_step, {"tasks": {}, "shot": None}, "novel boolean, tasks int")
-
-
-def _task_step(state: dict, row: dict) -> dict:
-    import json
-    tasks = state["tasks"]
-    if row["part"] == "snapshot":
-        items = {i["id"]: i for i in json.loads(row["items"])}
-        repeated = state["shot"] == items
-        novel = not repeated and tasks != items
-        state["shot"] = items
-        if novel:
-            state["tasks"] = items
-        return {"novel": novel, "tasks": len(state["tasks"])}
-    state["shot"] = None
-    if row["status"] == "deleted":
-        tasks.pop(row["task_id"], None)
-    else:
-        held = tasks.get(row["task_id"], {"id": row["task_id"], "subject": f"Task #{row['task_id']}", "status": ""})
-        tasks[row["task_id"]] = {**held, **({"subject": row["subject"]} if row["subject"] else {}), **({"status": row["status"]} if row["status"] else {})}
-    return {"novel": False, "tasks": len(tasks)}
+    shot = F.col("part") == "snapshot"
+    known = ordered.scan(rows, ["session_id"], "line", _epoch=ordered.RunningSum(F.when(shot, 1).otherwise(0).cast("bigint")))
+    known = known.withColumn("_items", F.map_from_entries(_last_of_each(F.from_json("items", TASK_ITEMS))))
+    row = ["session_id", "_epoch", "line"]
+    called = known.filter(~shot | shot.isNull()).select(
+        *row, _task_key(F.col("task_id")).alias("_key"), (~F.col("status").eqNullSafe(F.lit("deleted"))).alias("_alive"),
+        *[F.when(F.col("status").eqNullSafe(F.lit("deleted")), F.struct(_task_default(c).alias("v")))
+          .when(F.col(c) != "", F.struct(F.col(c).alias("v"))).alias(f"_{c}") for c in ("subject", "status")],
+        _task_default("subject").alias("_unnamed"))
+    listed = known.filter(shot).select(*row, F.explode("_items").alias("_key", "i")).select(
+        *row, "_key", F.lit(True).alias("_alive"), F.struct(F.col("i.subject").alias("v")).alias("_subject"), F.struct(F.col("i.status").alias("v")).alias("_status"),
+        F.lit(None).cast("string").alias("_unnamed"))
+    task = ["session_id", "_epoch", "_key"]
+    steps = ordered.scan(called.unionByName(listed), task, "line", _was=ordered.Lag(F.col("_alive")),
+                         _subject=ordered.LastValue(F.col("_subject")), _status=ordered.LastValue(F.col("_status")))
+    held = F.struct(F.when(F.col("_subject").isNull(), F.col("_unnamed")).otherwise(F.col("_subject.v")).alias("subject"),
+                    F.when(F.col("_status").isNull(), F.lit("")).otherwise(F.col("_status.v")).alias("status"))
+    ends = steps.groupBy(*task).agg(F.max_by(F.struct(F.col("_alive").alias("alive"), held.alias("held")), "line").alias("end")).filter("end.alive")
+    both = ends.select("session_id", (F.col("_epoch") + 1).alias("_epoch"), "_key", F.col("end.held").alias("held")).unionByName(
+        listed.select(*task, F.struct(F.col("_subject.v").alias("subject"), F.col("_status.v").alias("status")).alias("held")))
+    differs = both.groupBy(*task).agg(((F.count(F.lit(1)) != 2) | (F.min("held") != F.max("held"))).alias("differs"))
+    news = differs.groupBy("session_id", "_epoch").agg(F.bool_or("differs").alias("_news"))
+
+    grown = steps.groupBy(*row).agg(F.sum(F.col("_alive").cast("int") - F.coalesce(F.col("_was"), F.lit(False)).cast("int")).alias("_grown"))
+    counted = known.select(*row, shot.alias("_shot")).join(grown, row, "left")
+    counted = ordered.scan(counted, ["session_id", "_epoch"], "line", tasks=ordered.RunningSum(F.coalesce("_grown", F.lit(0))))
+    return counted.join(news, ["session_id", "_epoch"], "left").select(
+        "session_id", "line", (F.coalesce("_shot", F.lit(False)) & F.coalesce("_news", F.lit(False))).alias("novel"), F.col("tasks").cast("int").alias("tasks"))
+
+
+def _task_key(task_id: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("#"), task_id), F.lit(""))  # a null id is a task, too
+
+
+def _task_default(column: str) -> Column:
+    return F.concat(F.lit("Task "), _task_key(F.col("task_id"))) if column == "subject" else F.lit("")
+
+
+def _last_of_each(items: Column) -> Column:
+    """(key, item) entries of a list, the last item of each id only."""
+    items = F.coalesce(items, F.from_json(F.lit("[]"), TASK_ITEMS))
+    ids = F.transform(items, lambda i: _task_key(i["id"]))
+    return F.transform(F.array_distinct(ids), lambda k: F.struct(k, F.element_at(items, (F.size(items) + 1 - F.array_position(F.reverse(ids), k)).cast("int"))))
 
 
 def scripted_operations(rows: DataFrame) -> DataFrame:

@@ -262,7 +262,13 @@ def _(spark, root):
     return lifecycle.inbox_replay(rows)
 
 
-@query("lif_07_task_states")
+@query("lif_07_task_states", bind.with_events("""
+WITH r AS (SELECT session_id, line, role = 'user' AS shot, CAST(k % 4 AS VARCHAR) AS id, k, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY line) AS ep FROM ev WHERE role = 'user' OR kind = 'command'),
+o AS (SELECT *, shot OR k % 11 <> 0 AS alive, CASE WHEN shot OR (k % 11 <> 0 AND k % 3 = 0) THEN 'do' WHEN k % 11 = 0 THEN 'Task #' || id END AS said, CASE WHEN k % 2 = 0 THEN 'pending' ELSE 'completed' END AS status FROM r),
+a AS (SELECT *, id || ':' || coalesce(last_value(said IGNORE NULLS) OVER w, 'Task #' || id) || ':' || status AS task, coalesce(lag(alive) OVER w, false) AS was, lead(line) OVER w IS NULL AS ends FROM o WINDOW w AS (PARTITION BY session_id, ep, id ORDER BY line)),
+l AS (SELECT session_id, ep + 1 AS ep, string_agg(task, ',' ORDER BY id) AS list FROM a WHERE ends AND alive GROUP BY 1, 2)
+SELECT a.session_id, line, shot AND coalesce(list, '') <> task AS novel, CAST(sum(CAST(alive AS INTEGER) - CAST(was AS INTEGER)) OVER (PARTITION BY a.session_id, a.ep ORDER BY line) AS INTEGER) AS tasks
+FROM a LEFT JOIN l ON l.session_id = a.session_id AND l.ep = a.ep"""))
 def _(spark, root):
     k = F.col("k")
     ev = bind.events(spark, root).filter("role = 'user' or kind = 'command'").select("session_id", "line", "k", "role")

@@ -100,6 +100,49 @@ def test_task_snapshot_is_news_only_when_it_differs(spark):
     assert got == {1: False, 2: False, 3: True, 4: False, 5: False, 6: True}
 
 
+def plain_tasks(state, row):
+    """The task list kept whole, row by row."""
+    tasks = state["tasks"]
+    if row["part"] == "snapshot":
+        try:
+            listed = {i.get("id"): (i.get("subject"), i.get("status")) for i in json.loads(row["items"])}
+        except (TypeError, ValueError):
+            listed = {}
+        novel = listed != tasks
+        state["tasks"] = listed
+        return {"novel": novel, "tasks": len(listed)}
+    if row["status"] == "deleted":
+        tasks.pop(row["task_id"], None)
+    else:
+        name = "Task" + (f" #{row['task_id']}" if row["task_id"] is not None else " ")
+        subject, status = tasks.get(row["task_id"], (name, ""))
+        tasks[row["task_id"]] = (row["subject"] or subject, row["status"] or status)
+    return {"novel": False, "tasks": len(tasks)}
+
+
+@pytest.mark.parametrize("block", [4, 1000])
+@pytest.mark.parametrize("shots", [0, 1, 6])
+def test_task_lists_equal_a_plain_loop(spark, block, shots):
+    rng = random.Random(shots)
+    rows = []
+    for i in range(240):
+        mine = [{"id": t, "subject": rng.choice(["do", "go"]), "status": "pending"} for t in rng.sample("1234", rng.randrange(3))]
+        if mine and rng.random() < 0.2:
+            mine.append({"id": mine[0]["id"], "status": "completed"})  # the id again, without a subject
+        shot = rng.randrange(10) < shots
+        rows.append({"session_id": "hot" if i % 3 else f"s{i % 4}", "line": i, "part": "snapshot" if shot else rng.choice(["create", "update"]), "task_id": rng.choice(["1", "2", "3", None]),
+                     "subject": rng.choice(["", None, "do", "go"]), "status": rng.choice(["", None, "pending", "deleted"]), "items": rng.choice([json.dumps(mine)] * 4 + ["[]", "no list", None])})
+    again = [dict(r, line=r["line"] + 0.5) for r in rows if r["part"] == "snapshot" and rng.random() < 0.5]  # a snapshot twice is no news
+    rows = [dict(r, line=i) for i, r in enumerate(sorted(rows + again, key=lambda r: r["line"]))]
+    schema = "session_id string, line bigint, part string, task_id string, subject string, status string, items string"
+    spark.conf.set(BLOCK_ROWS_CONF, str(block))
+    try:
+        got = lifecycle.task_states(spark.createDataFrame(rows, schema)).collect()
+    finally:
+        spark.conf.unset(BLOCK_ROWS_CONF)
+    assert {(r.session_id, r.line): (r.novel, r.tasks) for r in got} == looped(rows, ["session_id"], "line", plain_tasks, {"tasks": {}}, ["novel", "tasks"])
+
+
 def test_waits_on_a_cell(spark):
     schema = "session_id string, cell_id string, line bigint, epoch bigint, part string, operation_id string, call_epoch bigint, call_id string, pending boolean"
     rows = [("s", "1", 1, 0, "exec", "op1", 0, "", True), ("s", "1", 2, 0, "wait", "", 0, "w1", None), ("s", "1", 3, 0, "wait", "", 0, "w2", None),
