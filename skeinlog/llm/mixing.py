@@ -6,6 +6,11 @@ other, in a random direction whose odds keep both probabilities right on average
 taken or not taken. The pair's expected words stay what they were, so whatever order documents are paired in, a source
 ends with one open document, and its taken words differ from its target by less than that document has.
 
+Mass moves between unlike documents until the small one is settled, so the open one tends to be large. Therefore documents
+of more than 1/``FAN`` of their source or target go first; their open one is settled at the side whose rest the others can
+still be taken for (by its odds where both are), and the others' rate is what then is left. So a source ends within one of
+its small documents of the target, unless its large ones alone are further off than the small ones have words.
+
 Pairs are made along a tree: documents of a source fall into leaves of about ``FAN`` by a hash of the id; each leaf folds
 its documents into one open one; the open ones of ``FAN`` leaves form the next level's group. So no group grows with the
 source, whatever its share of all rows, and levels grow with the logarithm of the largest source. All draws are hashes of
@@ -107,37 +112,77 @@ def mixed(docs: DataFrame, size: str = "size") -> DataFrame:
     some = ranked_targets(known).select(F.col("source").alias("_source"), "source_size", "n_docs", "target")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("source").alias("_mine"),
                        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)).alias("key"), F.col(size).cast("double").alias("words"))
-    rows = rows.withColumn("order", F.xxhash64(F.lit(SEED), "key", "words"))
-    same = F.col("_mine").eqNullSafe(F.col("_source"))
+    rows = _joined(rows.withColumn("order", F.xxhash64(F.lit(SEED), "key", "words")), some, "_mine", sources)
+    leaves = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / FAN)).cast("bigint")
+    rows = rows.withColumn("leaf", F.pmod(F.xxhash64(F.lit(SEED + 1), "key", "words"), leaves))
+    large = F.col("words") * FAN > F.least("source_size", "target")
+    rates = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    first, widest = _rated(rows, rates), max(1, -(-int(largest or 0) // FAN))
+    done, last = _settled(first.filter(large), "large", widest)
+
+    held = first.groupBy("_source", "target").agg(
+        F.sum(F.when(large, F.col("words") * F.col("whole")).otherwise(0.0)).alias("held"), F.sum(F.when(large, 0.0).otherwise(F.col("words"))).alias("small"))
+    drawn = done.groupBy("_source").agg(F.sum(F.col("item.words") * F.col("item.p")).alias("drawn"))
+    held = _beside(_beside(held, drawn), last)
+    rest, words = F.col("target") - F.col("held") - F.coalesce("drawn", F.lit(0.0)), F.coalesce("item.words", F.lit(0.0))
+    without, taken = _out_of_reach(rest), _out_of_reach(rest - words)
+    even = (_draw(F.lit(-2), F.col("item.key"), F.col("item.order")) < F.col("item.p")).cast("double")
+    held = held.withColumn("more", F.when(without < taken, 0.0).when(taken < without, 1.0).otherwise(even))
+    rate = F.greatest(F.lit(0.0), F.least(F.lit(float(MOST_COPIES)), (rest - words * F.coalesce("more", F.lit(0.0))) / F.col("small")))
+    held = written(held.select("_source", "item", "more", F.when(F.col("small") > 0, rate).otherwise(0.0).alias("rate")), "mix-rest")
+
+    others = _rated(_joined(rows.filter(~large), held.select("_source", "rate"), "_source", sources), F.col("rate"))
+    more, end = _settled(others, "small", widest)
+    final = F.when(_draw(F.lit(-1), F.col("item.key"), F.col("item.order")) < F.col("item.p"), 1.0).otherwise(0.0)
+    every = done.select("item").unionByName(held.filter("item is not null").select(F.col("item").withField("p", F.col("more")).alias("item")))
+    every = every.unionByName(more.select("item")).unionByName(end.select(F.col("item").withField("p", final).alias("item")))
+    return every.select("item.row", "item.source_size", "item.target", (F.col("item.whole") + F.col("item.p")).cast("int").alias("copies"))
+
+
+def _joined(rows: DataFrame, some: DataFrame, by: str, sources: int) -> DataFrame:
+    """``rows`` with what ``some`` holds for their source (null is one): a broadcast where sources are few, else salted."""
+    some = some.withColumnRenamed("_source", "_of")
+    same = F.col(by).eqNullSafe(F.col("_of"))
     if sources <= SMALL_SOURCES:
         rows = rows.join(F.broadcast(some), same)
     else:
         some = some.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rows = rows.withColumn("_salt", F.pmod("order", F.lit(SALTS)).cast("int")).join(some, same & (F.col("_salt") == F.col("_part")))
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    rows = rows.withColumn("whole", F.floor(rate + 1e-12).cast("int"))
-    rows = rows.withColumn("p", F.when((F.col("words") > 0) & (rate - F.col("whole") > 1e-12), rate - F.col("whole")).otherwise(F.lit(0.0)))
-    leaves = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / FAN)).cast("bigint")
-    rows = rows.withColumn("leaf", F.pmod(F.xxhash64(F.lit(SEED + 1), "key", "words"), leaves))
+        rows = rows.withColumn("_salt", F.pmod("order", F.lit(SALTS)).cast("int")).join(some, same & (F.col("_salt") == F.col("_part"))).drop("_salt", "_part")
+    return rows.drop(by).withColumnRenamed("_of", "_source")
+
+
+def _beside(sums: DataFrame, more: DataFrame) -> DataFrame:
+    more = more.withColumnRenamed("_source", "_of")
+    return sums.join(more, F.col("_source").eqNullSafe(F.col("_of")), "left").drop("_of")
+
+
+def _out_of_reach(rest: Column) -> Column:
+    """Words of ``rest`` that a source's small documents can't be taken for, or are too many by."""
+    off = F.greatest(-rest, rest - MOST_COPIES * F.col("small"), F.lit(0.0))
+    return F.when(off > 1e-6, off).otherwise(0.0)
+
+
+def _rated(rows: DataFrame, rate: Column) -> DataFrame:
+    """Whole copies, and the probability ``p`` of one more."""
+    near = F.when(F.abs(rate - F.round(rate)) < 1e-9, F.round(rate)).otherwise(rate)
+    rows = rows.withColumn("whole", F.floor(near).cast("int"))
+    return rows.withColumn("p", F.when(F.col("words") > 0, near - F.col("whole")).otherwise(F.lit(0.0)))
+
+
+def _settled(rows: DataFrame, label: str, widest: int) -> tuple[DataFrame, DataFrame]:
+    """Fold rows along the tree: (_source, item) of all that are settled, and of each source's one that is still open."""
     item = F.struct("order", "key", "words", "p", "whole", "source_size", "target", "row").alias("item")
-    settled = [rows.filter("p = 0").select(item)]
-    groups = rows.filter("p > 0").select("_source", "leaf", item)
-    level, widest = 0, max(1, -(-int(largest or 0) // FAN))
+    settled = rows.filter("p = 0").select("_source", item)
+    groups, level = rows.filter("p > 0").select("_source", "leaf", item), 0
     while True:
         group = F.array_sort(F.collect_list("item"), _earlier)
         folded = groups.groupBy("_source", "leaf").agg(group.alias("group")).select("_source", "leaf", _fold(F.col("group"), level).alias("to"))
-        folded = written(folded, f"mix-level{level}")
-        settled.append(folded.select(F.explode("to.done").alias("item")))
+        folded = written(folded, f"mix-{label}{level}")
+        settled = settled.unionByName(folded.select("_source", F.explode("to.done").alias("item")))
         groups = folded.select("_source", F.floor(F.col("leaf") / FAN).alias("leaf"), F.col("to.open").alias("item"))
         if widest == 1:
-            break
+            return settled, groups.select("_source", "item")
         level, widest = level + 1, -(-widest // FAN)
-    last = F.when(_draw(F.lit(-1), F.col("item.key"), F.col("item.order")) < F.col("item.p"), 1.0).otherwise(0.0)
-    settled.append(groups.select(F.col("item").withField("p", last).alias("item")))
-    every = settled[0]
-    for part in settled[1:]:
-        every = every.unionByName(part)
-    return every.select("item.row", "item.source_size", "item.target", (F.col("item.whole") + F.col("item.p")).cast("int").alias("copies"))
 
 
 def sized(docs: DataFrame) -> DataFrame:

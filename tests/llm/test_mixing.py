@@ -52,6 +52,23 @@ def test_targets_and_taken_words(spark, monkeypatch, fan):
     check(spark.createDataFrame(rows, "doc_id long, text string, source string"), rows)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_large_documents_leave_their_rest_to_small_ones(spark, seed):
+    """One document of 3,000 words and 59 of 20 words, and a source of which little is wanted."""
+    rows = [(1000 * seed + i, "w " * (20 if i else 3000), "b") for i in range(60)]
+    rows += [(1000 * seed + 100 + i, "w " * (5 if i else 900), "c") for i in range(400)] + [(1000 * seed + 600 + i, "w " * (1 + i % 40), None) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.digests(docs).collect()
+    taken, target = Counter(), {}
+    for r in got:
+        taken[r.source_size] += r.taken
+        target[r.source_size] = r.target
+        assert 0 <= r.taken <= 3 * r.size
+    assert len(got) == len(rows) and len(target) == 3
+    for s, words in target.items():
+        assert abs(taken[s] - words) <= max(20, words / mixing.FAN), (s, taken[s], words)
+
+
 def test_salted_join_is_the_same(spark, monkeypatch):
     docs = spark.createDataFrame([(i, "w " * (1 + i % 9), f"s{i % 4}") for i in range(80)], "doc_id long, text string, source string")
     one = sorted(map(repr, mixing.digests(docs).collect()))
