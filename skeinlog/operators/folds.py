@@ -20,7 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from skeinlog.session import block_rows, materialize
 
-BLOCK, ENTRY, END, WANT = "_block", "_entry", "_end", "_want"
+BLOCK, ENTRY, END, WANT, LATER = "_block", "_entry", "_end", "_want", "_later"
 
 Step = Callable[[dict, dict], dict]
 
@@ -45,25 +45,29 @@ class _Machine:
         self.ends = T.StructType([schema[c] for c in keys] + [
             T.StructField(BLOCK, T.LongType()), T.StructField(ENTRY, T.StringType()), T.StructField(END, T.StringType())])
 
-    def _placed(self, df: DataFrame) -> DataFrame:
-        return df.repartition(*self.group).sortWithinPartitions(*self.group, self.order)
+    def _placed(self, rows: DataFrame, entries: DataFrame) -> DataFrame:
+        """Rows by block, in order, behind the one row that holds the block's entry state."""
+        entry = entries.select(*self.group, ENTRY, F.lit(0).alias(LATER))
+        both = rows.withColumn(LATER, F.lit(1)).unionByName(entry, allowMissingColumns=True)
+        return both.repartition(*self.group).sortWithinPartitions(*self.group, LATER, self.order)
 
-    def outputs(self, df: DataFrame) -> DataFrame:
+    def outputs(self, rows: DataFrame, entries: DataFrame) -> DataFrame:
         group, step, names = self.group, self.step, [*self.keys, self.order]
         schema = to_arrow_schema(self.produced)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            at, state = None, None
+            state = None
             for part in _runs(batches, group):
                 out = []
-                for key, row in part:
-                    if key != at:
-                        at, state = key, json.loads(row[ENTRY])
-                    out.append({**{n: row[n] for n in names}, **step(state, row)})
+                for _, row in part:
+                    if not row[LATER]:
+                        state = json.loads(row[ENTRY])
+                    else:
+                        out.append({**{n: row[n] for n in names}, **step(state, row)})
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
-        return self._placed(df).mapInArrow(run, self.produced)
+        return self._placed(rows, entries).mapInArrow(run, self.produced)
 
-    def last_states(self, df: DataFrame) -> DataFrame:
+    def last_states(self, rows: DataFrame, entries: DataFrame) -> DataFrame:
         group, step, names = self.group, self.step, self.ends.fieldNames()
         schema = to_arrow_schema(self.ends)
 
@@ -72,52 +76,47 @@ class _Machine:
             for part in _runs(batches, group):
                 out = []
                 for key, row in part:
-                    if key != at:
-                        if at is not None:
-                            out.append(dict(zip(names, [*at, entry, _dump(state)])))
-                        at, entry = key, row[ENTRY]
-                        state = json.loads(entry)
-                    step(state, row)
+                    if row[LATER]:
+                        step(state, row)
+                        continue
+                    if at is not None:
+                        out.append(dict(zip(names, [*at, entry, _dump(state)])))
+                    at, entry = key, row[ENTRY]
+                    state = json.loads(entry)
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
             if at is not None:
                 yield pa.RecordBatch.from_pylist([dict(zip(names, [*at, entry, _dump(state)]))], schema=schema)
-        return self._placed(df).mapInArrow(run, self.ends)
-
+        return self._placed(rows, entries).mapInArrow(run, self.ends)
 
-def _settle(machine: _Machine, base: DataFrame, start: DataFrame) -> DataFrame:
-    """Blocks with the entry state the sequential run would give them, and their end state.
 
-    ``start``: keys and the state each group begins with.
-    """
-    keys, group = machine.keys, machine.group
-    ends = materialize(machine.last_states(base.join(start.withColumnRenamed(WANT, ENTRY), keys)), "fold-ends")
-    by = Window.partitionBy(*keys).orderBy(BLOCK)
+def _settle(machine: _Machine, rows: DataFrame, entries: DataFrame, initial: str) -> DataFrame:
+    """End states that the sequential run would give the blocks of ``entries``, the first blocks of their sessions."""
+    group = machine.group
+    ends = materialize(machine.last_states(rows, entries), "fold-ends")
+    by = Window.partitionBy(*machine.keys).orderBy(BLOCK)
     while True:
-        wanted = ends.join(start, keys).withColumn(WANT, F.coalesce(F.lag(END).over(by), F.col(WANT)))
+        wanted = ends.withColumn(WANT, F.coalesce(F.lag(END).over(by), F.lit(initial)))
         stale = wanted.filter(F.col(WANT) != F.col(ENTRY)).select(*group, F.col(WANT).alias(ENTRY))
         if stale.isEmpty():
             return ends
-        redone = machine.last_states(base.join(stale, group))
+        redone = machine.last_states(rows.join(stale.select(*group), group, "left_semi"), stale)
         fresh = ends.join(stale.select(*group), group, "left_anti")
         ends = materialize(fresh.unionByName(redone), "fold-ends")
 
 
-def _blocked(rows: DataFrame, order: str) -> DataFrame:
-    return rows.withColumn(BLOCK, F.floor(F.col(order) / F.lit(block_rows(rows.sparkSession))))
-
-
 def fold(rows: DataFrame, keys: list[str], order: str, step: Step, initial: dict, output: str) -> DataFrame:
     """Run ``step(state, row) -> output columns`` over each group in order.
 
     ``output`` is a DDL string of the columns the step returns; the keys and the order column are kept. A
-    task reads its blocks sorted, one Arrow batch at a time, and holds one state.
+    task reads its blocks sorted, one Arrow batch at a time, and holds one state; the entry state of a block is a row of
+    its own ahead of it. Only blocks that others follow need an end state: a session of one block is read once.
     """
-    machine = _Machine(rows.schema, keys, order, step, output)
-    base = _blocked(rows, order)
-    spans = base.groupBy(*keys).agg((F.min(BLOCK) != F.max(BLOCK)).alias("wide")).filter("wide")
-    if spans.isEmpty():
-        return machine.outputs(base.withColumn(ENTRY, F.lit(_dump(initial))))
-    base = materialize(base, "fold-rows")
-    start = base.select(*keys).distinct().withColumn(WANT, F.lit(_dump(initial)))
-    ends = _settle(machine, base, start)
-    return machine.outputs(base.join(ends.drop(END), machine.group))
+    machine, start = _Machine(rows.schema, keys, order, step, output), _dump(initial)
+    base = rows.withColumn(BLOCK, F.floor(F.col(order) / F.lit(block_rows(rows.sparkSession))))
+    by = Window.partitionBy(*keys).orderBy(BLOCK)
+    blocks = materialize(base.select(*machine.group).distinct().withColumn("_last", F.lead(BLOCK).over(by).isNull()), "fold-blocks")
+    followed = blocks.filter("not _last").select(*machine.group, F.lit(start).alias(ENTRY))
+    inner = materialize(base.join(followed.select(*machine.group), machine.group, "left_semi"), "fold-rows")
+    ends = _settle(machine, inner, followed, start).select(*machine.group, END)
+    entries = blocks.join(ends, machine.group, "left").withColumn(ENTRY, F.coalesce(F.lag(END).over(by), F.lit(start)))
+    return machine.outputs(base, entries)
