@@ -2,11 +2,13 @@
 
 Unit vectors fall into coarse lists by their nearest centroid; what the centroid leaves over is coded by the nearest of
 ``CODES`` code words in each of ``PARTS`` subspaces. A vector looks into its own list and into every list whose cell
-border is near enough to be crossed by a link. A link is at most the limit's distance long; along the one direction that
-counts, from centroid to centroid, it reaches only a part of that, the square root of one over the dimensions on
-average, and ``STEADY`` times as far is looked. With ``STEADY`` at the root of the dimensions or above, as for up to 16
-dimensions, no link can be missed; with 64 dimensions it is four standard deviations, and none was missed in the tables
-at hand. In a list, distances come from tables of the query's residual against all code words; a pair is dropped only if
+border is near enough to be crossed by a link. A link is at most the limit's distance long, and only the part of it that
+runs from centroid to centroid counts. How large that part is comes from the sample (``spreads``): the mean square of the
+directions of residuals, and of links inside a list, along each line between two centroids, taken of the two lists drawn
+towards that of all, and never below that of noise alike in all dimensions. A vector looks ``STEADY`` times the root of it
+far. Where the vectors of a list, or of the whole, vary in up to 16 dimensions, however many they have, that is the whole
+length of a link and none is missed; where they vary in more, it is four standard deviations.
+In a list, distances come from tables of the query's residual against all code words; a pair is dropped only if
 that distance, less what coding has moved the other vector, is beyond the limit, which drops no link. Pairs that are left
 are decided by their exact cosine in double precision.
 
@@ -41,6 +43,8 @@ LISTS, PARTS, CODES, BLOCK = 1024, 8, 256, 1024
 PER_LIST = 50
 #: How much further than the average link reaches along one direction a vector looks into other lists.
 STEADY = 4.0
+#: Vectors of all lists that count beside those of one list in its spread.
+PRIOR = 8
 LIMIT = 0.95
 
 
@@ -81,12 +85,50 @@ def means(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return out
 
 
-def fit(x: np.ndarray, lists: int) -> dict:
-    """Coarse centroids, and for each subspace its columns and code words."""
+def directions(x: np.ndarray) -> np.ndarray:
+    """Rows as unit vectors, without those that are zero but for rounding."""
+    size = np.linalg.norm(x, axis=1)
+    return x[size > 1e-9] / size[size > 1e-9, None]
+
+
+def nearest_links(x: np.ndarray, limit: float) -> np.ndarray:
+    """For each vector, the difference to its nearest other one if they are a link."""
+    out = []
+    for k in range(0, len(x), 1024):
+        near = x[k:k + 1024] @ x.T
+        near[np.arange(len(near)), k + np.arange(len(near))] = -1
+        other = near.argmax(axis=1)
+        linked = near[np.arange(len(near)), other] >= limit
+        out.append(x[k:k + 1024][linked] - x[other[linked]])
+    return np.concatenate(out)
+
+
+def spreads(coarse: np.ndarray, x: np.ndarray, own: np.ndarray, limit: float) -> np.ndarray:
+    """Mean square share, on the line between each two centroids, of what vectors of the two lists differ by."""
+    apart = np.maximum(squared(coarse, coarse), 1e-18)
+    lists = np.split(np.argsort(own, kind="stable"), np.searchsorted(np.sort(own), np.arange(1, len(coarse))))
+    out = np.full(apart.shape, 1 / x.shape[1])
+    for kind in (lambda rows, center: rows - center, lambda rows, center: nearest_links(rows, limit)):
+        found = [directions(kind(x[rows], center)) if len(rows) > 1 else x[:0] for rows, center in zip(lists, coarse, strict=True)]
+        every = np.concatenate(found)
+        if not len(every):
+            continue
+        moment = every.T @ every / len(every)
+        for a, rows in enumerate(found):
+            lines = coarse[a] - coarse
+            share = np.einsum("ij,ij->i", lines @ moment, lines)
+            share = (PRIOR * share + ((rows @ lines.T) ** 2).sum(axis=0)) / (PRIOR + len(rows))
+            out[a] = np.maximum(out[a], share / apart[a])
+    return np.minimum(1.0, np.maximum(out, out.T)).astype(np.float32)
+
+
+def fit(x: np.ndarray, lists: int, limit: float = LIMIT) -> dict:
+    """Coarse centroids, their spreads, and for each subspace its columns and code words."""
     coarse = means(x, lists)
-    left = x - coarse[squared(x, coarse).argmin(axis=1)]
+    own = squared(x, coarse).argmin(axis=1)
+    left = x - coarse[own]
     columns = [c for c in np.array_split(np.arange(x.shape[1]), PARTS) if len(c)]
-    return {"coarse": coarse, "columns": columns, "words": [means(left[:, c], CODES) for c in columns]}
+    return {"coarse": coarse, "spread": spreads(coarse, x, own, limit), "columns": columns, "words": [means(left[:, c], CODES) for c in columns]}
 
 
 def coded(index: dict, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,7 +150,7 @@ def probes(index: dict, x: np.ndarray, limit: float) -> tuple[np.ndarray, np.nda
     own = far.argmin(axis=1)
     apart = np.sqrt(squared(coarse[own], coarse))
     least = far[np.arange(len(x)), own][:, None]
-    return own, far - least <= 2 * apart * reach(limit) * min(1.0, STEADY / x.shape[1] ** 0.5) + 1e-9
+    return own, far - least <= 2 * apart * reach(limit) * np.minimum(1.0, STEADY * np.sqrt(index["spread"][own])) + 1e-9
 
 
 def likely(index: dict, center: np.ndarray, queries: np.ndarray, codes: np.ndarray, error: np.ndarray, limit: float) -> np.ndarray:
@@ -219,7 +261,7 @@ def joined(vectors: DataFrame, limit: float = LIMIT) -> DataFrame:
     drawn = defaultdict(list)
     for r in sorted(some):
         drawn[len(r.data) // 8].append(bytes(r.data))
-    indexes = {size: fit(unit(data, size), max(1, min(LISTS, many[size] // PER_LIST))) for size, data in drawn.items()}
+    indexes = {size: fit(unit(data, size), max(1, min(LISTS, many[size] // PER_LIST)), limit) for size, data in drawn.items()}
     found = written(_compared(_placed(classes, indexes, limit), indexes, limit), "vector-links")
     more = found.filter("v is null").groupBy("u").agg(F.sum("n").alias("more")).select(F.col("u").alias("rep"), "more")
     own = written(members.select("rid", "vec_id", "same").join(rep.select("same", F.col("vec_id").alias("rep"), F.col("rid").alias("class"), "copies"), "same"), "vector-members")

@@ -105,3 +105,31 @@ def test_every_length_has_its_links(spark, monkeypatch):
         got = vd.joined(table).collect()
         assert {r.vec_id: r.n_links for r in got} == want
         assert {r.vec_id: r.component_id for r in got if r.vec_id >= 9000} == {9000: 9000, 9001: 9000, 9002: 9002, 9003: 9002, 9004: 9002}
+
+
+@pytest.mark.parametrize("rank,size", [(3, 64), (4, 64), (4, 1024)])
+def test_recall_where_vectors_vary_in_few_dimensions(spark, rank, size):
+    """Vectors of a low-rank subspace with near copies in it: all links, by brute force."""
+    pick = np.random.default_rng(rank + size)
+    base = pick.normal(size=(900, rank))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    noise = pick.normal(size=base.shape)
+    x = np.concatenate([base, base + noise / np.linalg.norm(noise, axis=1, keepdims=True) * pick.uniform(0.05, 0.3, (900, 1))])
+    x = x @ np.linalg.qr(pick.normal(size=(size, rank)))[0].T
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    cosine = x @ x.T
+    sure, may = (cosine >= 0.95 + 1e-9).sum(axis=1) - 1, (cosine >= 0.95 - 1e-9).sum(axis=1) - 1
+    table = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in vd.joined(table).select("vec_id", "n_links").collect()}
+    assert all(sure[i] <= got[i] <= may[i] for i in range(len(x))) and sure.sum() > 10_000
+
+
+def test_spreads_follow_the_data():
+    pick = np.random.default_rng(8)
+    thin = pick.normal(size=(600, 3)) @ np.linalg.qr(pick.normal(size=(64, 3)))[0].T
+    wide = pick.normal(size=(30, 64))[pick.integers(0, 30, 600)] + 0.2 * pick.normal(size=(600, 64))
+    for x, low, high in ((thin, 0.2, 1.0), (wide, 1 / 64, 0.1)):
+        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        spread = vd.fit(x, 12)["spread"]
+        apart = ~np.eye(len(spread), dtype=bool)
+        assert (spread == spread.T).all() and spread.min() >= np.float32(1 / 64) and low <= np.median(spread[apart]) <= high
