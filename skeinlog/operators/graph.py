@@ -117,37 +117,59 @@ def ancestry(records: DataFrame, points: DataFrame) -> DataFrame:
 
 
 def propagate_conflicts(edges: DataFrame, conflicted: DataFrame) -> DataFrame:
-    """Nodes that are conflicted or hang below a conflicted one. Each round adds one level."""
-    bad = materialize(conflicted.select("node").distinct(), "conflicts")
-    front = bad
-    while True:
-        below = edges.join(front.select(F.col("node").alias("parent")), "parent", "left_semi").select("node").distinct()
-        front = materialize(below.join(bad, "node", "left_anti"), "conflicts")
-        if front.isEmpty():
-            return bad
-        bad = materialize(bad.unionByName(front), "conflicts")
+    """Nodes that are conflicted or hang below a conflicted one; a node may have several parents.
 
+    A pointer of 2^r steps stops where a conflict lies within them, so the rounds grow with the logarithm of the depth. A
+    pointer that has gone further than there are nodes goes round a cycle without a conflict.
+    """
+    own = conflicted.select("node").distinct()
+    clean = edges.filter("parent is not null").select("node", F.col("parent").alias("up")).distinct().join(own, "node", "left_anti")
+    ends = own.select("node", F.lit(None).cast(clean.schema["up"].dataType).alias("up"), F.lit(True).alias("bad"))
+    state = materialize(clean.select("node", "up", F.lit(False).alias("bad")).unionByName(ends), "conflicts")
+    nodes, span = state.count(), 1
+    while span <= 2 * nodes:
+        live = state.filter("up is not null")
+        if live.isEmpty():
+            break
+        far = state.select(F.col("node").alias("up"), F.col("up").alias("_up"), F.col("bad").alias("_bad"))
+        moved = live.join(far, "up").select("node", F.col("_up").alias("up"), F.col("_bad").alias("bad")).distinct()
+        state = materialize(state.filter("bad").unionByName(moved).distinct(), "conflicts")
+        span *= 2
+    return state.filter("bad").select("node").distinct()
 
-def dispatch_depths(nodes: DataFrame, limit: int = 256) -> DataFrame:
-    """Depth of nested dispatches below their root call, with the reason where a node is invalid.
 
-    ``nodes``: session_id, root_id, node_id, parent_id (= root_id for top dispatches), seq.
+def descendants(records: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pairs whose point lies on or below their ancestor, on a path without a repeated id.
+
+    ``records``: session_id, uuid, parent_uuid. ``pairs``: session_id, ancestor, point. Depths and jumps of 1, 2, 4, ...
+    steps come from one doubling; a pair climbs by the jumps that its difference in depth is the sum of. So a pair stays one
+    row, and no path is listed. A row whose parent no record has is a root; points above which there is a cycle are below nothing.
     """
-    keys = ["session_id", "root_id"]
-    placed = materialize(nodes.filter("parent_id = root_id").select(*keys, "node_id", "seq", F.lit(1).alias("depth")), "dispatch")
-    front, depth = placed, 1
-    while depth < limit:
-        up = front.select(*keys, F.col("node_id").alias("parent_id"), F.col("seq").alias("_pseq"))
-        front = materialize(
-            nodes.filter("parent_id <> root_id").join(up, [*keys, "parent_id"]).filter("seq > _pseq")
-            .select(*keys, "node_id", "seq", F.lit(depth + 1).alias("depth")), "dispatch")
-        if front.isEmpty():
-            break
-        placed = placed.unionByName(front)
-        depth += 1
-    done = placed.select(*keys, "node_id", "depth")
-    return nodes.join(done, [*keys, "node_id"], "left").select(
-        *keys, "node_id", "depth", F.when(F.col("depth").isNull(), "parent is not an earlier dispatch of the same root").otherwise("").alias("reason"))
+    keys = ["session_id", "uuid"]
+    c = F.col
+    nodes = records.groupBy(*keys).agg((F.count(F.lit(1)) > 1).alias("void"), F.min("parent_uuid").alias("up"))
+    known = nodes.select("session_id", c("uuid").alias("up"), F.lit(True).alias("_known"))
+    state = nodes.join(known, ["session_id", "up"], "left").select(
+        *keys, F.when(c("_known"), c("up")).alias("up"), F.when(c("_known"), 1).otherwise(0).cast("bigint").alias("depth"), "void", c("void").alias("past"))
+    state = materialize(state, "descent")
+    bound = state.groupBy("session_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    # of each round: up is the row 2^r steps above, depth the steps so far, past whether a repeated id is among the rows left behind
+    jumps, span = [state.select(*keys, c("up").alias("at"), "past")], 1
+    while span <= 2 * bound and not state.filter("up is not null").isEmpty():
+        far = state.select("session_id", c("uuid").alias("up"), c("up").alias("_up"), c("depth").alias("_depth"), c("past").alias("_past"))
+        state = materialize(state.join(far, ["session_id", "up"], "left").select(
+            *keys, c("_up").alias("up"), (c("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"), "void", (c("past") | F.coalesce("_past", F.lit(False))).alias("past")), "descent")
+        jumps.append(state.select(*keys, c("up").alias("at"), "past"))
+        span *= 2
+    places = state.filter("up is null").select(*keys, "depth", "void")
+    place = lambda name, depth: places.select("session_id", c("uuid").alias(name), c("depth").alias(depth), c("void").alias(f"_{name}"))
+    climb = pairs.distinct().join(place("point", "_p"), ["session_id", "point"]).join(place("ancestor", "_a"), ["session_id", "ancestor"])
+    climb = climb.filter("_p >= _a and not _ancestor").select("session_id", "ancestor", "point", c("point").alias("uuid"), (c("_p") - c("_a")).alias("left"), c("_point").alias("bad"))
+    for r, jump in enumerate(jumps[:-1]):
+        takes = F.shiftrightunsigned("left", r).bitwiseAND(F.lit(1)) == 1
+        moved = climb.filter(takes).join(jump, keys).select("session_id", "ancestor", "point", c("at").alias("uuid"), "left", (c("bad") | c("past")).alias("bad"))
+        climb = materialize(climb.filter(~takes).unionByName(moved), "climb")
+    return climb.filter("uuid = ancestor and not bad").select("session_id", "ancestor", "point")
 
 
 def copied_prefix(children: DataFrame, parents: DataFrame, relation: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from skeinlog.functions import classify
 from skeinlog.operators import aggregates, lifecycle, ordered, pairing, windows
 from skeinlog.plans import bind
 from skeinlog.plans.registry import query
+from skeinlog.plans.relation_queries import TREE_SQL, tree
 from skeinlog.session import table
 
 
@@ -131,6 +132,33 @@ def _(spark, root):
     return lifecycle.goals_by_condition(rows)
 
 
+@query("lif_06_goals_by_descent", f"""
+WITH RECURSIVE {bind.EVENTS_SQL}, {TREE_SQL},
+r AS (SELECT session_id, line, uuid, parent_uuid, 'g' || (line // 400) AS condition, k,
+    CASE WHEN role = 'user' AND k % 9 = 1 THEN 'initial' WHEN kind = 'compaction' AND k % 7 = 2 THEN 'terminal' WHEN kind = 'token_count' AND k % 8 = 3 THEN 'hook' WHEN kind = 'error' AND k % 6 = 2 THEN 'error' END AS part FROM tr),
+f AS (SELECT session_id, condition, count(*) FILTER (WHERE part = 'initial') AS i, count(*) FILTER (WHERE part = 'terminal') AS t, min(line) FILTER (WHERE part = 'initial') AS a, min(line) FILTER (WHERE part = 'terminal') AS z, min(k) FILTER (WHERE part = 'terminal') AS zk
+  FROM r WHERE part IN ('initial', 'terminal') GROUP BY 1, 2),
+g AS (SELECT *, i = 1 AND t <= 1 AND (z IS NULL OR z > a) AS single FROM f),
+c AS (SELECT r.*, a, z FROM r JOIN g USING (session_id, condition) WHERE single AND part <> 'initial' AND line > a AND parent_uuid IS NOT NULL),
+wk AS (SELECT session_id, line, a, parent_uuid AS cur FROM c UNION ALL SELECT wk.session_id, wk.line, a, tr.parent_uuid FROM wk JOIN tr ON tr.session_id = wk.session_id AND tr.uuid = wk.cur WHERE CAST(wk.cur AS BIGINT) > a),
+d AS (SELECT c.* FROM c JOIN (SELECT DISTINCT session_id, line FROM wk WHERE CAST(cur AS BIGINT) = a) USING (session_id, line)),
+h AS (SELECT d.session_id, d.condition, d.line, e.line AS above, CASE WHEN d.k % 16 = 3 THEN e.line IS NULL ELSE e.line IS NOT NULL AND e.condition = d.condition END AS fine, d.k % 16 <> 3 AS counts
+  FROM d LEFT JOIN r e ON e.part = 'error' AND e.session_id = d.session_id AND e.uuid = d.parent_uuid WHERE d.part = 'hook' AND (z IS NULL OR d.line < z OR CAST(d.parent_uuid AS BIGINT) = z)),
+hs AS (SELECT session_id, condition, count(*) AS hooks, count(*) FILTER (WHERE NOT fine) AS bad FROM h GROUP BY 1, 2),
+es AS (SELECT d.session_id, d.condition, count(*) AS errors, count(*) FILTER (WHERE o.above IS NULL) AS stray FROM d LEFT JOIN (SELECT DISTINCT session_id, condition, above FROM h WHERE fine AND counts) o ON o.session_id = d.session_id AND o.condition = d.condition AND o.above = d.line
+  WHERE part = 'error' AND (z IS NULL OR d.line < z) GROUP BY 1, 2),
+ts AS (SELECT session_id, condition, count(*) AS ended FROM d WHERE part = 'terminal' GROUP BY 1, 2),
+v AS (SELECT g.*, hooks, errors, single AND coalesce(ended, 0) = t AND coalesce(bad, 0) = 0 AND coalesce(stray, 0) = 0 AS ok FROM g LEFT JOIN hs USING (session_id, condition) LEFT JOIN es USING (session_id, condition) LEFT JOIN ts USING (session_id, condition))
+SELECT session_id, condition, CASE WHEN NOT ok THEN 'fallback' WHEN t = 0 THEN 'active' WHEN zk % 2 = 0 THEN 'complete' ELSE 'failed' END AS status, CAST(CASE WHEN ok THEN coalesce(hooks, 0) ELSE 0 END AS BIGINT) AS hooks, CAST(CASE WHEN ok THEN coalesce(errors, 0) ELSE 0 END AS BIGINT) AS hook_errors FROM v""")
+def _(spark, root):
+    t, k = tree(spark, root), F.col("k")
+    part = (F.when((F.col("role") == "user") & (k % 9 == 1), "initial").when((F.col("kind") == "compaction") & (k % 7 == 2), "terminal")
+            .when((F.col("kind") == "token_count") & (k % 8 == 3), "hook").when((F.col("kind") == "error") & (k % 6 == 2), "error"))
+    rows = t.select("session_id", F.concat(F.lit("g"), F.floor(F.col("line") / 400).cast("string")).alias("condition"), "line", "uuid", "parent_uuid", part.alias("part"), F.lit(True).alias("valid"),
+                    F.when(k % 16 == 3, 0).otherwise(1).alias("errors"), F.lit("tool").alias("tool_use_id"), F.when(k % 2 == 0, "complete").otherwise("failed").alias("state")).filter("part is not null")
+    return lifecycle.goals_by_descent(rows, t.select("session_id", "uuid", "parent_uuid"))
+
+
 @query("lif_14_partial_messages", bind.with_events("""
 WITH c AS (SELECT session_id, line // 2500 AS turn, k % 2 AS step, 'text' AS channel, line, search_text AS text FROM ev WHERE role = 'assistant'),
 o AS (SELECT * FROM c WHERE (session_id, turn, step) NOT IN (SELECT (session_id, line // 2500, k % 2) FROM ev WHERE role = 'user' AND k % 3 = 0))

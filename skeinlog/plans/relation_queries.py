@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skeinlog.operators import graph, ordered, setops
+from skeinlog.operators import dispatches, graph, ordered, setops
 from skeinlog.plans import bind
+from skeinlog.plans.record_queries import landed, session_file
 from skeinlog.plans.registry import query
 from skeinlog.session import materialize, table
+from skeinlog.sources import deepseek, files
 
 EDGES_SQL = """ed AS (SELECT c_custkey AS node, CASE WHEN c_custkey % 31 = 0 AND c_custkey > 0 THEN c_custkey + 1 WHEN c_custkey % 31 = 1 AND c_custkey > 7 THEN c_custkey - 1
     WHEN c_custkey < 7 THEN NULL ELSE c_custkey // 7 END AS parent FROM customer),
@@ -91,17 +93,71 @@ def _(spark, root):
     return graph.ancestry(rows.unionByName(t.filter("k = 13").select(*rows.columns)), points)
 
 
+NUMBERED_SQL = "rn AS (SELECT session_id, k, row_number() OVER (PARTITION BY session_id ORDER BY line) AS n FROM ev)"
+
+
+def numbered(spark, root):
+    return ordered.scan(bind.events(spark, root).select("session_id", "line", "k"), ["session_id"], "line", n=ordered.RowNumber())
+
+
 @query("grf_06_dispatch_depths", f"""
-WITH RECURSIVE {bind.EVENTS_SQL}, rn AS (SELECT session_id, k, row_number() OVER (PARTITION BY session_id ORDER BY line) AS n FROM ev),
-nd AS (SELECT session_id, n AS node_id, CASE WHEN k % 19 = 0 THEN n + 1 WHEN n < 4 THEN 0 ELSE n // 2 END AS parent_id FROM rn),
-wk AS (SELECT session_id, node_id, 1 AS depth FROM nd WHERE parent_id = 0 UNION ALL SELECT nd.session_id, nd.node_id, depth + 1 FROM wk JOIN nd ON nd.session_id = wk.session_id AND nd.parent_id = wk.node_id WHERE nd.node_id > wk.node_id)
-SELECT nd.session_id, nd.node_id, CAST(depth AS INTEGER) AS depth, CASE WHEN depth IS NULL THEN 'parent is not an earlier dispatch of the same root' ELSE '' END AS reason FROM nd LEFT JOIN wk USING (session_id, node_id)""")
-def _(spark, root):
-    r = ordered.scan(bind.events(spark, root).select("session_id", "line", "k"), ["session_id"], "line", n=ordered.RowNumber())
-    n = F.col("n")
-    parent = F.when(F.col("k") % 19 == 0, n + 1).when(n < 4, 0).otherwise(F.floor(n / 2))
-    nodes = r.select("session_id", F.lit(0).cast("bigint").alias("root_id"), n.alias("node_id"), parent.alias("parent_id"), n.alias("seq"))
-    return graph.dispatch_depths(nodes).drop("root_id")
+WITH RECURSIVE {bind.EVENTS_SQL}, {NUMBERED_SQL},
+nd AS (SELECT session_id, 'd' || n AS node_id, CASE WHEN k % 19 = 0 THEN 'd' || (n + 1) WHEN n < 4 THEN 'r' ELSE 'd' || (n // 2) END AS parent_id, n FROM rn),
+wk AS (SELECT session_id, node_id, n, 1 AS depth FROM nd WHERE parent_id = 'r' UNION ALL SELECT nd.session_id, nd.node_id, nd.n, depth + 1 FROM wk JOIN nd ON nd.session_id = wk.session_id AND nd.parent_id = wk.node_id WHERE nd.n > wk.n)
+SELECT nd.session_id, nd.node_id, CAST(depth AS BIGINT) AS depth, CASE WHEN depth IS NOT NULL THEN '' WHEN nd.parent_id = 'd' || (nd.n + 1) THEN 'parent ' || nd.parent_id || ' is not an earlier dispatch in root r'
+  ELSE 'dispatch ancestry exceeds the supported depth for ' || nd.node_id END AS reason FROM nd LEFT JOIN wk USING (session_id, node_id)""")
+def _(spark, root):
+    r, n = numbered(spark, root), F.col("n")
+    id_ = lambda x: F.concat(F.lit("d"), x.cast("string"))
+    parent = F.when(F.col("k") % 19 == 0, id_(n + 1)).when(n < 4, "r").otherwise(id_(F.floor(n / 2)))
+    nodes = r.select("session_id", id_(n).alias("node_id"), F.lit("r").alias("root_id"), parent.alias("parent_id"), F.lit("Read").alias("name"), n.alias("seq"), F.lit("").alias("reason"))
+    calls = r.select("session_id", F.lit("r").alias("call_id"), F.lit("run_code").alias("name"), F.lit(0).alias("seq")).distinct()
+    return dispatches.depths(nodes, calls).select("session_id", "node_id", "depth", "reason")
+
+
+def dispatch_lines(spark, root):
+    """Two outer calls a session, then a nested dispatch per event: its start, for every other one its end, and broken ones."""
+    k, n, s = F.col("k"), F.col("n"), F.col("session_id")
+    id_ = lambda x: F.concat(F.lit("d"), x.cast("string"))
+
+    def record(kind, seq, *data):
+        return F.to_json(F.struct(F.lit(kind).alias("type"), seq.alias("seq"), F.struct(*data).alias("data")))
+
+    def dispatch(kind, seq, arguments):
+        top = F.when(k == 17, "r1").otherwise("r0")
+        parent = F.when(k % 19 == 0, id_(n + 1)).when(k == 23, id_(n)).when(n < 4, top).when(s.cast("bigint") % 3 == 0, id_(n - 1)).otherwise(id_(F.floor(n / 2)))
+        return record(kind, seq, id_(n).alias("subCallId"), top.alias("rootCallId"), parent.alias("parentCallId"), F.when(k != 41, "Read").alias("name"), arguments.alias("arguments"))
+    path, other = F.struct(k.alias("path"), F.lit(1).alias("a")), F.struct(F.lit(1).alias("a"), k.alias("path"))  # one object, in either order
+    started = F.when(k != 47, dispatch("tool/ptc-dispatch-start", n * 3, path))
+    again = F.when(k == 37, dispatch("tool/code-dispatch-start", n * 3 + 1, path))
+    ended = (F.when(k == 31, dispatch("tool/ptc-dispatch", n * 3 - 1, other)).when(k == 43, dispatch("tool/ptc-dispatch", n * 3 + 2, F.struct(F.lit(2).alias("a"), k.alias("path"))))
+             .when((n % 2 == 0) & (k != 41) | (k == 47), dispatch("tool/ptc-dispatch", n * 3 + 2, other)))
+    r = numbered(spark, root)
+    body = r.select("session_id", "n", F.posexplode(F.array(started, again, ended)).alias("i", "text")).filter("text is not null").select("session_id", (n * 3 + F.col("i")).alias("line"), "text")
+    call = lambda i, tool: record("tool/call", F.lit(i), F.lit(f"r{i}").alias("callId"), F.lit(tool).alias("name"))
+    head = F.to_json(F.struct(F.lit("session").alias("type"), F.when(s.cast("bigint") % 10 == 3, 7).otherwise(4).alias("version"), s.alias("id")))
+    first = r.select("session_id").distinct().select("session_id", F.posexplode(F.array(head, call(0, "Run_Code"), call(1, "bash"))).alias("i", "text")).select("session_id", (F.col("i").cast("bigint") - 2).alias("line"), "text")
+    return landed(first.unionByName(body).select("session_id", session_file().alias("file"), (F.col("line") + 3).alias("line"), "text"))
+
+
+@query("grf_06_code_dispatches", f"""
+WITH RECURSIVE {bind.EVENTS_SQL}, {NUMBERED_SQL},
+nd AS (SELECT session_id, n, k, 'd' || n AS id, CASE WHEN k = 17 THEN 'r1' ELSE 'r0' END AS top, n * 3 + CASE WHEN k = 47 THEN 2 WHEN k = 31 THEN -1 ELSE 0 END AS seq,
+  CASE WHEN k % 19 = 0 THEN 'd' || (n + 1) WHEN k = 23 THEN 'd' || n WHEN n < 4 THEN CASE WHEN k = 17 THEN 'r1' ELSE 'r0' END WHEN CAST(session_id AS BIGINT) % 3 = 0 THEN 'd' || (n - 1) ELSE 'd' || (n // 2) END AS up
+  FROM rn WHERE CAST(session_id AS BIGINT) % 10 <> 3),
+ok AS (SELECT * FROM nd WHERE k NOT IN (31, 37, 41, 43)),
+jd AS (SELECT nd.session_id, nd.n, nd.id, nd.up, nd.top, nd.seq, CASE WHEN nd.k IN (37, 43) THEN 'ambiguous dispatch identity ' || nd.id WHEN nd.k = 31 THEN 'settlement precedes start for ' || nd.id
+    WHEN nd.k = 41 THEN 'missing durable dispatch identity' WHEN nd.top = 'r1' THEN 'root r1 is not an outer run_code call' WHEN nd.up = nd.top THEN '' WHEN nd.up = nd.id THEN 'cyclic dispatch ancestry at ' || nd.id
+    WHEN p.id IS NULL OR p.seq >= nd.seq OR p.top <> nd.top THEN 'parent ' || nd.up || ' is not an earlier dispatch in root ' || nd.top ELSE '' END AS reason
+  FROM nd LEFT JOIN ok p ON p.session_id = nd.session_id AND p.id = nd.up),
+wk AS (SELECT session_id, id, 1 AS chain FROM jd WHERE reason = '' AND up = top UNION ALL SELECT jd.session_id, jd.id, chain + 1 FROM wk JOIN jd ON jd.session_id = wk.session_id AND jd.up = wk.id WHERE jd.reason = '')
+SELECT jd.session_id, CASE WHEN reason = 'missing durable dispatch identity' THEN NULL ELSE jd.id END AS node_id, seq, CAST(chain AS BIGINT) AS chain, CAST(CASE WHEN chain <= 256 THEN chain END AS BIGINT) AS depth,
+  CASE WHEN reason = '' AND (chain IS NULL OR chain > 256) THEN 'dispatch ancestry exceeds the supported depth for ' || jd.id ELSE reason END AS reason
+FROM jd LEFT JOIN wk ON wk.session_id = jd.session_id AND wk.id = jd.id""")
+def _(spark, root):
+    parsed = materialize(files.parsed(dispatch_lines(spark, root)), "dispatch-records")
+    nodes = dispatches.identities(deepseek.dispatch_rows(parsed))
+    return dispatches.depths(nodes, deepseek.call_rows(parsed)).select("session_id", "node_id", "seq", "chain", "depth", "reason")
 
 
 FORKS_SQL = """pp AS (SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY line) - 1 AS pos, 'd' || line AS digest, ts_text, kind AS shape, layer, event_id, k, preview FROM ev),

@@ -52,6 +52,27 @@ def to_raw(parsed: DataFrame) -> DataFrame:
                       .otherwise(F.concat_ws(" ", kind, R.get(v, "$.data.text")))).alias("preview"), "record")
 
 
+#: Records of a nested dispatch, by format version.
+DISPATCHED = {"tool/code-dispatch-start": "start", "tool/ptc-dispatch-start": "start", "tool/code-dispatch": "end", "tool/ptc-dispatch": "end"}
+
+
+def dispatch_rows(parsed: DataFrame) -> DataFrame:
+    """Starts and ends of nested dispatches with the facts they state; arguments as JSON text with sorted keys."""
+    v = F.col("record")
+    part = F.create_map(*[F.lit(x) for pair in DISPATCHED.items() for x in pair])[R.text_at(v, "$.type")]
+    fact = lambda name: R.text_at(v, f"$.data.{name}")
+    return supported_lines(parsed).filter(part.isNotNull()).select(
+        "session_id", "line", R.get(v, "$.seq", "bigint").alias("seq"), part.alias("part"), fact("subCallId").alias("node_id"), fact("rootCallId").alias("root_id"),
+        fact("parentCallId").alias("parent_id"), fact("name").alias("name"), R.json_at(v, "$.data.arguments").alias("arguments"))
+
+
+def call_rows(parsed: DataFrame) -> DataFrame:
+    """Outer calls by id."""
+    v = F.col("record")
+    return supported_lines(parsed).filter(R.text_at(v, "$.type") == "tool/call").select(
+        "session_id", R.text_at(v, "$.data.callId").alias("call_id"), R.text_at(v, "$.data.name").alias("name"), R.get(v, "$.seq", "bigint").alias("seq")).filter("call_id <> ''")
+
+
 #: Rows of a streamed answer, rows of a compaction.
 STREAMED = [*PACKED, "assistant/chunk"]
 COMPACTION = ["compaction/start", "compaction/summary", "compaction/prune", "compaction/end"]

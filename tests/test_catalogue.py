@@ -15,7 +15,7 @@ SAMPLE = [
     "agg_01_session_counts_codex", "agg_12_file_suggestions", "osl_04_slow_commands", "prj_13_session_summary", "prj_39_display_states",
     "win_02_turn_epochs", "win_04_cache_observations", "win_10_narrative_items", "win_15_reminder_runs", "jon_03_calls_and_results",
     "jon_06_mirrored_messages", "jon_12_nearest_goal_call", "jon_14_range_owner", "jon_16_discontinuity_anchor", "jon_18_confirmed_forks",
-    "agg_16_inherited_context", "agg_16_inherited_previews", "grf_11_fork_point_target", "grf_01_fork_chains", "grf_05_fork_point_ancestry", "set_02_duplicate_transcripts", "lif_07_task_states", "lif_08_approvals", "lif_10_retry_chains", "lif_12_goal_revisions",
+    "agg_16_inherited_context", "agg_16_inherited_previews", "grf_11_fork_point_target", "grf_01_fork_chains", "grf_05_fork_point_ancestry", "set_02_duplicate_transcripts", "lif_07_task_states", "lif_08_approvals", "lif_10_retry_chains", "lif_12_goal_revisions", "grf_06_code_dispatches", "lif_06_goals_by_descent",
     "lif_03_terminal_continuations", "src_02_line_numbered_scan", "src_09_packed_members", "src_15_projection_sink", "prj_01_rollout_projection",
     "prj_02_block_projection", "prj_03_event_log_projection", "prj_28_patch_lines", "dq_02_reference_ownership", "udf_03_sql_functions",
 ]
