@@ -5,7 +5,9 @@ adds, -1 and the old count for each that it takes back. An insert adds, a delete
 by source, language and tokenizer version are sums of signed entries, so a batch updates them by its own entries alone;
 each batch keeps its partial totals beside its entries. A batch is derived from the batches before it and overwrites
 exactly its own partition: run again after a failure, or by mistake, it commits the same entries, and totals count it
-once. Batches are committed in the order of their numbers.
+once. Batches are committed in the order of their numbers. Each batch also writes one row of sign 0 without a tokenizer,
+which counts nothing: a batch that comes back without changes replaces what it had committed as well. Entries are written
+before totals; a batch that fails between the two is run again.
 
 What a change takes back is read from the store by a join on the changed documents, over earlier batches only.
 
@@ -58,13 +60,16 @@ class Rollup:
         back = held.select("doc_id", *KEYS, (-F.col("held")).alias("sign"), "n_tokens")
         new = changes.filter("op <> 'delete'").select("doc_id", *KEYS, F.lit(1).alias("sign"), F.coalesce("n_tokens", F.lit(0)).cast("bigint").alias("n_tokens"))
         signed = new.unionByName(back).withColumn("batch", F.lit(batch).cast("bigint"))
-        self._overwrite(signed.select("doc_id", *KEYS, "sign", "n_tokens", "batch"), self.entries_path)
-        own = self._read(self.entries_path, ENTRY).filter(F.col("batch") == batch)
+        self._overwrite(signed.select("doc_id", *KEYS, "sign", "n_tokens", "batch"), self.entries_path, batch)
+        own = self._read(self.entries_path, ENTRY).filter((F.col("batch") == batch) & (F.col("sign") != 0))
         part = own.groupBy("batch", *KEYS).agg(F.sum("sign").cast("bigint").alias("n_docs"), F.sum(F.col("sign") * F.col("n_tokens")).cast("bigint").alias("n_tokens"))
-        self._overwrite(part.select(*KEYS, "n_docs", "n_tokens", "batch"), self.totals_path)
+        self._overwrite(part.select(*KEYS, "n_docs", "n_tokens", "batch"), self.totals_path, batch)
 
-    def _overwrite(self, rows: DataFrame, path: str) -> None:
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+    def _overwrite(self, rows: DataFrame, path: str, batch: int) -> None:
+        """Replaces the batch's partition, also by no rows: partitions that get no row at all would stay as they are."""
+        fixed = {"batch": F.lit(batch), **{n: F.lit(0) for n in ("sign", "n_docs", "n_tokens")}}
+        mark = self.spark.range(1).select(*[fixed.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema])
+        rows.unionByName(mark).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
 
     def totals(self) -> DataFrame:
         """Documents and tokens of every group that holds a document, from the batches' partial totals."""

@@ -46,6 +46,24 @@ def test_random_batches_equal_a_plain_ledger(spark):
     assert rows_of(store.totals()) == want == rows_of(store.recounted())
 
 
+def test_a_batch_that_comes_back_empty_takes_back_its_rows(spark):
+    store = token_counts.Rollup(spark, tempfile.mkdtemp())
+    first = spark.createDataFrame([("insert", 1, 1, "x", "en", "a", 5), ("insert", 1, 2, "x", "en", "a", 7)], CHANGE)
+    second = spark.createDataFrame([("delete", 1, 1, None, None, "a", None), ("insert", 1, 3, "y", "de", "a", 2)], CHANGE)
+    store.commit(1, first)
+    store.commit(2, second)
+    assert rows_of(store.totals()) == [("x", "en", "a", 1, 7), ("y", "de", "a", 1, 2)]
+    for _ in range(2):
+        store.commit(2, second.limit(0))
+        assert rows_of(store.totals()) == [("x", "en", "a", 2, 12)] == rows_of(store.recounted())
+    store.commit(3, second.limit(0))
+    store.commit(2, second)
+    assert rows_of(store.totals()) == [("x", "en", "a", 1, 7), ("y", "de", "a", 1, 2)] == rows_of(store.recounted())
+    store.commit(1, first.limit(0))
+    store.commit(2, second)
+    assert rows_of(store.totals()) == [("y", "de", "a", 1, 2)] == rows_of(store.recounted())
+
+
 def test_odd_rows(spark):
     docs = spark.createDataFrame([(1, "Ab, 12!", None, None, 1), (2, None, "en", "s", 2), (3, "", "en", "s", 3), (None, "x", "en", "s", 4), (4, "w " * 50_000, "en", "s", 5)],
                                  "doc_id long, text string, lang string, source string, batch int")
