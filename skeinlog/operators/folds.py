@@ -1,6 +1,7 @@
 """Ordered state machines over a session, exact and parallel even when one session is very large.
 
-A session is cut into blocks of consecutive rows. Every block is folded from an assumed entry state;
+A session is cut into blocks of consecutive rows, by the number of its rows and not by their order values: one that has
+no more rows than a block is one block, however far they lie apart. Every block is folded from an assumed entry state;
 a block whose assumed entry differs from the end state of the block before it is folded again. The
 rounds stop when all entries agree, which is the sequential result. Most sessions have one block and
 need one round, and a machine that forgets its past settles after two. No task ever holds more rows of
@@ -20,7 +21,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from skeinlog.session import block_rows, materialize
 
-BLOCK, ENTRY, END, WANT, LATER = "_block", "_entry", "_end", "_want", "_later"
+BLOCK, ENTRY, END, WANT, LATER, BIN = "_block", "_entry", "_end", "_want", "_later", "_bin"
 
 Step = Callable[[dict, dict], dict]
 
@@ -104,6 +105,19 @@ def _settle(machine: _Machine, rows: DataFrame, entries: DataFrame, initial: str
         ends = materialize(fresh.unionByName(redone), "fold-ends")
 
 
+def _blocked(rows: DataFrame, keys: list[str], order: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with their block, and the blocks. A bin of ``size`` order values is never divided, so a block has fewer than twice ``size`` rows."""
+    size = block_rows(rows.sparkSession)
+    binned = rows.withColumn(BIN, F.floor(F.col(order) / F.lit(size)))
+    ahead = Window.partitionBy(*keys).orderBy(BIN).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.when(F.col(BIN).isNotNull(), F.col("_n"))).over(ahead), F.lit(0))
+    counts = binned.groupBy(*keys, BIN).agg(F.count(F.lit(1)).alias("_n"))
+    bins = materialize(counts.select(*keys, BIN, F.when(F.col(BIN).isNotNull(), F.floor(before / F.lit(size))).alias(BLOCK)), "fold-bins")
+    moved = materialize(bins.filter(F.col(BLOCK) > 0), "fold-moved")
+    block = F.when(F.col(BIN).isNotNull(), F.coalesce(BLOCK, F.lit(0).cast("bigint")))
+    return binned.join(moved, [*keys, BIN], "left").withColumn(BLOCK, block).drop(BIN), bins.select(*keys, BLOCK).distinct()
+
+
 def fold(rows: DataFrame, keys: list[str], order: str, step: Step, initial: dict, output: str) -> DataFrame:
     """Run ``step(state, row) -> output columns`` over each group in order.
 
@@ -112,9 +126,9 @@ def fold(rows: DataFrame, keys: list[str], order: str, step: Step, initial: dict
     its own ahead of it. Only blocks that others follow need an end state: a session of one block is read once.
     """
     machine, start = _Machine(rows.schema, keys, order, step, output), _dump(initial)
-    base = rows.withColumn(BLOCK, F.floor(F.col(order) / F.lit(block_rows(rows.sparkSession))))
+    base, cuts = _blocked(rows, keys, order)
     by = Window.partitionBy(*keys).orderBy(BLOCK)
-    blocks = materialize(base.select(*machine.group).distinct().withColumn("_last", F.lead(BLOCK).over(by).isNull()), "fold-blocks")
+    blocks = materialize(cuts.withColumn("_last", F.lead(BLOCK).over(by).isNull()), "fold-blocks")
     followed = blocks.filter("not _last").select(*machine.group, F.lit(start).alias(ENTRY))
     inner = materialize(base.join(followed.select(*machine.group), machine.group, "left_semi"), "fold-rows")
     ends = _settle(machine, inner, followed, start).select(*machine.group, END)

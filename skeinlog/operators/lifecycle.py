@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -205,20 +207,24 @@ def embedded_stream(rows: DataFrame, limit: int = PARTIAL_TEXT_LIMIT) -> DataFra
 
 # --- ordered state machines ---------------------------------------------------------------------
 
+GOAL_START = {"goal": None, "seen": {}}
+
+
 def goal_revisions(rows: DataFrame) -> DataFrame:
     """Goal changes that are accepted, with the phase they lead to; a rejected change leaves the state alone.
 
     ``rows``: session_id, seq, operation, goal_id, revision, phase, objective, max_rounds, rounds, created_at, at.
     """
-    return fold(rows, ["session_id"], "seq", _goal_step, {"goal": None, "seen": []}, "accepted boolean, reason string, state string")
+    return fold(rows, ["session_id"], "seq", _goal_step, GOAL_START, "accepted boolean, reason string, state string")
 
 
 def _goal_step(state: dict, row: dict) -> dict:
     current, op, reason = state["goal"], row["operation"], ""
+    named = json.dumps(row["goal_id"])
     follows = current is not None and row["goal_id"] == current["id"] and row["revision"] == current["revision"] + 1
     if op == "create":
         fresh = (row["revision"] == 1 and row["phase"] == "active" and row["rounds"] == 0
-                 and (current is None or current["phase"] == "complete") and row["goal_id"] not in state["seen"])
+                 and (current is None or current["phase"] == "complete") and named not in state["seen"])
         reason = "" if fresh else "not a fresh goal"
     elif not follows:
         reason = "does not advance the current revision"
@@ -238,7 +244,7 @@ def _goal_step(state: dict, row: dict) -> dict:
         reason = "" if kept and allowed else "invalid transition" if kept else "counters not preserved"
     if not reason:
         if op == "create":
-            state["seen"] = sorted({*state["seen"], row["goal_id"]})
+            state["seen"][named] = True
         state["goal"] = None if op == "clear" else {
             "id": row["goal_id"], "revision": row["revision"], "phase": row["phase"], "objective": row["objective"],
             "max_rounds": row["max_rounds"], "rounds": row["rounds"], "created_at": row["created_at"], "at": row["at"]}
