@@ -266,14 +266,16 @@ def status_files(value: Column) -> Column:
 
 
 def diff_stats(value: Column) -> Column:
-    """Added and removed lines of a unified diff; file header lines before the first hunk do not count."""
-    lines = F.split(F.coalesce(value, F.lit("")), "\r?\n")
-    first_hunk = F.array_position(F.transform(lines, lambda s: F.startswith(s, F.lit("@@"))), F.lit(True))
-    indexed = F.transform(lines, lambda s, i: F.struct(s.alias("s"), ((first_hunk > 0) & (i >= first_hunk - 1)).alias("inside")))
-
-    def count(mark: str, header: str) -> Column:
-        return F.size(F.filter(indexed, lambda x: F.startswith(x["s"], F.lit(mark)) & (x["inside"] | ~F.startswith(x["s"], F.lit(header))))).cast("bigint")
-    return F.struct(count("+", "+++").alias("added"), count("-", "---").alias("removed"))
+    """Added and removed lines of a unified diff; file header lines before the first hunk do not count.
+
+    The text is cut before its first hunk and each side is searched once, so the work grows with the length of the text.
+    """
+    sides = F.split(F.coalesce(value, F.lit("")), r"(?:\A|\n)@@", 2)
+    head, hunks = F.get(sides, F.lit(0)), F.coalesce(F.get(sides, F.lit(1)), F.lit(""))
+
+    def count(mark: str) -> Column:  # behind the cut the first line is the rest of a hunk header
+        return (F.regexp_count(head, F.lit(rf"(?:\A|\n){mark}(?!{mark}{mark})")) + F.regexp_count(hunks, F.lit(rf"\n{mark}"))).cast("bigint")
+    return F.struct(count(r"\+").alias("added"), count("-").alias("removed"))
 
 
 def patch_success(status: Column, success: Column, exit_code: Column, outputs: list[Column]) -> Column:

@@ -56,3 +56,21 @@ def test_blocks_go_by_rows_and_not_by_order_values(spark, monkeypatch, name, blo
     assert {(r.session_id, r[order]): tuple(r[n] for n in names) for r in got} == looped(rows, ["session_id"], order, step, initial, names)
     if block == 200:
         assert written.count("fold-ends") == 1  # no session has more rows than a block: nothing is folded again
+
+
+def plain_stats(text):
+    lines = [s.removesuffix("\r") for s in text.split("\n")] if text is not None else []
+    first = next((i for i, s in enumerate(lines) if s.startswith("@@")), None)
+    inside = lambda i: first is not None and i >= first
+    return tuple(sum(s.startswith(m) and (inside(i) or not s.startswith(h)) for i, s in enumerate(lines)) for m, h in (("+", "+++"), ("-", "---")))
+
+
+def test_diff_stats_of_odd_and_of_long_patches(spark):
+    rng = random.Random(2)
+    pieces = ["+", "-", "+++ b", "--- a", "@@", "@@+x", "@@ -1 +1 @@", " @@", "", "keep", "++", "--", "-@@", " +", "\U0001f600", "+\r", "@@\r", "x\r+y"]
+    texts = [None, "", "+", "@@", "@@\n+++", "+++\n@@\n+++\r\n---"] + [rng.choice(["\n", "\r\n"]).join(rng.choices(pieces, k=rng.randrange(1, 12))) for _ in range(400)]
+    texts.append("--- a\n+++ b\n@@ -1 +1 @@\n" + "+new\n-old\n keep\n" * 20_000)  # was read once a line
+    begin = time.time()
+    rows = spark.createDataFrame([*enumerate(texts)], "i int, text string").select("i", R.diff_stats(F.col("text")).alias("s")).collect()
+    assert {r.i: (r.s.added, r.s.removed) for r in rows} == {i: plain_stats(t) for i, t in enumerate(texts)}
+    assert time.time() - begin < 60
