@@ -4,14 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Bytes of rows, not of compressed files, that one task sorts and writes.
+SORTED_BYTES = 128 << 20
+
+
+def _held(events: DataFrame) -> int:
+    """Bytes that the rows take up when they are sorted: 16 a column, and the text."""
+    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in events.schema if isinstance(f.dataType, T.StringType)]
+    return events.agg(F.sum(sum(texts, F.lit(16 * len(events.columns))).cast("bigint"))).first()[0] or 0
 
 
 def write_projection(events: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Partitioned by layer and range-placed by session and line, so files carry tight session bounds.
 
-    The range split is over (session, line): a session with a third of the rows spans many files.
+    The range split is over (session, line): a session with a third of the rows spans many files. Their number goes by the
+    bytes of the rows: texts shrink much in a shuffle, and by its bytes a task would get too many of them.
     """
-    (events.repartitionByRange("layer", "session_id", "line").sortWithinPartitions("session_id", "line")
+    parts = max(1, -(-_held(events) // SORTED_BYTES))
+    (events.repartitionByRange(parts, "layer", "session_id", "line").sortWithinPartitions("session_id", "line")
      .write.mode(mode).partitionBy("layer").parquet(path))
 
 

@@ -1,4 +1,4 @@
-"""Work that has to grow with the rows: sparse order values, long patches, long paths, large sorted tables, shared streams."""
+"""Work that has to grow with the rows: sparse order values, long patches, large sorted tables, shared streams, records read once."""
 
 import glob
 import random
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from test_folds import INBOX, OWNERSHIP, inbox_rows, looped, ownership_rows
 
 from skeinlog.functions import records as R
-from skeinlog.operators import folds, graph, lifecycle
+from skeinlog.operators import folds, lifecycle
 from skeinlog.session import BLOCK_ROWS_CONF
 from skeinlog.sources import sinks
 
@@ -74,3 +74,12 @@ def test_diff_stats_of_odd_and_of_long_patches(spark):
     rows = spark.createDataFrame([*enumerate(texts)], "i int, text string").select("i", R.diff_stats(F.col("text")).alias("s")).collect()
     assert {r.i: (r.s.added, r.s.removed) for r in rows} == {i: plain_stats(t) for i, t in enumerate(texts)}
     assert time.time() - begin < 60
+
+
+def test_projection_is_cut_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "SORTED_BYTES", 100_000)
+    rows = spark.range(2_000).selectExpr("'main' as layer", "cast(id % 3 as string) as session_id", "id as line", "repeat('lorem ipsum ', 50) as search_text")
+    sinks.write_projection(rows, str(tmp_path / "p"))
+    assert len(glob.glob(f"{tmp_path}/p/layer=main/*.parquet")) >= 10
+    assert sinks.scan_projection(spark, str(tmp_path / "p"), "main", "1").count() == 667
+    sinks.write_projection(rows.limit(0), str(tmp_path / "none"))
