@@ -194,15 +194,34 @@ def partial_messages(chunks: DataFrame, finished: DataFrame, limit: int = PARTIA
 def embedded_stream(rows: DataFrame, limit: int = PARTIAL_TEXT_LIMIT) -> DataFrame:
     """Blocks of the attempt stream kept inside an event: a finished block wins over its deltas.
 
-    ``rows``: event_id, stream ARRAY<STRUCT<kind, block, text>>.
+    ``rows``: event_id, stream ARRAY<STRUCT<kind, block, text>>. A stream is one value, so its blocks are cut out of it in
+    place and no text is shuffled; only events that several rows share are brought together.
     """
-    parts = rows.select("event_id", F.posexplode("stream").alias("pos", "p")).select("event_id", "pos", "p.*")
-    done = F.min_by("text", F.when(F.col("kind") == "block-end", F.col("pos")))
-    deltas = F.array_sort(F.collect_list(F.when(F.col("kind") == "delta", F.struct("pos", "text"))))
-    blocks = parts.groupBy("event_id", "block").agg(
-        F.min("pos").alias("first"), done.alias("done"), deltas.alias("_d"), F.count_if(F.col("kind") == "delta").alias("deltas"))
-    body = F.coalesce("done", F.array_join(F.transform("_d", lambda d: d["text"]), ""))
-    return blocks.select("event_id", "block", "first", "deltas", F.substring(body, 1, limit).alias("text"), F.col("done").isNotNull().alias("finished"))
+    shared = materialize(rows.groupBy("event_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("event_id").alias("_id")), "shared-events")
+    same = F.col("event_id").eqNullSafe(F.col("_id"))
+    runs = _stream_runs(rows.join(shared, same, "left_anti")).select(
+        "event_id", "block", "first", "done.text", "deltas", F.array_join("said", "").alias("joined"))
+    merged = _stream_runs(rows.join(shared, same, "left_semi")).groupBy("event_id", "block").agg(
+        F.min("first").alias("first"), F.min_by("done.text", "done.pos").alias("text"), F.sum("deltas").alias("deltas"),
+        F.array_sort(F.flatten(F.collect_list(F.arrays_zip("at", "said")))).alias("_d"))
+    merged = merged.select("event_id", "block", "first", "text", "deltas", F.array_join(F.transform("_d", lambda d: d["said"]), "").alias("joined"))
+    return runs.unionByName(merged).select("event_id", "block", "first", "deltas", F.substring(F.coalesce("text", "joined"), 1, limit).alias("text"),
+                                           F.col("text").isNotNull().alias("finished"))
+
+
+def _stream_runs(rows: DataFrame) -> DataFrame:
+    """A row per block of each stream: ``first`` place, first block end, number of deltas, places and texts of those that have one."""
+    part = F.transform("stream", lambda p, i: F.struct(p["block"].alias("block"), i.alias("pos"), p["kind"].alias("kind"), p["text"].alias("text")))
+    placed = rows.filter(F.size("stream") > 0).select("event_id", F.array_sort(part).alias("_s"))
+    heads = F.filter(F.sequence(F.lit(0), F.size("_s") - 1), lambda i: (i == 0) | ~F.get(F.col("_s"), i)["block"].eqNullSafe(F.get(F.col("_s"), i - 1)["block"]))
+    cut = placed.withColumn("_at", heads)
+    runs = F.transform("_at", lambda a, j: F.slice(F.col("_s"), a + 1, F.coalesce(F.get(F.col("_at"), j + 1), F.size("_s")) - a))
+    run = cut.select("event_id", F.explode(runs).alias("_r"))
+    said = F.filter("_r", lambda x: x["kind"] == "delta")
+    facts = run.select("event_id", F.get("_r", F.lit(0)).alias("_0"), F.get(F.filter("_r", lambda x: x["kind"] == "block-end"), F.lit(0)).alias("done"), said.alias("_d"))
+    heard = F.filter("_d", lambda x: x["text"].isNotNull())
+    return facts.select("event_id", "_0.block", F.col("_0.pos").alias("first"), "done", F.size("_d").cast("bigint").alias("deltas"),
+                        F.transform(heard, lambda x: x["pos"]).alias("at"), F.transform(heard, lambda x: x["text"]).alias("said"))
 
 
 # --- ordered state machines ---------------------------------------------------------------------

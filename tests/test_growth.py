@@ -83,3 +83,28 @@ def test_projection_is_cut_by_bytes(spark, tmp_path, monkeypatch):
     assert len(glob.glob(f"{tmp_path}/p/layer=main/*.parquet")) >= 10
     assert sinks.scan_projection(spark, str(tmp_path / "p"), "main", "1").count() == 667
     sinks.write_projection(rows.limit(0), str(tmp_path / "none"))
+
+
+def plain_streams(rows, limit):
+    found = {}
+    for event, stream in rows:
+        for pos, (kind, block, text) in enumerate(stream or []):
+            found.setdefault((event, block), []).append((pos, kind, text))
+    out = []
+    for (event, block), parts in found.items():
+        ends = [(pos, text) for pos, kind, text in parts if kind == "block-end"]
+        done = min(ends, key=lambda e: e[0])[1] if ends else None
+        deltas = sorted((pos, text) for pos, kind, text in parts if kind == "delta" and text is not None)
+        out.append((event, block, min(p[0] for p in parts), sum(kind == "delta" for _, kind, _ in parts), ("".join(t for _, t in deltas) if done is None else done)[:limit], done is not None))
+    return out
+
+
+def test_streams_are_cut_in_place(spark):
+    rng = random.Random(11)
+    rows = [(e, [(rng.choice(["delta", "delta", "delta", "block-end", "other", None]), rng.choice(["x", "y", None]), rng.choice(["a", "bc", "", None])) for _ in range(rng.randrange(14))]) for e in range(60)]
+    rows = [(e, [(k, b, f"end{e}" if k == "block-end" and t is not None else t) for k, b, t in s]) for e, s in rows]
+    shared = [(100, [("delta", "x", "b"), ("delta", "x", "d")]), (100, [("delta", "x", "a"), ("delta", "x", None), ("delta", "y", "z")]), (None, [("delta", "x", "q")]), (None, [("delta", "x", "p")])]
+    given = [*rows, *shared, (200, None), (201, [])]
+    got = lifecycle.embedded_stream(spark.createDataFrame(given, "event_id int, stream array<struct<kind:string,block:string,text:string>>"), 5)
+    assert sorted(map(repr, (tuple(r) for r in got.collect()))) == sorted(map(repr, plain_streams(given, 5)))
+    assert "posexplode" not in got._jdf.queryExecution().toString()
