@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skeinlog.functions import numbers, records as R, text
 from skeinlog.functions.search_json import full_search_text
+from skeinlog.session import materialize
 
 
 # Paths of the text fields of a record; each is read once, by name, before anything is derived.
@@ -54,8 +55,12 @@ def with_search_text(raw: DataFrame) -> DataFrame:
 
 
 def to_logical(raw: DataFrame, tools: DataFrame) -> DataFrame:
-    """Conversation, tool and protocol events. Rows of one call become one event; every other row its own."""
+    """Conversation, tool and protocol events. Rows of one call become one event; every other row its own.
+
+    The facts of the rows are written once, so that a record is not parsed again for either kind of row.
+    """
     from skeinlog.functions.classify import call_severity, call_status, protocol_text_class
+    raw = materialize(raw.select("session_id", "line", "ts_text", "call_id", "tool_name", "payload_type", "role", "status", "exit_code", "message_text", "preview"), "raw-facts")
     calls = raw.filter("call_id <> ''").groupBy("session_id", "call_id").agg(
         F.min("line").alias("line"), F.min_by("ts_text", "line").alias("ts_text"), F.min_by("preview", "line").alias("preview"),
         F.max_by("tool_name", F.when(F.col("tool_name") != "", -F.col("line"))).alias("tool_name"), F.max("exit_code").alias("exit_code"),

@@ -108,3 +108,21 @@ def test_streams_are_cut_in_place(spark):
     got = lifecycle.embedded_stream(spark.createDataFrame(given, "event_id int, stream array<struct<kind:string,block:string,text:string>>"), 5)
     assert sorted(map(repr, (tuple(r) for r in got.collect()))) == sorted(map(repr, plain_streams(given, 5)))
     assert "posexplode" not in got._jdf.queryExecution().toString()
+
+
+def test_records_are_parsed_once_for_calls_and_others(spark):
+    from skeinlog.functions.classify import tool_dimension
+    from skeinlog.sources import codex, files
+    call = '{"type":"response_item","payload":{"type":"function_call","call_id":"c%d","name":"exec_command","arguments":"{}"}}'
+    said = '{"type":"event_msg","payload":{"type":"user_message","message":"hi %d"}}'
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(text):
+        read.add(1)
+        return text
+    lines = spark.createDataFrame([("s", "f", i, (call if i % 2 else said) % (i // 4)) for i in range(40)], "session_id string, file string, line bigint, text string")
+    raw = codex.to_raw(files.parsed(lines.withColumn("text", F.udf(seen, "string").asNondeterministic()("text"))))
+    events = codex.to_logical(raw, tool_dimension(spark)).collect()
+    assert sorted((r.line, r.kind) for r in events if r.kind == "user_message") == [(i, "user_message") for i in range(0, 40, 2)]
+    assert sum(r.kind != "user_message" for r in events) == 10
+    assert read.value == 40
