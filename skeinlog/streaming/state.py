@@ -1,7 +1,8 @@
 """Forward-only state per session: what a batch fold carries from row to row, a stream carries from batch to batch.
 
 The state is a few values per session (or per waiting cell), kept in Spark's state store; it never grows with the rows
-seen. Rows of a micro-batch are taken by line. A row that comes with a line before those already taken can't be folded in
+seen. Sessions share ``BUCKETS`` entries of the store, since each entry that a batch touches costs a call of Python with
+its own data frames, far more than its rows. Rows of a micro-batch are taken by line. A row that comes with a line before those already taken can't be folded in
 any more: it is given out as ``late``, with nothing else said about it. Late timestamps are kept and reported, nothing is
 dropped and no watermark is used.
 """
@@ -14,32 +15,48 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from skeinlog.functions import vocabulary as V
 
+KEY, BUCKET = "_key", "_bucket"
+#: Entries of the state store; a checkpoint is read with the number it was written with. Rows that Python takes at a time.
+BUCKETS, TURN = 512, 10_000
+
 
 def stateful(rows: DataFrame, keys: list[str], order: str, step: Callable[[dict, dict], dict], initial: dict, output: str) -> DataFrame:
     """A stream of the keys, the order column, ``late`` and what ``step(state, row)`` returns for each row of ``rows``."""
     taken, given = to_arrow_schema(rows.schema), T.StructType.fromDDL(output)
     schema = T.StructType([*(rows.schema[c] for c in [*keys, order]), T.StructField("late", T.BooleanType()), *given.fields])
-    names, nothing = schema.fieldNames(), dict.fromkeys(given.fieldNames())
+    sent = pa.schema([pa.field(f.name, pa.string()) if pa.types.is_int64(f.type) else f for f in taken]).append(pa.field(KEY, pa.string()))
+    names, nothing, start = schema.fieldNames(), dict.fromkeys(given.fieldNames()), json.dumps(initial)
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = json.loads(state.get[0]) if state.exists else {"state": json.loads(json.dumps(initial)), "last": None}
-        batch = pa.concat_tables([pa.Table.from_pandas(p, taken, preserve_index=False) for p in parts]).sort_by(order)
-        last, out = held["last"], []
-        for row in batch.to_pylist():
-            late = last is not None and row[order] <= last
-            out.append({**{c: row[c] for c in [*keys, order]}, "late": late, **(nothing if late else step(held["state"], row))})
-        if batch.num_rows:
-            held["last"] = max(row[order] for row in out if not row["late"]) if not all(row["late"] for row in out) else last
+        held = json.loads(state.get[0]) if state.exists else {}
+        before: dict[str, int | None] = {}  # the last row of each key that earlier batches took
+        batch = pa.concat_tables([pa.Table.from_pandas(p[sent.names], sent, preserve_index=False) for p in parts]).cast(taken.append(sent.field(KEY)))
+        for part in batch.sort_by(order).to_batches(TURN):
+            out = []
+            for row in part.to_pylist():
+                own, at = row.pop(KEY), row[order]
+                if own not in held:
+                    held[own] = {"state": json.loads(start), "last": None}
+                mine = held[own]
+                last = before.setdefault(own, mine["last"])
+                late = last is not None and at is not None and at <= last
+                out.append({**{c: row[c] for c in [*keys, order]}, "late": late, **(nothing if late else step(mine["state"], row))})
+                if not late and at is not None:
+                    mine["last"] = at
+            yield pd.DataFrame(out, columns=names, dtype=object)
         state.update((json.dumps(held),))
-        yield pd.DataFrame(out, columns=names, dtype=object)
 
-    return rows.groupBy(*keys).applyInPandasWithState(run, schema, "state string", "append", GroupStateTimeout.NoTimeout)
+    long = [f.name for f in rows.schema if isinstance(f.dataType, T.LongType)]  # as text: pandas makes floats of a column with nulls
+    told = rows.withColumns({c: F.col(c).cast("string") for c in long})
+    named = told.withColumn(KEY, F.to_json(F.struct(*[F.col(k).cast("string").alias(k) for k in keys]))).withColumn(BUCKET, F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)))
+    return named.groupBy(BUCKET).applyInPandasWithState(run, schema, "state string", "append", GroupStateTimeout.NoTimeout)
 
 
 def cache_step(state: dict, row: dict) -> dict:

@@ -46,6 +46,26 @@ def test_any_step_in_parts_equals_one_run_and_late_rows_are_named(spark, tmp_pat
     assert sum(r.late for r in found) == sum(10 <= r["line"] < 12 for r in rows)
 
 
+def test_many_keys_share_few_entries_of_the_store(spark, tmp_path, monkeypatch):
+    """Each entry costs a call of Python, so their number must not grow with the keys."""
+    monkeypatch.setattr(state, "BUCKETS", 4)
+    big = 2 ** 60 + 1
+    rows = [(f"s{i % 40}" if i % 9 else None, None if i % 7 == 0 else big + i % 2, i, None if i % 5 == 0 else big + i) for i in range(300)]
+
+    def step(held, row):
+        held["n"] += 1
+        return {"n": held["n"], "seen": row["big"]}
+    table = spark.createDataFrame(rows, "session_id string, cell long, line long, big long")
+    stream = in_parts(table, [(0, 200), (200, 300)], tmp_path / "in")
+    found = drained(state.stateful(stream, ["session_id", "cell"], "line", step, {"n": 0}, "n int, seen long"), spark, tmp_path).collect()
+    counts, want = {}, set()
+    for session, cell, line, value in rows:
+        counts[session, cell] = counts.get((session, cell), 0) + 1
+        want.add((session, cell, line, False, counts[session, cell], value))
+    assert {tuple(r) for r in found} == want and len(found) == len(rows)
+    assert len(counts) > 70 and 0 < spark.read.format("statestore").load(str(tmp_path / "log")).count() <= 4
+
+
 def numbers_of(taken):
     return sorted(json.loads(r.text)["n"] for r in taken.lines().collect())
 
