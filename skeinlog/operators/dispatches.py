@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinlog.session import materialize
+from skeinlog.session import materialize, spread_by
 
 # The tool whose calls may be roots, and the deepest dispatch that is shown in its place.
 SCRIPT_TOOL = "run_code"
@@ -21,12 +21,14 @@ def identities(rows: DataFrame) -> DataFrame:
     row's. A row without one of its ids or its name is a dispatch of its own, with null ``node_id``.
     """
     c = F.col
+    rows = materialize(rows, "dispatch-facts")  # read twice; its size tells how to place the rows
+    placed = spread_by(rows.count(), rows.sparkSession, "session_id", "node_id")
     named = F.lit(True)
     for n in ("node_id", "root_id", "parent_id", "name"):
         named = named & (F.coalesce(c(n), F.lit("")) != "")
     facts = F.struct("root_id", "parent_id", "name", F.coalesce("arguments", F.lit("")).alias("arguments"))
     start, end = c("part") == "start", c("part") == "end"
-    groups = rows.filter(named).groupBy("session_id", "node_id").agg(
+    groups = placed(rows.filter(named)).groupBy("session_id", "node_id").agg(
         F.min(facts).alias("low"), F.max(facts).alias("high"), F.count_if(start).alias("starts"), F.count_if(end).alias("ends"),
         F.min(F.when(start, c("seq"))).alias("started"), F.min(F.when(end, c("seq"))).alias("ended"))
     reason = (F.when((c("low") != c("high")) | (c("starts") > 1) | (c("ends") > 1), F.concat(F.lit("ambiguous dispatch identity "), "node_id"))
@@ -35,7 +37,7 @@ def identities(rows: DataFrame) -> DataFrame:
     whole = groups.select("session_id", "node_id", "low.root_id", "low.parent_id", "low.name", seq.alias("seq"), reason.alias("reason"))
     bare = rows.filter(~named).select("session_id", F.lit(None).cast("string").alias("node_id"), "root_id", "parent_id", "name", "seq",
                                       F.lit("missing durable dispatch identity").alias("reason"))
-    return whole.unionByName(bare)
+    return materialize(whole.unionByName(bare), "dispatch-identities")
 
 
 def depths(nodes: DataFrame, calls: DataFrame, deepest: int = DEEPEST) -> DataFrame:
@@ -47,9 +49,14 @@ def depths(nodes: DataFrame, calls: DataFrame, deepest: int = DEEPEST) -> DataFr
     rounds grow with the logarithm of the deepest chain.
     """
     c = F.col
+    n, spark = nodes.count(), nodes.sparkSession
+    met = lambda rows, other, *on: (rows.transform(spread_by(n, spark, *on)), other.transform(spread_by(n, spark, *on)))
     outer = calls.groupBy("session_id", F.col("call_id").alias("root_id")).agg(F.max_by("name", "seq").alias("_tool"))
     above = nodes.filter("reason = ''").select("session_id", c("node_id").alias("parent_id"), c("root_id").alias("_root"), c("seq").alias("_seq"))
-    known = nodes.join(outer, ["session_id", "root_id"], "left").join(above, ["session_id", "parent_id"], "left")
+    nested = F.coalesce((c("reason") == "") & (c("parent_id") != c("root_id")), F.lit(False))  # the others need no parent, which thousands may share
+    low, high = met(nodes.filter(nested), above, "session_id", "parent_id")
+    linked = low.join(high, ["session_id", "parent_id"], "left").unionByName(nodes.filter(~nested), allowMissingColumns=True)
+    known = linked.join(outer.hint("shuffle_hash"), ["session_id", "root_id"], "left")
     earlier = F.coalesce((c("_seq") < c("seq")) & (c("_root") == c("root_id")), F.lit(False))
     reason = (F.when(c("reason") != "", c("reason"))
               .when(F.lower(F.coalesce("_tool", F.lit(""))) != SCRIPT_TOOL, F.concat(F.lit("root "), "root_id", F.lit(f" is not an outer {SCRIPT_TOOL} call")))
@@ -61,9 +68,11 @@ def depths(nodes: DataFrame, calls: DataFrame, deepest: int = DEEPEST) -> DataFr
     state = judged.filter("node_id is not null").select(*keys, F.when(inner, c("parent_id")).alias("up"), F.lit(1).cast("bigint").alias("chain"), (c("reason") != "").alias("void"))
     while not state.filter("up is not null").isEmpty():
         far = state.select("session_id", c("node_id").alias("up"), c("up").alias("_up"), c("chain").alias("_chain"), c("void").alias("_void"))
-        moved = state.filter("up is not null").join(far, ["session_id", "up"]).select(*keys, c("_up").alias("up"), (c("chain") + c("_chain")).alias("chain"), c("_void").alias("void"))
+        low, high = met(state.filter("up is not null"), far, "session_id", "up")
+        moved = low.join(high, ["session_id", "up"]).select(*keys, c("_up").alias("up"), (c("chain") + c("_chain")).alias("chain"), c("_void").alias("void"))
         state = materialize(state.filter("up is null").unionByName(moved), "dispatches")
     ends = state.select(*keys, F.when(~c("void"), c("chain")).alias("chain"))
     shown = F.when(c("chain") <= deepest, c("chain"))
     last = F.when((c("reason") == "") & shown.isNull(), F.concat(F.lit("dispatch ancestry exceeds the supported depth for "), "node_id")).otherwise(c("reason"))
-    return judged.join(ends, keys, "left").select(*nodes.drop("reason").columns, "chain", shown.alias("depth"), last.alias("reason"))
+    low, high = met(judged, ends, *keys)
+    return low.join(high, keys, "left").select(*nodes.drop("reason").columns, "chain", shown.alias("depth"), last.alias("reason"))

@@ -112,7 +112,7 @@ def _(spark, root):
     parent = F.when(F.col("k") % 19 == 0, id_(n + 1)).when(n < 4, "r").otherwise(id_(F.floor(n / 2)))
     nodes = r.select("session_id", id_(n).alias("node_id"), F.lit("r").alias("root_id"), parent.alias("parent_id"), F.lit("Read").alias("name"), n.alias("seq"), F.lit("").alias("reason"))
     calls = r.select("session_id", F.lit("r").alias("call_id"), F.lit("run_code").alias("name"), F.lit(0).alias("seq")).distinct()
-    return dispatches.depths(nodes, calls).select("session_id", "node_id", "depth", "reason")
+    return dispatches.depths(materialize(nodes, "dispatch-nodes"), calls).select("session_id", "node_id", "depth", "reason")
 
 
 def dispatch_lines(spark, root):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,3 +58,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)
+
+
+def spread_by(n: int, spark: SparkSession, *keys: str) -> Callable[[DataFrame], DataFrame]:
+    """Places rows by ``keys`` so that each of ``n`` of them shares a task with no more others than a block has, about.
+
+    Rows that are sorted or joined behind it take their place as it is, so what a task sorts does not grow with the table.
+    Where all fit in one block Spark places them as it likes.
+    """
+    size = block_rows(spark)
+    parts = max(-(-n // size), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return lambda rows: rows.repartition(parts, *keys) if n > size else rows

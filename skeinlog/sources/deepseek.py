@@ -61,16 +61,18 @@ def dispatch_rows(parsed: DataFrame) -> DataFrame:
     v = F.col("record")
     part = F.create_map(*[F.lit(x) for pair in DISPATCHED.items() for x in pair])[R.text_at(v, "$.type")]
     fact = lambda name: R.text_at(v, f"$.data.{name}")
-    return supported_lines(parsed).filter(part.isNotNull()).select(
-        "session_id", "line", R.get(v, "$.seq", "bigint").alias("seq"), part.alias("part"), fact("subCallId").alias("node_id"), fact("rootCallId").alias("root_id"),
+    facts = parsed.filter(part.isNotNull()).select(
+        "file", "session_id", "line", R.get(v, "$.seq", "bigint").alias("seq"), part.alias("part"), fact("subCallId").alias("node_id"), fact("rootCallId").alias("root_id"),
         fact("parentCallId").alias("parent_id"), fact("name").alias("name"), R.json_at(v, "$.data.arguments").alias("arguments"))
+    return of_supported(facts, parsed).drop("file")
 
 
 def call_rows(parsed: DataFrame) -> DataFrame:
     """Outer calls by id."""
     v = F.col("record")
-    return supported_lines(parsed).filter(R.text_at(v, "$.type") == "tool/call").select(
-        "session_id", R.text_at(v, "$.data.callId").alias("call_id"), R.text_at(v, "$.data.name").alias("name"), R.get(v, "$.seq", "bigint").alias("seq")).filter("call_id <> ''")
+    calls = parsed.filter(R.text_at(v, "$.type") == "tool/call").select(
+        "file", "session_id", R.text_at(v, "$.data.callId").alias("call_id"), R.text_at(v, "$.data.name").alias("name"), R.get(v, "$.seq", "bigint").alias("seq")).filter("call_id <> ''")
+    return of_supported(calls, parsed).drop("file")
 
 
 #: Rows of a streamed answer, rows of a compaction.
@@ -78,9 +80,14 @@ STREAMED = [*PACKED, "assistant/chunk"]
 COMPACTION = ["compaction/start", "compaction/summary", "compaction/prune", "compaction/end"]
 
 
+def of_supported(rows: DataFrame, parsed: DataFrame) -> DataFrame:
+    """``rows`` of the files whose header can be read."""
+    return rows.join(headers(parsed).filter("not supported").select("file"), "file", "left_anti")
+
+
 def supported_lines(parsed: DataFrame) -> DataFrame:
     """Lines of the files whose header can be read."""
-    return parsed.join(headers(parsed).filter("not supported").select("file"), "file", "left_anti")
+    return of_supported(parsed, parsed)
 
 
 def units(parsed: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from skeinlog.operators import dispatches, graph, lifecycle
 
@@ -76,6 +77,19 @@ def test_dispatch_identities(spark):
     assert dispatches.depths(dispatches.identities(table.limit(0)), calls).count() == 0
 
 
+def test_dispatches_are_sorted_in_parts_of_a_block(spark, tiny_blocks, monkeypatch):
+    """No task gets a share that grows with the table; flat, nested and broken ones keep their places."""
+    held, keep = {}, dispatches.materialize
+    monkeypatch.setattr(dispatches, "materialize", lambda df, label: held.setdefault(label, keep(df, label)) if label == "dispatch-identities" else keep(df, label))
+    rows = [("s", 2 * i, "start", f"d{i}", "r", "r" if i < 20 or i % 10 == 0 else f"d{i - 1}", "Read", None) for i in range(60)] + [("s", 99, "end", "d7", "r", "r", "Read", None), ("s", 200, "start", None, "r", "r", "Read", None)]
+    table = spark.createDataFrame(rows, "session_id string, seq long, part string, node_id string, root_id string, parent_id string, name string, arguments string")
+    calls = spark.createDataFrame([("s", "r", "run_code", 0)], "session_id string, call_id string, name string, seq long")
+    got = {r.node_id: (r.chain, r.reason) for r in dispatches.depths(dispatches.identities(table), calls).collect()}
+    assert got == {f"d{i}": (1 if i < 20 else i % 10 + 1, "") for i in range(60)} | {None: (None, "missing durable dispatch identity")}
+    shares = held["dispatch-identities"].groupBy(F.input_file_name()).count().collect()
+    assert sum(r["count"] for r in shares) == 61 and max(r["count"] for r in shares) <= 20
+
+
 def test_goals_by_descent(spark):
     """One goal a condition; the last column of each row group says what the goal must become."""
     records, rows, want = [], [], {}
