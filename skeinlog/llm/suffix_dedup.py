@@ -74,20 +74,38 @@ class Block:
 
     def positions(self, length: int, cover: list[int] | None = None, period: int = 1) -> tuple[np.ndarray, np.ndarray]:
         """Positions from which ``length`` bytes stay in their text, and the number of that text; copies have none."""
-        at, of = [], []
-        step = np.array(cover if cover else [0])
-        for i in np.flatnonzero((self.sizes >= length) & ~self.copy):
-            n = self.sizes[i] - length + 1
-            some = (np.arange(0, n, period)[:, None] + step[None, :]).ravel()
-            some = some[some < n]
-            at.append(some + self.start[i])
-            of.append(np.full(len(some), i, np.int32))
-        return (np.concatenate(at), np.concatenate(of)) if at else (np.zeros(0, np.int64), np.zeros(0, np.int32))
+        fits = np.flatnonzero((self.sizes >= length) & ~self.copy)
+        room = self.sizes[fits] - length + 1  # positions of a text
+        spans = -(-room // period)
+        of = np.repeat(np.arange(len(fits), dtype=np.int32), spans)
+        at = (np.arange(len(of)) - (np.cumsum(spans) - spans)[of]) * period
+        if cover:
+            at, of = (at[:, None] + np.array(cover)[None, :]).ravel(), np.repeat(of, len(cover))
+            held = at < room[of]
+            at, of = at[held], of[held]
+        return at + self.start[fits][of], fits.astype(np.int32)[of]
+
+
+def rising(hashes: np.ndarray) -> np.ndarray:
+    """The order of the hashes, equal ones by place. Sorting numbers is far faster than sorting places by numbers, so each
+    place takes the low bits of its hash; the few hashes that differ in those bits only are put right afterwards."""
+    low = np.uint64(len(hashes).bit_length())
+    lost = np.uint64(max(0, (int(hashes.max()).bit_length() if len(hashes) else 0) + int(low) - 64))
+    order = ((hashes >> lost) << low) | np.arange(len(hashes), dtype=np.uint64)
+    order.sort()
+    order = (order & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
+    if lost:
+        line = hashes[order]
+        tops = line >> lost
+        for top in np.unique(tops[1:][line[1:] < line[:-1]]):
+            a, b = np.searchsorted(tops, top), np.searchsorted(tops, top, "right")
+            order[a:b] = order[a:b][np.argsort(line[a:b], kind="stable")]
+    return order
 
 
 def grouped(hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct hashes, for each entry its number among them, and the least and greatest id of each."""
-    order = np.argsort(hashes, kind="stable")
+    order = rising(hashes)
     line = hashes[order]
     new = np.concatenate([[True], line[1:] != line[:-1]]) if len(line) else np.zeros(0, bool)
     first = np.flatnonzero(new)
@@ -228,10 +246,14 @@ def _block(row: dict) -> Block:
     return Block(row["data"], row["ids"], row["sizes"], copies)
 
 
-def _samples(block: Block, bits: int):
+def _sampled(block: Block, bits: int):
     cover = difference_cover(PERIOD)
     at, of = block.positions(LENGTH - PERIOD + 1, cover, PERIOD)
-    hashes = hashes_at(block.data, at, LENGTH - PERIOD + 1) >> np.uint64(64 - bits)
+    return at, of, hashes_at(block.data, at, LENGTH - PERIOD + 1) >> np.uint64(64 - bits)
+
+
+def _samples(block: Block, bits: int):
+    at, of, hashes = _sampled(block, bits)
     return at, of, grouped(hashes, block.ids[of])
 
 
@@ -239,10 +261,10 @@ def _candidates(block: Block, answer: list[dict] | None, bits: int):
     """Positions of strings that hold a sample string of several documents, with hashes and the numbers of their texts."""
     at, of, (distinct, which, low, high) = _samples(block, bits)
     hit = (told(answer, len(distinct)) | (low < high))[which]
-    mark = np.zeros(len(block.data) + 1, np.int8)
-    for shift in range(PERIOD):  # the string starts up to a period before the sample, in the same text
-        q = at[hit] - shift
-        mark[q[q >= block.start[of[hit]]]] = 1
+    at, of = at[hit], of[hit]
+    size = len(block.data) + 1  # the string starts up to a period before the sample, in the same text
+    first = np.maximum(at - (PERIOD - 1), block.start[of])
+    mark = np.cumsum(np.bincount(first, minlength=size) - np.bincount(at + 1, minlength=size))
     at, of = block.positions(LENGTH)
     keep = mark[at] > 0
     at, of = at[keep], of[keep]
@@ -279,7 +301,7 @@ def deduplicated(docs: DataFrame, texts: bool = False) -> DataFrame:
 
     def first(batches):
         for row in _rows(batches, KEPT):
-            yield from sent(row["block"], _samples(_block(row), bits)[2][0], None, bits, buckets)
+            yield from sent(row["block"], np.unique(_sampled(_block(row), bits)[2]), None, bits, buckets)
 
     shared = written(answers(known.mapInArrow(first, SENT)), "suffix-samples").withColumnRenamed("answer", "samples")
     known = known.join(shared, "block", "left")

@@ -73,3 +73,22 @@ def test_empty_table_and_texts(spark):
     docs = spark.createDataFrame([(4, long), (2, long[1000:300_000])], docs.schema)
     got = {r.doc_id: (r.n_removed, r.n_spans, r.kept) for r in sd.deduplicated(docs, texts=True).collect()}
     assert got == {2: (0, 0, long[1000:300_000].encode()), 4: (299_000, 1, (long[:1000] + long[300_000:]).encode())}
+
+
+@pytest.mark.parametrize("bits", [0, 3, 30, 64])
+def test_order_of_hashes_that_share_high_bits(bits):
+    """Hashes equal in all bits that a place leaves room for are still in order, equal ones by place."""
+    rng = np.random.default_rng(bits)
+    for n in (0, 1, 2, 5000):
+        hashes = rng.integers(0, 1 << bits, n, dtype=np.uint64, endpoint=False) if bits < 64 else rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
+        near = np.concatenate([hashes, hashes[::-1] ^ np.uint64(bits == 64), hashes])
+        assert sd.rising(near).tolist() == np.argsort(near, kind="stable").tolist()
+
+
+def test_positions_equal_a_loop_over_texts():
+    sizes = np.array([0, 49, 50, 51, 200, 30, 71, 500], np.int64)
+    block = sd.Block(bytes(int(sizes.sum())), np.arange(8, dtype=np.int64).tobytes(), sizes.tobytes(), [4])
+    for length, cover, period in ((50, None, 1), (30, [0, 1, 4, 14, 16], 21)):
+        want = [(int(block.start[i]) + p, i) for i in range(8) if i != 4 for p in range(int(sizes[i]) - length + 1) if not cover or p % period in cover]
+        at, of = block.positions(length, cover, period)
+        assert list(zip(at.tolist(), of.tolist())) == want
