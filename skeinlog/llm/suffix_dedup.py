@@ -103,6 +103,12 @@ def rising(hashes: np.ndarray) -> np.ndarray:
     return order
 
 
+def distinct(hashes: np.ndarray) -> np.ndarray:
+    """Rising; by sorting, as numpy's own way goes by a hash table."""
+    line = np.sort(hashes)
+    return line[np.concatenate([[True], line[1:] != line[:-1]])] if len(line) else line
+
+
 def grouped(hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct hashes, for each entry its number among them, and the least and greatest id of each."""
     order = rising(hashes)
@@ -259,8 +265,8 @@ def _samples(block: Block, bits: int):
 
 def _candidates(block: Block, answer: list[dict] | None, bits: int):
     """Positions of strings that hold a sample string of several documents, with hashes and the numbers of their texts."""
-    at, of, (distinct, which, low, high) = _samples(block, bits)
-    hit = (told(answer, len(distinct)) | (low < high))[which]
+    at, of, (some, which, low, high) = _samples(block, bits)
+    hit = (told(answer, len(some)) | (low < high))[which]
     at, of = at[hit], of[hit]
     size = len(block.data) + 1  # the string starts up to a period before the sample, in the same text
     first = np.maximum(at - (PERIOD - 1), block.start[of])
@@ -301,15 +307,15 @@ def deduplicated(docs: DataFrame, texts: bool = False) -> DataFrame:
 
     def first(batches):
         for row in _rows(batches, KEPT):
-            yield from sent(row["block"], np.unique(_sampled(_block(row), bits)[2]), None, bits, buckets)
+            yield from sent(row["block"], distinct(_sampled(_block(row), bits)[2]), None, bits, buckets)
 
     shared = written(answers(known.mapInArrow(first, SENT)), "suffix-samples").withColumnRenamed("answer", "samples")
     known = known.join(shared, "block", "left")
 
     def second(batches):
         for row in _rows(batches, [*KEPT, "samples"]):
-            distinct, _, low, _ = _candidates(_block(row), row["samples"], bits)[2]
-            yield from sent(row["block"], distinct, low, 64, later)
+            some, _, low, _ = _candidates(_block(row), row["samples"], bits)[2]
+            yield from sent(row["block"], some, low, 64, later)
 
     strings = written(answers(known.mapInArrow(second, SENT)), "suffix-strings").withColumnRenamed("answer", "strings")
     known = known.join(strings, "block", "left")
@@ -318,8 +324,8 @@ def deduplicated(docs: DataFrame, texts: bool = False) -> DataFrame:
     def third(batches):
         for row in _rows(batches, [*KEPT, "samples", "strings"]):
             block = _block(row)
-            at, of, (distinct, which, low, _) = _candidates(block, row["samples"], bits)
-            starts = told(row["strings"], len(distinct))[which] | (block.ids[of] > low[which])
+            at, of, (some, which, low, _) = _candidates(block, row["samples"], bits)
+            starts = told(row["strings"], len(some))[which] | (block.ids[of] > low[which])
             at, of = at[starts], of[starts]
             edge = np.searchsorted(of, np.arange(len(block.ids) + 1))
             out = []
