@@ -39,8 +39,13 @@ from skeinlog.llm.shared import written
 
 SAMPLE = 16_000
 LISTS, PARTS, CODES, BLOCK = 1024, 8, 256, 1024
-#: Vectors of a list, about, until there are ``LISTS`` of them.
+#: Vectors of a list, at least, about.
 PER_LIST = 50
+#: Lists for each root of the number of vectors, ``LISTS`` at most. A vector is a row in each list that it looks into, and its table
+#: there costs as much as some hundreds of look-ups: lists grow with the root, so neither rows nor look-ups outgrow the other.
+PER_ROOT = 0.5
+#: Queries whose tables are held at a time.
+QUERIES = 256
 #: How much further than the average link reaches along one direction a vector looks into other lists.
 STEADY = 4.0
 #: Vectors of all lists that count beside those of one list in its spread.
@@ -143,6 +148,10 @@ def reach(limit: float) -> float:
     return float(np.sqrt(max(0.0, 2 - 2 * limit))) + 1e-7
 
 
+def lists_for(n: int) -> int:
+    return max(1, min(LISTS, n // PER_LIST, int(PER_ROOT * n**0.5)))
+
+
 def probes(index: dict, x: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
     """Nearest list of each vector, and which lists are near enough to hold a vector within the limit."""
     coarse = index["coarse"]
@@ -155,10 +164,16 @@ def probes(index: dict, x: np.ndarray, limit: float) -> tuple[np.ndarray, np.nda
 
 def likely(index: dict, center: np.ndarray, queries: np.ndarray, codes: np.ndarray, error: np.ndarray, limit: float) -> np.ndarray:
     """Whether query and coded vector may be within the limit, by table look-ups."""
-    left, total = queries - center, np.zeros((len(queries), len(codes)))
-    for k, (c, words) in enumerate(zip(index["columns"], index["words"], strict=True)):
-        total += squared(left[:, c], words)[:, codes[:, k]]
-    return np.sqrt(total) - error[None, :] <= reach(limit) + 1e-7
+    left, out = queries - center, np.empty((len(queries), len(codes)), bool)
+    most = (reach(limit) + 1e-7 + error[:, None]) ** 2
+    for at in range(0, len(left), QUERIES):
+        some = left[at:at + QUERIES]
+        total = np.repeat((some**2).sum(axis=1)[None, :], len(codes), axis=0)
+        for k, (c, words) in enumerate(zip(index["columns"], index["words"], strict=True)):
+            # a row of the table for each code word: a look-up copies whole rows
+            total += ((words**2).sum(axis=1)[:, None] - 2 * words @ some[:, c].T)[codes[:, k]]
+        out[at:at + QUERIES] = (total <= most).T
+    return out
 
 
 def exact(x: np.ndarray, y: np.ndarray, maybe: np.ndarray, limit: float) -> np.ndarray:
@@ -261,7 +276,7 @@ def joined(vectors: DataFrame, limit: float = LIMIT) -> DataFrame:
     drawn = defaultdict(list)
     for r in sorted(some):
         drawn[len(r.data) // 8].append(bytes(r.data))
-    indexes = {size: fit(unit(data, size), max(1, min(LISTS, many[size] // PER_LIST)), limit) for size, data in drawn.items()}
+    indexes = {size: fit(unit(data, size), lists_for(many[size]), limit) for size, data in drawn.items()}
     found = written(_compared(_placed(classes, indexes, limit), indexes, limit), "vector-links")
     more = found.filter("v is null").groupBy("u").agg(F.sum("n").alias("more")).select(F.col("u").alias("rep"), "more")
     own = written(members.select("rid", "vec_id", "same").join(rep.select("same", F.col("vec_id").alias("rep"), F.col("rid").alias("class"), "copies"), "same"), "vector-members")

@@ -133,3 +133,13 @@ def test_spreads_follow_the_data():
         spread = vd.fit(x, 12)["spread"]
         apart = ~np.eye(len(spread), dtype=bool)
         assert (spread == spread.T).all() and spread.min() >= np.float32(1 / 64) and low <= np.median(spread[apart]) <= high
+
+
+def test_rows_of_lists_do_not_grow_with_the_square(spark, monkeypatch):
+    """Four times the vectors: each looks into about twice the lists, not four times as many less a few."""
+    pick, made = np.random.default_rng(3), []
+    monkeypatch.setattr(vd, "_compared", lambda placed, *rest: made.append(placed.count()) or spark.createDataFrame([], "u bigint, v bigint, n bigint"))
+    x = pick.normal(size=(6400, 6))
+    for n in (1600, 6400):
+        vd.joined(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x[:n])], "vec_id long, embedding array<double>"))
+    assert made[0] > 2 * 1600 and made[1] < 6.6 * made[0]
