@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from skeinlog.operators import ordered
 from skeinlog.operators.prefixes import before, last_before, since
 from skeinlog.session import materialize
 
+#: Most rows of a session whose paths are listed within one task, and rows that a task takes at a time, about.
+WALKED, WALKED_TOGETHER = 512, 16_384
+
 
 def chains(edges: DataFrame) -> DataFrame:
     """Root, depth and cycle flag of every node of a parent forest, by pointer doubling.
@@ -90,30 +97,81 @@ def nearest_ancestor_value(records: DataFrame) -> DataFrame:
 
 def ancestry(records: DataFrame, points: DataFrame) -> DataFrame:
     """Rows on the path from each fork point to its root; nothing when the path meets a repeated or unknown
-    id, or does not end.
+    id, or does not end. A point without a session or an id is its own path.
 
-    ``records``: session_id, uuid, parent_uuid. ``points``: session_id, point. The part of the path that is
-    known doubles every round, so the rounds grow with the logarithm of its length.
+    ``records``: session_id, uuid, parent_uuid. ``points``: session_id, point. Sessions of at most ``WALKED`` rows are walked
+    many at a time, each within one task. In longer ones pointers double until they end, and are given up where they meet such an id; the
+    paths of points whose pointer ended are then listed by the same pointers, so no row is listed of a path that is void.
     """
-    keys = ["session_id", "uuid"]
-    nodes = materialize(records.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("parent_uuid").alias("up")), "ancestry")
-    longest = nodes.groupBy("session_id").agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0] or 0
-    jump = nodes.select(*keys, "up")
-    path = points.select("session_id", "point", F.col("point").alias("uuid"), F.lit(0).cast("bigint").alias("steps"))
-    span = 1
-    while span <= 2 * longest:
-        further = path.join(jump, keys).filter("up is not null").select(
-            "session_id", "point", F.col("up").alias("uuid"), (F.col("steps") + span).alias("steps"))
-        further = materialize(further, "ancestry")
-        if further.isEmpty():
-            break
-        path = materialize(path.unionByName(further), "ancestry")
-        far = jump.select("session_id", F.col("uuid").alias("up"), F.col("up").alias("_up"))
-        jump = materialize(jump.filter("up is not null").join(far, ["session_id", "up"], "left").select(*keys, F.col("_up").alias("up")), "ancestry")
+    c, keys = F.col, ["session_id", "uuid"]
+    named = points.select("session_id", c("point").alias("uuid"), F.lit(None).cast(records.schema["parent_uuid"].dataType).alias("up"), F.lit(0).alias("one"), F.lit(1).alias("asks"))
+    rows = records.select(*keys, c("parent_uuid").alias("up"), F.lit(1).alias("one"), F.lit(0).alias("asks"))
+    nodes = rows.unionByName(named).filter("session_id is not null and uuid is not null").groupBy(*keys).agg(
+        F.min("up").alias("up"), F.sum("one").alias("n"), F.sum("asks").alias("asks"))
+    nodes = materialize(nodes.filter("n > 0"), "ancestry")
+    sizes = nodes.groupBy("session_id").agg(F.count(F.lit(1)).alias("c"), F.sum("asks").alias("asks"))
+    sizes = materialize(sizes.filter("asks > 0").select("session_id", "c"), "ancestry")
+    total, longest = sizes.agg(F.sum(F.when(c("c") <= WALKED, c("c"))), F.max("c")).first()
+    once = nodes.filter("n = 1").drop("n")
+    out = points.filter("session_id is null or point is null").select("session_id", "point", c("point").alias("uuid"), F.lit(0).cast("bigint").alias("steps"))
+    if total:
+        short = once.join(sizes.filter(c("c") <= WALKED), "session_id", "left_semi")
+        out = out.unionByName(_walked(short, -(-total // WALKED_TOGETHER)))
+    if (longest or 0) > WALKED:
+        out = out.unionByName(_climbed(once.join(sizes.filter(c("c") > WALKED), "session_id", "left_semi"), longest))
+    return out
+
+
+def _walked(nodes: DataFrame, groups: int) -> DataFrame:
+    """Paths of points in whole sessions; ``nodes``: session_id, uuid, up, asks (how often it is a point)."""
+    of = nodes.schema
+    made = StructType([StructField(name, of[k].dataType) for name, k in (("session_id", "session_id"), ("point", "uuid"), ("uuid", "uuid"))] + [StructField("steps", LongType())])
+
+    def walk(table: pa.Table) -> pa.Table:
+        n = table.num_rows
+        code = lambda x: pc.dictionary_encode(x, null_encoding="encode").combine_chunks().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        session = code(table["session_id"])
+        ids = code(pa.chunked_array([*table["uuid"].chunks, *table["up"].chunks]))
+        own, up = session * len(ids) + ids[:n], session * len(ids) + ids[n:]
+        order = np.argsort(own)
+        at = np.minimum(np.searchsorted(own[order], up), n - 1)
+        parent = np.where(own[order][at] == up, order[at], n + 1)  # n: past a root, n + 1: an id that is unknown or repeated
+        parent = np.concatenate([np.where(table["up"].is_null().to_numpy(), n, parent), [n, n + 1]])
+        jump = parent
+        for _ in range(int(n).bit_length()):
+            jump = jump[jump]
+        asks = table["asks"].to_numpy()
+        point = np.repeat(np.arange(n), np.where(jump[:n] == n, asks, 0))
+        now, found = point, []
+        while len(now):
+            found.append((point, now))
+            point, now = point[parent[now] < n], parent[now][parent[now] < n]
+        steps = np.repeat(np.arange(len(found)), [len(p) for p, _ in found])
+        point, node = (np.concatenate([f[k] for f in found]) if found else point for k in (0, 1))
+        return pa.table({"session_id": table["session_id"].take(pa.array(point)), "point": table["uuid"].take(pa.array(point)),
+                         "uuid": table["uuid"].take(pa.array(node)), "steps": pa.array(steps, pa.int64())})
+
+    return nodes.withColumn("_g", F.pmod(F.xxhash64("session_id"), F.lit(groups))).groupBy("_g").applyInArrow(walk, made)
+
+
+def _climbed(nodes: DataFrame, longest: int) -> DataFrame:
+    """Paths of points in sessions of any size, of ``longest`` rows at most; ``nodes`` as in ``_walked``."""
+    c, keys = F.col, ["session_id", "uuid"]
+    nodes = materialize(nodes, "ancestry")
+    ended, live, jumps, span = nodes.filter("up is null").select(*keys), nodes.filter("up is not null").select(*keys, "up"), [], 1
+    while span <= 2 * longest and not live.isEmpty():
+        jumps.append(live)
+        far = live.select("session_id", c("uuid").alias("up"), c("up").alias("_up")).unionByName(
+            ended.select("session_id", c("uuid").alias("up"), F.lit(None).cast(nodes.schema["up"].dataType).alias("_up")))
+        moved = materialize(live.join(far, ["session_id", "up"]).select(*keys, c("_up").alias("up")), "ancestry")
+        ended, live = ended.unionByName(moved.filter("up is null").select(*keys)), moved.filter("up is not null")
         span *= 2
-    seen = path.join(nodes.select(*keys, "n"), keys, "left")
-    void = seen.filter(F.col("n").isNull() | (F.col("n") > 1) | (F.col("steps") >= longest)).select("session_id", "point").distinct()
-    return seen.join(void, ["session_id", "point"], "left_anti").select("session_id", "point", "uuid", "steps")
+    good = nodes.filter("asks > 0").join(ended, keys, "left_semi")
+    path = materialize(good.select("session_id", c("uuid").alias("point"), "uuid", F.lit(0).cast("bigint").alias("steps"), F.explode(F.sequence(F.lit(1), c("asks").cast("int"))).alias("_")).drop("_"), "ancestry")
+    for r, jump in enumerate(jumps):
+        further = path.join(jump, keys).select("session_id", "point", c("up").alias("uuid"), (c("steps") + (1 << r)).alias("steps"))
+        path = path.unionByName(materialize(further, "ancestry"))
+    return path
 
 
 def propagate_conflicts(edges: DataFrame, conflicted: DataFrame) -> DataFrame:
